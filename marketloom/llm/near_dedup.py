@@ -11,7 +11,7 @@ Copies are merged first, as equal sets. Within a bucket all members meet one piv
 fewest shingles of its own; what the pivot's component has taken in needs no more comparison, and only members
 outside it then meet the rest of their bucket. In large buckets, two exact bounds drop members before that:
 the shingles that a document shares with no other document of a large bucket cannot be part of any overlap
-there. So a group of copies, exact or near, costs its size, not its square.
+there, and an overlap outside the pivot is bounded by what each has outside it. So a group of copies, exact or near, costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def _fits(n_a: str, n_b: str, c_a: str, c_b: str, s: int):
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch, o: NearOptions) -> DataFrame:
-    """The pairs ``a, b`` whose sets reach the similarity: first by the estimate, then exactly."""
+    """Pairs ``a, b`` that pass the estimate, with ``common``, the size of their sets' overlap, and ``linked``."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +185,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch
     )
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return scratch.save(both.filter(100 * common >= o.similarity * union).select("a", "b"), "links")
+    linked = (100 * common >= o.similarity * union).alias("linked")
+    return scratch.save(both.select("a", "b", common.cast("long").alias("common"), linked), "links")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -265,7 +266,7 @@ def near_groups(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
     m = scratch.save(m.filter(100 * F.col("c") >= s * F.col("n")).select("key", "id", "n", "c"), "viable")
     pivots = (
         m.groupBy("key")
-        .agg(F.max(F.struct((F.col("c") / F.col("n")).alias("r"), (-F.col("id")).alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("x"))
+        .agg(F.max(F.struct((2 * F.col("c") - F.col("n")).alias("r"), (-F.col("id")).alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("x"))
         .select("key", (-F.col("x.p")).alias("p"), F.col("x.pn").alias("pn"), F.col("x.pc").alias("pc"))
     )
     pivots = scratch.save(pivots, "pivots")
@@ -275,21 +276,40 @@ def near_groups(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
 
     stars = m.join(pivots, "key").filter((F.col("id") != F.col("p")) & _fits("n", "pn", "c", "pc", s))
     stars = scratch.save(stars.select(*pair("id", "p")).distinct(), "stars")
-    links = _links(stars, nodes, sets, scratch, o)
+    met = _links(stars, nodes, sets, scratch, o)
+    links = met.filter("linked").select("a", "b")
     first = scratch.save(components(links, scratch), "first-components")
 
+    # Each member's component, and its overlap with the bucket's pivot where that was measured.
+    m = m.join(pivots, "key").withColumns({"a": F.least("id", "p"), "b": F.greatest("id", "p")})
+    m = scratch.save(m.join(met.select("a", "b", "common"), ["a", "b"], "left").drop("a", "b"), "measured")
     label = first.select(F.col("id").alias("i"), "component")
-    m = m.join(label, m["id"] == label["i"], "left").select("key", "id", "n", "c", F.coalesce("component", "id").alias("g"))
+    m = m.join(label, m["id"] == label["i"], "left").select(
+        "key", "id", "n", "c", "p", F.coalesce("component", "id").alias("g"),
+        F.when(F.col("id") == F.col("p"), F.col("n")).otherwise(F.col("common")).alias("o"),
+    )
     m = scratch.save(m, "labelled")
     label = first.select(F.col("id").alias("i"), F.col("component").alias("pg"))
-    pivots = pivots.join(label, pivots["p"] == label["i"], "left").select("key", "p", F.coalesce("pg", "p").alias("pg"))
-    pivots = scratch.save(pivots, "labelled-pivots")
-    apart = scratch.save(m.join(pivots, "key").filter(F.col("g") != F.col("pg")).drop("pg"), "apart")
-    rest = apart.join(
-        m.select("key", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("g").alias("vg")), "key"
-    ).filter((F.col("g") != F.col("vg")) & (F.col("v") != F.col("p")) & _fits("n", "vn", "c", "vc", s))
-    rest = scratch.save(rest.select(*pair("id", "v")).distinct(), "rest")
-    more = _links(rest, nodes, sets, scratch, o)
+    m = m.join(label, m["p"] == label["i"], "left").withColumn("pg", F.coalesce("pg", "p")).drop("i")
+    # At most one bucket a band: a pair is looked at in the first bucket that both are in, whatever its outcome there.
+    buckets = scratch.save(m.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("in")), "buckets")
+    m = scratch.save(m.join(buckets, "id"), "placed")
+    other = [F.col(x).alias(f"v_{x}") for x in ("id", "n", "c", "g", "o", "in")]
+    # Outside the pivot an overlap takes shared shingles of both, inside it at most the smaller overlap with it.
+    inside = F.coalesce(F.least("o", "v_o") + F.least(F.col("c") - F.col("o"), F.col("v_c") - F.col("v_o")), F.least("c", "v_c"))
+    possible = F.when(F.col("o").isNull() | F.col("v_o").isNull(), F.least("c", "v_c")).otherwise(inside)
+    rest = (
+        m.filter("g <> pg")
+        .join(m.select("key", *other), "key")
+        .filter(
+            (F.col("g") != F.col("v_g")) & (F.col("v_id") != F.col("p")) & _fits("n", "v_n", "c", "v_c", s)
+            & ((100 + s) * possible >= s * (F.col("n") + F.col("v_n")))
+            & ((F.col("v_g") == F.col("pg")) | (F.col("id") < F.col("v_id")))
+            & (F.element_at(F.array_intersect("in", "v_in"), 1) == F.col("key"))
+        )
+    )
+    rest = scratch.save(rest.select(*pair("id", "v_id")), "rest")
+    more = _links(rest, nodes, sets, scratch, o).filter("linked").select("a", "b")
     final = components(links.unionByName(more), scratch)
 
     # Classes by component, then documents by class: a hot class meets a plain table, so its rows can be split.
