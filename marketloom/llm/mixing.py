@@ -123,7 +123,7 @@ def decider(last: bool, seed: int):
     return lambda pdf: decide(pdf, last, seed)
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, block: int = 2000, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, block: int = 500, seed: int = 7) -> DataFrame:
     """``doc_id, size, source_size, target, taken, copies`` of each document.
 
     ``size`` is the number of words, ``copies`` how often the mix takes the document (0, 1 or 2 with cap 2) and
