@@ -33,7 +33,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs).drop("ids")
+    return pack(docs)[1]
 
 
 STAGES = [

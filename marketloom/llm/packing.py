@@ -337,14 +337,18 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 1024) ->
     return ranked.mapInArrow(look_up, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with their ids and places: ``doc_id, piece, start, length, ids, sequence_id, offset``."""
+def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """The staged pieces with their ids, and their places: ``doc_id, piece, start, length, ids_crc32, sequence_id,
+    offset``. The ids stay where they are; only narrow rows are ranked and shuffled."""
     pieces = Scratch(docs.sparkSession, "packing").save(tokenised(docs, vocabulary, capacity), "pieces")
-    return assign(pieces, capacity)
+    places = assign(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity)
+    return pieces, places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def sequences(packed: DataFrame) -> DataFrame:
-    """``sequence_id, n_tokens, doc_ids, ids``: the sequences themselves, at most ``capacity`` ids each."""
+def sequences(pieces: DataFrame, places: DataFrame) -> DataFrame:
+    """``sequence_id, n_tokens, doc_ids, ids``: the sequences themselves, at most ``capacity`` ids each. doc_id must
+    be unique here, as ids meet their places by (doc_id, piece)."""
+    packed = pieces.select("doc_id", "piece", "ids").join(places, ["doc_id", "piece"])
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))  # at most `capacity` pieces
     return (
         packed.groupBy("sequence_id")
@@ -359,8 +363,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = Scratch(spark, "packing").save(tokenised(table(spark, sf_dir, "documents")), "pieces")
-    digest = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return assign(digest).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
-    )
+    return pack(table(spark, sf_dir, "documents"))[1]
