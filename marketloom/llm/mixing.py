@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import Scratch, table, word_count
+from marketloom.llm.tokens import release
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -109,6 +110,7 @@ def landing(live: list[int], pi: list[float], size: list[int]) -> None:
 
 
 def decide(pdf: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
+    release()
     # Long documents first, so that short ones are left for the end; ties by hash, then id.
     pdf = pdf.sort_values(["size", "_hash", "doc_id"], ascending=[False, True, True], kind="stable")
     rng = random.Random(f"{seed}/{int(pdf['_hash'].iloc[0])}/{len(pdf)}")
@@ -158,7 +160,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
         decided.append(state.filter(~undecided))
         if last:
             break
-        buckets = -(-buckets // (block // 2))
+        buckets = -(-buckets // max(2, block // 2))
         state = state.filter(undecided).withColumn("_block", F.pmod("_block", F.lit(buckets)))
     out = decided[0]
     for more in decided[1:]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import Scratch, table, without
-from marketloom.llm.tokens import slices
+from marketloom.llm.tokens import release, text_blocks
 
 
 @dataclass(frozen=True)
@@ -119,15 +119,15 @@ def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 def _sketched(docs: DataFrame, o: NearOptions) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 2_000_000):
-                sets = [shingle_set(t, o.shingle) for t in texts[a:b]]
+            for a, texts in text_blocks(batch, 1):
+                sets = [shingle_set(t, o.shingle) for t in texts]
                 full = [s for s in sets if len(s)]
                 rows = iter(sketches(full, o.registers))
                 sketch = [next(rows).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                    [batch.column(0).slice(a, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sketch, pa.binary())],
                     ["doc_id", "n", "digest", "sketch"],
                 )
@@ -140,13 +140,13 @@ def _sets(docs: DataFrame, ids: DataFrame, o: NearOptions) -> DataFrame:
     """``id, set`` of some documents, from their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 2_000_000):
-                sets = [pa.array(shingle_set(t, o.shingle).view(np.int64)) for t in texts[a:b]]
+            for a, texts in text_blocks(batch, 1):
+                sets = [pa.array(shingle_set(t, o.shingle).view(np.int64)) for t in texts]
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(sets) if sets else pa.array([], pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), flat], ["id", "set"])
 
     few = ids.count() <= 1_000_000  # 8 MB of ids; beyond that both sides are shuffled
     chosen = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import Scratch, table
-from marketloom.llm.tokens import encoder, slices, vocabulary_path
+from marketloom.llm.tokens import encoder, text_blocks, vocabulary_path
 
 CAPACITY = 2048
 #: Fixed value: the id that ends a document.
@@ -39,10 +39,10 @@ def tokenised(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts, 2_000_000):
+            keys = batch.column(0)
+            for a, texts in text_blocks(batch, 1, 2_000_000):
                 rows, piece, start, length, payload = [], [], [], [], []
-                for k, ids in enumerate(encode(texts[a:b]), a):
+                for k, ids in enumerate(encode(texts), a):
                     data = np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes()
                     n = len(data) // 4
                     ends = [*range(n, 0, -capacity)][::-1]

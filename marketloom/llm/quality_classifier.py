@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
-from marketloom.llm.tokens import slices
+from marketloom.llm.tokens import text_blocks
 
 BITS = 15
 STATS = 12
@@ -156,8 +156,7 @@ def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores = [held.value.score(texts[a:b]) for a, b in slices(texts)]
+            scores = [held.value.score(texts) for _, texts in text_blocks(batch, 1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64())], ["doc_id", "score"]
             )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
-from marketloom.llm.tokens import PieceEncoder, slices, vocabulary_path
+from marketloom.llm.tokens import PieceEncoder, text_blocks, vocabulary_path
 
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -119,8 +119,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [count(texts[a:b]) for a, b in slices(texts)]
+            n = [count(texts) for _, texts in text_blocks(batch, 1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.concatenate(n) if n else [], pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import Scratch, shared_dir, table
-from marketloom.llm.tokens import encoder, slices, vocabulary_path
+from marketloom.llm.tokens import encoder, text_blocks, vocabulary_path
 
 #: Fixed values of the file format.
 MAGIC = b"TOKSHRD1"
@@ -174,12 +174,12 @@ def write_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", uri: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids = encoder(path).encode
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             part = np.searchsorted(edges, batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
-            for a, b in slices(texts, 2_000_000):
-                data = [np.append(x, np.uint32(END_ID)).astype(dtype).tobytes() for x in to_ids(texts[a:b])]
+            for a, texts in text_blocks(batch, 1, 2_000_000):
+                data = [np.append(x, np.uint32(END_ID)).astype(dtype).tobytes() for x in to_ids(texts)]
+                n = len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[a:b], pa.int32()), batch.column(0).slice(a, b - a), pa.array(data, pa.binary())],
+                    [pa.array(part[a : a + n], pa.int32()), batch.column(0).slice(a, n), pa.array(data, pa.binary())],
                     ["part", "doc_id", "ids"],
                 )
 

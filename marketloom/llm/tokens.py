@@ -16,6 +16,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ANY_SPACE = re.compile(r"\s")
 
@@ -172,13 +174,21 @@ def encoder(path: str) -> PieceEncoder:
     return _encoders["ids", path]
 
 
-def slices(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``chars`` characters, one row at least."""
-    start, n = 0, 0
-    for k, text in enumerate(texts):
-        n += len(text)
-        if n >= chars:
-            yield start, k + 1
-            start, n = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def release() -> None:
+    """Free the tables of encoders that earlier stages left in this reused worker."""
+    _encoders.clear()
+
+
+def text_blocks(batch: pa.RecordBatch, column: int, size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch in blocks of about ``size`` bytes, one row at least, each with its first row's number.
+
+    Only one block at a time is turned into Python strings.
+    """
+    texts = batch.column(column)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield start, texts.slice(start, stop - start).to_pylist()
+        start = stop
