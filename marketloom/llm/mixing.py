@@ -172,10 +172,15 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns. doc_id must be unique."""
+    """The mix itself: each document as often as it is taken, with its own columns. doc_id must be unique.
+
+    What is taken goes to every task up to a million documents; beyond that both sides are shuffled by doc_id.
+    """
     take = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
+    take = Scratch(docs.sparkSession, "mixing").save(take, "taken")
+    few = take.count() <= 1_000_000
     return (
-        docs.join(take, F.col("doc_id") == F.col("_id"))
+        docs.join(F.broadcast(take) if few else take, F.col("doc_id") == F.col("_id"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(docs.columns)
     )

@@ -37,7 +37,7 @@ def tokenised(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity:
     path = vocabulary_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, 400_000).encode
         for batch in batches:
             keys = batch.column(0)
             for a, texts in text_blocks(batch, 1, 2_000_000):

@@ -167,11 +167,11 @@ class PieceEncoder:
         return np.fromiter(map(len, self.encode(texts)), np.int64, len(texts))
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = 800_000) -> PieceEncoder:
     """The worker's own encoder for a vocabulary file; kept between batches and tasks."""
-    if ("ids", path) not in _encoders:
-        _encoders["ids", path] = PieceEncoder(path)
-    return _encoders["ids", path]
+    if (path, max_pieces) not in _encoders:
+        _encoders[path, max_pieces] = PieceEncoder(path, max_pieces)
+    return _encoders[path, max_pieces]
 
 
 def release() -> None:
