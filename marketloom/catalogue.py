@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["offers", "rankings", "joins", "vectors", "pricing", "profiles", "history", "text", "events"]
+_MODULES = ["offers", "rankings", "joins", "vectors", "pricing", "profiles", "history", "text", "records", "events"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
