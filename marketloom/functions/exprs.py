@@ -179,14 +179,14 @@ def median_low(value: Column) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value._jc.toString()})")
 
 
-def median_upper(values: Column) -> Column:
-    """The upper middle of a sorted array."""
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+def upper_position():
+    """Position from 0 of the upper of the two middle ones among ``n`` sorted values."""
+    return lambda n: F.floor(n / 2)
 
 
-def floor_index(values: Column, p: float) -> Column:
-    """Element ``floor(p * (n - 1))`` of a sorted array."""
-    return F.element_at(values, F.floor(F.lit(p) * (F.size(values) - 1)).cast("int") + 1)
+def floor_position(p: float):
+    """Position ``floor(p * (n - 1))`` from 0 among ``n`` sorted values."""
+    return lambda n: F.floor(F.lit(p) * (n - 1))
 
 
 def rank_linear_map(x: Column, p25: Column, p75: Column) -> Column:

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- JSON -------------------------------------------------------------------------------------------------
 
@@ -42,7 +44,7 @@ def repaired(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_repair(text: pd.Series) -> pd.Series:
     return text.map(repaired)
 
@@ -74,7 +76,7 @@ def patched(doc: object, ops: list[dict]) -> object:
     return doc
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_patch(doc: pd.Series, ops: pd.Series) -> pd.Series:
     return pd.Series([json.dumps(patched(json.loads(d), json.loads(o)), sort_keys=True) for d, o in zip(doc, ops, strict=True)])
 
@@ -108,9 +110,20 @@ def greedy_batches(df: DataFrame, key: str, order: str, weight: str, budget: int
 # --- clusters ---------------------------------------------------------------------------------------------
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Use the cluster's shared checkpoint folder; only a single-JVM session may leave it unset."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="marketloom-"))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``id, component`` from undirected edges ``a, b``: the smallest label travels along edges, and labels take
     their label's label, so that long chains halve in each round. Rounds are checkpointed in the shared folder."""
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("component")).checkpoint()
     for _ in range(rounds):

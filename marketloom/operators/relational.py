@@ -27,6 +27,19 @@ def top_k(df: DataFrame, key: list[str], order: list[Column], k: int, rank: str
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
+def at_positions(df: DataFrame, key: list[str], value: str, positions: dict) -> DataFrame:
+    """``n`` and the values at positions among each key's sorted values; a position is a function of ``n``, from 0.
+
+    Equal values are counted before the shuffle by key, and a running count finds the positions: no group's values
+    are gathered in an array. Null values are left out.
+    """
+    w = Window.partitionBy(*key)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_c"))
+    run = counts.withColumns({"_up": F.sum("_c").over(w.orderBy(value)), "n": F.sum("_c").over(w)})
+    at = lambda f: (F.col("_up") > f(F.col("n"))) & (F.col("_up") - F.col("_c") <= f(F.col("n")))
+    return run.groupBy(*key).agg(F.first("n").alias("n"), *[F.max(F.when(at(f), F.col(value))).alias(name) for name, f in positions.items()])
+
+
 def union_first_wins(frames: list[DataFrame], key: list[str], order: list[Column]) -> DataFrame:
     """Union of frames; of equal keys, a row of the earliest frame stays."""
     out = None

@@ -72,7 +72,7 @@ def geo_nearest_k(s, d):
 
 
 def band_join(s, d):
-    o = offers(s, d).filter("entity <= 20").withColumn("oid", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "price"))
+    o = offers(s, d).withColumn("oid", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "price"))
     o = o.groupBy("entity", "brand", "oid").agg(F.min("price").alias("price"))
     return R.band_pairs(o, ["entity", "brand"], "oid", "price", 1.1)
 
@@ -115,7 +115,7 @@ ORACLES = {
     "geo_radius": f"""WITH {ENTITY}, p AS (SELECT a.id AS a_id, b.id AS b_id, {distance('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS m FROM entity a JOIN entity b ON a.id < b.id)
       SELECT a_id, b_id, round(m, 3) AS distance_m FROM p WHERE m <= 5000""",
     "geo_nearest_k": f"WITH {ENTITY}, p AS (SELECT id, {distance('52.1', '21.1', 'lat', 'lng')} AS m FROM entity) SELECT id, round(m, 3) AS distance_m FROM p WHERE m <= 12000 ORDER BY m, id LIMIT 20",
-    "band_join_price": f"""WITH {OFFERS}, o AS (SELECT entity, brand, concat_ws('/', l_orderkey, l_linenumber, l_partkey, price) AS oid, min(price) AS price FROM offers WHERE entity <= 20 GROUP BY 1, 2, 3)
+    "band_join_price": f"""WITH {OFFERS}, o AS (SELECT entity, brand, concat_ws('/', l_orderkey, l_linenumber, l_partkey, price) AS oid, min(price) AS price FROM offers GROUP BY 1, 2, 3)
       SELECT a.entity, a.brand, a.oid AS a_id, a.price AS a_value, b.oid AS b_id, b.price AS b_value FROM o a JOIN o b ON a.entity = b.entity AND a.brand = b.brand AND a.oid < b.oid
       WHERE greatest(a.price, b.price) <= 1.1 * least(a.price, b.price)""",
     "asof_last_click": """WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts AS click FROM events WHERE event_type = 'click')

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
+from marketloom.operators import relational as R
 from marketloom.sources.tables import compile_filter, offers, table
 
 #: SQL of the offers relation, shared by the oracles.
@@ -44,13 +45,8 @@ def agg(**columns):
     return lambda s, d: offers(s, d).groupBy("category").agg(*[f().alias(k) for k, f in columns.items()])
 
 
-def sorted_prices():
-    """Sorted prices of a category and brand: a group's prices fit an array here, as the positions need them."""
-    return F.array_sort(F.collect_list("price"))
-
-
-def by_position(name, pick):
-    return lambda s, d: offers(s, d).groupBy("category", "brand").agg(sorted_prices().alias("v")).select("category", "brand", pick(F.col("v")).alias(name))
+def by_position(name, position):
+    return lambda s, d: R.at_positions(offers(s, d), ["category", "brand"], "price", {name: position}).drop("n")
 
 
 def brand_means(s, d):
@@ -107,8 +103,8 @@ QUERIES = {
     "pct_rounded": agg(p25=lambda: X.pct_rounded(F.col("price"), 0.25), p75=lambda: X.pct_rounded(F.col("price"), 0.75)),
     "median_mid": agg(median=lambda: F.median("price")),
     "median_low": agg(median=lambda: F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY price)").cast("long")),
-    "median_upper": by_position("median", X.median_upper),
-    "pct_floor_index": by_position("p75", lambda v: X.floor_index(v, 0.75)),
+    "median_upper": by_position("median", X.upper_position()),
+    "pct_floor_index": by_position("p75", X.floor_position(0.75)),
     "rank_leq": rank_of("rank", lambda x, v: x <= v),
     "rank_lt": rank_of("rank", lambda x, v: x < v),
     "rank_linear_map": rank_linear,

@@ -71,7 +71,7 @@ def opportunities(s, d):
 
 
 def sets(s, d):
-    return offers(s, d).filter("entity <= 40").groupBy("entity").agg(F.array_sort(F.collect_set("category")).alias("c"))
+    return offers(s, d).groupBy("entity").agg(F.array_sort(F.collect_set("category")).alias("c"))
 
 
 def jaccard_pairs(s, d):
@@ -137,7 +137,7 @@ ORACLES = {
       SELECT l.region, l.category, round((l.n / r.n) / (b.n / (SELECT count(*) FROM supplier)), 4) AS lift FROM l JOIN r USING (region) JOIN b ON b.category = l.category""",
     "opportunities_top8": f"""WITH {OFFERS} SELECT * FROM (SELECT 'promo' AS kind, category, count(*) * 2 AS impact FROM offers WHERE promo GROUP BY 2 UNION ALL SELECT 'package', category, count(*) * 3 FROM offers WHERE package GROUP BY 2)
       ORDER BY impact DESC, kind, category LIMIT 8""",
-    "jaccard_sets": f"""WITH {OFFERS}, c AS (SELECT DISTINCT entity, category FROM offers WHERE entity <= 40), n AS (SELECT entity, count(*) AS n FROM c GROUP BY 1),
+    "jaccard_sets": f"""WITH {OFFERS}, c AS (SELECT DISTINCT entity, category FROM offers), n AS (SELECT entity, count(*) AS n FROM c GROUP BY 1),
       i AS (SELECT b.entity, count(*) AS i FROM c a JOIN c b ON a.category = b.category AND a.entity = 1 AND b.entity <> 1 GROUP BY 1)
       SELECT n.entity, round(coalesce(i, 0) / (n.n + o.n - coalesce(i, 0)), 4) AS jaccard, round(coalesce(i, 0) / o.n, 4) AS overlap FROM n JOIN n o ON o.entity = 1 LEFT JOIN i ON i.entity = n.entity WHERE n.entity <> 1""",
     "benchmarks_rollup": f"""WITH {OFFERS}, x AS (SELECT price, n_regionkey, n_name FROM offers JOIN supplier ON entity = s_suppkey JOIN nation ON s_nationkey = n_nationkey)

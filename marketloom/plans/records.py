@@ -120,7 +120,7 @@ QUERIES = {
     "box_quarters": quarters,
     "recent_event_summary": hourly,
     "nested_read_model": nested,
-    "keyword_coverage": lambda s, d: R.keyword_coverage(table(s, d, "nation").select(F.lower("n_name").alias("keyword")).unionByName(table(s, d, "part").filter("p_partkey < 20").select(F.col("p_name").alias("keyword"))), table(s, d, "part").filter("p_partkey >= 100").select(F.col("p_name").alias("text"))),
+    "keyword_coverage": lambda s, d: R.keyword_coverage(table(s, d, "nation").select(F.lower("n_name").alias("keyword")).unionByName(table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("keyword")).distinct()), table(s, d, "part").select(F.col("p_name").alias("text"))),
 }
 
 _noisy = """noisy AS (SELECT p_partkey AS id, p_brand AS category, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END
@@ -169,6 +169,6 @@ SELECT id, q::INT AS quarter, round(y + (q < 2)::INT, 6) AS top, round(x + 2 * (
     "recent_event_summary": f"""SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'error') AS n_error,
 count(*) FILTER (event_type = 'click' AND value > 10) AS up, count(*) FILTER (event_type = 'click' AND value <= 10) AS down FROM events WHERE {_recent} GROUP BY 1""",
     "nested_read_model": f"WITH {_noisy} SELECT category, CAST(count(*) AS INTEGER) AS n, arg_min(name, id) AS first, CAST(sum(p_size) AS INTEGER) AS minutes FROM noisy GROUP BY 1",
-    "keyword_coverage": """WITH k AS (SELECT lower(n_name) AS k FROM nation UNION ALL SELECT lower(p_name) FROM part WHERE p_partkey < 20),
-h AS (SELECT k, EXISTS (SELECT 1 FROM part WHERE p_partkey >= 100 AND contains(lower(p_name), k)) AS i FROM k) SELECT count(*) AS n, count(*) FILTER (i) AS present, round(100 * count(*) FILTER (i) / count(*), 2) AS coverage FROM h""",
+    "keyword_coverage": """WITH k AS (SELECT lower(n_name) AS k FROM nation UNION ALL SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part),
+h AS (SELECT k, EXISTS (SELECT 1 FROM part WHERE contains(lower(p_name), k)) AS i FROM k) SELECT count(*) AS n, count(*) FILTER (i) AS present, round(100 * count(*) FILTER (i) / count(*), 2) AS coverage FROM h""",
 }

@@ -33,14 +33,14 @@ def nearest(s, d):
 _sums = "p AS (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS dim, {w} AS w FROM v), m AS (SELECT label, dim, sum(w * x) / sum(w) AS x FROM p GROUP BY 1, 2)"
 
 QUERIES = {
-    "cosine_topk": lambda s, d: R.knn_within(vectors(s, d).filter("id < 100"), vectors(s, d), "entity", 5, -1.0),
+    "cosine_topk": lambda s, d: R.knn_within(vectors(s, d), vectors(s, d), "entity", 5, -1.0),
     "peer_max_sim": peer_max,
     "weighted_centroid": weighted,
     "nearest_centroid": nearest,
 }
 
 ORACLES = {
-    "cosine_topk": f"""WITH {VECTORS}, p AS (SELECT a.id AS subject_id, b.id, {COS.format(a='a', b='b')} AS similarity FROM v a JOIN v b ON a.entity = b.entity AND a.id <> b.id WHERE a.id < 100)
+    "cosine_topk": f"""WITH {VECTORS}, p AS (SELECT a.id AS subject_id, b.id, {COS.format(a='a', b='b')} AS similarity FROM v a JOIN v b ON a.entity = b.entity AND a.id <> b.id)
       SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY similarity DESC, id) <= 5""",
     "peer_max_sim": f"WITH {VECTORS} SELECT a.id, max({COS.format(a='a', b='b')}) AS peer_max_sim FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id GROUP BY 1",
     "weighted_centroid": f"WITH {VECTORS}, {_sums.format(w='1 + id % 3')} SELECT label, CAST(dim AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 4) AS x FROM m",
