@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a Java regular-expression class.
@@ -96,3 +96,30 @@ def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 1_
     for k in keys:
         on = on & docs[k].eqNullSafe(named[f"_drop_{k}"])
     return docs.join(F.broadcast(named) if named.count() <= most else named, on, "left_anti")
+
+
+def keyed(docs: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells each row from all others.
+
+    That is ``doc_id`` where no id is null or repeated. Else the rows are staged and get ``_row``: 1, 2, ... in the
+    order of doc_id (null last), text digest and source, so that only rows equal in all three depend on partitions.
+    The numbers go to every task if there are at most ``most`` rows; else both sides are shuffled by a unique key.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs, "doc_id"
+    scratch = Scratch(docs.sparkSession, "rows")
+    rows = scratch.save(docs.withColumn("_at", F.monotonically_increasing_id()), "rows")
+    source = ["source"] if "source" in docs.columns else []
+    order = rows.select("doc_id", F.sha2("text", 256).alias("_digest"), *source, "_at")
+    order = order.orderBy(F.col("doc_id").asc_nulls_last(), "_digest", *source, "_at")
+    # Places within the sorted partitions, then the rows of all partitions before.
+    placed = scratch.save(order.select("_at", F.monotonically_increasing_id().alias("_place")), "placed")
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    before = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    )
+    numbers = placed.join(F.broadcast(before), "_part").select(
+        "_at", (F.col("_before") + F.col("_place") - F.shiftleft("_part", 33) + 1).alias("_row")
+    )
+    numbers = scratch.save(numbers, "numbers")
+    return rows.join(F.broadcast(numbers) if numbers.count() <= most else numbers, "_at").drop("_at"), "_row"

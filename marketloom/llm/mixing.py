@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Scratch, table, word_count
+from marketloom.llm.common import Scratch, keyed, table, word_count
 from marketloom.llm.tokens import release
 
 #: Weights of the sources in their order, repeating.
@@ -172,15 +172,17 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns. doc_id must be unique.
+    """The mix itself: each document as often as it is taken, with its own columns.
 
-    What is taken goes to every task up to a million documents; beyond that both sides are shuffled by doc_id.
+    Rows are taken one by one, those without a doc_id or with a repeated one by their numbers. What is taken goes to
+    every task up to a million documents; beyond that both sides are shuffled by this key.
     """
-    take = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
+    rows, key = keyed(docs)
+    take = mix(rows.withColumn("doc_id", F.col(key)), **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
     take = Scratch(docs.sparkSession, "mixing").save(take, "taken")
     few = take.count() <= 1_000_000
     return (
-        docs.join(F.broadcast(take) if few else take, F.col("doc_id") == F.col("_id"))
+        rows.join(F.broadcast(take) if few else take, F.col(key) == F.col("_id"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(docs.columns)
     )

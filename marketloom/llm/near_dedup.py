@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Scratch, table, without
+from marketloom.llm.common import Scratch, keyed, table, without
 from marketloom.llm.tokens import release, text_blocks
 
 
@@ -324,8 +324,10 @@ def near_groups(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
-    """The documents that stay, with their own columns: one of each component."""
-    return without(docs, near_groups(docs, o).filter("NOT kept").select("doc_id"), ["doc_id"])
+    """The documents that stay, with their own columns: one row of each component, whatever ids its rows have."""
+    rows, key = keyed(docs)
+    groups = near_groups(rows.withColumn("doc_id", F.col(key)), o)
+    return without(rows, groups.filter("NOT kept").select("doc_id"), [key]).select(docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Scratch, let, table, without, words
+from marketloom.llm.common import Scratch, keyed, let, table, without, words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -203,8 +203,9 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, limits: RiskLimits) -
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
-    """Every document's measures and verdict: ``doc_id``, the measures, ``base_failed``, ``kept``, ``reasons``.
+def judge(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits(), also: tuple = ()) -> DataFrame:
+    """Every document's measures and verdict: ``doc_id``, the measures, ``base_failed``, ``kept``, ``reasons``,
+    and the columns ``also`` of ``docs``.
 
     Null or empty texts have no words and fail the base rule. Documents of a stratum without labelled good
     documents are judged by the base rule alone. A null stratum is a stratum of its own. Repeated rows are
@@ -213,13 +214,13 @@ def judge(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits())
     spark = docs.sparkSession
     stratum = F.col(limits.stratum) if limits.stratum in docs.columns else F.lit(None)
     measured = measures(
-        docs.select("doc_id", F.coalesce(stratum.cast("string"), F.lit("\x00")).alias("_stratum"), "text")
+        docs.select("doc_id", *also, F.coalesce(stratum.cast("string"), F.lit("\x00")).alias("_stratum"), "text")
     ).withColumn(
         "n_lines", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     )
     measured = (
         Scratch(spark, "quality-rules")
-        .save(measured.select("doc_id", "_stratum", "n_lines", *MEASURES), "measures")
+        .save(measured.select("doc_id", *also, "_stratum", "n_lines", *MEASURES), "measures")
         .withColumns({f"_{k}": v for k, v in rule_values().items()} | {"base_failed": base_failed()})
     )
     cutoffs = select_cutoffs(measured, labels.select("doc_id", "quality"), limits)
@@ -230,13 +231,15 @@ def judge(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits())
         )
     )
     return measured.join(cutoffs, "_stratum", "left").select(
-        "doc_id", *MEASURES, "base_failed", (F.size(failed) == 0).alias("kept"), failed.alias("reasons")
+        "doc_id", *MEASURES, "base_failed", (F.size(failed) == 0).alias("kept"), failed.alias("reasons"), *also
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
-    """The documents that pass, with their own columns. A doc_id goes if any of its rows is rejected."""
-    return without(docs, judge(docs, labels, limits).filter("NOT kept").select("doc_id"), ["doc_id"])
+    """The documents that pass, with their own columns. Each row goes by its own text, whatever its doc_id."""
+    rows, key = keyed(docs)
+    also = () if key == "doc_id" else (key,)
+    return without(rows, judge(rows, labels, limits, also).filter("NOT kept").select(key), [key]).select(docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
