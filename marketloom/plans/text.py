@@ -34,6 +34,7 @@ def cascade(s, d):
 QUERIES = {
     "json_extract": lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")),
     "text_fold": lambda s, d: table(s, d, "documents").select("doc_id", F.substring(X.fold(F.col("text")), 1, 200).alias("folded")),
+    "text_fold_whole": lambda s, d: table(s, d, "documents").select("doc_id", X.fold(F.col("text")).alias("folded")),
     "fold_words": lambda s, d: table(s, d, "benchmark").select("item_id", X.fold_words(F.col("text")).alias("folded")),
     "marker_extract": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.markers(F.col("p_name"), LEXICON), ",").alias("markers"), X.first_marker(F.col("p_type"), {"s": "s", "e": "e"}).alias("first")),
     "marker_clusters": lambda s, d: table(s, d, "part").groupBy(F.array_join(X.markers(F.col("p_name"), LEXICON), ",").alias("markers"), "p_brand").agg(F.count("*").alias("n"), F.count_distinct("p_type").alias("types")).filter("n >= 2 AND types >= 2"),
@@ -57,6 +58,7 @@ m AS (SELECT p_partkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS meth
 ORACLES = {
     "json_extract": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "text_fold": f"SELECT doc_id, substr({_fold.format(c='text')}, 1, 200) AS folded FROM documents",
+    "text_fold_whole": f"SELECT doc_id, {_fold.format(c='text')} AS folded FROM documents",
     "fold_words": f"SELECT item_id, {_words.format(c='text')} AS folded FROM benchmark",
     "marker_extract": f"SELECT p_partkey, {_markers} AS markers, CASE WHEN regexp_matches(lower(p_type), 's') THEN 's' WHEN regexp_matches(lower(p_type), 'e') THEN 'e' END AS first FROM part",
     "marker_clusters": f"SELECT {_markers} AS markers, p_brand, count(*) AS n, count(DISTINCT p_type) AS types FROM part GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT p_type) >= 2",
