@@ -1,9 +1,10 @@
 """Licence scan: notices in texts compared with templates by Dice coefficient over word bigrams.
 
-Every line is normalised to lower-case words. A template of B distinct bigrams can only reach a Dice
-coefficient t with a line of B*t/(2-t) to B*(2-t)/t bigrams, so lines outside these bounds never meet it, and
-lines outside all bounds are dropped before any comparison. The templates are a constant of the plan; all
-is expressions inside rows, without a shuffle.
+A whole text is normalised to lower-case words, across line ends. A template of B distinct bigrams can only reach
+a Dice coefficient t with a window of B*t/(2-t) to B*(2-t)/t bigrams that shares B*t/(2-t) of its own; texts that
+hold fewer of a template's bigrams never meet it. In the others a window that starts or ends with a bigram that the
+template lacks is no better than the shorter one, so windows run from shared bigram to shared bigram. The templates
+are a constant of the plan; all is expressions inside rows, without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -55,84 +60,98 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(flat, r"[^a-z0-9.+]+"), lambda w: w != "")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
-    """``doc_id, license, dice, line_no, n_matches, line`` of every document; nulls where no line matches.
+def version_words(words: list[str]) -> list[str]:
+    return sorted({w for w in words if re.fullmatch(r"[0-9]+([.][0-9]+)*", w)})
+
+
+def windows(w: Column, g: Column, grams: Column, versions: Column, license: Column, threshold: float) -> Column:
+    """``start, end, dice, license`` (bigram positions from 1) of all windows of a text that reach ``threshold``."""
+    size = F.size(grams)
+    high = (2 - threshold) / threshold
+    hits = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_contains(grams, F.element_at(g, i)))
+
+    def between(a: Column, b: Column) -> Column:
+        part = F.array_distinct(F.slice(g, a, b - a + 1))
+        said = F.array_distinct(F.filter(F.slice(w, a, b - a + 2), lambda x: x.rlike(r"^[0-9]+([.][0-9]+)*$")))
+        agree = (F.size(versions) == 0) | ((F.size(said) == F.size(versions)) & (F.size(F.array_except(versions, said)) == 0))
+        dice = F.when(agree, 2.0 * F.size(F.array_intersect(part, grams)) / (F.size(part) + size))
+        return F.struct(a.alias("start"), b.alias("end"), dice.alias("dice"), license.alias("license"))
+
+    def from_start(hits: Column, a: Column, i: Column) -> Column:
+        # The windows' ends are among the next hits; a window has as many bigrams as its bounds allow.
+        ends = F.slice(hits, i + 1, F.ceil(size * high + 1e-9).cast("int"))
+        near = F.filter(ends, lambda b: (b - a + 1 <= size * high + 1e-9) & (b - a + 1 >= size / high - 1e-9))
+        return F.filter(F.transform(near, lambda b: between(a, b)), lambda x: x["dice"] >= threshold)
+
+    return let(hits, lambda h: F.flatten(F.transform(h, lambda a, i: from_start(h, a, i))))
 
-    The best match of a document is that of the highest Dice coefficient, then the first line, then the
-    licence's name; ``n_matches`` counts matching lines. Null and empty texts match nothing, and repeated rows
-    each get their row. Lines are compared one by one, so a very long text needs no more room than its longest
-    line; templates of one word have no bigram and never match.
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
+    """``doc_id, license, dice, line_no, n_matches, line`` of every document; nulls where nothing matches.
+
+    Windows of a text are compared, wherever its lines end; where a template has version numbers, the window must
+    have the same. The best match of a document is that of the highest Dice coefficient, then the first, then the
+    licence's name; "proprietary" (All rights reserved) comes after all others, as most licences stand beside it.
+    ``line_no`` and ``line`` are of the window's first word, ``n_matches`` counts places: windows that overlap are
+    one. Null and empty texts match nothing, and repeated rows each get their row. Templates of one word have no
+    bigram and never match.
     """
-    ready = [(name, bigram_set(normalised_words(text))) for name, text in templates]
-    ready = [(name, grams) for name, grams in ready if grams]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least = min((len(g) * low for _, g in ready), default=0.0)
-    most_grams = max((len(g) * high for _, g in ready), default=0.0)
-    lines = F.filter(
-        F.transform(
-            F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x, i: F.struct(i.alias("no"), x.alias("line"))
+    ready = [(name, normalised_words(text)) for name, text in templates]
+    ready = [(name, bigram_set(words), version_words(words)) for name, words in ready if bigram_set(words)]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    found = "array<struct<start:int,end:int,dice:double,license:string>>"
+
+    def with_words(w: Column) -> Column:
+        grams = F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(
+            F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        )
+        return let(grams, lambda g: with_grams(w, g))
+
+    def with_grams(w: Column, g: Column) -> Column:
+        low = threshold / (2 - threshold)
+        known = F.array_intersect(g, strings(sorted({x for _, t, _ in ready for x in t})))
+        shapes = F.array(*[F.struct(F.lit(n).alias("license"), strings(t).alias("grams"), strings(v).alias("versions")) for n, t, v in ready])
+
+        def with_known(k: Column) -> Column:
+            possible = F.filter(shapes, lambda t: F.size(F.array_intersect(k, t["grams"])) >= F.size(t["grams"]) * low - 1e-9)
+            every = F.transform(possible, lambda t: windows(w, g, t["grams"], t["versions"], t["license"], threshold))
+            return F.when(F.size(k) >= min(len(t) for _, t, _ in ready) * low - 1e-9, F.flatten(every)).otherwise(F.array().cast(found))
+
+        return let(known, with_known)
+
+    matches = let(line_words(text), with_words) if ready else F.array().cast(found)
+    rank = lambda x: F.struct((x["license"] == "proprietary").alias("p"), (-x["dice"]).alias("d"), x["start"].alias("s"), x["license"].alias("l"))
+    best = F.array_min(F.transform("_m", rank))
+    places = F.aggregate(
+        F.array_sort("_m"),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda a, x: F.struct((a["n"] + F.when(x["start"] > a["end"], 1).otherwise(0)).alias("n"), F.greatest(a["end"], x["end"]).alias("end")),
+        lambda a: a["n"].cast("long"),
+    )
+    # Lines that end before the window's first word.
+    ends = F.aggregate(
+        F.split(text, "\n"),
+        F.struct(F.lit(0).alias("no"), F.lit(0).alias("words")),
+        lambda a, line: let(
+            a["words"] + F.size(line_words(line)),
+            lambda n: F.struct((a["no"] + F.when(n < F.col("_b.s"), 1).otherwise(0)).alias("no"), n.alias("words")),
         ),
-        # Distinct bigrams are fewer than the words, but repeats may make a matching line longer: no upper bound here.
-        lambda x: F.length(x["line"]) >= 2 * least,
+        lambda a: a["no"],
     )
-
-    def compare(line: Column) -> Column:
-        def with_words(w: Column) -> Column:
-            grams = F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.size(w) - 1),
-                        lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)),
-                    )
-                )
-            )
-            return let(grams, with_grams)
-
-        def with_grams(g: Column) -> Column:
-            n = F.size(g)
-            scores = [
-                F.when(
-                    (n >= len(t) * low) & (n <= len(t) * high),
-                    F.struct(
-                        (2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, t)))) / (n + len(t))).alias("dice"),
-                        F.lit(name).alias("license"),
-                    ),
-                )
-                for name, t in ready
-            ]
-            bounds = (n >= least) & (n <= most_grams)
-            best = F.aggregate(
-                F.array_compact(F.array(*scores)),
-                F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("license")),
-                lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["license"] < a["license"])), x).otherwise(a),
-            )
-            return F.when(bounds, best)
-
-        return let(line_words(line), with_words)
-
-    if not ready:
-        matches = F.array().cast("array<struct<no:int,line:string,dice:double,license:string>>")
-    else:
-        scored = F.transform(
-            lines,
-            lambda x: let(
-                compare(x["line"]),
-                lambda m: F.struct(x["no"].alias("no"), x["line"].alias("line"), m["dice"].alias("dice"), m["license"].alias("license")),
-            ),
+    none = F.size("_m") == 0
+    return (
+        docs.select("doc_id", "text", matches.alias("_m"))
+        .withColumn("_b", F.when(~none, best))
+        .withColumn("_no", F.when(~none, ends))
+        .select(
+            "doc_id",
+            F.col("_b.l").alias("license"),
+            F.round(-F.col("_b.d"), 6).alias("dice"),
+            F.col("_no").alias("line_no"),
+            F.when(none, F.lit(0).cast("long")).otherwise(places).alias("n_matches"),
+            F.when(~none, F.get(F.split(text, "\n"), F.col("_no"))).alias("line"),
         )
-        matches = F.filter(scored, lambda m: m["dice"] >= threshold)
-    best = F.aggregate(
-        F.col("_m"),
-        F.struct(F.lit(None).cast("int").alias("no"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("double").alias("dice"), F.lit(None).cast("string").alias("license")),
-        lambda a, x: F.when(a["dice"].isNull() | (x["dice"] > a["dice"]), x).otherwise(a),
-    )
-    return docs.select("doc_id", matches.alias("_m")).withColumn("_b", best).select(
-        "doc_id",
-        F.col("_b.license").alias("license"),
-        F.round("_b.dice", 6).alias("dice"),
-        F.col("_b.no").alias("line_no"),
-        F.size("_m").cast("long").alias("n_matches"),
-        F.col("_b.line").alias("line"),
     )
 
 
