@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import Scratch, table
-from marketloom.llm.tokens import encoder, text_blocks, vocabulary_path
+from marketloom.llm.tokens import arrow_blocks, encoder, vocabulary_path
 
 CAPACITY = 2048
 #: Fixed value: the id that ends a document.
@@ -37,10 +37,10 @@ def tokenised(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", capacity:
     path = vocabulary_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, 400_000).encode
+        encode = encoder(path).encode
         for batch in batches:
             keys = batch.column(0)
-            for a, texts in text_blocks(batch, 1, 2_000_000):
+            for a, texts in arrow_blocks(batch, 1):
                 rows, piece, start, length, payload = [], [], [], [], []
                 for k, ids in enumerate(encode(texts), a):
                     data = np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes()

@@ -8,7 +8,6 @@ worker, so that the work is that of the distinct pieces.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
-from marketloom.llm.tokens import PieceEncoder, text_blocks, vocabulary_path
+from marketloom.llm.tokens import GLUE, PieceEncoder, arrow_blocks, release, vocabulary_path
 
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,9 +31,9 @@ def whole_tokens(tok) -> frozenset[str]:
 
 
 class TokenCounter(PieceEncoder):
-    """Counts without building ids: a piece is a space-delimited stretch, as in PieceEncoder."""
+    """Counts without building ids; texts are cut into pieces as in PieceEncoder."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000) -> None:
+    def __init__(self, path: str, max_pieces: int = 300_000) -> None:
         import regex
 
         super().__init__(path, max_pieces)
@@ -42,7 +41,7 @@ class TokenCounter(PieceEncoder):
         self.pattern = regex.compile(PRE_TOKEN)
 
     def _learn(self, new: list[str]) -> dict[str, int]:
-        texts = [k[1:] if k[:1] == " " else " " + k for k in new]
+        texts = [k[1:] if k[:1] == GLUE else " " + k for k in new]
         split = [self.pattern.findall(t) for t in texts]
         whole = self.whole
         counts = np.fromiter(map(len, split), np.int64, len(new))
@@ -54,35 +53,18 @@ class TokenCounter(PieceEncoder):
             _, lens = self._encode_pieces(plain, rest)
             merged = dict(zip([" " + p for p in plain] + rest, lens.tolist(), strict=True))
             counts += np.fromiter((sum(merged[p] - 1 for p in own if p in merged) for own in split), np.int64, len(new))
-        found = dict(zip(new, range(self.slots, self.slots + len(new)), strict=True))
-        end = self.slots + len(new)
-        if end > len(self.len):
-            self.len, self.white = np.resize(self.len, 2 * end), np.resize(self.white, 2 * end)
-        self.len[self.slots : end] = counts
-        self.white[self.slots : end] = [(not k or k[0].isspace()) + 2 * (not k or k[-1].isspace()) for k in new]
-        if len(self.slot) < self.max_pieces:
-            self.slot.update(found)
-            self.slots = end
-        return found
-
-    def count(self, texts: list[str]) -> np.ndarray:
+        return self._add(new, 0, np.zeros(0, np.uint32), counts)
+
+    def count(self, texts: list[str] | pa.Array) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        may = self._may_cut(texts)
         out = np.zeros(len(texts), np.int64)
-        whole = [k for k, t in enumerate(texts) if not self.cuts or any(s in t for s in self.special)]
-        skip = set(whole)
-        cut = [k for k in range(len(texts)) if k not in skip]
-        if cut:
-            split = [texts[k].split(" ") for k in cut]
-            sizes = np.fromiter(map(len, split), np.int64, len(split))
-            for parts in split:
-                parts[0] = " " + parts[0]
-            codes = self._codes(list(itertools.chain.from_iterable(split)))
-            firsts = np.cumsum(sizes) - sizes
-            odd = self.white[codes] & 1 != 0
-            odd[1:] &= self.white[codes[:-1]] & 2 != 0
-            odd[firsts] = False
-            out[cut] = np.add.reduceat(self.len[codes], firsts)
-            whole += [cut[i] for i in np.flatnonzero(np.logical_or.reduceat(odd, firsts))]
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
+        whole, cut = np.flatnonzero(~may).tolist(), np.flatnonzero(may)
+        if len(cut):
+            codes, firsts, odd = self.cut(texts if may.all() else texts.take(pa.array(cut)))
+            out[cut] = np.add.reduceat(self.len[codes], firsts, dtype=np.int64)
+            whole += cut[odd].tolist()
+        for k, ids in zip(whole, self._whole([texts[k].as_py() for k in whole]), strict=True):
             out[k] = len(ids)
         return out
 
@@ -95,7 +77,8 @@ class PieceModelCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def count(self, texts: list[str]) -> np.ndarray:
+    def count(self, texts: list[str] | pa.Array) -> np.ndarray:
+        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
         return np.fromiter(map(len, self.model.encode(texts, num_threads=1)), np.int64, len(texts))
 
 
@@ -104,6 +87,7 @@ _counters: dict = {}
 
 def counter(path: str):
     if path not in _counters:
+        release()
         _counters[path] = PieceModelCounter(path) if path.endswith(".model") else TokenCounter(path)
     return _counters[path]
 
@@ -119,7 +103,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
         for batch in batches:
-            n = [count(texts) for _, texts in text_blocks(batch, 1)]
+            n = [count(texts) for _, texts in arrow_blocks(batch, 1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.concatenate(n) if n else [], pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],

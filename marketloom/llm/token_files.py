@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import Scratch, shared_dir, table
-from marketloom.llm.tokens import encoder, text_blocks, vocabulary_path
+from marketloom.llm.tokens import arrow_blocks, encoder, vocabulary_path
 
 #: Fixed values of the file format.
 MAGIC = b"TOKSHRD1"
@@ -175,7 +175,7 @@ def write_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", uri: st
         to_ids = encoder(path).encode
         for batch in batches:
             part = np.searchsorted(edges, batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
-            for a, texts in text_blocks(batch, 1, 2_000_000):
+            for a, texts in arrow_blocks(batch, 1):
                 data = [np.append(x, np.uint32(END_ID)).astype(dtype).tobytes() for x in to_ids(texts)]
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(

@@ -127,7 +127,7 @@ def library():
     return tokens.load_tokenizer(tokens.vocabulary_path("byte_bpe_50k.json"))
 
 
-PARTS = [" ", "  ", "\n", "\t", "a", "é", "1", "!", "'s", "　", "\x85", "\x1c", "<|endoftext|>", "日", "The", "don't", "\r"]
+PARTS = [" ", "  ", "\n", "\t", "a", "é", "1", "!", "'s", "　", "\x85", "\x1c", "<|endoftext|>", "日", "The", "don't", "\r", ".", ",\"", "\x01", " \x01\n", "ñ.", "...", "\u0301", "²"]
 
 
 @settings(max_examples=300, deadline=None)
