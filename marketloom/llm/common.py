@@ -13,6 +13,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: The same characters, for trim functions.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own_dir: dict[str, str] = {}
 
 
@@ -51,9 +52,14 @@ class Scratch:
         return f"{self.root}/{self._n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return what was written."""
-        path = self.path(name)
-        df.write.parquet(path)
+        """Write ``df`` once and return what was written. Python workers get small Arrow batches meanwhile."""
+        path, conf = self.path(name), self.spark.conf
+        before = conf.get(BATCH)
+        conf.set(BATCH, "8m")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *staged: DataFrame) -> None:
@@ -84,26 +90,29 @@ def word_count(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.regexp_count(trimmed, F.lit(SPACE)) + 1).cast("long")
 
 
-def without(docs: DataFrame, dropped: DataFrame, keys: list[str], most: int = 1_000_000) -> DataFrame:
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Rows agree in all keys, null with null; the right ones are named ``_drop_<key>``."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(right[f"_drop_{k}"])
+    return on
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` less the rows whose keys are in ``dropped`` (its first columns, in order; null equals null).
 
-    The keys go to every task if there are at most ``most`` of them; else both sides are shuffled.
+    A sort-merge join at every size, as dropped keys grow with the data: rows with their texts cross one shuffle.
     """
-    scratch = Scratch(docs.sparkSession, "dropped")
-    named = dropped.toDF(*[f"_drop_{k}" for k in keys]).distinct()
-    named = scratch.save(named, "keys")
-    on = F.lit(True)
-    for k in keys:
-        on = on & docs[k].eqNullSafe(named[f"_drop_{k}"])
-    return docs.join(F.broadcast(named) if named.count() <= most else named, on, "left_anti")
+    named = Scratch(docs.sparkSession, "dropped").save(dropped.toDF(*[f"_drop_{k}" for k in keys]).distinct(), "keys")
+    return docs.join(named.hint("merge"), same(docs, named, keys), "left_anti")
 
 
-def keyed(docs: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, str]:
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column that tells each row from all others.
 
     That is ``doc_id`` where no id is null or repeated. Else the rows are staged and get ``_row``: 1, 2, ... in the
     order of doc_id (null last), text digest and source, so that only rows equal in all three depend on partitions.
-    The numbers go to every task if there are at most ``most`` rows; else both sides are shuffled by a unique key.
+    The numbers meet the rows by a sort-merge join on a unique key.
     """
     if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
         return docs, "doc_id"
@@ -122,4 +131,4 @@ def keyed(docs: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, str]:
         "_at", (F.col("_before") + F.col("_place") - F.shiftleft("_part", 33) + 1).alias("_row")
     )
     numbers = scratch.save(numbers, "numbers")
-    return rows.join(F.broadcast(numbers) if numbers.count() <= most else numbers, "_at").drop("_at"), "_row"
+    return rows.join(numbers.hint("merge"), "_at").drop("_at"), "_row"

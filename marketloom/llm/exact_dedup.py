@@ -8,6 +8,8 @@ functions run; the text itself never crosses a shuffle.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +59,8 @@ class DigestIndex:
 
 
 def table_name(path: str) -> str:
-    """A table name made from a path."""
-    return "".join(c if c.isalnum() else "_" for c in path.rsplit("/", 2)[-2] + "_" + path.rsplit("/", 1)[-1]).lower()
+    """A table name of its own for each path."""
+    return hashlib.sha256(path.encode()).hexdigest()[:32]
 
 
 def dedup(docs: DataFrame, index_path: str | None = None, buckets: int = 64) -> DataFrame:

@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``: one row per source.
 
+    The rows are sorted in one task, so sources are to be few (some million names and sums at most).
+
     Sources in code-point order, null last, take the weights in turn and share ``share`` of all sizes; a target
     stops at ``cap`` times the source's size and what is over is shared again by weight. That is water filling:
     sources reach their cap in the order of size per weight, and the level of the rest follows from the sums
@@ -112,7 +114,7 @@ def landing(live: list[int], pi: list[float], size: list[int]) -> None:
 def decide(pdf: pd.DataFrame, last: bool, seed: int) -> pd.DataFrame:
     release()
     # Long documents first, so that short ones are left for the end; ties by hash, then id.
-    pdf = pdf.sort_values(["size", "_hash", "doc_id"], ascending=[False, True, True], kind="stable")
+    pdf = pdf.sort_values(["size", "_hash", "_id"], ascending=[False, True, True], kind="stable")
     rng = random.Random(f"{seed}/{int(pdf['_hash'].iloc[0])}/{len(pdf)}")
     pi, size = pdf["_pi"].tolist(), pdf["size"].tolist()
     live = flight(pi, size, rng)
@@ -130,14 +132,21 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
 
     ``size`` is the number of words, ``copies`` how often the mix takes the document (0, 1 or 2 with cap 2) and
     ``taken`` the words so taken. Null or empty texts have size 0, and are taken by the same chance. A null
-    source is a source of its own, the last. Repeated rows are decided one by one. Reruns agree whatever the
-    partitions, as blocks depend on doc_id and the number of rows alone. A source may hold nearly all rows:
-    only its blocks meet in a task.
+    source is a source of its own, the last. Rows of a repeated or null doc_id are decided one by one, each with a
+    row number, so that they spread over the blocks too. Reruns agree whatever the partitions, as blocks depend on
+    these keys and the number of rows alone. A source may hold nearly all rows: only its blocks meet in a task. An
+    empty table gives no rows; columns besides ``doc_id``, ``text`` and ``source`` are not read.
     """
+    return _mix(*keyed(docs), share, cap, weights, block, seed).drop("_id")
+
+
+def _mix(docs: DataFrame, key: str, share: float = 1.5, cap: float = 2.0, weights: tuple = WEIGHTS, block: int = 500, seed: int = 7) -> DataFrame:
+    """``mix`` of rows that ``key`` tells apart, with this key as ``_id``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    rows = scratch.save(docs.select("doc_id", source.alias("source"), word_count(F.col("text")).alias("size")), "sizes")
+    rows = docs.select(F.col(key).alias("_id"), "doc_id", source.alias("source"), word_count(F.col("text")).alias("size"))
+    rows = scratch.save(rows, "sizes")
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     shares = scratch.save(targets(per.select("source", "source_size"), share, cap, weights), "targets")
     buckets = max(1, -(-rows.count() // block))
@@ -145,11 +154,11 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     whole = F.least(F.floor(ratio + 1e-12), F.lit(int(cap)))
     state = rows.join(shares.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source")))
     state = state.select(
-        "doc_id",
+        "_id", "doc_id",
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_key"),
         "size", "source_size", "target", whole.alias("_whole"),
         F.greatest(ratio - whole, F.lit(0.0)).alias("_pi"),
-        F.xxhash64("doc_id", F.lit(seed)).alias("_hash"),
+        F.xxhash64("_id", F.lit(seed)).alias("_hash"),
     ).withColumn("_block", F.pmod(F.shiftright("_hash", 3), F.lit(buckets)))
     schema = state.schema
     decided: list[DataFrame] = []
@@ -167,22 +176,22 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
         out = out.unionByName(more)
     copies = (F.col("_whole") + F.round("_pi").cast("long")).cast("long")
     return out.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
+        "_id", "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns.
 
-    Rows are taken one by one, those without a doc_id or with a repeated one by their numbers. What is taken goes to
-    every task up to a million documents; beyond that both sides are shuffled by this key.
+    Rows are taken one by one, those without a doc_id or with a repeated one by their numbers. What is taken meets
+    the rows by a sort-merge join on this unique key, at every size. An empty table gives no rows; null and empty
+    texts are taken by the same chance as others.
     """
     rows, key = keyed(docs)
-    take = mix(rows.withColumn("doc_id", F.col(key)), **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").cast("int").alias("_copies"))
+    take = _mix(rows, key, **options).filter("copies > 0").select("_id", F.col("copies").cast("int").alias("_copies"))
     take = Scratch(docs.sparkSession, "mixing").save(take, "taken")
-    few = take.count() <= 1_000_000
     return (
-        rows.join(F.broadcast(take) if few else take, F.col(key) == F.col("_id"))
+        rows.join(take.hint("merge"), F.col(key) == F.col("_id"))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(docs.columns)
     )

@@ -148,9 +148,8 @@ def _sets(docs: DataFrame, ids: DataFrame, o: NearOptions) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays(sets) if sets else pa.array([], pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), flat], ["id", "set"])
 
-    few = ids.count() <= 1_000_000  # 8 MB of ids; beyond that both sides are shuffled
     chosen = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(
-        F.broadcast(ids) if few else ids, "id", "left_semi"
+        ids.hint("merge"), "id", "left_semi"
     )
     return chosen.mapInArrow(run, "id bigint, set array<bigint>")
 
@@ -212,6 +211,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError("components did not settle in 100 rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
@@ -219,25 +220,38 @@ def near_groups(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     Documents are linked if their sets reach the similarity; a component holds all that links reach, and its
-    smallest doc_id stays. Null, empty and blank texts have no shingles and are linked with nothing. Rows of one
-    doc_id are one node; a null doc_id can only join by equal sets. Empty tables give no rows; columns besides
-    ``doc_id`` and ``text`` are not read.
+    smallest doc_id stays. Null, empty and blank texts have no shingles and are linked with nothing. Rows of a
+    repeated or null doc_id are compared one by one; a component without any doc_id has a null ``component_id``.
+    Empty tables give no rows; columns besides ``doc_id``, ``text`` and ``source`` are not read.
 
     A pair at the limit agrees in none of the bands with a probability of 5e-11 at 85 % and 5e-8 at 80 %;
     nothing else is left to chance: buckets have no cap.
     """
+    rows, key = keyed(docs)
+    groups = _groups(rows.select(F.col(key).alias("doc_id"), "text"), o)
+    if key != "doc_id":
+        # Rows are numbered in the order of doc_id, so the smallest row of a component has its smallest doc_id.
+        groups = Scratch(docs.sparkSession, "near-dedup").save(groups, "groups")
+        own = rows.select(F.col(key).alias("_own"), F.col("doc_id").alias("_doc"))
+        least = own.toDF("_least", "_component")
+        groups = groups.join(own, F.col("doc_id") == F.col("_own")).join(least, F.col("component_id") == F.col("_least"))
+        groups = groups.select(F.col("_doc").alias("doc_id"), "n_shingles", F.col("_component").alias("component_id"))
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _groups(docs: DataFrame, o: NearOptions) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of documents that have a doc_id of their own each."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     s = o.similarity
     sketched = scratch.save(_sketched(docs, o), "sketched")
     classes = scratch.save(
-        sketched.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).filter("id IS NOT NULL"), "classes"
+        sketched.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes"
     )
     reps = scratch.save(
         sketched.filter("n > 0")
         .join(classes, (sketched["doc_id"] == classes["id"]) & (sketched["digest"] == classes["digest"]))
-        .select("id", "n", "sketch")
-        .dropDuplicates(["id"]),
+        .select("id", "n", "sketch"),
         "representatives",
     )
     width = 2 * o.rows
@@ -246,7 +260,7 @@ def near_groups(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
     shared = scratch.save(bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "keys")
     members = scratch.save(bands.join(shared, "key"), "members")
     ids = scratch.save(members.select("id").distinct(), "candidates")
-    sets = scratch.save(_sets(docs, ids, o).dropDuplicates(["id"]), "sets")
+    sets = scratch.save(_sets(docs, ids, o), "sets")
 
     # Shingles that another document of a large bucket has too.
     crowded = scratch.save(members.filter(F.col("size") > o.small).select("id").distinct(), "crowded")
@@ -294,13 +308,17 @@ def near_groups(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
     # At most one bucket a band: a pair is looked at in the first bucket that both are in, whatever its outcome there.
     buckets = scratch.save(m.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("in")), "buckets")
     m = scratch.save(m.join(buckets, "id"), "placed")
+    # A large bucket's other members are cut into parts of 1024, which meet what is left of it in tasks of their own.
+    m = m.join(shared, "key").withColumn("parts", F.ceil(F.col("size") / 1024).cast("int")).drop("size")
     other = [F.col(x).alias(f"v_{x}") for x in ("id", "n", "c", "g", "o", "in")]
+    other.append(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     # Outside the pivot an overlap takes shared shingles of both, inside it at most the smaller overlap with it.
     inside = F.coalesce(F.least("o", "v_o") + F.least(F.col("c") - F.col("o"), F.col("v_c") - F.col("v_o")), F.least("c", "v_c"))
     possible = F.when(F.col("o").isNull() | F.col("v_o").isNull(), F.least("c", "v_c")).otherwise(inside)
     rest = (
         m.filter("g <> pg")
-        .join(m.select("key", *other), "key")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .join(m.select("key", *other), ["key", "part"])
         .filter(
             (F.col("g") != F.col("v_g")) & (F.col("v_id") != F.col("p")) & _fits("n", "v_n", "c", "v_c", s)
             & ((100 + s) * possible >= s * (F.col("n") + F.col("v_n")))
@@ -320,14 +338,17 @@ def near_groups(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
         named, "digest", "left"
     ).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
 
 
 def keep_one(docs: DataFrame, o: NearOptions = NearOptions()) -> DataFrame:
-    """The documents that stay, with their own columns: one row of each component, whatever ids its rows have."""
+    """The documents that stay, with their own columns: one row of each component, whatever ids its rows have.
+
+    Null, empty and blank texts all stay. An empty table gives no rows.
+    """
     rows, key = keyed(docs)
-    groups = near_groups(rows.withColumn("doc_id", F.col(key)), o)
-    return without(rows, groups.filter("NOT kept").select("doc_id"), [key]).select(docs.columns)
+    groups = _groups(rows.select(F.col(key).alias("doc_id"), "text"), o)
+    return without(rows, groups.filter("doc_id <> component_id").select("doc_id"), [key]).select(docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

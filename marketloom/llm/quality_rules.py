@@ -2,20 +2,25 @@
 
 Each rule compares one measure of a text with a cutoff. Labelled documents form the holdout: for every
 stratum and rule the cutoffs are tried from the most lenient to the strictest, and a cutoff is accepted while
-an exact binomial test rejects "more than ``alpha`` of the good documents would be lost". Testing along one
-sequence needs no correction; across strata and rules the level is divided by their number (Bonferroni).
-A stratum with too few good documents to prove anything gets no cutoff, so nothing of it is rejected.
+an exact binomial test rejects "more than the rule's share of ``alpha`` of the good documents would be lost". Each
+rule has an equal share, so that all rules together lose at most ``alpha`` of a stratum. Testing along one sequence
+needs no correction; across strata and rules the level is divided by their number (Bonferroni).
+
+A stratum of fewer good documents than the test needs even without any loss could never get a cutoff. All such
+strata form one pooled stratum, by this rule alone, which looks at their numbers and not at their losses; if even the
+pool is too small, only the base rule judges its documents.
 Everything is an expression over DataFrames: measures are computed inside each row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Scratch, keyed, let, table, without, words
+from marketloom.llm.common import Scratch, let, table, words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -110,14 +115,20 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class RiskLimits:
-    """``alpha``: largest share of good documents of a stratum that one rule may lose; ``delta``: chance that
+    """``alpha``: largest share of good documents of a stratum that all rules together may lose; ``delta``: chance that
     any accepted cutoff breaks it; ``stratum``: the column whose values are the strata."""
 
-    alpha: float = 0.005
+    alpha: float = 0.02
     delta: float = 0.05
     stratum: str = "lang"
 
 
+#: Names the stratum of all that are too small on their own; it comes before every text.
+POOL = "\x01"
+#: The most strata with cutoffs of their own that are sent to each task; each needs over a thousand good documents.
+MOST_STRATA = 1_000_000
+
+
 #: Rules: measure name -> cutoffs in permille or hundredths, lenient first. A text fails if it is above.
 #: Fixed before any label is seen, as the guarantee needs.
 CUTOFFS = {
@@ -139,60 +150,74 @@ def rule_values() -> dict[str, Column]:
     }
 
 
+#: log k! for k below 16; Stirling's series is exact to 1e-12 from there on.
+LOG_FACTORIALS = [math.lgamma(k + 1) for k in range(16)]
+
+
+def log_factorial(k: Column) -> Column:
+    x = F.greatest(k, F.lit(16)).cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    table = F.element_at(F.array(*map(F.lit, LOG_FACTORIALS)), (F.least(k, F.lit(15)) + 1).cast("int"))
+    return F.when(k < 16, table).otherwise(series)
+
+
 def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
-    """P(Bin(n, alpha) <= k), summed exactly in logarithms so that large n does not underflow."""
-    p, q = F.lit(alpha), F.lit(1.0 - alpha)
-    start = n * F.log(q)
-    acc = F.aggregate(
-        F.when(k >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long")))).otherwise(
-            F.array().cast("array<bigint>")
-        ),
-        F.struct(start.alias("term"), start.alias("sum")),
+    """P(Bin(n, alpha) <= k).
+
+    Up to the mean the terms are summed from the k-th down, beyond it those over k are summed upwards and taken from
+    1; each is a part of the one before. Of n terms, 40 + 12 * sqrt(n * alpha + k) hold the sum to 1e-12 of its value.
+    """
+    p, q = alpha, 1.0 - alpha
+    lower = k <= n * alpha
+    first = F.when(lower, k).otherwise(k + 1)
+    top = log_factorial(n) - log_factorial(first) - log_factorial(n - first) + first * math.log(p) + (n - first) * math.log(q)
+    terms = F.least(F.when(lower, k).otherwise(n - first).cast("double"), 40 + 12 * F.sqrt(n * alpha + k)).cast("int")
+    steps = F.when(terms >= 1, F.sequence(F.lit(0), terms - 1)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(
+        steps,
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
         lambda a, i: let(
-            a["term"] + F.log((n - i + 1) / i) + F.log(p / q),
-            lambda t: F.struct(
-                t.alias("term"),
-                (F.greatest(a["sum"], t) + F.log1p(F.exp(F.least(a["sum"], t) - F.greatest(a["sum"], t)))).alias(
-                    "sum"
-                ),
-            ),
+            a["term"]
+            * F.when(lower, (k - i) * q / ((n - k + i + 1) * p)).otherwise((n - first - i) * p / ((first + i + 1) * q)),
+            lambda t: F.struct(t.alias("term"), (a["sum"] + t).alias("sum")),
         ),
         lambda a: a["sum"],
     )
-    return F.when(k >= n, F.lit(1.0)).otherwise(F.least(F.exp(acc), F.lit(1.0)))
+    part = F.least(F.exp(top) * total, F.lit(1.0))
+    return F.when(k >= n, F.lit(1.0)).when(lower, part).otherwise(1.0 - part)
 
 
 def select_cutoffs(measured: DataFrame, labels: DataFrame, limits: RiskLimits) -> DataFrame:
-    """``stratum, rule, cutoff``: the strictest accepted cutoff of each stratum and rule.
+    """``_stratum`` and a column for each rule with its strictest accepted cutoff, null where none is.
 
-    ``labels`` has ``doc_id, quality``; a document is good if any of its labels is 1. The counts are one
-    aggregation with partial sums in each task; what follows works on one row per stratum, rule and cutoff.
+    One row for each stratum that is large enough, and one named ``POOL`` for all others. ``labels`` has ``doc_id,
+    quality``; a document is good if any of its labels is 1. The counts are one aggregation with partial sums in
+    each task; what follows works on one row per stratum, rule and cutoff.
     """
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
     holdout = measured.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
     # One pass: losses at every cutoff as columns, unpivoted only after the aggregation.
-    sums = [
-        F.count_if(F.col(f"_{rule}") > cut).alias(f"{rule}:{step}:{cut}")
-        for rule, cuts in CUTOFFS.items()
-        for step, cut in enumerate(cuts)
-    ]
-    per = holdout.groupBy("_stratum").agg(F.count("*").alias("n"), *sums)
+    named = [(rule, step, cut, f"{rule}:{step}") for rule, cuts in CUTOFFS.items() for step, cut in enumerate(cuts)]
+    sums = [F.count_if(F.col(f"_{rule}") > cut).alias(name) for rule, _, cut, name in named]
+    per = Scratch(measured.sparkSession, "quality-rules").save(
+        holdout.groupBy("_stratum").agg(F.count("*").alias("n"), *sums), "losses"
+    )
+    alpha = limits.alpha / len(CUTOFFS)
+    # Strata before pooling, and one for the pool: as many as can be tested.
+    level = limits.delta / (per.count() + 1) / len(CUTOFFS)
+    need = math.ceil(math.log(level) / math.log(1 - alpha))
+    per = per.groupBy(F.when(F.col("n") >= need, F.col("_stratum")).otherwise(F.lit(POOL)).alias("_stratum")).agg(
+        F.sum("n").alias("n"), *[F.sum(F.col(f"`{name}`")).alias(name) for *_, name in named]
+    )
     rows = F.array(
         *[
-            F.struct(
-                F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"),
-                F.col(f"`{rule}:{step}:{cut}`").alias("k"),
-            )
-            for rule, cuts in CUTOFFS.items()
-            for step, cut in enumerate(cuts)
+            F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), F.lit(cut).alias("cutoff"), F.col(f"`{name}`").alias("k"))
+            for rule, step, cut, name in named
         ]
-    )
-    tests = per.select("_stratum", "n", F.explode(rows).alias("r")).select("_stratum", "n", "r.*")
-    level = per.agg((F.lit(limits.delta) / F.greatest(F.count("*"), F.lit(1)) / len(CUTOFFS)).alias("level"))
-    tested = tests.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), limits.alpha)).join(
-        F.broadcast(level)  # one row
     )
-    passed = F.min(F.when(F.col("p_value") <= F.col("level"), 1).otherwise(0)).over(
+    tests = per.select("_stratum", "n", F.explode(rows).alias("r")).select("_stratum", "n", "r.*")
+    tested = tests.withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), alpha))
+    passed = F.min(F.when(F.col("p_value") <= level, 1).otherwise(0)).over(
         Window.partitionBy("_stratum", "rule").orderBy("step")
     )
     return (
@@ -208,8 +233,8 @@ def judge(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits(),
     and the columns ``also`` of ``docs``.
 
     Null or empty texts have no words and fail the base rule. Documents of a stratum without labelled good
-    documents are judged by the base rule alone. A null stratum is a stratum of its own. Repeated rows are
-    judged one by one. Empty tables give no rows; without labels only the base rule decides.
+    documents go by the pool's cutoffs. A null stratum is a stratum of its own. Repeated rows are judged one by
+    one. Empty tables give no rows; without labels only the base rule decides.
     """
     spark = docs.sparkSession
     stratum = F.col(limits.stratum) if limits.stratum in docs.columns else F.lit(None)
@@ -223,23 +248,35 @@ def judge(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits(),
         .save(measured.select("doc_id", *also, "_stratum", "n_lines", *MEASURES), "measures")
         .withColumns({f"_{k}": v for k, v in rule_values().items()} | {"base_failed": base_failed()})
     )
-    cutoffs = select_cutoffs(measured, labels.select("doc_id", "quality"), limits)
+    cutoffs = Scratch(spark, "quality-rules").save(select_cutoffs(measured, labels.select("doc_id", "quality"), limits), "cutoffs")
+    if (strata := cutoffs.count()) > MOST_STRATA:
+        raise ValueError(f"{strata} strata are too many to send to each task; take a coarser column")
+    pool = cutoffs.filter(F.col("_stratum") == POOL).select(F.lit(True).alias("_pooled"), *[F.col(r).alias(f"_pool_{r}") for r in CUTOFFS])
+    own = cutoffs.filter(F.col("_stratum") != POOL).withColumn("_pooled", F.lit(False))
     failed = F.array_compact(
         F.array(
             F.when(F.col("base_failed"), F.lit("base")),
             *[F.when(F.col(f"_{rule}") > F.col(rule), F.lit(rule)) for rule in CUTOFFS],
         )
     )
-    return measured.join(cutoffs, "_stratum", "left").select(
+    judged = measured.join(F.broadcast(own), "_stratum", "left").withColumn("_pooled", F.coalesce("_pooled", F.lit(True)))
+    judged = judged.join(F.broadcast(pool), "_pooled", "left").withColumns(
+        {r: F.when(F.col("_pooled"), F.col(f"_pool_{r}")).otherwise(F.col(r)) for r in CUTOFFS}
+    )
+    return judged.select(
         "doc_id", *MEASURES, "base_failed", (F.size(failed) == 0).alias("kept"), failed.alias("reasons"), *also
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, limits: RiskLimits = RiskLimits()) -> DataFrame:
-    """The documents that pass, with their own columns. Each row goes by its own text, whatever its doc_id."""
-    rows, key = keyed(docs)
-    also = () if key == "doc_id" else (key,)
-    return without(rows, judge(rows, labels, limits, also).filter("NOT kept").select(key), [key]).select(docs.columns)
+    """The documents that pass, with their own columns. Each row goes by its own text, whatever its doc_id.
+
+    Rows are staged beside their measures and filtered there, so no text is shuffled. Null and empty texts go; an
+    empty table gives no rows.
+    """
+    stratum = [F.col(limits.stratum).alias(limits.stratum)] if limits.stratum in docs.columns else []
+    rows = docs.select("doc_id", "text", *stratum, F.struct(*docs.columns).alias("_row"))
+    return judge(rows, labels, limits, ("_row",)).filter("kept").select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

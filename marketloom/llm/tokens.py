@@ -126,10 +126,13 @@ class PieceEncoder:
     def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces one after the other, and where each piece ends."""
         lens = self.len[codes]
-        ends = np.cumsum(lens, dtype=np.int64)
-        from_ = np.repeat((self.at[codes] - (ends - lens)).astype(np.int32), lens)
-        from_ += np.arange(len(from_), dtype=np.int32)
-        return self.pool[from_], ends
+        ends = np.cumsum(lens, dtype=np.int32)
+        shift = self.at[codes]
+        shift -= ends
+        shift += lens
+        place = np.repeat(shift, lens)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.pool[place], ends
 
     def _learn(self, new: list[str]) -> dict[str, int]:
         """Slots for new keys: pieces without the space before them, marked if there is none."""
@@ -147,7 +150,7 @@ class PieceEncoder:
         return self._add(plain + rest + lines, len(plain), *self._encode_pieces(plain, texts, [k[2:] for k in lines]))
 
     def _codes(self, keys: list[str]) -> np.ndarray:
-        codes = np.fromiter(map(self.slot.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        codes = np.fromiter(map(self.slot.get, keys, itertools.repeat(-1)), np.int32, len(keys))
         missing = np.flatnonzero(codes < 0).tolist()
         if missing:
             lost = [keys[i] for i in missing]
@@ -229,7 +232,7 @@ def release() -> None:
     _encoders.clear()
 
 
-def arrow_blocks(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterator[tuple[int, pa.Array]]:
+def arrow_blocks(batch: pa.RecordBatch, column: int, size: int = 3_000_000) -> Iterator[tuple[int, pa.Array]]:
     """The texts of a batch in blocks of about ``size`` bytes, one row at least, each with its first row's number."""
     texts = batch.column(column)
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))

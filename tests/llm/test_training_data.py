@@ -84,6 +84,75 @@ def test_binomial_tail(spark):
         assert abs(r.p - exact) < 1e-9
 
 
+def test_cutoffs_and_verdicts(spark):
+    """Cutoffs and verdicts against a plain reading of the method: a large stratum, two small ones that are pooled."""
+    from math import comb, log
+
+    rng = random.Random(8)
+    limits = quality_rules.RiskLimits(alpha=0.2, delta=0.2)
+    rows, good = [], []
+    for i in range(900):
+        lang = "a" if i < 600 else "b" if i < 750 else None
+        w = [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(21, 60))]
+        for _ in range(rng.choice([0, 0, 0, 0, 1, 2, 5, 9, 30])):
+            w.append("$" * rng.randrange(1, 4))
+        text = " ".join(w[:10]) + "\n" + " ".join(w[10:])
+        text += "\nsame line" * rng.choice([0] * 20 + [1, 3])
+        rows.append((i, text, lang))
+        if rng.random() < 0.8:
+            good.append((i, 1))
+    rows += [(5000, None, "a"), (5001, "short", "b"), (5002, rows[0][1] + " $$$" * 90, "c")]
+    labels = spark.createDataFrame([*good, (1, 0), (5001, 1)], "doc_id bigint, quality int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs, labels, limits).collect()}
+
+    def measured(r, text):
+        lines = [x for x in (text or "").split("\n") if words(x)]
+        n = max(1, r.n_words)
+        return {"symbols_per_word": 1000 * r.n_symbols // n, "dup_line_share": 1000 * r.n_dup_lines // max(1, len(lines)), "repeat_share": 1000 * r.n_repeat_words // n, "long_words": 100 * r.word_chars // n}
+
+    marked, values, strata = {i for i, _ in good}, {}, collections.defaultdict(list)
+    for i, text, lang in rows:
+        values[i] = measured(got[i], text)
+        if i in marked and not got[i].base_failed:
+            strata[lang].append(i)
+    alpha, level = 0.2 / 4, 0.2 / 4 / 4  # four rules; three strata and the pool
+    need = next(n for n in range(1, 10**6) if n * log(1 - alpha) <= log(level))
+    own = {x: ids for x, ids in strata.items() if len(ids) >= need}
+    assert set(own) == {"a", "b", None}
+    small = spark.createDataFrame([(i, t, f"{x}{i % 3}") for i, t, x in rows], "doc_id bigint, text string, lang string")
+    for table, groups in ((docs, own), (small, None)):
+        got = {r.doc_id: r for r in quality_rules.judge(table, labels, limits).collect()}
+        if groups is None:  # 9 strata of which those of "b" and null are too small
+            by = collections.defaultdict(list)
+            level = 0.2 / 10 / 4
+            need = next(n for n in range(1, 10**6) if n * log(1 - alpha) <= log(level))
+            for x, ids in strata.items():
+                for i in ids:
+                    by[f"{x}{i % 3}"].append(i)
+            groups = {x: ids for x, ids in by.items() if len(ids) >= need}
+            groups["pool"] = [i for x, ids in by.items() if len(ids) < need for i in ids]
+            assert 3 <= len(groups) <= 4 and groups["pool"]
+        cutoffs = {}
+        for x, ids in groups.items():
+            for rule, cuts in quality_rules.CUTOFFS.items():
+                for cut in cuts:
+                    lost = sum(values[i][rule] > cut for i in ids)
+                    n = len(ids)
+                    if sum(comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(lost + 1)) > level:
+                        break
+                    cutoffs[x, rule] = cut
+        assert cutoffs
+        rejected = 0
+        for i, _, lang in rows:
+            x = lang if table is docs else f"{lang}{i % 3}"
+            x = x if x in groups else "pool"
+            fails = [rule for rule in quality_rules.CUTOFFS if values[i][rule] > cutoffs.get((x, rule), 10**9)]
+            assert got[i].kept == (not got[i].base_failed and not fails)
+            rejected += bool(fails)
+        assert rejected
+
+
 def test_near_dedup(spark, docs, empty):
     o = near_dedup.NearOptions(shingle=3, similarity=85)
     rng = random.Random(2)
