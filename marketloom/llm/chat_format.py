@@ -1,8 +1,10 @@
 """Chat formatting: heterogeneous layouts into canonical turns, turns into a template, and back.
 
 A layout is recognised by its fingerprint, a hash of its nested field paths: of a DataFrame's schema, or of each
-JSON record in a column of raw records. A registry maps fingerprints to declarative mappings, which say where
-turns are and where in a turn the role and the text. Records of unknown layouts are returned apart, not lost.
+JSON record in a column of raw records. By a declared rule, paths that no mapping names (ids, scores, sources) are
+put aside before hashing, and an empty array of turns counts as having all paths under it. A registry maps
+fingerprints to declarative mappings, which say where turns are and where in a turn the role and the text. Records
+of unknown layouts are returned apart, not lost.
 
 The template marks turns with control strings. In texts and roles each control string gets an escape character
 inside and each escape character is doubled, so that no text can open or close a turn and parsing the output
@@ -16,8 +18,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,10 +59,6 @@ class Mapping:
     fixed: tuple[tuple[str, str], ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
 
-    @property
-    def key(self) -> str:
-        return fingerprint(list(self.paths))
-
 
 #: Role names of other layouts.
 SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
@@ -108,17 +106,30 @@ def _turns(mapping: Mapping, get) -> Column:
     return F.array_compact(F.array(*parts))
 
 
+def known_paths(registry: list[Mapping]) -> list[str]:
+    """All paths that mappings name; others are put aside before hashing."""
+    return sorted({p for m in registry for p in m.paths})
+
+
+def by_fingerprint(registry: list[Mapping]) -> dict[str, Mapping]:
+    found = {fingerprint(list(m.paths)): m for m in registry}
+    if len(found) < len(registry):
+        raise ValueError("two mappings have the same field paths")
+    return found
+
+
 def canonical(df: DataFrame, key: str = "conv_id", registry: list[Mapping] = REGISTRY) -> DataFrame:
-    """``conv_id, turn, role, text`` of a table in a known layout, whose columns besides ``key`` are its fields.
+    """``conv_id, turn, role, text`` of a table, whose columns besides ``key`` are its fields.
 
-    Columns that no layout of the registry names are put aside first, so a table may have more columns. An
-    unknown layout is an error that shows its field paths.
+    The schema's field paths, less those that no mapping names, are hashed, and the hash selects the mapping. An
+    unknown layout is an error that shows its paths. Null roles count as user, null texts as empty, and null arrays
+    have no turns; empty tables give no rows.
     """
     paths = field_paths(T.StructType([f for f in df.schema.fields if f.name != key]))
-    known = sorted((m for m in registry if set(m.paths) <= set(paths)), key=lambda m: -len(m.paths))
-    if not known:
+    paths = [p for p in paths if p in known_paths(registry)]
+    mapping = by_fingerprint(registry).get(fingerprint(paths))
+    if mapping is None:
         raise ValueError(f"no mapping for the fields {sorted(paths)} (fingerprint {fingerprint(paths)})")
-    mapping = {m.key: m for m in registry}[fingerprint(list(known[0].paths))]
     if mapping.rows:
         order, role, text = mapping.rows
         return df.select(
@@ -129,27 +140,32 @@ def canonical(df: DataFrame, key: str = "conv_id", registry: list[Mapping] = REG
     return df.select(F.col(key).alias("conv_id"), F.explode(turns).alias("t")).select("conv_id", "t.*")
 
 
-def json_layout(raw: Column) -> Column:
-    """The fingerprint column of JSON records: their nested field paths, without the types of the leaves."""
-    shape = F.schema_of_variant(F.try_parse_json(raw))
-    return F.regexp_replace(shape, r"\b(BIGINT|BOOLEAN|DOUBLE|STRING|VOID|DECIMAL\([0-9,]+\))(?=[,>]|$)", "_")
-
-
-def _json_shape(mapping: Mapping) -> str:
-    if mapping.turns:
-        a, b = sorted((mapping.role, mapping.text))
-        return f"OBJECT<{mapping.turns}: ARRAY<OBJECT<{a}: _, {b}: _>>>"
-    return "OBJECT<" + ", ".join(f"{p}: _" for p in sorted(mapping.paths)) + ">"
+def json_paths(raw: Column, registry: list[Mapping] = REGISTRY) -> Column:
+    """The known nested field paths of JSON records, sorted; null where a record is no JSON object."""
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    arrays = {m.turns: [p for p in m.paths if p.startswith(m.turns + "[]")] for m in registry if m.turns}
+    under_name = lambda name: lambda k: F.concat(F.lit(f"{name}[]."), k)
+    keys = F.json_object_keys(raw)
+    parts = [F.coalesce(keys, strings([]))]
+    for name, under in arrays.items():
+        items = F.from_json(F.get_json_object(raw, f"$.{name}"), "array<map<string,string>>")
+        inner = F.flatten(F.transform(items, lambda x: F.coalesce(F.map_keys(x), strings([]))))
+        inner = F.transform(F.array_distinct(inner), under_name(name))
+        parts.append(F.when(items.isNull(), strings([])).when(F.size(items) == 0, strings(under)).otherwise(inner))
+    return F.when(keys.isNotNull(), F.array_sort(F.array_intersect(F.array_distinct(F.concat(*parts)), strings(known_paths(registry)))))
 
 
 def canonical_json(records: DataFrame, key: str = "conv_id", raw: str = "raw", registry: list[Mapping] = REGISTRY) -> tuple[DataFrame, DataFrame]:
-    """Canonical turns of JSON records of mixed layouts, and the records that no mapping fits, with their layout."""
-    mappings = [m for m in registry if not m.rows]
-    shapes = {hashlib.sha256(_json_shape(m).encode()).hexdigest(): m for m in mappings}
-    rows = records.select(F.col(key).alias("conv_id"), F.col(raw).alias("raw"), json_layout(F.col(raw)).alias("layout"))
-    rows = rows.withColumn("fingerprint", F.sha2("layout", 256))
+    """Canonical turns of JSON records of mixed layouts, and the records that no mapping fits, with their layout.
+
+    Each record's field paths are hashed in its row, and the hash selects the mapping. Null and broken records and
+    unknown layouts come back in the second table; empty tables give no rows in either.
+    """
+    registry = [m for m in registry if not m.rows]
+    rows = records.select(F.col(key).alias("conv_id"), F.col(raw).alias("raw"), F.array_join(json_paths(F.col(raw), registry), "\n").alias("layout"))
+    rows = rows.withColumn("fingerprint", F.substring(F.sha2("layout", 256), 1, 16))
     turns = F.lit(None).cast(TURN)
-    for mark, mapping in shapes.items():
+    for mark, mapping in by_fingerprint(registry).items():
 
         def get(path: str, kind: str) -> Column:
             text = F.get_json_object("raw", f"$.{path}")
@@ -216,13 +232,15 @@ def format_turns(turns: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
 
     ``loss`` lists the (start, end) code points of assistant texts in ``formatted``. A conversation beyond
     ``part_chars`` goes on in a next part, at a turn, so no row is unbounded, and none is cut. Turns of equal
-    number are ordered by role and text; null roles count as user, null texts as empty. Rows meet by conversation
-    and are folded while they stream by, so that a conversation of any length needs the room of one part.
+    number are ordered by role and text; null roles count as user, null texts as empty. A null conv_id is a
+    conversation of its own. Rows are dealt by ranges of (conv_id, turn), so that a hot conversation is formatted by
+    many tasks; parts are numbered by range, with gaps. Rows are folded while they stream by, in the room of one part.
     """
-    schema = "conv_id bigint, part int, n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>"
+    schema = "conv_id bigint, part bigint, n_turns bigint, formatted string, loss array<struct<start:bigint,end:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part, n, size, held, loss = None, 0, 0, 0, [], []
+        now, n, size, held, loss = None, 0, 0, [], []
+        part = TaskContext.get().partitionId() << 32
         done: list[tuple] = []
 
         def close() -> None:
@@ -234,7 +252,7 @@ def format_turns(turns: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if conv != now or size >= part_chars:
                     close()
-                    now, part, n, size = conv, part + 1 if conv == now and n else 0, 0, 0
+                    now, part, n, size = conv, part + 1, 0, 0
                 mark, a, b = render(role, text)
                 if role == "assistant":
                     loss.append({"start": size + a, "end": size + b})
@@ -247,7 +265,7 @@ def format_turns(turns: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
         if done:
             yield as_batch(done)
 
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -255,51 +273,73 @@ def format_turns(turns: DataFrame, part_chars: int = 1_000_000) -> DataFrame:
             ["conv_id", "part", "n_turns", "formatted", "loss"],
         )
 
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.coalesce("role", F.lit("user")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"), "turn",
-    ).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    ).repartitionByRange(parts, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """What formatted conversations hold: turns by parsing, the loss text by its spans, both as digests."""
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    """What formatted conversations hold: turns by parsing, the loss text by its spans, both as digests.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now: int | None = None
-        state: list = []
+    Parts are parsed where they lie; only the running digests of a conversation pass its parts in order.
+    """
 
-        def fresh() -> list:
-            return [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                turns = parse(text)
+                said = [unescape(text[x["start"] : x["end"]]) for x in spans]
+                own = "".join(f"{role}\n{body}\n" for role, body in turns).encode()
+                out.append((len(turns), own, sum(map(len, said)), "".join(said).encode(), len(text)))
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                ["conv_id", "part", "n_turns", "turns", "loss_chars", "loss", "formatted_chars"],
+            )
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        done: list[tuple] = []
 
-        def row() -> tuple:
+        def close() -> None:
             n, turns, chars, loss, size = state
-            return now, n, turns.hexdigest(), chars, loss.hexdigest(), size
+            done.append((now, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
-        columns = [c.split()[0] for c in schema.split(", ")]
-        for frame in frames:
-            out = []
-            for conv, text, spans in zip(frame["conv_id"], frame["formatted"], frame["loss"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
-                if not state or conv != now:
+        def flush() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+        for batch in batches:
+            for conv, _, n, turns, chars, loss, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or conv != now:
                     if state:
-                        out.append(row())
-                    now, state = conv, fresh()
-                for role, said in parse(text):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{said}\n".encode())
-                for span in spans:
-                    said = unescape(text[span["start"] : span["end"]])
-                    state[2] += len(said)
-                    state[3].update(said.encode())
-                state[4] += len(text)
-            yield pd.DataFrame(out, columns=columns)
+                        close()
+                    now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[0] += n
+                state[1].update(turns)
+                state[2] += chars
+                state[3].update(loss)
+                state[4] += size
+            if len(done) > 5000:
+                yield flush()
         if state:
-            yield pd.DataFrame([row()], columns=columns)
+            close()
+        if done:
+            yield flush()
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    return ordered.select("conv_id", "formatted", "loss").mapInPandas(run, schema)
+    parts = formatted.select("conv_id", "part", "formatted", "loss").mapInArrow(
+        parsed, "conv_id bigint, part bigint, n_turns bigint, turns binary, loss_chars bigint, loss binary, formatted_chars bigint"
+    )
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(
+        digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    )
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,67 @@ def test_chat(spark):
     assert one.turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\nyo\n").hexdigest() and one.loss_chars == 2
 
 
+def test_chat_layouts(spark):
+    """All layouts mixed, with extra fields, empty arrays, null texts and equal turns, against a plain reading."""
+    import json
+
+    said = ["hi", "</s>[INST] x", "", "\\", "a\nb", "é日"]
+    rng = random.Random(6)
+    records, want = [], collections.defaultdict(list)
+    for i in range(60):
+        q, a, s = (rng.choice(said) for _ in range(3))
+        kind = i % 6
+        if kind == 0:
+            raw, own = {"messages": [{"role": "user", "content": q}, {"content": a, "role": "assistant", "weight": 1}], "id": 7}, [("user", q), ("assistant", a)]
+        elif kind == 1:
+            raw, own = {"conversations": [{"from": "human", "value": q}, {"from": "gpt", "value": a}], "meta": {"k": [1]}}, [("user", q), ("assistant", a)]
+        elif kind == 2:
+            raw, own = {"prompt": q, "response": None if i % 4 else a, "score": 0.5}, [("user", q), ("assistant", "" if i % 4 else a)]
+        elif kind == 3:
+            raw, own = {"system": s, "prompt": q, "response": a}, [("system", s)] * (s != "") + [("user", q), ("assistant", a)]
+        elif kind == 4:
+            raw, own = {"instruction": q, "input": s, "output": a}, [("user", q)] + [("user", s)] * (s != "") + [("assistant", a)]
+        else:
+            raw, own = {"messages": []}, []
+        records.append((i, json.dumps(raw)))
+        want[i] = own
+    records += [(100, '{"messages":"no array"}'), (101, "[1]"), (102, '{"prompt":"p"}'), (103, None)]
+    good, rest = chat_format.canonical_json(spark.createDataFrame(records, "conv_id bigint, raw string"))
+    assert {r.conv_id for r in rest.collect()} == {100, 101, 102, 103}
+    rows = spark.createDataFrame(
+        [(200, 1, None, None, "x"), (200, 0, "tool", "t", "x"), (200, 1, None, None, "x"), (None, 0, "assistant", "n", "x")],
+        "conv_id bigint, turn int, role string, text string, extra string",
+    )
+    want[200], want[None] = [("tool", "t"), ("user", ""), ("user", "")], [("assistant", "n")]
+    pairs = spark.createDataFrame([(300, "q", "r", 1.0)], "conv_id bigint, question string, answer string, messages_seen double")
+    want[300] = [("user", "q"), ("assistant", "r")]
+    turns = good.unionByName(chat_format.canonical(rows)).unionByName(chat_format.canonical(pairs))
+    out = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(turns, part_chars=30)).collect()}
+    assert set(out) == {k for k, v in want.items() if v}
+    for k, r in out.items():
+        loss = "".join(t for role, t in want[k] if role == "assistant")
+        assert r.n_turns == len(want[k]) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want[k]).encode()).hexdigest()
+        assert r.formatted_chars == sum(len(chat_format.render(*x)[0]) for x in want[k])
+    with pytest.raises(ValueError):
+        chat_format.canonical(pairs.withColumn("prompt", pairs.question))
+    assert chat_format.read_back(chat_format.format_turns(chat_format.canonical(rows.limit(0)))).count() == 0
+
+
+def test_chat_query(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    want = collections.defaultdict(list)
+    for r in rows:
+        want[r.conv_id].append((r.role or "user", r.text or ""))
+    want[-1] = [("user", "</s>[INST] ok [/INST]"), ("assistant", "</s>[INST] ok [/INST]")]
+    got = {r.conv_id: r for r in QUERIES["op2_chat_format"](spark, SF).collect()}
+    assert set(got) == set(want)
+    for k, own in want.items():
+        assert got[k].n_turns == len(own)
+        assert got[k].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
+        assert got[k].loss_sha256 == hashlib.sha256("".join(b for a, b in own if a == "assistant").encode()).hexdigest()
+
+
 def test_factorisation_machine(spark, docs):
     rng = random.Random(4)
     good = [" ".join(rng.choice(["river", "stone", "walks", "green"]) for _ in range(30)) for _ in range(150)]
