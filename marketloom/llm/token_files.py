@@ -29,8 +29,11 @@ from marketloom.llm.common import Scratch, shared_dir, table
 from marketloom.llm.tokens import arrow_blocks, encoder, vocabulary_path
 
 #: Fixed values of the file format.
-MAGIC = b"TOKSHRD1"
-HEADER = struct.Struct("<8sIIQQQQQ")  # magic, bytes an id, levels, documents, keys, ids, directory at, index at
+MAGIC = b"TOKSHRD2"
+HEADER = struct.Struct("<8sIIQQQQQQ")  # magic, bytes an id, levels, documents, keys, ids; directory, index, slots at
+LEVEL = struct.Struct("<QQ")  # bits of a level, how many are set
+#: Bits of a block; each block's count of set bits before it is stored.
+BLOCK = 512
 END_ID = 0
 #: Bits for each key in a level, and the most levels before keys are listed one by one.
 GAMMA, LEVELS = 2, 40
@@ -82,6 +85,16 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, 977) >> np.uint64(32)).astype(np.uint32)
 
 
+def level_bytes(bits: np.ndarray) -> bytes:
+    """A level: its bits in blocks, then the number of set bits before each block."""
+    blocks = -(-len(bits) // BLOCK)
+    padded = np.zeros(blocks * BLOCK, bool)
+    padded[: len(bits)] = bits
+    counts = padded.reshape(-1, BLOCK).sum(1)
+    before = (np.cumsum(counts) - counts).astype("<u8")
+    return LEVEL.pack(len(bits), int(counts.sum())) + np.packbits(padded).tobytes() + before.tobytes()
+
+
 def shard_bytes(keys: np.ndarray, present: np.ndarray, lengths: np.ndarray, payload: np.ndarray) -> bytes:
     """A shard file. ``present`` is false for a null doc_id; of equal doc_ids the first is the one indexed."""
     starts = np.cumsum(lengths) - lengths
@@ -95,38 +108,83 @@ def shard_bytes(keys: np.ndarray, present: np.ndarray, lengths: np.ndarray, payl
     directory = b"".join(
         [keys.astype("<i8").tobytes(), present.astype("u1").tobytes(), starts.astype("<u8").tobytes(), lengths.astype("<u8").tobytes()]
     )
-    bits = b"".join(struct.pack("<Q", len(b)) + np.packbits(b).tobytes() for b in index.bits)
+    bits = b"".join(map(level_bytes, index.bits))
     at_dir = HEADER.size + len(raw)
+    at_index = at_dir + len(directory)
     head = HEADER.pack(
-        MAGIC, payload.dtype.itemsize, len(index.bits), len(keys), len(rows), len(payload), at_dir, at_dir + len(directory)
+        MAGIC, payload.dtype.itemsize, len(index.bits), len(keys), len(rows), len(payload), at_dir, at_index, at_index + len(bits)
     )
     return b"".join([head, raw, directory, bits, slots.tobytes()])
 
 
 class Shard:
-    """A shard file opened for reading; the payload is read only where asked for."""
+    """A shard file opened for reading. Opening reads the header; ``get`` reads a few bytes a level, one slot, one
+    directory row and the ids, whatever the size of the shard."""
 
     def __init__(self, uri: str) -> None:
         fs, path = pafs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(path)
-        magic, self.width, levels, self.n, n_keys, self.n_ids, at_dir, at_index = HEADER.unpack(self.file.read(HEADER.size))
+        head = HEADER.unpack(self.file.read_at(HEADER.size, 0))
+        magic, self.width, self.levels, self.n, self.n_keys, self.n_ids, self.at_dir, self.at_index, self.at_slots = head
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token shard")
-        self.file.seek(at_dir)
-        rest = self.file.read()
-        n = self.n
+
+    def _number(self, at: int, kind: str = "<Q") -> int:
+        return struct.unpack(kind, self.file.read_at(8, at))[0]
+
+    def slot(self, key: int) -> int:
+        """The slot of one key, or -1, by one block in each level until its bit is set."""
+        at, base = self.at_index, 0
+        for level in range(self.levels):
+            size, ones = LEVEL.unpack(self.file.read_at(LEVEL.size, at))
+            blocks = -(-size // BLOCK)
+            place = int(mixed(np.array([key], np.int64), level)[0] % np.uint64(size))
+            block, bit = divmod(place, BLOCK)
+            bits = np.unpackbits(np.frombuffer(self.file.read_at(BLOCK // 8, at + LEVEL.size + block * (BLOCK // 8)), np.uint8))
+            if bits[bit]:
+                return base + self._number(at + LEVEL.size + blocks * (BLOCK // 8) + 8 * block) + int(bits[:bit].sum())
+            at, base = at + LEVEL.size + blocks * (BLOCK // 8 + 8), base + ones
+        return -1
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids of a document by its key, or None."""
+        at = self.slot(key)
+        if at < 0:
+            return None
+        mark, row = struct.unpack("<II", self.file.read_at(8, self.at_slots + 8 * at))
+        if mark != fingerprints(np.array([key], np.int64))[0] or self._number(self.at_dir + 8 * row, "<q") != key:
+            return None
+        start = self._number(self.at_dir + 9 * self.n + 8 * row)
+        length = self._number(self.at_dir + 17 * self.n + 8 * row)
+        return self.payload(start, length)
+
+    def payload(self, start: int, length: int) -> np.ndarray:
+        data = self.file.read_at(self.width * int(length), HEADER.size + self.width * int(start))
+        return np.frombuffer(data, f"<u{self.width}")
+
+    def directory(self) -> ShardDirectory:
+        return ShardDirectory(self)
+
+
+class ShardDirectory:
+    """The whole directory and index of a shard, for reading all of it."""
+
+    def __init__(self, shard: Shard) -> None:
+        n, at = shard.n, shard.at_index - shard.at_dir
+        rest = shard.file.read_at(shard.at_slots - shard.at_dir + 8 * shard.n_keys, shard.at_dir)
         self.keys = np.frombuffer(rest, "<i8", n)
         self.present = np.frombuffer(rest, "u1", n, 8 * n).astype(bool)
         self.starts = np.frombuffer(rest, "<u8", n, 9 * n).astype(np.int64)
         self.lengths = np.frombuffer(rest, "<u8", n, 17 * n).astype(np.int64)
-        at, bits = at_index - at_dir, []
-        for _ in range(levels):
-            (size,) = struct.unpack_from("<Q", rest, at)
-            packed = np.frombuffer(rest, "u1", -(-size // 8), at + 8)
+        bits = []
+        for _ in range(shard.levels):
+            size, _ = LEVEL.unpack_from(rest, at)
+            blocks = -(-size // BLOCK)
+            packed = np.frombuffer(rest, "u1", blocks * (BLOCK // 8), at + LEVEL.size)
             bits.append(np.unpackbits(packed, count=size).astype(bool))
-            at += 8 + len(packed)
+            at += LEVEL.size + blocks * (BLOCK // 8 + 8)
         self.index = PerfectHash(bits)
-        self.slots = np.frombuffer(rest, [("fp", "<u4"), ("row", "<u4")], n_keys, at)
+        self.slots = np.frombuffer(rest, [("fp", "<u4"), ("row", "<u4")], shard.n_keys, at)
 
     def rows(self, keys: np.ndarray) -> np.ndarray:
         """The directory rows of keys, -1 for keys that the shard lacks."""
@@ -139,15 +197,6 @@ class Shard:
         out[known] = np.where(self.keys[out[known]] == keys[known], out[known], -1)
         return out
 
-    def ids(self, row: int) -> np.ndarray:
-        self.file.seek(HEADER.size + self.width * int(self.starts[row]))
-        return np.frombuffer(self.file.read(self.width * int(self.lengths[row])), f"<u{self.width}")
-
-    def get(self, key: int) -> np.ndarray | None:
-        """The ids of a document by its key: one slot, one read."""
-        row = self.rows(np.array([key]))[0]
-        return None if row < 0 else self.ids(row)
-
 
 MANIFEST = "part int, shard int, uri string, min_id bigint, max_id bigint, documents bigint, ids bigint"
 
@@ -158,7 +207,8 @@ def write_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", uri: st
     Parts are ranges of doc_id with about as many documents each, found from doc_id alone; a part's task gets
     ids, not texts, sorted, and starts a new file after ``shard_ids`` ids, so that neither memory nor files
     grow with the part. Null texts count as empty; null doc_ids come first and are not indexed; documents of
-    one doc_id follow one another in the order of their ids. An empty table gives no shard.
+    one doc_id follow one another in the order of their ids. An empty table gives no shard. The driver holds one
+    summary of doc_id quantiles, of max(10,000, 20 * parts) entries, and as many edges as parts.
     """
     spark = docs.sparkSession
     path = vocabulary_path(vocabulary)
@@ -186,7 +236,7 @@ def write_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", uri: st
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list = []
         held: list[bytes] = []
-        part, shard, size = -1, 0, 0
+        part, shard, size, width = -1, 0, 0, np.dtype(dtype).itemsize
         fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root)
 
@@ -217,7 +267,7 @@ def write_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", uri: st
                     shard, size, part = (0 if p != part else shard + 1), 0, p
                 keys.append(key)
                 held.append(ids)
-                size += len(ids) // 2
+                size += len(ids) // width
         yield from flush()
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
@@ -239,16 +289,17 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(uri)
+                own = shard.directory()
                 found = np.arange(shard.n)
-                first = shard.present.copy()
-                first[1:] &= (shard.keys[1:] != shard.keys[:-1]) | ~shard.present[:-1]
-                found[first] = shard.rows(shard.keys[first])
+                first = own.present.copy()
+                first[1:] &= (own.keys[1:] != own.keys[:-1]) | ~own.present[:-1]
+                found[first] = own.rows(own.keys[first])
                 for a in range(0, shard.n, 1000):
                     rows = found[a : a + 1000]
-                    data = [shard.ids(r).astype("<u4").tobytes() for r in rows]
+                    data = [shard.payload(own.starts[r], own.lengths[r]).astype("<u4").tobytes() for r in rows]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard.keys[rows], pa.int64(), mask=~shard.present[rows]), pa.array(before + shard.starts[rows], pa.int64()),
-                         pa.array(shard.lengths[rows], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(data, pa.binary())],
+                        [pa.array(own.keys[rows], pa.int64(), mask=~own.present[rows]), pa.array(before + own.starts[rows], pa.int64()),
+                         pa.array(own.lengths[rows], pa.int64()), pa.array([zlib.crc32(x) for x in data], pa.int64()), pa.array(data, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
 
@@ -260,25 +311,43 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     )
 
 
-def look_up(keys: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``doc_id, ids`` for the doc_ids asked for; ids is null for unknown ones. Keys meet the shard of their range."""
-    ranges = manifest.select("uri", "min_id", "max_id")
-    if (n := ranges.count()) > 1_000_000:
-        raise ValueError(f"{n} shards are too many to send to each task; write larger shards")
-    asked = keys.join(F.broadcast(ranges), F.col("doc_id").between(F.col("min_id"), F.col("max_id")), "left")
+def look_up(keys: DataFrame, manifest: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``doc_id, ids`` for each doc_id asked for; ids is null for unknown ones and for null.
+
+    Shards follow one another by doc_id: a key's shard is found by bisection in the shards' bounds, ``most`` of which
+    are sent to each task at most; keys then meet in tasks by shard. Of several documents of one doc_id the first
+    is returned.
+    """
+    rows = manifest.filter("max_id IS NOT NULL").orderBy("part", "shard").select("uri", "min_id", "max_id").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} shards are too many to send to each task; write larger shards")
+    bounds = np.array([(r["min_id"], r["max_id"]) for r in rows], np.int64).reshape(-1, 2)
+    held = keys.sparkSession.sparkContext.broadcast((bounds, [r["uri"] for r in rows]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, _ = held.value
+        for batch in batches:
+            own = batch.column(0)
+            ids = own.fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(bounds[:, 1], ids, "left")
+            known = at < len(bounds)
+            known[known] = bounds[at[known], 0] <= ids[known]
+            known &= own.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([own, pa.array(np.where(known, at, -1), pa.int64())], ["doc_id", "shard"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri, shard = None, None
+        now, shard = -1, None
         for batch in batches:
             ids = []
             for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if own != uri:
-                    uri, shard = own, Shard(own) if own else None
-                got = shard.get(key) if shard and key is not None else None
+                if own != now:
+                    now, shard = own, Shard(held.value[1][own]) if own >= 0 else None
+                got = shard.get(key) if shard else None
                 ids.append(None if got is None else got.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return asked.select("doc_id", "uri").sortWithinPartitions("uri").mapInArrow(fetch, "doc_id bigint, ids binary")
+    placed = keys.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(place, "doc_id bigint, shard bigint")
+    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(fetch, "doc_id bigint, ids binary")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
