@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
@@ -126,21 +126,24 @@ def fit(texts: list[str], labels: np.ndarray, rank: int = 8, epochs: int = 12, r
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 40_000_000) -> FactorisationMachine:
     """A model from labelled rows outside the held-out fold (crc32 of doc_id as text, modulo 5, is 0).
 
-    At most ``max_rows`` rows, the first by a hash of the id, and of these as many as ``max_chars`` characters
-    of whole texts allow: the documented bound of the sample. A document's label is the largest of its rows.
+    At most ``max_rows`` documents, the first by a hash of the id, and of these as many as ``max_chars`` characters of
+    whole texts allow: the documented bound of the sample. Texts of over a fortieth of ``max_chars`` are left out of it.
+    Both bounds are applied to lengths, before any text is fetched. A document's label is the largest of its rows; of
+    several texts of one doc_id the shortest is taken, then that of the smallest digest. Null texts count as empty.
+    Without usable labels the model gives 0.5 to every text.
     """
     usable = labels.filter(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id", F.lit(11))
     chosen = usable.withColumn("_o", order).orderBy("_o", "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts, marks, chars = [], [], 0
-    for row in sorted(rows.collect(), key=lambda r: (r["_o"], r["doc_id"])):
-        chars += len(row["text"])
-        if chars > max_chars:
-            break
-        texts.append(row["text"])
-        marks.append(row["quality"])
-    return fit(texts, np.array(marks, float))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = F.struct(F.length("text").alias("n"), F.sha2("text", 256).alias("d"))
+    lengths = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "_o").agg(F.min(own).alias("t"))
+    lengths = lengths.filter(F.col("t.n") <= max_chars // 40)
+    so_far = F.sum("t.n").over(Window.orderBy("_o", "doc_id"))  # at most max_rows rows
+    picked = lengths.withColumn("_sum", so_far).filter(F.col("_sum") <= max_chars).select("doc_id", "quality", "_o", F.col("t.d").alias("_d"))
+    texts = rows.join(F.broadcast(picked), "doc_id").filter(F.sha2("text", 256) == F.col("_d")).dropDuplicates(["doc_id"])
+    sample = sorted(texts.collect(), key=lambda r: (r["_o"], r["doc_id"]))
+    return fit([r["text"] for r in sample], np.array([r["quality"] for r in sample], float))
 
 
 def held_out():
@@ -150,7 +153,8 @@ def held_out():
 def classify(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every whole text; null counts as empty and gets a score too.
 
-    The model (a few MB, of fixed size) is broadcast; texts are scored where they are read.
+    Repeated rows each get their row, equal texts equal scores; very long texts are scored whole, in blocks of rows.
+    An empty table gives no rows; columns besides ``doc_id`` and ``text`` are not read. The model (a few MB, of fixed size) is broadcast; texts are scored where they are read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -254,6 +254,54 @@ def test_plan_places_everything(counts):
     assert all(v <= 2048 for v in fill.values())
 
 
+def test_keyed_access(spark, tmp_path):
+    """Every key by single reads, over shards of uint32 and uint16 ids; a doc_id in several shards comes once."""
+    rng = np.random.default_rng(4)
+    for kind in ("<u2", "<u4"):
+        keys = np.sort(rng.choice(10**9, 3000, replace=False)) - 10**8
+        lengths = rng.integers(0, 20, len(keys))
+        payload = rng.integers(0, 60000, lengths.sum()).astype(kind)
+        path = tmp_path / f"shard{kind[1:]}"
+        path.write_bytes(token_files.shard_bytes(keys, np.ones(len(keys), bool), lengths, payload))
+        shard = token_files.Shard(f"file://{path}")
+        ends = np.cumsum(lengths)
+        for k in range(0, len(keys), 7):
+            assert shard.get(int(keys[k])).tolist() == payload[ends[k] - lengths[k] : ends[k]].tolist()
+        assert all(shard.get(int(k)) is None for k in rng.integers(2 * 10**9, 3 * 10**9, 300))
+        assert (shard.directory().rows(keys) == np.arange(len(keys))).all()
+    docs = spark.createDataFrame([(i % 40, f"text {i} " * (i % 5)) for i in range(200)], "doc_id bigint, text string")
+    manifest = token_files.write_shards(docs, docs_per_part=50, shard_ids=20)
+    assert manifest.count() > 20
+    asked = spark.createDataFrame([(i,) for i in [*range(-3, 45), None]], "doc_id bigint")
+    got = token_files.look_up(asked, manifest).collect()
+    assert len(got) == 49 and {r.doc_id for r in got if r.ids is not None} == set(range(40))
+    stored = collections.defaultdict(set)
+    for r in token_files.read_shards(manifest).collect():
+        stored[r.doc_id].add(bytes(r.ids))
+    assert all(r.ids is None or bytes(r.ids) in stored[r.doc_id] for r in got)
+
+
+def test_training_sample(spark):
+    rows = [(i, "good words here " * 3) for i in range(1, 40)] + [(3, "other"), (5, "x" * 3000), (7, None), (9, "y"), (9, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 45)] + [(4, None)], "doc_id bigint, quality int")
+    seen = []
+    real, quality_classifier.fit = quality_classifier.fit, lambda texts, marks: seen.append((texts, marks))
+    try:
+        quality_classifier.train(docs, labels)
+        quality_classifier.train(docs, labels, max_rows=10)
+        quality_classifier.train(docs, labels, max_chars=400)
+        quality_classifier.train(docs, labels.limit(0))
+    finally:
+        quality_classifier.fit = real
+    fold = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    assert len(seen[0][0]) == len(fold) and len(seen[1][0]) <= 10 and not len(seen[3][0])
+    assert 0 < sum(map(len, seen[2][0])) <= 400 and all(len(t) <= 10 for t in seen[2][0])
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    model = quality_classifier.fit([], np.zeros(0))
+    assert quality_classifier.classify(empty, model).count() == 0 and token_counts.count_tokens(empty).count() == 0
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(3).integers(-(2**62), 2**62, 20000))
     h = token_files.PerfectHash.build(keys)
