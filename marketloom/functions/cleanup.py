@@ -5,68 +5,90 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pictographs, marks that join or vary them, separators, letters and abbreviations of units of text.
-PICTOGRAPHS = r"[\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FFFF}\x{200D}\x{FE0E}\x{FE0F}]+"
+#: Code points of pictographs and of the marks that join or vary them, as a class; what may stand at the
+#: ends of a name and means nothing there; the character for three dots.
+PICTOGRAPHS = r"\x{2300}-\x{23FF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{1F000}-\x{1FFFF}\x{200D}\x{FE0E}\x{FE0F}"
 SEPARATORS = " \t\n\r-–—·:"
-LOWER, UPPER = "a-ząćęłńóśźż", "A-ZĄĆĘŁŃÓŚŹŻ"
 ELLIPSIS = "…"
+#: Over this many letters, and over this share of capitals among them, a text is shouted.
+SHOUT_LETTERS, SHOUT_SHARE = 5, 0.6
+#: Words that make a description prose, and characters before the dots that make a cut name usable.
+PROSE_WORDS, CUT_HEAD = 4, 8
+
+
+def joined_tokens(text: Column, pattern: str) -> Column:
+    """All matches of a pattern with one space between."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), " ")
 
 
 def without_pictographs(text: Column) -> Column:
     """Text without pictographs, runs of white space as one space, no separators at its ends."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(text, PICTOGRAPHS, ""), r"(?U)\s{2,}", " "), F.lit(SEPARATORS))
+    bare = F.regexp_replace(text, f"[{PICTOGRAPHS}]", "")
+    return F.btrim(joined_tokens(bare, r"(?U)\S+"), F.lit(SEPARATORS))
 
 
 def tidy_name(name: Column) -> Column:
-    """A name without dots at its end, with spaces around a plus that touches a word and around a dash after one."""
-    out = F.trim(F.regexp_replace(F.trim(name), r"\.+$", ""))
-    for pattern, to in ((r"(?U)(\w)\+\s*", "$1 + "), (r"(?U)\s*\+(\w)", " + $1"), (r"(?U)(\w)-\s+", "$1 - ")):
-        out = F.regexp_replace(out, pattern, to)
-    return out
+    """A name's words, plus signs and dashes that end a word as tokens with one space between; no dots at the end.
+
+    Dashes inside a word stay there.
+    """
+    return F.rtrim(F.rtrim(joined_tokens(name, r"(?U)\+|-(?=\s|$)|(?:[^\s+-]|-(?!\s|$))+"), F.lit(". ")))
 
 
 def sentence_case(text: Column) -> Column:
-    """Sentence case for texts of over five letters of which over 60 % are capitals; others stay as they are."""
-    letters = F.length(F.regexp_replace(text, f"[^{LOWER}{UPPER}]", ""))
-    capitals = F.length(F.regexp_replace(text, f"[^{UPPER}]", ""))
-    shouted = (letters > 5) & (capitals > 0.6 * letters)
-    lowered = F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substr(text, F.lit(2))))
-    return F.when(shouted, lowered).otherwise(text)
+    """Shouted texts with a capital first and all else small; others stay as they are."""
+    letters, capitals = (F.regexp_count(text, F.lit(x)) for x in (r"\p{L}", r"\p{Lu}"))
+    shouted = (letters > SHOUT_LETTERS) & (capitals > SHOUT_SHARE * letters)
+    return F.when(shouted, capital_first(F.lower(text))).otherwise(text)
+
+
+def capital_first(text: Column) -> Column:
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
 
 
 def tidy_sentence(text: Column) -> Column:
     """A description with regular punctuation; applying it twice changes nothing more.
 
-    Runs of dots become an ellipsis, no space before a mark, one after it where a letter follows, single commas and
-    semicolons, a capital first. A full stop ends what ends in a letter and is prose: four words, or a mark inside.
-    Lists (which begin with a dash, a bullet or a star) get none.
+    The text is a row of words, runs of marks and white space, and each token is written by its neighbours: white
+    space not at the ends nor before a mark, as one space, or as line breaks where it holds some; two dots or more as
+    an ellipsis, repeated commas and semicolons once; a space between a mark other than a comma and a letter. The
+    first letter is a capital. A full stop ends what ends in a letter and is prose: four words, or a mark before the
+    end. Items of lists (a dash, a bullet or a star first) get none.
     """
-    out = F.btrim(text, F.lit(" \t\n\r"))
-    for pattern, to in (
-        (r"\.{2,}", ELLIPSIS), (r"(?U)\s+([.,;:!?…])", "$1"), (f"([.!?;:])([{LOWER}{UPPER}])", "$1 $2"),
-        (r"[ \t]{2,}", " "), (r",{2,}", ","), (r";{2,}", ";"),
-    ):
-        out = F.regexp_replace(out, pattern, to)
-    out = F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2)))
-    prose = out.rlike(r"(?s)[,;:.].") | (F.regexp_count(out, F.lit(r"(?U)\b\w+\b")) >= 4)
-    ends = out.rlike(r"\p{L}$") & ~out.rlike(r"^\s*[-•*—–]")
-    return F.trim(F.when(ends & prose, F.concat(out, F.lit("."))).otherwise(out))
+    tokens = F.regexp_extract_all(text, F.lit(r"(?U)\s+|\.+|,+|;+|[:!?…]|[^\s.,;:!?…]+"), F.lit(0))
+    mark = lambda t: t.rlike(r"^[.,;:!?…]")
+    blank = lambda t: t.rlike(r"(?U)^\s")
+
+    def written(own: Column):
+        def token(t: Column, i: Column) -> Column:
+            before, after = F.get(own, i - 1), F.get(own, i + 1)
+            lone = before.isNull() | after.isNull() | mark(after)
+            space = F.when(lone, "").when(t.contains("\n"), F.regexp_replace(t, r"[^\n]+", "")).otherwise(" ")
+            sign = F.when(t.startswith(".") & (F.length(t) > 1), ELLIPSIS).otherwise(F.left(t, F.lit(1)))
+            apart = t.rlike(r"^\p{L}") & F.coalesce(before.rlike(r"^([;:!?]|\.$)"), F.lit(False))
+            return F.when(blank(t), space).when(mark(t), sign).when(apart, F.concat(F.lit(" "), t)).otherwise(t)
+
+        return F.array_join(F.transform(own, token), "")
+
+    out = capital_first(F.element_at(F.transform(F.array(tokens), written), 1))
+    prose = out.rlike(r"[.,;:]") | (F.regexp_count(out, F.lit(r"(?U)\w+")) >= PROSE_WORDS)
+    open_end = out.rlike(r"\p{L}$") & ~out.rlike(r"^[-•*—–]")
+    return F.concat(out, F.when(open_end & prose, ".").otherwise(""))
 
 
 def full_name(name: Column, candidates: Column) -> Column:
     """The first of ``candidates`` that a name cut by an ellipsis may stand for, or the name.
 
-    A candidate begins with what is before the first ellipsis (eight characters at least), ends with what is after
-    the last one, and is longer than both.
+    Cut at its dots, the name's first part (long enough to tell) begins the candidate and its last part ends it, and
+    the candidate has more between them.
     """
-    cut = F.regexp_replace(F.trim(name), ELLIPSIS, "...")
-    head, tail = F.trim(F.substring_index(cut, "...", 1)), F.trim(F.substring_index(cut, "...", -1))
-    fits = F.filter(
-        F.transform(F.filter(candidates, lambda c: c.isNotNull()), F.trim),
-        lambda c: (F.length(c) > F.length(head) + F.length(tail)) & c.startswith(head) & c.endswith(tail),
-    )
-    usable = cut.contains("...") & (F.length(head) >= 8)
-    return F.when(usable, F.coalesce(F.get(fits, F.lit(0)), F.trim(name))).otherwise(F.trim(name))
+    own = F.trim(name)
+    parts = F.transform(F.split(own, rf"\.\.\.|{ELLIPSIS}"), F.trim)
+    head, tail = F.element_at(parts, 1), F.element_at(parts, -1)
+    rest = lambda c: F.length(c) - F.length(head) - F.length(tail)
+    fits = F.filter(F.transform(candidates, F.trim), lambda c: F.startswith(c, head) & F.endswith(c, tail) & (rest(c) > 0))
+    cut = (F.size(parts) > 1) & (F.length(head) >= CUT_HEAD)
+    return F.coalesce(F.when(cut, F.get(fits, F.lit(0))), own)
 
 
 def character_drift(a: Column, b: Column) -> Column:

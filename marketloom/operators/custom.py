@@ -19,29 +19,51 @@ from pyspark.sql import types as T
 # --- JSON -------------------------------------------------------------------------------------------------
 
 
+#: A whole or unfinished string, a structural character, or a number or word.
+_json_token = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?$)|[{}\[\],:]|[^\s{}\[\],:"]+', re.DOTALL)
+_closing = {"{": "}", "[": "]"}
+
+
+def closed(tokens: list[str]) -> str:
+    """Tokens as JSON: commas only before a next item, inner brackets closed by an outer one and at the end."""
+    out: list[str] = []
+    open_: list[str] = []
+    comma = False
+    for t in tokens:
+        if t == ",":
+            comma = bool(out) and out[-1] not in "{["
+            continue
+        if t in ("}", "]"):
+            if t not in open_:
+                continue
+            while (end := open_.pop()) != t:
+                out.append(end)
+        elif comma:
+            out.append(",")
+        comma = False
+        out.append(t)
+        if t in _closing:
+            open_.append(_closing[t])
+    return "".join(out + open_[::-1])
+
+
 def repaired(text: str | None) -> str | None:
-    """Valid JSON from nearly valid JSON: control characters go, trailing commas go, open brackets are closed."""
+    """Valid JSON from nearly valid JSON, or None.
+
+    Control characters count as spaces, an unfinished string ends at the end, trailing commas go, open brackets are
+    closed. If that is not enough, tokens go from the end until it is: a text cut off after a key loses that key.
+    """
     if text is None:
         return None
-    text = re.sub(r"[\x00-\x1f]+", " ", text)
-    stack, quoted, skip = [], False, False
-    for c in text:
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{[":
-            stack.append("}" if c == "{" else "]")
-        elif c in "}]" and stack and stack[-1] == c:
-            stack.pop()
-    text = re.sub(r",\s*$", "", text + '"' * quoted) + "".join(reversed(stack))
-    text = re.sub(r",\s*([}\]])", r"\1", text)
-    try:
-        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    except ValueError:
-        return None
+    tokens = _json_token.findall(re.sub(r"[\x00-\x1f]+", " ", text))
+    if tokens and tokens[-1].startswith('"') and not re.fullmatch(r'"(?:[^"\\]|\\.)*"', tokens[-1], re.DOTALL):
+        tokens[-1] = tokens[-1].removesuffix("\\") + '"'
+    for n in range(len(tokens), max(0, len(tokens) - 8), -1):
+        try:
+            return json.dumps(json.loads(closed(tokens[:n])), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            pass
+    return None
 
 
 @F.pandas_udf(T.StringType())
@@ -78,7 +100,17 @@ def patched(doc: object, ops: list[dict]) -> object:
 
 @F.pandas_udf(T.StringType())
 def json_patch(doc: pd.Series, ops: pd.Series) -> pd.Series:
-    return pd.Series([json.dumps(patched(json.loads(d), json.loads(o)), sort_keys=True) for d, o in zip(doc, ops, strict=True)])
+    """Patched documents; null where the document or the operations are null, or a path leads nowhere."""
+
+    def one(d: str | None, o: str | None) -> str | None:
+        if d is None or o is None:
+            return None
+        try:
+            return json.dumps(patched(json.loads(d), json.loads(o)), sort_keys=True)
+        except (LookupError, TypeError, ValueError):
+            return None
+
+    return pd.Series([one(d, o) for d, o in zip(doc, ops, strict=True)], dtype=object)
 
 
 # --- greedy batches ---------------------------------------------------------------------------------------
@@ -87,7 +119,8 @@ def json_patch(doc: pd.Series, ops: pd.Series) -> pd.Series:
 def greedy_batches(df: DataFrame, key: str, order: str, weight: str, budget: int, items: int) -> DataFrame:
     """``batch`` numbers: consecutive rows of a key until the next would pass the budget or the number of items.
 
-    Rows stream by in order within a sorted partition, so a key of any length needs constant memory.
+    Rows stream by in order within a sorted partition, so a key of any length needs constant memory. Each batch
+    depends on the one before it, so the rows of one key pass one task: keys bound how far this spreads.
     """
     schema = f"{key} {dict(df.dtypes)[key]}, {order} {dict(df.dtypes)[order]}, {weight} {dict(df.dtypes)[weight]}, batch long"
 
@@ -134,8 +167,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         moved = new.join(labels.withColumnRenamed("component", "old"), "id").filter("component <> old").limit(1).count()
         labels = new
         if not moved:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def close_names(df: DataFrame, key: str, id_: str, name: Column, least: int = 8, most: int = 2) -> DataFrame:

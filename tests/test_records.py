@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import cleanup as C
+from marketloom.operators import custom
 
 
 def one(spark, build, *values):
@@ -14,21 +15,28 @@ def one(spark, build, *values):
 @pytest.mark.parametrize(
     "build, text, want",
     [
-        (C.without_pictographs, "✦ PROMOCJE ✦", "PROMOCJE"),
-        (C.without_pictographs, "🔥Łydki  i uda -", "Łydki i uda"),
+        (C.without_pictographs, "★ Nowość ★", "Nowość"),
+        (C.without_pictographs, "💅 hybryda \n na stopy –", "hybryda na stopy"),
+        (C.without_pictographs, "", ""),
         (C.without_pictographs, None, None),
-        (C.tidy_name, " Depilacja łydek... ", "Depilacja łydek"),
-        (C.tidy_name, "manicure+pedicure", "manicure + pedicure"),
-        (C.tidy_name, "brwi- henna", "brwi - henna"),
-        (C.sentence_case, "MASAŻ GŁOWY", "Masaż głowy"),
-        (C.sentence_case, "LPG", "LPG"),
-        (C.sentence_case, "Masaż LPG", "Masaż LPG"),
-        (C.tidy_sentence, "zabieg trwa ok .30 minut,,  bez bólu", "Zabieg trwa ok.30 minut, bez bólu."),
-        (C.tidy_sentence, "to jest test.drugi", "To jest test. drugi."),
-        (C.tidy_sentence, "- pozycja listy bez kropki", "- pozycja listy bez kropki"),
-        (C.tidy_sentence, "Krótko", "Krótko"),
-        (C.tidy_sentence, "i tak dalej....", "I tak dalej…"),
+        (C.tidy_name, "  Peeling kawitacyjny.. ", "Peeling kawitacyjny"),
+        (C.tidy_name, "strzyżenie+modelowanie", "strzyżenie + modelowanie"),
+        (C.tidy_name, "rzęsy- lifting", "rzęsy - lifting"),
+        (C.tidy_name, "anti-age 2.0", "anti-age 2.0"),
+        (C.tidy_name, None, None),
+        (C.sentence_case, "HENNA BRWI I RZĘS", "Henna brwi i rzęs"),
+        (C.sentence_case, "SPA", "SPA"),
+        (C.sentence_case, "Pakiet SPA", "Pakiet SPA"),
+        (C.tidy_sentence, "maska ,peeling;;serum i krem", "Maska,peeling; serum i krem."),
+        (C.tidy_sentence, "czas ok .45 minut,,  na stopy", "Czas ok.45 minut, na stopy."),
+        (C.tidy_sentence, "raz!dwa", "Raz! dwa"),
+        (C.tidy_sentence, "raz:dwa", "Raz: dwa."),
+        (C.tidy_sentence, "• jeden dwa trzy cztery", "• jeden dwa trzy cztery"),
+        (C.tidy_sentence, "pierwsza linia tekstu\n\n druga", "Pierwsza linia tekstu\n\ndruga."),
+        (C.tidy_sentence, "Masaż", "Masaż"),
+        (C.tidy_sentence, "dalej .... ", "Dalej…"),
         (C.tidy_sentence, "", ""),
+        (C.tidy_sentence, None, None),
     ],
 )
 def test_clean_up(spark, build, text, want):
@@ -42,10 +50,11 @@ def test_full_name(spark):
     def build(name, label):
         return C.full_name(name, F.array(F.lit(None).cast("string"), label))
 
-    assert one(spark, build, "Laserowa redukc...owanie", "Laserowa redukcja i modelowanie") == "Laserowa redukcja i modelowanie"
-    assert one(spark, build, "Laserowa redukcja…", "Inny zabieg") == "Laserowa redukcja…"
-    assert one(spark, build, "Las…", "Laser na twarz") == "Las…"
-    assert one(spark, build, "Laser", "Laser na twarz") == "Laser"
+    assert one(spark, build, "Mikroderma...twarzy", "Mikrodermabrazja diamentowa twarzy") == "Mikrodermabrazja diamentowa twarzy"
+    assert one(spark, build, "Mikrodermabr… ", "Mezoterapia") == "Mikrodermabr…"
+    assert one(spark, build, "Mikroderma…twarzy", "Mikrodermatwarzy") == "Mikroderma…twarzy"
+    assert one(spark, build, "Mez…", "Mezoterapia igłowa") == "Mez…"
+    assert one(spark, build, "Mezo", "Mezoterapia igłowa") == "Mezo"
 
 
 def test_drift_and_tokens(spark):
@@ -61,3 +70,32 @@ def test_drift_and_tokens(spark):
 @pytest.mark.parametrize("n, want", [(1, "1 x"), (3, "3 y"), (12, "12 z"), (22, "22 y"), (5, "5 z"), (0, "0 z")])
 def test_counted(spark, n, want):
     assert spark.range(n, n + 1).select(C.counted(F.col("id"), "x", "y", "z")).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('{"a":1,}', '{"a":1}'), ('[1,2,,', "[1,2]"), ('{"a":[1,{"b":2}', '{"a":[1,{"b":2}]}'), ('{"a":"x', '{"a":"x"}'), ('{"a":"x\\', '{"a":"x"}'),
+        ('{"a":1,"b":', '{"a":1}'), ('{"a":1,"b', '{"a":1}'), ('{"a":[1}', '{"a":[1]}'), ("[1]]", "[1]"), ('{"a" : "q, }]" ,\t}', '{"a":"q, }]"}'), ("no", None), ("", None), (None, None),
+    ],
+)
+def test_json_repair(text, want):
+    assert custom.repaired(text) == want
+
+
+def test_json_patch(spark):
+    rows = [
+        ('{"a":[1,2]}', '[{"op":"add","path":"/a/-","value":3}]', '{"a": [1, 2, 3]}'), ('{"a":1}', '[{"op":"remove","path":"/a"},{"op":"add","path":"/x~1y","value":2}]', '{"x/y": 2}'),
+        (None, "[]", None), ("{}", None, None), ('{"a":1}', '[{"op":"remove","path":"/b"}]', None), ("[]", '[{"op":"replace","path":"/0/c","value":1}]', None), ("1", '[{"op":"replace","path":"","value":{}}]', "{}"),
+    ]
+    df = spark.createDataFrame(rows, "doc string, ops string, want string")
+    for r in df.withColumn("got", custom.json_patch("doc", "ops")).collect():
+        assert r.got == r.want
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
+    got = {r.id: r.component for r in custom.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    with pytest.raises(RuntimeError):
+        custom.components(spark.createDataFrame(chain, "a bigint, b bigint"), rounds=1)
