@@ -40,8 +40,10 @@ def price_moves(s, d):
 
 
 def started_stopped(s, d):
-    o = offers(s, d).select("entity", "category", F.year("ts").alias("y"))
-    return R.active_set_diff(o.filter("y = 1995").select("entity", "category"), o.filter("y = 1996").select("entity", "category"), ["entity", "category"])
+    """What each entity's brands' categories started and stopped from one year to the next."""
+    key = ["entity", "brand", "category"]
+    o = offers(s, d).select(*key, F.year("ts").alias("y"))
+    return R.active_set_diff(o.filter("y = 1995").select(*key).distinct(), o.filter("y = 1996").select(*key).distinct(), key)
 
 
 QUERIES = {
@@ -57,7 +59,7 @@ QUERIES = {
 _w = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
 _snap = """SELECT l_suppkey AS entity, p_type AS category, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // count(*) AS BIGINT) AS price, CAST(max(CAST(l_quantity AS INTEGER)) AS INTEGER) AS minutes
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = {y} GROUP BY 1, 2"""
-_pairs = "SELECT DISTINCT l_suppkey AS entity, p_type AS category FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = {y}"
+_pairs = "SELECT DISTINCT l_suppkey AS entity, p_brand AS brand, p_type AS category FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = {y}"
 ORACLES = {
     "content_hash_runs": f"""WITH a AS (SELECT *, CAST(lag(o_orderstatus) {_w} IS DISTINCT FROM o_orderstatus AS INTEGER) AS n FROM orders), r AS (SELECT *, sum(n) {_w} AS run FROM a)
       SELECT o_custkey, CAST(run AS BIGINT) AS run, min(o_orderdate) AS first_ts, max(o_orderdate) AS last_ts, count(*) AS n_seen FROM r GROUP BY o_custkey, run""",

@@ -25,11 +25,11 @@ def subjects(s, d):
 
 
 def anti_missing(s, d):
-    """Categories that other entities of the region have and the entity lacks, with the number of peers."""
-    o = subjects(s, d).join(entities(s, d).select(F.col("id").alias("entity"), "region"), "entity")
-    peers = o.groupBy("region", "category").agg(F.count("*").alias("n_peers"))
-    mine = o.select("entity", "region").distinct()
-    return mine.join(peers, "region").join(o.select("entity", "category"), ["entity", "category"], "left_anti").select("entity", "category", "n_peers")
+    """Brands' categories that other entities of the region have and the entity lacks, with the number of peers."""
+    o = offers(s, d).select("entity", "brand", "category").distinct().join(entities(s, d).select(F.col("id").alias("entity"), "region"), "entity")
+    peers = o.groupBy("region", "brand", "category").agg(F.count("*").alias("n_peers"))
+    missing = o.select("entity", "region").distinct().join(peers, "region").join(o.select("entity", "brand", "category"), ["entity", "brand", "category"], "left_anti")
+    return missing.select("entity", "brand", "category", "n_peers")
 
 
 def anti_unique(s, d):
@@ -102,8 +102,8 @@ QUERIES = {
 _placed = "o AS (SELECT DISTINCT entity, category, s_nationkey AS region FROM offers JOIN supplier ON entity = s_suppkey)"
 ORACLES = {
     "semi_entities": f"WITH {OFFERS}, {ENTITY} SELECT id, region FROM entity WHERE id IN (SELECT entity FROM offers WHERE promo)",
-    "anti_missing": f"""WITH {OFFERS}, {_placed}, p AS (SELECT region, category, count(*) AS n_peers FROM o GROUP BY 1, 2), m AS (SELECT DISTINCT entity, region FROM o)
-      SELECT entity, category, n_peers FROM m JOIN p USING (region) WHERE (entity, category) NOT IN (SELECT (entity, category) FROM o)""",
+    "anti_missing": f"""WITH {OFFERS}, o AS (SELECT DISTINCT entity, brand, category, s_nationkey AS region FROM offers JOIN supplier ON entity = s_suppkey), p AS (SELECT region, brand, category, count(*) AS n_peers FROM o GROUP BY 1, 2, 3),
+      m AS (SELECT DISTINCT entity, region FROM o) SELECT entity, brand, category, n_peers FROM m JOIN p USING (region) WHERE (entity, brand, category) NOT IN (SELECT (entity, brand, category) FROM o)""",
     "anti_unique": f"WITH {OFFERS}, {_placed} SELECT min(entity) AS entity, category FROM o GROUP BY region, category HAVING count(*) = 1",
     "fallback_join": f"""WITH {OFFERS}, a AS (SELECT category, brand, quantile_cont(price, 0.5) AS m FROM offers GROUP BY 1, 2 HAVING count(DISTINCT entity) >= 3),
       b AS (SELECT category, quantile_cont(price, 0.5) AS m FROM offers GROUP BY 1 HAVING count(DISTINCT entity) >= 3), r AS (SELECT DISTINCT category, brand FROM offers)

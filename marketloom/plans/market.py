@@ -10,11 +10,12 @@ from marketloom.operators import market as M
 from marketloom.operators import relational as R
 from marketloom.plans.joins import ENTITY, distance
 from marketloom.plans.offers import DEVIATION, ELIGIBLE, KEY, KEYS, OFFERS, eligible, with_deviation
+from marketloom.plans.rankings import RIVALS, rivals
 from marketloom.sources.tables import entities, events, offers, table
 
 END = "2024-01-31 00:00:00"
 BUCKET = "CASE WHEN minutes IS NULL THEN 'unknown' WHEN minutes <= 30 THEN 'short' WHEN minutes <= 90 THEN 'medium' ELSE 'long' END"
-WORDS = ["consent", "price", "book", "page"]
+WORDS = ["page", "footer", "nav", "cookie"]
 
 
 def bucketed(s, d):
@@ -106,10 +107,11 @@ def members(s, d):
 
 
 def overlap(s, d):
-    """Overlap of each entity's shares of categories with those of entity 1."""
+    """Overlap of an entity's shares of categories with those of each rival."""
     share = offers(s, d).groupBy("entity", "category").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(R.Window.partitionBy("entity")))
-    one = share.filter("entity = 1").select("category", F.col("share").alias("mine"))
-    return share.filter("entity <> 1").join(one, "category").groupBy("entity").agg(F.round(F.sum(F.least("share", "mine")), 6).alias("overlap"))
+    side = lambda p: share.select(F.col("entity").alias(p), "category", F.col("share").alias(f"of_{p}"))
+    pairs = rivals(s, d).join(side("subject"), "subject").join(side("rival"), ["rival", "category"])
+    return pairs.groupBy("subject", "rival").agg(F.round(F.sum(F.least("of_subject", "of_rival")), 6).alias("overlap"))
 
 
 def unique_top(s, d):
@@ -120,11 +122,14 @@ def unique_top(s, d):
 
 
 def walk_up(s, d):
-    """Brands and categories that a region has and an entity lacks, less those whose brand it has in another category."""
-    o = offers(s, d).select("entity", "brand", "category").distinct().join(entities(s, d).select(F.col("id").alias("entity"), "region"), "entity")
-    peers = o.select("region", "brand", "category").distinct()
-    gaps = o.select("entity", "region").distinct().join(peers, "region")
-    return M.walk_up(gaps, o, ["entity", "brand"]).select("entity", "brand", "category")
+    """Parts that a region has and an entity lacks, less those of a brand's category that it serves with another part.
+
+    What is suppressed goes first, by the wider key; only the rest meets the parts.
+    """
+    o = offers(s, d).select("entity", "brand", "category", "l_partkey").distinct().join(entities(s, d).select(F.col("id").alias("entity"), "region"), "entity")
+    wider = o.select("entity", "region").distinct().join(o.select("region", "brand", "category").distinct(), "region")
+    lacking = M.walk_up(wider, o, ["entity", "brand", "category"])
+    return lacking.join(o.select("region", "brand", "category", "l_partkey").distinct(), ["region", "brand", "category"]).select("entity", "brand", "category", "l_partkey")
 
 
 def packages(s, d):
@@ -269,12 +274,13 @@ c AS (SELECT entity AS destination, member, period FROM m a WHERE NOT EXISTS (SE
 SELECT member, period, origin, destination, CASE WHEN count(*) OVER (PARTITION BY origin, member, period) = 1 THEN 'high' ELSE 'low' END AS confidence FROM l JOIN c USING (member, period) WHERE origin <> destination""",
     "chain_trail": """WITH n AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders)
 SELECT o_custkey, o_orderkey, first(o_orderkey) OVER (PARTITION BY o_custkey, i // 5 ORDER BY i) AS base, CAST(i % 5 AS INTEGER) AS depth, i % 5 = 0 AS is_checkpoint FROM n""",
-    "profile_overlap": f"""WITH {OFFERS}, n AS (SELECT entity, category, count(*) AS n FROM offers GROUP BY ALL), x AS (SELECT entity, category, n / sum(n) OVER (PARTITION BY entity) AS share FROM n)
-SELECT a.entity, round(sum(least(a.share, b.share)), 6) AS overlap FROM x a JOIN x b ON b.entity = 1 AND a.category = b.category WHERE a.entity <> 1 GROUP BY 1""",
+    "profile_overlap": f"""WITH {OFFERS}, {RIVALS}, n AS (SELECT entity, category, count(*) AS n FROM offers GROUP BY ALL), x AS (SELECT entity, category, n / sum(n) OVER (PARTITION BY entity) AS share FROM n)
+      SELECT subject, rival, round(sum(least(a.share, b.share)), 6) AS overlap FROM rivals JOIN x a ON a.entity = subject JOIN x b ON b.entity = rival AND a.category = b.category GROUP BY 1, 2""",
     "unique_top5": f"""WITH {OFFERS}, a AS (SELECT s_nationkey AS region, brand, category, min(entity) AS entity, max(price) AS price FROM offers JOIN supplier ON entity = s_suppkey GROUP BY ALL HAVING count(DISTINCT entity) = 1)
 SELECT region, CAST(row_number() OVER w AS INTEGER) AS place, entity, brand, category, price FROM a WINDOW w AS (PARTITION BY region ORDER BY price DESC, entity, brand, category) QUALIFY row_number() OVER w <= 5""",
-    "walk_up_gaps": f"""WITH {OFFERS}, o AS (SELECT DISTINCT entity, brand, category, s_nationkey AS region FROM offers JOIN supplier ON entity = s_suppkey), g AS (SELECT DISTINCT e.entity, p.brand, p.category FROM (SELECT DISTINCT entity, region FROM o) e JOIN o p USING (region))
-SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.entity = g.entity AND o.brand = g.brand)""",
+    "walk_up_gaps": f"""WITH {OFFERS}, o AS (SELECT DISTINCT entity, brand, category, l_partkey, s_nationkey AS region FROM offers JOIN supplier ON entity = s_suppkey),
+      g AS (SELECT DISTINCT e.entity, p.brand, p.category, p.l_partkey FROM (SELECT DISTINCT entity, region FROM o) e JOIN o p USING (region))
+      SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.entity = g.entity AND o.brand = g.brand AND o.category = g.category)""",
     "package_matches": f"""WITH {OFFERS}, j AS (SELECT {', '.join('p.' + k for k in KEY)}, p.price AS price, x.price AS single_price, x.minutes AS single_minutes,
 row_number() OVER (PARTITION BY {', '.join('p.' + k for k in KEY)} ORDER BY abs(p.minutes - x.minutes), abs(p.price - x.price), {', '.join('x.' + k for k in KEY)}) AS rn
 FROM offers p JOIN offers x USING (entity, category, brand) WHERE p.package AND NOT x.package), k AS (SELECT *, round(100.0 * (single_price - price) / single_price, 2) AS saving_pct FROM j WHERE rn = 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import exprs as X
 from marketloom.operators import relational as R
 from marketloom.plans.offers import OFFERS
+from marketloom.plans.rankings import OF_PAIR, RIVALS, SERVICES, of_pair, rivals
 from marketloom.sources.tables import entities, offers, table
 
 
@@ -45,12 +46,16 @@ def position(s, d):
 
 
 def gaps(s, d):
-    """Categories that entity 1 lacks, by popularity among the others."""
-    o = offers(s, d)
-    mine = o.filter("entity = 1").select("category").distinct()
-    g = o.filter("entity <> 1").groupBy("category").agg(F.count_distinct("entity").alias("peers"), F.count_if("promo").alias("mentions"), F.expr("sum(price) div count(*)").alias("avg_price"))
-    g = g.join(mine, "category", "left_anti").withColumn("popularity", F.round(F.least(F.lit(999.99), F.col("peers") * (1 + F.col("mentions") / 100)), 4))
-    return g.orderBy(F.desc("popularity"), "category").limit(10).select("category", "peers", "avg_price", "popularity")
+    """Services that an entity lacks and its rivals have: the ten most popular of each entity."""
+    o = offers(s, d).groupBy("entity", F.concat_ws("/", "brand", "category").alias("service")).agg(
+        F.count("*").alias("n"), F.count_if("promo").alias("mentions"), F.sum("price").alias("price")
+    )
+    theirs = rivals(s, d).join(o, F.col("rival") == F.col("entity")).groupBy("subject", "service").agg(
+        F.count("*").alias("peers"), F.sum("mentions").alias("mentions"), F.expr("sum(price) div sum(n)").alias("avg_price")
+    )
+    lacking = theirs.join(o.select(F.col("entity").alias("subject"), "service"), ["subject", "service"], "left_anti")
+    g = lacking.withColumn("popularity", F.round(F.least(F.lit(999.99), F.col("peers") * (1 + F.col("mentions") / 100)), 4))
+    return R.top_k(g, ["subject"], [F.desc("popularity"), F.col("service")], 10).select("subject", "service", "peers", "avg_price", "popularity")
 
 
 def lift(s, d):
@@ -70,15 +75,12 @@ def opportunities(s, d):
     return a.unionByName(b).orderBy(F.desc("impact"), "kind", "category").limit(8)
 
 
-def sets(s, d):
-    return offers(s, d).groupBy("entity").agg(F.array_sort(F.collect_set("category")).alias("c"))
-
-
 def jaccard_pairs(s, d):
-    """Entities against entity 1, by the categories they share."""
-    one = sets(s, d).filter("entity = 1").select(F.col("c").alias("c1"))
-    return sets(s, d).filter("entity <> 1").join(F.broadcast(one)).select(  # one row
-        "entity", F.round(X.jaccard(F.col("c1"), F.col("c")), 4).alias("jaccard"), F.round(X.overlap_share(F.col("c1"), F.col("c")), 4).alias("overlap"))
+    """Entities and their rivals, by the services they share."""
+    both = F.count_if((F.col("n_subject") > 0) & (F.col("n_rival") > 0))
+    return of_pair(s, d, rivals(s, d)).groupBy("subject", "rival").agg(
+        F.round(both / F.count("*"), 4).alias("jaccard"), F.round(both / F.count_if(F.col("n_subject") > 0), 4).alias("overlap")
+    )
 
 
 def benchmarks(s, d):
@@ -105,13 +107,12 @@ def focus_distribution(s, d):
 
 
 def sparse_cosine(s, d):
-    """Cosine of entity 1's category shares with the others': joined on category, norms by entity."""
+    """Cosine of an entity's and each rival's category weights: joined on category, norms by entity."""
     g = focus(s, d).groupBy("entity", "category").agg(F.sum("w").alias("w"))
     norms = g.groupBy("entity").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    one = g.filter("entity = 1").select("category", F.col("w").alias("w1"))
-    n1 = norms.filter("entity = 1").select(F.col("norm").alias("norm1"))
-    dots = g.filter("entity <> 1").join(one, "category").groupBy("entity").agg(F.sum(F.col("w") * F.col("w1")).alias("dot"))
-    return dots.join(norms, "entity").join(F.broadcast(n1)).select("entity", F.round(F.col("dot") / F.col("norm") / F.col("norm1"), 4).alias("cosine"))  # one row
+    side = lambda p: g.join(norms, "entity").select(F.col("entity").alias(p), "category", (F.col("w") / F.col("norm")).alias(f"w_{p}"))
+    pairs = rivals(s, d).join(side("subject"), "subject").join(side("rival"), ["rival", "category"])
+    return pairs.groupBy("subject", "rival").agg(F.round(F.sum(F.col("w_subject") * F.col("w_rival")), 4).alias("cosine"))
 
 
 QUERIES = {
@@ -130,21 +131,22 @@ ORACLES = {
     "dims_percentiles": f"WITH {_dims} SELECT dimension, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75 FROM long GROUP BY 1",
     "market_position": f"""WITH {_dims}, r AS (SELECT entity, cume_dist() OVER (PARTITION BY s_nationkey, dimension ORDER BY CASE WHEN dimension = 'promo' THEN -value ELSE value END) AS r FROM long JOIN supplier ON entity = s_suppkey)
       SELECT entity, round(100 * avg(r), 2) AS position FROM r GROUP BY 1""",
-    "gap_missing_top10": f"""WITH {OFFERS}, g AS (SELECT category, count(DISTINCT entity) AS peers, count(*) FILTER (promo) AS mentions, CAST(sum(price) // count(*) AS BIGINT) AS avg_price FROM offers WHERE entity <> 1
-      AND category NOT IN (SELECT category FROM offers WHERE entity = 1) GROUP BY 1) SELECT category, peers, avg_price, round(least(999.99, peers * (1 + mentions / 100)), 4) AS popularity FROM g ORDER BY popularity DESC, category LIMIT 10""",
+    "gap_missing_top10": f"""WITH {OFFERS}, {RIVALS}, o AS (SELECT entity, brand || '/' || category AS service, count(*) AS n, count(*) FILTER (promo) AS mentions, sum(price) AS price FROM offers GROUP BY 1, 2),
+      t AS (SELECT subject, service, count(*) AS peers, sum(mentions) AS mentions, CAST(sum(price) // sum(n) AS BIGINT) AS avg_price FROM rivals JOIN o ON entity = rival GROUP BY 1, 2),
+      g AS (SELECT *, round(least(999.99, peers * (1 + mentions / 100)), 4) AS popularity FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.entity = t.subject AND o.service = t.service))
+      SELECT subject, service, peers, avg_price, popularity FROM g QUALIFY row_number() OVER (PARTITION BY subject ORDER BY popularity DESC, service) <= 10""",
     "gap_lift": f"""WITH {OFFERS}, o AS (SELECT DISTINCT entity, category, s_nationkey AS region FROM offers JOIN supplier ON entity = s_suppkey), r AS (SELECT s_nationkey AS region, count(*) AS n FROM supplier GROUP BY 1),
       l AS (SELECT region, category, count(*) AS n FROM o GROUP BY 1, 2), b AS (SELECT category, count(*) AS n FROM o GROUP BY 1)
       SELECT l.region, l.category, round((l.n / r.n) / (b.n / (SELECT count(*) FROM supplier)), 4) AS lift FROM l JOIN r USING (region) JOIN b ON b.category = l.category""",
     "opportunities_top8": f"""WITH {OFFERS} SELECT * FROM (SELECT 'promo' AS kind, category, count(*) * 2 AS impact FROM offers WHERE promo GROUP BY 2 UNION ALL SELECT 'package', category, count(*) * 3 FROM offers WHERE package GROUP BY 2)
       ORDER BY impact DESC, kind, category LIMIT 8""",
-    "jaccard_sets": f"""WITH {OFFERS}, c AS (SELECT DISTINCT entity, category FROM offers), n AS (SELECT entity, count(*) AS n FROM c GROUP BY 1),
-      i AS (SELECT b.entity, count(*) AS i FROM c a JOIN c b ON a.category = b.category AND a.entity = 1 AND b.entity <> 1 GROUP BY 1)
-      SELECT n.entity, round(coalesce(i, 0) / (n.n + o.n - coalesce(i, 0)), 4) AS jaccard, round(coalesce(i, 0) / o.n, 4) AS overlap FROM n JOIN n o ON o.entity = 1 LEFT JOIN i ON i.entity = n.entity WHERE n.entity <> 1""",
+    "jaccard_sets": f"""WITH {OFFERS}, {RIVALS}, {SERVICES}, {OF_PAIR.format(pairs='rivals')} SELECT subject, rival, round(count(*) FILTER (n_subject > 0 AND n_rival > 0) / count(*), 4) AS jaccard,
+      round(count(*) FILTER (n_subject > 0 AND n_rival > 0) / count(*) FILTER (n_subject > 0), 4) AS overlap FROM both_sides GROUP BY 1, 2""",
     "benchmarks_rollup": f"""WITH {OFFERS}, x AS (SELECT price, n_regionkey, n_name FROM offers JOIN supplier ON entity = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
       SELECT 'all' AS scope, CAST(NULL AS INTEGER) AS n_regionkey, CAST(NULL AS VARCHAR) AS n_name, quantile_cont(price, 0.5) AS median, count(*) AS n FROM x HAVING count(*) >= 50
       UNION ALL SELECT 'region', n_regionkey, NULL, quantile_cont(price, 0.5), count(*) FROM x GROUP BY n_regionkey HAVING count(*) >= 50
       UNION ALL SELECT 'nation', n_regionkey, n_name, quantile_cont(price, 0.5), count(*) FROM x GROUP BY n_regionkey, n_name HAVING count(*) >= 50""",
     "focus_distribution": f"WITH {_focus}, h AS (SELECT entity, category, round(w / sum(w) OVER (PARTITION BY entity), 6) AS share FROM g) SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY entity ORDER BY share DESC, category) <= 5",
-    "sparse_cosine": f"""WITH {_focus}, n AS (SELECT entity, sqrt(sum(w * w)) AS norm FROM g GROUP BY 1) SELECT b.entity, round(sum(a.w * b.w) / any_value(m.norm) / any_value(k.norm), 4) AS cosine
-      FROM g a JOIN g b ON a.category = b.category AND a.entity = 1 AND b.entity <> 1 JOIN n m ON m.entity = b.entity JOIN n k ON k.entity = 1 GROUP BY 1""",
+    "sparse_cosine": f"""WITH {_focus}, {RIVALS}, n AS (SELECT entity, sqrt(sum(w * w)) AS norm FROM g GROUP BY 1) SELECT subject, rival, round(sum(a.w * b.w / m.norm / k.norm), 4) AS cosine
+      FROM rivals JOIN g a ON a.entity = subject JOIN g b ON b.entity = rival AND a.category = b.category JOIN n m ON m.entity = subject JOIN n k ON k.entity = rival GROUP BY 1, 2""",
 }

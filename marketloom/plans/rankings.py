@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
 from marketloom.operators import relational as R
+from marketloom.plans.joins import ENTITY, distance
 from marketloom.plans.offers import KEY, KEYS, OFFERS
 from marketloom.sources.tables import entities, offers, table
 
@@ -26,33 +27,65 @@ METRICS = f"""{OFFERS}, metrics AS (SELECT entity, count(*) AS n, count(DISTINCT
   any_value(s_nationkey) AS region, any_value(s_acctbal) AS score FROM offers JOIN supplier ON entity = s_suppkey GROUP BY 1)"""
 
 
+def rivals(s, d, k=5):
+    """``subject, rival``: each entity's k nearest others within five kilometres."""
+    e = entities(s, d)
+    pairs = R.geo_pairs(e, e, 5000.0).filter("a_id <> b_id").withColumn("m", F.round("distance_m", 3))
+    return R.top_k(pairs, ["a_id"], [F.col("m"), F.col("b_id")], k).select(F.col("a_id").alias("subject"), F.col("b_id").alias("rival"))
+
+
+RIVALS = f"""{ENTITY}, near AS (SELECT a.id AS subject, b.id AS rival, {distance('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS m FROM entity a JOIN entity b ON a.id <> b.id),
+placed AS (SELECT subject, rival, row_number() OVER (PARTITION BY subject ORDER BY round(m, 3), rival) AS place FROM near WHERE m <= 5000),
+rivals AS (SELECT subject, rival FROM placed WHERE place <= 5), nearest AS (SELECT subject, rival FROM placed WHERE place = 1)"""
+
+
+def services(s, d):
+    """``entity, service, n``: what each entity offers, a service being a brand's category."""
+    return offers(s, d).groupBy("entity", F.concat_ws("/", "brand", "category").alias("service")).agg(F.count("*").alias("n"))
+
+
+SERVICES = "services AS (SELECT entity, brand || '/' || category AS service, count(*) AS n FROM offers GROUP BY 1, 2)"
+
+
+def of_pair(s, d, pairs):
+    """The services of both entities of each pair: ``subject, rival, service, n_subject, n_rival``, 0 for lacking."""
+    own = services(s, d)
+    a = pairs.join(own, F.col("subject") == F.col("entity")).select("subject", "rival", "service", F.col("n").alias("n_subject"))
+    b = pairs.join(own, F.col("rival") == F.col("entity")).select("subject", "rival", "service", F.col("n").alias("n_rival"))
+    return a.join(b, ["subject", "rival", "service"], "full_outer").fillna(0, ["n_subject", "n_rival"])
+
+
+OF_PAIR = """both_sides AS (SELECT coalesce(a.subject, b.subject) AS subject, coalesce(a.rival, b.rival) AS rival, coalesce(a.service, b.service) AS service, coalesce(a.n, 0) AS n_subject, coalesce(b.n, 0) AS n_rival
+  FROM (SELECT subject, rival, service, n FROM {pairs} JOIN services ON entity = subject) a FULL JOIN (SELECT subject, rival, service, n FROM {pairs} JOIN services ON entity = rival) b USING (subject, rival, service))"""
+
+
 def scored(s, d):
-    """Each entity compared with entity 1 by the first composite score and its bucket."""
+    """Each entity compared with its rivals, by size, categories, mean price and region."""
     m = entity_metrics(s, d)
-    one = m.filter("entity = 1").select(F.col("n").alias("n1"), F.col("cats").alias("c1"), F.col("mean_price").alias("p1"), F.col("region").alias("r1"))
-    return m.filter("entity <> 1").join(F.broadcast(one)).select(  # one row
-        "entity", "region",
-        X.ratio_similarity(F.col("n"), F.col("n1")).alias("size_sim"),
-        X.ratio_similarity(F.col("cats"), F.col("c1")).alias("cat_sim"),
-        X.ratio_similarity(F.col("mean_price"), F.col("p1")).alias("price_sim"),
-        (F.col("region") == F.col("r1")).cast("int").alias("same_region"),
+    side = lambda p: m.select(F.col("entity").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "cats", "mean_price", "region")])
+    return rivals(s, d).join(side("subject"), "subject").join(side("rival"), "rival").select(
+        "subject", "rival",
+        X.ratio_similarity(F.col("rival_n"), F.col("subject_n")).alias("size_sim"),
+        X.ratio_similarity(F.col("rival_cats"), F.col("subject_cats")).alias("cat_sim"),
+        X.ratio_similarity(F.col("rival_mean_price"), F.col("subject_mean_price")).alias("price_sim"),
+        (F.col("rival_region") == F.col("subject_region")).cast("int").alias("same_region"),
     )
 
 
-SCORED = f"""{METRICS}, one AS (SELECT * FROM metrics WHERE entity = 1),
-scored AS (SELECT m.entity, m.region, least(m.n, o.n) / greatest(m.n, o.n) AS size_sim, least(m.cats, o.cats) / greatest(m.cats, o.cats) AS cat_sim,
+SCORED = f"""{METRICS}, {RIVALS},
+scored AS (SELECT subject, rival, least(m.n, o.n) / greatest(m.n, o.n) AS size_sim, least(m.cats, o.cats) / greatest(m.cats, o.cats) AS cat_sim,
   CASE WHEN m.mean_price <= 0 OR o.mean_price <= 0 THEN 0.0 ELSE least(m.mean_price, o.mean_price) / greatest(m.mean_price, o.mean_price) END AS price_sim,
-  CAST(m.region = o.region AS INTEGER) AS same_region FROM metrics m, one o WHERE m.entity <> 1)"""
+  CAST(m.region = o.region AS INTEGER) AS same_region FROM rivals JOIN metrics m ON m.entity = rival JOIN metrics o ON o.entity = subject)"""
 
 
 def composite_v1(s, d):
-    c = X.composite_v1(F.col("same_region"), F.col("size_sim"), F.col("cat_sim"), F.col("price_sim"), F.pmod(F.col("entity"), F.lit(12)))
-    return scored(s, d).select("entity", F.round(c, 3).alias("composite"))
+    c = X.composite_v1(F.col("same_region"), F.col("size_sim"), F.col("cat_sim"), F.col("price_sim"), F.pmod(F.col("rival"), F.lit(12)))
+    return scored(s, d).select("subject", "rival", F.round(c, 3).alias("composite"))
 
 
 def composite_v2(s, d):
-    c = X.composite_v2(F.col("same_region"), F.col("size_sim"), F.col("cat_sim"), F.col("price_sim"), F.lit(0.5), F.pmod(F.col("entity"), F.lit(12)))
-    return scored(s, d).select("entity", F.round(c, 3).alias("composite"))
+    c = X.composite_v2(F.col("same_region"), F.col("size_sim"), F.col("cat_sim"), F.col("price_sim"), F.lit(0.5), F.pmod(F.col("rival"), F.lit(12)))
+    return scored(s, d).select("subject", "rival", F.round(c, 3).alias("composite"))
 
 
 def bucket_v2(s, d):
@@ -61,7 +94,7 @@ def bucket_v2(s, d):
         F.when((F.col("size_sim") >= 0.70) & (F.col("price_sim") >= 0.85), "direct")
         .when(F.col("cat_sim") >= 0.70, "cluster").when(F.col("price_sim") >= 0.40, "aspirational").otherwise("new")
     )
-    return scored(s, d).select("entity", b.alias("bucket"))
+    return scored(s, d).select("subject", "rival", b.alias("bucket"))
 
 
 def topn_union_picks(s, d):
@@ -76,12 +109,9 @@ def union_first_wins(s, d):
 
 
 def multiset_recall(s, d):
-    """Share of entity 1's category counts that each entity covers: joined on category, not on all pairs."""
-    c = offers(s, d).groupBy("entity", "category").agg(F.count("*").alias("w"))
-    one = c.filter("entity = 1").select("category", F.col("w").alias("w1"))
-    total = one.agg(F.sum("w1").alias("t"))
-    return c.filter("entity <> 1").join(one, "category").groupBy("entity").agg(F.sum("w1").alias("hit")).join(F.broadcast(total)).select(
-        "entity", F.round(F.col("hit") / F.col("t"), 4).alias("recall"))  # one row
+    """Share of an entity's services, weighted by their number, that each rival covers."""
+    hit = F.sum(F.when(F.col("n_rival") > 0, F.col("n_subject")).otherwise(0))
+    return of_pair(s, d, rivals(s, d)).groupBy("subject", "rival").agg(F.round(hit / F.sum("n_subject"), 4).alias("recall"))
 
 
 QUERIES = {
@@ -96,8 +126,8 @@ QUERIES = {
     "bucket_v2": bucket_v2,
     "topn_union_picks": topn_union_picks,
     "union_first_wins": union_first_wins,
-    "set_difference": lambda s, d: offers(s, d).filter("entity = 2").select("category").subtract(offers(s, d).filter("entity = 1").select("category")),
-    "set_intersection": lambda s, d: offers(s, d).filter("entity = 2").select("category").intersect(offers(s, d).filter("entity = 1").select("category")),
+    "set_difference": lambda s, d: of_pair(s, d, rivals(s, d, 1)).filter("n_subject = 0").select("subject", "rival", "service"),
+    "set_intersection": lambda s, d: of_pair(s, d, rivals(s, d, 1)).filter("n_subject > 0 AND n_rival > 0").select("subject", "rival", "service"),
     "multiset_recall": multiset_recall,
     "mode_per_key": lambda s, d: offers(s, d).groupBy("category", "brand").agg(F.count("*").alias("n")).groupBy("category").agg(
         F.max_by("brand", F.struct("n", "brand")).alias("brand")),
@@ -111,18 +141,17 @@ ORACLES = {
     "top_k_per_group": f"WITH {OFFERS}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY price DESC, {KEYS}) AS place FROM offers) SELECT category, price, place, {KEYS} FROM r WHERE place <= 3",
     "max_relative": f"WITH {METRICS} SELECT entity, round(n / max(n) OVER (PARTITION BY region), 4) AS relative FROM metrics",
     "share_of_total": f"WITH {OFFERS}, g AS (SELECT entity, category, sum(price) AS p FROM offers GROUP BY 1, 2) SELECT entity, category, round(p / sum(p) OVER (PARTITION BY entity), 6) AS share FROM g",
-    "composite_v1": f"WITH {SCORED} SELECT entity, round(30 * same_region + 20 * size_sim + 25 * cat_sim + 10 * price_sim - 2 * greatest(0.0, entity % 12 - 5), 3) AS composite FROM scored",
-    "composite_v2": f"WITH {SCORED} SELECT entity, round(30 * same_region + 25 * size_sim + 20 * cat_sim + 20 * price_sim + 10 * 0.5 - 2 * greatest(0.0, entity % 12 - 5), 3) AS composite FROM scored",
-    "bucket_v2": f"WITH {SCORED} SELECT entity, CASE WHEN size_sim >= 0.70 AND price_sim >= 0.85 THEN 'direct' WHEN cat_sim >= 0.70 THEN 'cluster' WHEN price_sim >= 0.40 THEN 'aspirational' ELSE 'new' END AS bucket FROM scored",
+    "composite_v1": f"WITH {SCORED} SELECT subject, rival, round(30 * same_region + 20 * size_sim + 25 * cat_sim + 10 * price_sim - 2 * greatest(0.0, rival % 12 - 5), 3) AS composite FROM scored",
+    "composite_v2": f"WITH {SCORED} SELECT subject, rival, round(30 * same_region + 25 * size_sim + 20 * cat_sim + 20 * price_sim + 10 * 0.5 - 2 * greatest(0.0, rival % 12 - 5), 3) AS composite FROM scored",
+    "bucket_v2": f"WITH {SCORED} SELECT subject, rival, CASE WHEN size_sim >= 0.70 AND price_sim >= 0.85 THEN 'direct' WHEN cat_sim >= 0.70 THEN 'cluster' WHEN price_sim >= 0.40 THEN 'aspirational' ELSE 'new' END AS bucket FROM scored",
     "topn_union_picks": f"""WITH {METRICS}, p AS (SELECT unnest(range(1, 200, 37)) AS entity), m AS (SELECT entity, score, entity IN (SELECT entity FROM p) AS picked FROM metrics),
       best AS (SELECT * FROM m ORDER BY score DESC, entity LIMIT 10) SELECT * FROM best UNION ALL SELECT * FROM m WHERE picked AND entity NOT IN (SELECT entity FROM best)""",
     "union_first_wins": """WITH u AS (SELECT 0 AS f, o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 UNION ALL
       SELECT 1, o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000)
       SELECT o_custkey, o_orderkey, o_totalprice FROM u QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY f, o_orderkey) = 1""",
-    "set_difference": f"WITH {OFFERS} SELECT category FROM offers WHERE entity = 2 EXCEPT SELECT category FROM offers WHERE entity = 1",
-    "set_intersection": f"WITH {OFFERS} SELECT category FROM offers WHERE entity = 2 INTERSECT SELECT category FROM offers WHERE entity = 1",
-    "multiset_recall": f"""WITH {OFFERS}, c AS (SELECT entity, category, count(*) AS w FROM offers GROUP BY 1, 2), one AS (SELECT * FROM c WHERE entity = 1)
-      SELECT c.entity, round(sum(one.w) / (SELECT sum(w) FROM one), 4) AS recall FROM c JOIN one USING (category) WHERE c.entity <> 1 GROUP BY 1""",
+    "set_difference": f"WITH {OFFERS}, {RIVALS}, {SERVICES}, {OF_PAIR.format(pairs='nearest')} SELECT subject, rival, service FROM both_sides WHERE n_subject = 0",
+    "set_intersection": f"WITH {OFFERS}, {RIVALS}, {SERVICES}, {OF_PAIR.format(pairs='nearest')} SELECT subject, rival, service FROM both_sides WHERE n_subject > 0 AND n_rival > 0",
+    "multiset_recall": f"WITH {OFFERS}, {RIVALS}, {SERVICES}, {OF_PAIR.format(pairs='rivals')} SELECT subject, rival, round(sum(n_subject) FILTER (n_rival > 0) / sum(n_subject), 4) AS recall FROM both_sides GROUP BY 1, 2",
     "mode_per_key": f"WITH {OFFERS}, c AS (SELECT category, brand, count(*) AS n FROM offers GROUP BY 1, 2) SELECT category, brand FROM c QUALIFY row_number() OVER (PARTITION BY category ORDER BY n DESC, brand DESC) = 1",
     "cross_category_repeats": f"WITH {OFFERS} SELECT brand, count(DISTINCT category) - 1 AS repeats FROM offers GROUP BY 1",
 }

@@ -115,7 +115,7 @@ QUERIES = {
     "existing_references": references,
     "verified_pairs": verified,
     "failed_run_retries": retried,
-    "enrol_due": lambda s, d: R.enrol(table(s, d, "customer"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", F.col("c_mktsegment") == "BUILDING", ["c_custkey"]).select("c_custkey", "c_name"),
+    "enrol_due": lambda s, d: R.enrol(table(s, d, "customer"), table(s, d, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", F.col("c_mktsegment") == "BUILDING", ["c_custkey"]).select("c_custkey", "c_name"),
     "alert_fan_out": lambda s, d: R.fan_out(table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n")), table(s, d, "customer").filter("c_acctbal > 9000").select("c_custkey", F.col("c_nationkey").alias("n")), "n").select("s_suppkey", "c_custkey"),
     "box_quarters": quarters,
     "recent_event_summary": hourly,
@@ -162,7 +162,7 @@ n AS (SELECT DISTINCT key, false AS w FROM p WHERE p_partkey % 11 = 0) SELECT p_
 FROM p LEFT JOIN c USING (key) LEFT JOIN n USING (key)""",
     "failed_run_retries": """WITH l AS (SELECT user_id % 40 AS combo, arg_max(event_type, ts) AS k, max(ts) AS finished FROM events WHERE ts <= TIMESTAMP '2024-01-20' GROUP BY 1)
 SELECT combo, finished FROM l WHERE k = 'error' AND finished <= TIMESTAMP '2024-01-19 23:55:00' AND finished >= TIMESTAMP '2024-01-19' ORDER BY finished, combo LIMIT 5""",
-    "enrol_due": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 200",
+    "enrol_due": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000) ORDER BY c_custkey LIMIT 200",
     "alert_fan_out": "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 9000",
     "box_quarters": """WITH e AS (SELECT s_suppkey AS id, 52 + ((s_suppkey * 7919) % 1000) / 5000 AS y, 21 + ((s_suppkey * 104729) % 1000) / 5000 AS x FROM supplier)
 SELECT id, q::INT AS quarter, round(y + (q < 2)::INT, 6) AS top, round(x + 2 * (q % 2 = 0)::INT, 6) AS right, round(y - (q >= 2)::INT, 6) AS bottom, round(x - 2 * (q % 2 = 1)::INT, 6) AS left FROM e, range(4) r(q)""",

@@ -10,13 +10,15 @@ from marketloom.operators import relational as R
 from marketloom.sources.tables import events, table
 
 #: A small lexicon of markers and aliases over the driver's part names.
+ALIASES = ["ring", "bolt", "widget", "gear", "gizmo", "small", "blue", "absent"]
 LEXICON = {"a": "a", "number": r"\d", "part": "part", "seven": "7"}
 
 
 def alias_match(s, d):
     """Parts whose name holds an alias token: tokens meet aliases by an equi-join, not by one expression an alias."""
     parts = table(s, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(X.fold_words(F.col("p_name")), " "))).alias("token"))
-    aliases = table(s, d, "nation").select(F.concat(F.col("n_nationkey").cast("string")).alias("token"), F.col("n_name").alias("method"))
+    token = F.get(F.array(*map(F.lit, ALIASES)), F.pmod("n_nationkey", F.lit(len(ALIASES))))
+    aliases = table(s, d, "nation").select(token.alias("token"), F.col("n_name").alias("method"))
     return parts.join(aliases, "token").groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
 
 
@@ -33,7 +35,7 @@ def cascade(s, d):
 
 QUERIES = {
     "json_extract": lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k")),
-    "text_fold": lambda s, d: table(s, d, "documents").select("doc_id", F.substring(X.fold(F.col("text")), 1, 200).alias("folded")),
+    "text_fold": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("folded_sha256"), F.length(X.fold(F.col("text"))).alias("n_chars")),
     "text_fold_whole": lambda s, d: table(s, d, "documents").select("doc_id", X.fold(F.col("text")).alias("folded")),
     "fold_words": lambda s, d: table(s, d, "benchmark").select("item_id", X.fold_words(F.col("text")).alias("folded")),
     "marker_extract": lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.markers(F.col("p_name"), LEXICON), ",").alias("markers"), X.first_marker(F.col("p_type"), {"s": "s", "e": "e"}).alias("first")),
@@ -54,10 +56,10 @@ _words = f"trim(regexp_replace({_fold}, '[^a-z0-9]+', ' ', 'g'))"
 _set = f"list_distinct(list_filter(string_split({_words}, ' '), lambda w: len(w) > 1))"
 _markers = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches({_fold.format(c='p_name')}, '{rx}') THEN '{k}' END" for k, rx in sorted(LEXICON.items())) + ")"
 _alias = f"""t AS (SELECT DISTINCT p_partkey, unnest(string_split({_words.format(c='p_name')}, ' ')) AS token FROM part),
-m AS (SELECT p_partkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS methods FROM t JOIN nation ON token = CAST(n_nationkey AS VARCHAR) GROUP BY 1)"""
+m AS (SELECT p_partkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS methods FROM t JOIN nation ON token = {ALIASES}[n_nationkey % {len(ALIASES)} + 1] GROUP BY 1)"""
 ORACLES = {
     "json_extract": "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
-    "text_fold": f"SELECT doc_id, substr({_fold.format(c='text')}, 1, 200) AS folded FROM documents",
+    "text_fold": f"SELECT doc_id, sha256(folded) AS folded_sha256, length(folded) AS n_chars FROM (SELECT doc_id, {_fold.format(c='text')} AS folded FROM documents)",
     "text_fold_whole": f"SELECT doc_id, {_fold.format(c='text')} AS folded FROM documents",
     "fold_words": f"SELECT item_id, {_words.format(c='text')} AS folded FROM benchmark",
     "marker_extract": f"SELECT p_partkey, {_markers} AS markers, CASE WHEN regexp_matches(lower(p_type), 's') THEN 's' WHEN regexp_matches(lower(p_type), 'e') THEN 'e' END AS first FROM part",
