@@ -22,8 +22,8 @@ REFERENCE_STRICTNESS = 0.6
 def votes(df: DataFrame) -> DataFrame:
     """Columns ``vote_*`` of -1, 0 or 1. An abstaining vote is 0, never null.
 
-    Expects ``s_*`` (subject) and ``o_*`` (offer) columns: params (number or null), package, area (sorted array),
-    category, minutes, price.
+    Expects ``s_*`` (subject) and ``o_*`` (offer) columns: params (number or null), package, area (sorted array), words
+    (of the category, none if it is neutral), minutes, price.
     """
     same = F.col("s_params") == F.col("o_params")
     a, b = F.col("s_words"), F.col("o_words")
@@ -56,16 +56,22 @@ def matches(strictness: Column) -> Column:
 
 def adaptive_strictness(df: DataFrame, prefer: str = "sufficiency", min_entities: int = 3, min_purity: float = 0.9) -> DataFrame:
     """``subject, strictness, purity, entities``: the smallest strictness of the grid whose matches are pure and many
-    enough, else the best by the preference. One aggregation computes all five levels; no copy of the rows is made."""
+    enough, else the best by the preference.
+
+    A row that matches at one strictness matches at all smaller ones, so the rows of a subject's entity are reduced
+    to the highest level that it reaches and two counts a level, before subjects meet; no copy of the rows is made.
+    """
     pure = matches(F.lit(REFERENCE_STRICTNESS))
+    hits = [matches(F.lit(s)) for s in GRID]
     entity = F.coalesce(F.concat(F.lit("e"), F.col("o_entity").cast("string")), F.concat(F.lit("o"), F.col("o_id").cast("string")))
+    reached = sum((h.cast("int") for h in hits), F.lit(0))
+    by_entity = df.groupBy("subject", entity.alias("_entity")).agg(
+        F.max(reached).alias("_reached"),
+        *[F.count_if(h).alias(f"_h{k}") for k, h in enumerate(hits)], *[F.count_if(h & pure).alias(f"_q{k}") for k, h in enumerate(hits)],
+    )
     aggs = []
-    for k, s in enumerate(GRID):
-        hit = matches(F.lit(s))
-        aggs += [
-            F.coalesce(F.avg(F.when(hit, pure.cast("double"))), F.lit(1.0)).alias(f"p{k}"),
-            F.count_distinct(F.when(hit, entity)).alias(f"n{k}"),
-        ]
+    for k in range(len(GRID)):
+        aggs += [F.coalesce(F.try_divide(F.sum(f"_q{k}"), F.sum(f"_h{k}")), F.lit(1.0)).alias(f"p{k}"), F.count_if(F.col("_reached") > k).alias(f"n{k}")]
     levels = F.array(
         *[F.struct(F.lit(s).alias("strictness"), F.col(f"p{k}").alias("purity"), F.col(f"n{k}").alias("entities"), F.lit(-k).alias("o")) for k, s in enumerate(GRID)]
     )
@@ -73,7 +79,7 @@ def adaptive_strictness(df: DataFrame, prefer: str = "sufficiency", min_entities
     by = ("entities", "purity") if prefer == "sufficiency" else ("purity", "entities")
     best = F.array_max(F.transform("levels", lambda x: F.struct(x[by[0]].alias("a"), x[by[1]].alias("b"), x["o"].alias("o"), x.alias("x"))))["x"]
     return (
-        df.groupBy("subject").agg(*aggs).withColumn("levels", levels).withColumn("pick", F.coalesce(first, best))
+        by_entity.groupBy("subject").agg(*aggs).withColumn("levels", levels).withColumn("pick", F.coalesce(first, best))
         .select("subject", "pick.strictness", "pick.purity", "pick.entities")
     )
 

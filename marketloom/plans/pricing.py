@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
 from marketloom.operators import pricing as P
 from marketloom.operators import relational as R
 from marketloom.plans.offers import OFFERS
+from marketloom.plans.rankings import RIVALS, rivals
 from marketloom.sources.tables import offers
 
 
+#: Body areas and neutral words among the words of names, and how names of generic services begin.
+AREAS = ["blue", "red"]
+NEUTRAL = "gear"
+GENERIC = "^small "
+
+
+def label(name, part):
+    """A name with a volume, as offers carry it; a quarter of them have none."""
+    return F.when(part % 4 == 0, name).otherwise(F.concat_ws(" ", name, (part % 3 * 5 + 5).cast("string"), F.lit("ml")))
+
+
 def samples(s, d):
-    """Subjects (the first offer of each brand in each category) with all offers of their category.
+    """Every entity's services (its newest single offer of each brand's category) with the offers of its eight nearest
+    rivals of the same brand and category, within six times the price either way.
 
-    Subject and offers meet by category and a band of size, so that the pool of one subject stays local.
+    Each rival's offers meet the subject by an equi-join, so a pool is as large as eight entities' share of one brand's
+    category. ``peer_max_sim`` is the best similarity to another offer of the pool: that to a neighbour by minutes.
     """
-    o = offers(s, d).withColumn("oid", F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price"))
-    o = o.groupBy("oid").agg(*[F.first(c).alias(c) for c in ("entity", "price", "minutes", "name", "brand", "category", "package")])
+    o = offers(s, d).groupBy(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price").alias("oid"), "l_partkey", "entity", "price", "minutes", "name", "brand", "category", "package").agg(F.max("ts").alias("ts"))
+    text = label(F.col("name"), F.col("l_partkey"))
+    words = X.word_set(F.col("name"))
+    neutral = F.array().cast("array<string>")
     side = lambda p: [
-        F.col("oid").alias(f"{p}id"), F.col("entity").alias(f"{p}entity"), F.col("price").alias(f"{p}price"), F.col("minutes").alias(f"{p}minutes"),
-        F.col("name").alias(f"{p}name"), F.col("package").alias(f"{p}package"), F.pmod(F.length("name"), F.lit(4)).alias(f"{p}params"),
-        F.array(F.col("brand")).alias(f"{p}area"), F.split("category", " ").alias(f"{p}words"),
+        F.col("oid").alias(f"{p}id"), F.col("price").alias(f"{p}price"), F.col("minutes").alias(f"{p}minutes"), F.col("name").alias(f"{p}name"),
+        F.col("package").alias(f"{p}package"), X.parameter(text, "ml").alias(f"{p}params"),
+        F.array_intersect(words, F.array(*map(F.lit, AREAS))).alias(f"{p}area"),
+        F.when(F.array_contains(words, NEUTRAL), neutral).otherwise(words).alias(f"{p}words"),
     ]
-    first = R.latest_per_key(o.filter("NOT package"), ["category", "brand"], [F.col("oid")])
-    subject = first.select("category", F.concat_ws("|", "category", "brand").alias("subject"), *side("s_"))
-    offer = o.select("category", *side("o_"))
-    pairs = subject.join(offer, "category").filter("s_id <> o_id")
-    sim = F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4)
-    peer = F.round(F.least(F.lit(1.0), F.col("o_minutes") / 50 + 0.2), 4)
-    return pairs.withColumns({"similarity": sim, "peer_max_sim": peer})
+    newest = R.latest_per_key(o.filter("NOT package"), ["entity", "category", "brand"], [F.desc("ts"), F.col("oid")])
+    subject = newest.select("category", "brand", F.col("entity").alias("s_entity"), F.concat_ws("|", "entity", "category", "brand").alias("subject"), *side("s_"))
+    offer = o.select("category", "brand", F.col("entity").alias("o_entity"), *side("o_"))
+    near = rivals(s, d, 8).select(F.col("subject").alias("s_entity"), F.col("rival").alias("o_entity"))
+    pairs = subject.join(near, "s_entity").join(offer, ["o_entity", "category", "brand"])
+    pairs = pairs.filter(F.greatest("s_price", "o_price") <= 6 * F.least("s_price", "o_price"))
+    order = Window.partitionBy("subject").orderBy("o_minutes", "o_id")
+    beside = [f("o_minutes").over(order) for f in (F.lag, F.lead)]
+    peer = F.greatest(*[F.when(x.isNotNull(), X.ratio_similarity(F.col("o_minutes"), x)) for x in beside])
+    return pairs.withColumns(
+        {"similarity": F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4), "peer_max_sim": F.round(peer, 4)}
+    )
 
 
 def generic():
-    return F.length("s_name") < 10
+    return F.col("s_name").rlike(GENERIC)
 
 
 def voted(s, d):
@@ -42,17 +65,27 @@ def voted(s, d):
 
 VOTES = ["vote_params", "vote_package", "vote_area", "vote_category", "vote_duration", "vote_price"]
 
-SAMPLES = f"""{OFFERS}, o AS (SELECT DISTINCT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber, price) AS oid, entity, price, minutes, name, brand, category, package FROM offers),
-f AS (SELECT * FROM o WHERE NOT package QUALIFY row_number() OVER (PARTITION BY category, brand ORDER BY oid) = 1),
-samples AS (SELECT s.category || '|' || s.brand AS subject, s.oid AS s_id, o.oid AS o_id, s.price AS s_price, o.price AS o_price, s.minutes AS s_minutes, o.minutes AS o_minutes,
-  s.name AS s_name, o.name AS o_name, s.package AS s_package, o.package AS o_package, length(s.name) % 4 AS s_params, length(o.name) % 4 AS o_params, s.brand AS s_area, o.brand AS o_area,
-  o.entity AS o_entity, round(CASE WHEN least(s.minutes, o.minutes) <= 0 THEN 0.0 ELSE least(s.minutes, o.minutes) / greatest(s.minutes, o.minutes) END, 4) AS similarity,
-  round(least(1.0, o.minutes / 50 + 0.2), 4) AS peer_max_sim FROM f s JOIN o ON s.category = o.category AND s.oid <> o.oid),
-voted AS (SELECT *, CASE WHEN s_params = o_params THEN 1 ELSE -1 END AS vote_params, CASE WHEN s_package <> o_package THEN -1 ELSE 0 END AS vote_package,
-  CASE WHEN s_area <> o_area THEN -1 ELSE 0 END AS vote_area, 1 AS vote_category,
+_ratio = "CASE WHEN least({a}, {b}) <= 0 THEN 0.0 ELSE least({a}, {b}) / greatest({a}, {b}) END"
+_label = "CASE WHEN l_partkey % 4 = 0 THEN name ELSE name || ' ' || CAST(l_partkey % 3 * 5 + 5 AS VARCHAR) || ' ml' END"
+_area = f"list_filter(string_split({{n}}, ' '), lambda w: list_contains({AREAS}, w))"
+_shared = "len(list_intersect(string_split(s_name, ' '), string_split(o_name, ' ')))"
+_fewest = "least(len(list_distinct(string_split(s_name, ' '))), len(list_distinct(string_split(o_name, ' '))))"
+_eight = RIVALS.replace("place <= 5", "place <= 8")
+SAMPLES = f"""{OFFERS}, {_eight}, o AS (SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber, price) AS oid, l_partkey, entity, price, minutes, name, brand, category, package, max(ts) AS ts,
+  TRY_CAST(replace(regexp_extract({_label}, '(\\d+(?:[.,]\\d+)?)\\s*ml\\b', 1), ',', '.') AS DOUBLE) AS params FROM offers GROUP BY ALL),
+f AS (SELECT * FROM o WHERE NOT package QUALIFY row_number() OVER (PARTITION BY entity, category, brand ORDER BY ts DESC, oid) = 1),
+pairs AS (SELECT concat_ws('|', s.entity, s.category, s.brand) AS subject, s.oid AS s_id, o.oid AS o_id, s.price AS s_price, o.price AS o_price, s.minutes AS s_minutes, o.minutes AS o_minutes,
+  s.name AS s_name, o.name AS o_name, s.package AS s_package, o.package AS o_package, s.params AS s_params, o.params AS o_params, {_area.format(n='s.name')} AS s_area, {_area.format(n='o.name')} AS o_area,
+  o.entity AS o_entity FROM f s JOIN rivals r ON r.subject = s.entity JOIN o ON o.entity = r.rival AND o.category = s.category AND o.brand = s.brand WHERE greatest(s.price, o.price) <= 6 * least(s.price, o.price)),
+beside AS (SELECT *, lag(o_minutes) OVER w AS before, lead(o_minutes) OVER w AS after FROM pairs WINDOW w AS (PARTITION BY subject ORDER BY o_minutes, o_id)),
+samples AS (SELECT *, round({_ratio.format(a='s_minutes', b='o_minutes')}, 4) AS similarity,
+  round(CASE WHEN before IS NULL AND after IS NULL THEN NULL ELSE greatest(CASE WHEN before IS NOT NULL THEN {_ratio.format(a='before', b='o_minutes')} END, CASE WHEN after IS NOT NULL THEN {_ratio.format(a='after', b='o_minutes')} END) END, 4) AS peer_max_sim FROM beside),
+voted AS (SELECT *, CASE WHEN s_params = o_params THEN 1 WHEN s_params <> o_params THEN -1 ELSE 0 END AS vote_params, CASE WHEN s_package <> o_package THEN -1 ELSE 0 END AS vote_package,
+  CASE WHEN len(s_area) > 0 AND len(o_area) > 0 AND list_sort(s_area) <> list_sort(o_area) THEN -1 ELSE 0 END AS vote_area,
+  CASE WHEN contains(s_name, '{NEUTRAL}') OR contains(o_name, '{NEUTRAL}') THEN 0 WHEN {_shared} / {_fewest} >= 0.5 THEN 1 ELSE -1 END AS vote_category,
   CASE WHEN greatest(s_minutes, o_minutes) >= 3 * least(s_minutes, o_minutes) THEN -1 ELSE 0 END AS vote_duration,
   CASE WHEN greatest(s_price / s_minutes, o_price / o_minutes) >= 4 * least(s_price / s_minutes, o_price / o_minutes) THEN -1 ELSE 0 END AS vote_price FROM samples),
-margins AS (SELECT *, vote_params + vote_package + vote_area + 1.5 * vote_duration + 0.5 * vote_price + vote_category * CASE WHEN length(s_name) < 10 THEN 2.0 ELSE 0.4 END AS margin,
+margins AS (SELECT *, vote_params + vote_package + vote_area + 1.5 * vote_duration + 0.5 * vote_price + vote_category * CASE WHEN starts_with(s_name, 'small ') THEN 2.0 ELSE 0.4 END AS margin,
   vote_params = -1 OR vote_package = -1 OR vote_area = -1 AS veto FROM voted),
 levels AS (SELECT subject, strictness, coalesce(avg(CAST(margin >= -1.5 + 1.6 * 0.6 AS INTEGER)) FILTER (hit), 1.0) AS purity, count(DISTINCT o_entity) FILTER (hit) AS entities FROM
   (SELECT m.*, strictness, NOT veto AND margin >= -1.5 + 1.6 * strictness AS hit FROM margins m, (SELECT CAST(unnest([0, 0.25, 0.5, 0.75, 1]) AS DOUBLE) AS strictness)) GROUP BY 1, 2),
@@ -78,7 +111,7 @@ def staged(s, d, until):
 
 QUERIES = {
     "identity_votes": lambda s, d: voted(s, d).groupBy(*VOTES).agg(F.count("*").alias("n")),
-    "identity_margin": lambda s, d: voted(s, d).groupBy("subject").agg(F.round(F.avg("margin"), 4).alias("margin"), F.count_if(P.matches(F.lit(0.6))).alias("n_pure")),
+    "identity_margin": lambda s, d: voted(s, d).groupBy("subject").agg(F.sum(F.round(10 * F.col("margin")).cast("long")).alias("margin_tenths"), F.count_if(P.matches(F.lit(0.6))).alias("n_pure")),
     "adaptive_identity": lambda s, d: P.adaptive_strictness(voted(s, d)).select("subject", "strictness", F.round("purity", 4).alias("purity"), "entities"),
     "coherence_guard": lambda s, d: staged(s, d, "coherent"),
     "dedup_closest": lambda s, d: staged(s, d, "single"),
@@ -87,7 +120,7 @@ QUERIES = {
 
 ORACLES = {
     "identity_votes": f"WITH {SAMPLES} SELECT {', '.join(VOTES)}, count(*) AS n FROM voted GROUP BY ALL",
-    "identity_margin": f"WITH {SAMPLES} SELECT subject, round(avg(margin), 4) AS margin, count(*) FILTER (NOT veto AND margin >= -1.5 + 1.6 * 0.6) AS n_pure FROM margins GROUP BY 1",
+    "identity_margin": f"WITH {SAMPLES} SELECT subject, sum(CAST(round(10 * margin) AS BIGINT)) AS margin_tenths, count(*) FILTER (NOT veto AND margin >= -1.5 + 1.6 * 0.6) AS n_pure FROM margins GROUP BY 1",
     "adaptive_identity": f"WITH {SAMPLES} SELECT subject, strictness, round(purity, 4) AS purity, entities FROM picked",
     "coherence_guard": f"WITH {SAMPLES} SELECT subject, o_id, similarity FROM coherent",
     "dedup_closest": f"WITH {SAMPLES} SELECT subject, o_id, similarity FROM single",
