@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
-from marketloom.operators.relational import top_k
+from marketloom.operators.relational import latest_per_key, top_k
 
 DAY = 24 * 60
 
@@ -87,16 +87,25 @@ def team_changes(members: DataFrame, entity: str, member: str, period: str) -> D
 
 
 def migrations(members: DataFrame, entity: str, member: str, period: str) -> DataFrame:
-    """Members that leave one entity and are new at another in the next period: ``confidence`` is high for a single
-    destination, else low. Sides meet by member and period, after a step that keeps only leavers and newcomers."""
+    """Members that leave one entity and are new at another in the next period, one destination for each departure:
+    ``member, period, origin, destination, confidence``.
+
+    The k-th departure of a member and period goes to its k-th arrival, by entity; ``confidence`` is high where both are
+    the only ones. Leavers and newcomers are numbered and joined by number, so a busy member costs its moves only.
+    """
     m = members.select(entity, member, period).distinct()
     w = Window.partitionBy(entity, member).orderBy(period)
     seen = m.withColumns({"_next": F.lead(period).over(w), "_prev": F.lag(period).over(w)})
     left = seen.filter(~F.col("_next").eqNullSafe(F.col(period) + 1)).select(F.col(entity).alias("origin"), member, (F.col(period) + 1).alias(period))
     came = seen.filter(~F.col("_prev").eqNullSafe(F.col(period) - 1)).select(F.col(entity).alias("destination"), member, period)
-    moves = left.join(came, [member, period]).filter("origin <> destination")
-    n = F.count("*").over(Window.partitionBy("origin", member, period))
-    return moves.withColumn("confidence", F.when(n == 1, "high").otherwise("low"))
+
+    def numbered(df: DataFrame, side: str) -> DataFrame:
+        own = Window.partitionBy(member, period)
+        return df.withColumns({"_k": F.row_number().over(own.orderBy(side)), f"_n_{side}": F.count("*").over(own)})
+
+    moves = numbered(left, "origin").join(numbered(came, "destination"), [member, period, "_k"]).filter("origin <> destination")
+    sure = (F.col("_n_origin") == 1) & (F.col("_n_destination") == 1)
+    return moves.select(member, period, "origin", "destination", F.when(sure, "high").otherwise("low").alias("confidence"))
 
 
 def chain_trail(df: DataFrame, key: str, order: list[str], id_: str, every: int = 30) -> DataFrame:
@@ -112,11 +121,27 @@ def chain_trail(df: DataFrame, key: str, order: list[str], id_: str, every: int
 
 
 def package_matches(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Each package with the single offer of its key that is closest in minutes, then in price: ``saving_pct, verdict``."""
-    package = df.filter("package").select(*key, *order, "price", "minutes")
-    single = df.filter("NOT package").select(*key, *[F.col(c).alias(f"single_{c}") for c in (*order, "price", "minutes")])
-    near = [F.abs(F.col("minutes") - F.col("single_minutes")), F.abs(F.col("price") - F.col("single_price")), *[F.col(f"single_{c}") for c in order]]
-    best = top_k(package.join(single, key), [*key, *order], near, 1)
+    """Each package with the single offer of its key that is closest in minutes, then in price: ``saving_pct, verdict``.
+
+    Single offers are reduced to the first of each price and minutes; then to the nearest minutes below and above each
+    package by one ordered window; only offers of these minutes meet the package.
+    """
+    at = [F.col(c) for c in order]
+    single = latest_per_key(df.filter("NOT package"), [*key, "minutes", "price"], at)
+    stops = single.select(*key, "minutes").distinct().withColumn("_stop", F.col("minutes"))
+    wanted = df.filter("package").select(*key, "minutes").distinct().withColumn("_stop", F.lit(None).cast("int"))
+    both = stops.unionByName(wanted)
+    w = Window.partitionBy(*key).orderBy("minutes")
+    below = F.last("_stop", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    above = F.first("_stop", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    near = both.withColumns({"_below": below, "_above": above}).filter("_stop IS NULL")
+    gap = lambda c: F.abs(F.col(c) - F.col("minutes"))
+    least = F.least(gap("_below"), gap("_above"))
+    sides = F.array_distinct(F.array_compact(F.array(*[F.when(gap(c) == least, F.col(c)) for c in ("_below", "_above")])))
+    near = near.select(*key, "minutes", F.explode(sides).alias("single_minutes"))
+    prices = single.select(*key, *[F.col(c).alias(f"single_{c}") for c in (*order, "price", "minutes")])
+    package = df.filter("package").select(*key, *order, "price", "minutes").join(near, [*key, "minutes"]).join(prices, [*key, "single_minutes"])
+    best = top_k(package, [*key, *order], [F.abs(F.col("price") - F.col("single_price")), *[F.col(f"single_{c}") for c in order]], 1)
     saving = F.round(100.0 * (F.col("single_price") - F.col("price")) / F.col("single_price"), 2)
     return best.withColumn("saving_pct", saving).withColumn("verdict", X.package_verdict(F.col("saving_pct")))
 

@@ -141,16 +141,6 @@ def band_pairs(df: DataFrame, key: list[str], id_: str, value: str, ratio: float
 # --- vectors ----------------------------------------------------------------------------------------------
 
 
-def knn_within(subjects: DataFrame, vectors: DataFrame, on: str, k: int, floor: float) -> DataFrame:
-    """For each subject the k most similar vectors of its ``on`` key, from ``floor`` up: ``subject_id, id, similarity``."""
-    left = subjects.select(F.col("id").alias("subject_id"), F.col("vector").alias("_v"), on)
-    sim = F.round(X.cosine(F.col("_v"), F.col("vector")), 4)
-    pairs = left.join(vectors, on).filter(F.col("subject_id") != F.col("id")).withColumn("similarity", sim)
-    return top_k(pairs.filter(F.col("similarity") >= floor), ["subject_id"], [F.desc("similarity"), F.col("id")], k).select(
-        "subject_id", "id", "similarity"
-    )
-
-
 def centroids(df: DataFrame, key: str, weight: Column) -> DataFrame:
     """Weighted mean vector of each key, scaled to length 1: partial sums by dimension, then one array."""
     parts = df.select(key, weight.cast("double").alias("w"), F.posexplode("vector").alias("d", "x"))

@@ -271,7 +271,8 @@ SELECT entity, period, (SELECT count(*) FROM m WHERE m.entity = p.entity AND m.p
 FROM (SELECT p.*, (SELECT count(*) FROM m a JOIN m b USING (entity, member) WHERE a.entity = p.entity AND a.period = p.period AND b.period = p.before) AS k FROM p) p""",
     "staff_migrations": f"""WITH {_members}, l AS (SELECT entity AS origin, member, period + 1 AS period FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.entity = a.entity AND b.member = a.member AND b.period = a.period + 1)),
 c AS (SELECT entity AS destination, member, period FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.entity = a.entity AND b.member = a.member AND b.period = a.period - 1))
-SELECT member, period, origin, destination, CASE WHEN count(*) OVER (PARTITION BY origin, member, period) = 1 THEN 'high' ELSE 'low' END AS confidence FROM l JOIN c USING (member, period) WHERE origin <> destination""",
+, ln AS (SELECT *, row_number() OVER (PARTITION BY member, period ORDER BY origin) AS k, count(*) OVER (PARTITION BY member, period) AS n FROM l), cn AS (SELECT *, row_number() OVER (PARTITION BY member, period ORDER BY destination) AS k, count(*) OVER (PARTITION BY member, period) AS n FROM c)
+SELECT member, period, origin, destination, CASE WHEN ln.n = 1 AND cn.n = 1 THEN 'high' ELSE 'low' END AS confidence FROM ln JOIN cn USING (member, period, k) WHERE origin <> destination""",
     "chain_trail": """WITH n AS (SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders)
 SELECT o_custkey, o_orderkey, first(o_orderkey) OVER (PARTITION BY o_custkey, i // 5 ORDER BY i) AS base, CAST(i % 5 AS INTEGER) AS depth, i % 5 = 0 AS is_checkpoint FROM n""",
     "profile_overlap": f"""WITH {OFFERS}, {RIVALS}, n AS (SELECT entity, category, count(*) AS n FROM offers GROUP BY ALL), x AS (SELECT entity, category, n / sum(n) OVER (PARTITION BY entity) AS share FROM n)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marketloom.functions import exprs as X
 from marketloom.operators import relational as R
+from marketloom.operators.blocks import nearest_within
 from marketloom.sources.tables import vectors
 
 VECTORS = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vector, label, vec_id % 50 AS entity FROM embeddings)"
@@ -13,11 +13,9 @@ COS = "round(list_cosine_similarity({a}.vector, {b}.vector), 4)"
 
 
 def peer_max(s, d):
-    """Each vector's greatest similarity to another one of its label: pairs meet by label only."""
+    """Each vector's greatest similarity to another one of its label."""
     v = vectors(s, d)
-    other = v.select(F.col("id").alias("other"), F.col("vector").alias("w"), "label")
-    sim = F.round(X.cosine(F.col("vector"), F.col("w")), 4)
-    return v.join(other, "label").filter(F.col("id") != F.col("other")).groupBy("id").agg(F.max(sim).alias("peer_max_sim"))
+    return nearest_within(v, v, "label", 1).select(F.col("subject_id").alias("id"), F.col("similarity").alias("peer_max_sim"))
 
 
 def weighted(s, d):
@@ -33,7 +31,7 @@ def nearest(s, d):
 _sums = "p AS (SELECT label, unnest(vector) AS x, generate_subscripts(vector, 1) - 1 AS dim, {w} AS w FROM v), m AS (SELECT label, dim, sum(w * x) / sum(w) AS x FROM p GROUP BY 1, 2)"
 
 QUERIES = {
-    "cosine_topk": lambda s, d: R.knn_within(vectors(s, d), vectors(s, d), "entity", 5, -1.0),
+    "cosine_topk": lambda s, d: nearest_within(vectors(s, d), vectors(s, d), "entity", 5),
     "peer_max_sim": peer_max,
     "weighted_centroid": weighted,
     "nearest_centroid": nearest,
