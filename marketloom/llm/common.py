@@ -40,7 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Staged tables in the shared folder: they cut lineage and outlive lost executors."""
+    """Staged tables in the shared folder: they cut lineage and outlive lost executors.
+
+    Results are read from them later, so they stay until the folder is cleared.
+    """
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
@@ -62,16 +65,6 @@ class Scratch:
             conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *staged: DataFrame) -> None:
-        """Delete staged tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in staged:
-            for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                if path.startswith(self.root) or self.root.split("://")[-1] in path:
-                    p = jvm.org.apache.hadoop.fs.Path(path)
-                    p.getFileSystem(conf).delete(p, True)
-
 
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null or blank text gives an empty array."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import table
-from marketloom.llm.tokens import GLUE, PieceEncoder, arrow_blocks, release, vocabulary_path
+from marketloom.llm.tokens import GLUE, PieceEncoder, arrow_blocks, load_tokenizer, release, vocabulary_path
 
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split a text before merging.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,11 +33,11 @@ def whole_tokens(tok) -> frozenset[str]:
 class TokenCounter(PieceEncoder):
     """Counts without building ids; texts are cut into pieces as in PieceEncoder."""
 
-    def __init__(self, path: str, max_pieces: int = 300_000) -> None:
+    def __init__(self, path: str, whole: frozenset[str], max_pieces: int = 300_000) -> None:
         import regex
 
         super().__init__(path, max_pieces)
-        self.whole = whole_tokens(self.tok)
+        self.whole = whole
         self.pattern = regex.compile(PRE_TOKEN)
 
     def _learn(self, new: list[str]) -> dict[str, int]:
@@ -85,23 +85,30 @@ class PieceModelCounter:
 _counters: dict = {}
 
 
-def counter(path: str):
+def counter(path: str, whole: frozenset[str] | None = None):
+    """The worker's own counter; ``whole`` is the vocabulary's proof, made here if it is not given."""
     if path not in _counters:
         release()
-        _counters[path] = PieceModelCounter(path) if path.endswith(".model") else TokenCounter(path)
+        if path.endswith(".model"):
+            _counters[path] = PieceModelCounter(path)
+        else:
+            _counters[path] = TokenCounter(path, whole_tokens(load_tokenizer(path)) if whole is None else whole)
     return _counters[path]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of every text; null counts as empty, with no tokens.
 
-    One pass over the texts in the tasks that read them, no shuffle. Special strings in a text count as the
+    One pass over the texts in the tasks that read them, no shuffle; the proof of whole tokens is made once, before it,
+    and sent to them (its size is that of the vocabulary). Special strings in a text count as the
     library's default has it. Very long texts are counted whole; repeated rows each get their row.
     """
     path = vocabulary_path(vocabulary)
+    proof = None if path.endswith(".model") else whole_tokens(load_tokenizer(path))
+    held = docs.sparkSession.sparkContext.broadcast(proof)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        count = counter(path, held.value).count
         for batch in batches:
             n = [count(texts) for _, texts in arrow_blocks(batch, 1)]
             yield pa.RecordBatch.from_arrays(

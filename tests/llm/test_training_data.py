@@ -417,6 +417,129 @@ def test_license_scan(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_sentence_pieces(spark, docs):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokens.vocabulary_path("piece_bpe_32k.model"))
+    want = {i: len(model.encode(t or "")) for i, t in TEXTS}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, "piece_bpe_32k.model").collect()} == want
+
+
+def test_near_recall(spark):
+    """Every pair at the limit or above, over a whole table, against all pairs of sets: one document of each class."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        s = near_dedup.shingle_set(r.text or "", 3)
+        if len(s):
+            sets.setdefault(s.tobytes(), []).append(r.doc_id)
+    classes = [(min(ids), frozenset(np.frombuffer(k, np.uint64).tolist())) for k, ids in sets.items()]
+    parent = {r.doc_id: r.doc_id for r in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for ids in sets.values():
+        for i in ids:
+            parent[i] = min(ids)
+    links = 0
+    for k, (i, a) in enumerate(classes):
+        for j, b in classes[:k]:
+            if 100 * min(len(a), len(b)) >= 85 * max(len(a), len(b)) and 100 * len(a & b) >= 85 * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                parent[y] = x
+                links += 1
+    got = {r.doc_id: r.component_id for r in QUERIES["op4_near_dedup"](spark, SF).collect()}
+    assert got == {i: top(i) for i in parent} and len(rows) > 100
+
+
+def test_mixing_targets(spark):
+    """Taken words of each source near its target, no document over twice its size, on a whole table."""
+    got = QUERIES["op9_mixing"](spark, "/root/testdata/sf0.01").collect()
+    texts = {r.doc_id: (r.text, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    by = collections.defaultdict(list)
+    for r in got:
+        text, source = texts[r.doc_id]
+        assert r["size"] == len(words(text)) and r.taken in (0, r["size"], 2 * r["size"])
+        by[source].append(r)
+    sizes = {s: sum(r["size"] for r in rows) for s, rows in by.items()}
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), 1.5 * sum(sizes.values())
+    while True:  # refill until nobody is above the cap
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if level * weight[s] > 2 * sizes[s]]
+        if not over:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        for s in over:
+            target[s] = 2 * sizes[s]
+            left -= target[s]
+            open_.remove(s)
+        if not open_:
+            break
+    for s, rows in by.items():
+        assert all(abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and r.source_size == sizes[s] for r in rows)
+        longest = max(r["size"] for r in rows)
+        assert abs(sum(r.taken for r in rows) - target[s]) <= max(1, longest / 2)
+
+
 def test_pipeline(spark):
     rows = QUERIES["pipeline"](spark, SF).collect()
     assert rows and all(r.length <= 2048 for r in rows)
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Planted copies, junk and clean documents through all stages, with null ids, repeated rows and clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    clean = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(clean)]
+    rows += [(100 + i, clean[i]) for i in range(10)]  # exact copies
+    rows += [(200 + i, clean[i] + " more") for i in range(10, 15)]  # near copies
+    rows += [(300, "short"), (301, None), (302, ""), (303, "the same eight words come round and round " * 9), (None, clean[39] + " null id"), (None, None), (5, clean[5]), (7, "other text of a known id " + clean[20][200:])]
+    cols = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, size string, component_id string"
+    frame = lambda r: spark.createDataFrame([(i, t, "en", "s", 1, "k", "z", "c") for i, t in r], cols)
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id bigint, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts_of = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    good = stages["quality rules"](spark, frame(rows), str(tmp_path))
+    want = collections.Counter((i, t) for i, t in rows if t is not None and len(words(t)) >= 20 and not t.startswith("the same"))
+    assert texts_of(good) == want and good.columns == frame(rows).columns
+    once = stages["exact dedup"](spark, good, str(tmp_path))
+    keep = {}
+    for i, t in want:
+        keep[t] = i if t not in keep else min(keep[t], i)
+    assert texts_of(once) == collections.Counter((i, t) for t, i in keep.items())
+    one = stages["near dedup"](spark, once, str(tmp_path))
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    items = sorted(((i, t) for t, i in keep.items()), key=lambda x: (x[0] is None, x[0] or 0))
+    kept = []
+    for k, (i, t) in enumerate(items):
+        if not any(len(shingles(t) & shingles(u)) >= 0.8 * len(shingles(t) | shingles(u)) for _, u in items[:k]):
+            kept.append((i, t))
+    assert texts_of(one) == collections.Counter(kept) and 30 < len(kept) < len(items)
+    mix = stages["mixing"](spark, one, str(tmp_path))
+    times = texts_of(mix)
+    assert set(times) <= set(kept) and max(times.values()) <= 2
+    size = lambda c: sum(len(words(t)) * n for (_, t), n in c.items())
+    assert abs(size(times) - 1.5 * size(collections.Counter(kept))) <= 61
+    packed = stages["packing"](spark, mix, str(tmp_path)).collect()
+    ids = {t: [*library().encode(t, add_special_tokens=False).ids, 0] for _, t in kept}
+    assert collections.Counter((r.doc_id, r.ids_crc32) for r in packed) == collections.Counter({(i, zlib.crc32(np.array(ids[t], "<u4").tobytes())): n for (i, t), n in times.items()})
+    ends = collections.defaultdict(int)
+    for r in sorted(packed, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 2048
+    nothing = frame(rows[:1]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
