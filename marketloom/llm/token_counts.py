@@ -33,6 +33,8 @@ def whole_tokens(tok) -> frozenset[str]:
 class TokenCounter(PieceEncoder):
     """Counts without building ids; texts are cut into pieces as in PieceEncoder."""
 
+    stores_ids = False
+
     def __init__(self, path: str, whole: frozenset[str], max_pieces: int = 300_000) -> None:
         import regex
 

@@ -57,9 +57,11 @@ def splits_at_spaces(path: str) -> bool:
 class PieceEncoder:
     """Encodes batches of texts; ``max_pieces`` bounds the table of pieces kept between batches.
 
-    A batch's new pieces come on top. When the table is over its bound, the half that was met most often stays.
+    ``stores_ids`` is false for counters, which keep the numbers of ids alone. A batch's new pieces come on top. When the table is over its bound, the half that was met most often stays.
     """
 
+    stores_ids = True
+
     def __init__(self, path: str, max_pieces: int = 300_000) -> None:
         self.tok = load_tokenizer(path)
         self.cuts = splits_at_spaces(path)
@@ -161,7 +163,8 @@ class PieceEncoder:
     def _shrink(self) -> None:
         """Keep the half of the bound that was met most often."""
         keep = np.sort(np.argsort(-self.met[: self.slots], kind="stable")[: self.max_pieces // 2])
-        self.pool, ends = self._gather(keep)
+        pool, ends = self._gather(keep) if self.stores_ids else (self.pool[:0], np.cumsum(self.len[keep], dtype=np.int32))
+        self.pool = pool
         place = np.full(self.slots, -1, np.int64)
         place[keep] = np.arange(len(keep))
         for name in ("len", "met", "white"):

@@ -208,6 +208,19 @@ def test_tokens_equal_library(texts):
     assert token_counts.counter(path).count(texts).tolist() == list(map(len, want))
 
 
+def test_small_tables_of_pieces():
+    """Tables that overflow at every batch give the library's ids and counts all the same."""
+    path = tokens.vocabulary_path("byte_bpe_50k.json")
+    rng = random.Random(9)
+    encode = tokens.PieceEncoder(path, 60)
+    count = token_counts.TokenCounter(path, token_counts.whole_tokens(encode.tok), 60)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the", "river", f"x{rng.randrange(500)}", "end.\nNew", "", "a,b", "ß!"]) for _ in range(rng.randrange(60))) for _ in range(8)]
+        want = [e.ids for e in encode.tok.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in encode.encode(texts)] == want and count.count(texts).tolist() == list(map(len, want))
+    assert len(encode.slot) < 600 and len(count.slot) < 600
+
+
 def test_counts_packing_and_files(spark, docs, empty):
     ids = {i: library().encode(t or "", add_special_tokens=False).ids for i, t in TEXTS}
     assert all(r.n_tokens == len(ids[r.doc_id]) for r in token_counts.count_tokens(docs).collect())
