@@ -52,6 +52,24 @@ def assigned(pairs: DataFrame, key: str, same_name: Column, score: str, tie: str
     return R.latest_per_key(pairs.withColumn("by_name", same_name), [key], [F.desc("by_name"), F.desc(score), F.col(tie)])
 
 
+def cascade(items: DataFrame, cached: DataFrame, alias: DataFrame, near: DataFrame, key: str, near_key: str, sure: float = 0.75, candidate: float = 0.55, top: int = 5) -> DataFrame:
+    """``label, classifier, candidates`` of each key: its cached label, else its aliases' label, else the most similar one from
+    ``sure`` up, else none.
+
+    ``near`` holds ``near_key, label, similarity`` and is reduced to one row a ``near_key`` before it meets the items. What the
+    first two leave open has its labels from ``candidate`` up, ``top`` at most, best first, for a later decision.
+    """
+    close = R.top_k(near.filter(F.col("similarity") >= candidate), [near_key], [F.desc("similarity"), F.col("label")], top)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), F.col("label").cast("string").alias("label"))))
+    close = close.groupBy(near_key).agg(ranked.alias("_near"))
+    out = items.join(cached.select(key, F.col("label").alias("_c")), key, "left").join(alias.select(key, F.col("label").alias("_a")), key, "left").join(close, near_key, "left")
+    best = F.get("_near", F.lit(0))
+    by_vector = F.when(best["far"] <= -sure, best["label"])
+    who = F.when(F.col("_c").isNotNull(), "cache").when(F.col("_a").isNotNull(), "alias").when(by_vector.isNotNull(), "vector").otherwise("none")
+    open_ = F.col("_c").isNull() & F.col("_a").isNull()
+    return out.select(key, F.coalesce("_c", "_a", by_vector).alias("label"), who.alias("classifier"), F.when(open_, F.array_join(F.transform("_near", lambda x: x["label"]), ",")).alias("candidates"))
+
+
 def cluster_confidence(names: DataFrame, key: list[str], name: str, family: str) -> DataFrame:
     """``high`` if all names of a cluster are equal without separators, ``medium`` if no two differ by more than two
     letters, else ``low``; also low across families, for a family's bare name, and where lengths differ by over six.

@@ -193,3 +193,63 @@ def period_change(df: DataFrame, key: list[str], at: str, end: Column, days: int
     counts = df.filter((F.col(at) >= start) & (F.col(at) < end)).groupBy(*key).agg(
         F.count_if(F.col(at) >= middle).alias("recent"), F.count_if(F.col(at) < middle).alias("prior"))
     return counts.withColumn("change_pct", F.round(100.0 * F.try_divide(F.col("recent") - F.col("prior"), "prior"), 2))
+
+
+# --- market of a phrase -----------------------------------------------------------------------------------
+
+
+def phrase_pool(offers: DataFrame, anchor: Column) -> DataFrame:
+    """Offers that the phrase hits (``anchor``) and those of the category that most of these have: one filter, as an offer
+    that both ways find counts once, by the first. The category is one row."""
+    hits = offers.filter(anchor).groupBy("category").agg(F.count("*").alias("n"))
+    channel = hits.orderBy(F.desc("n"), "category").limit(1).select(F.col("category").alias("_channel"))
+    marked = offers.join(F.broadcast(channel)).withColumn("anchor", anchor)
+    return marked.filter(F.col("anchor") | (F.col("category") == F.col("_channel"))).drop("_channel")
+
+
+def twin_services(services: DataFrame, pool: DataFrame, groups: DataFrame, reps: int, floor: float) -> DataFrame:
+    """``key, category, group, by_name``: services (``key, category, vector``) of the groups' names, and others whose
+    vector has a cosine of ``floor`` to one of a group's ``reps`` most offered services.
+
+    An equal name beats any similarity; of several groups the most similar one wins, then the smallest name. Groups are a
+    short ranked list, so their services travel as one row, and each service takes its best one without more rows.
+    """
+    offered = pool.groupBy("key", "category").agg(F.count("*").alias("n")).join(F.broadcast(groups.select("key")), "key").join(services, ["key", "category"])
+    shown = top_k(offered, ["key"], [F.desc("n"), F.col("category")], reps)
+    one = shown.agg(F.sort_array(F.collect_list(F.struct("key", "category", "vector"))).alias("_reps"))
+    met = services.join(F.broadcast(one)).select(
+        "key", "category",
+        F.transform("_reps", lambda r: F.struct(
+            (r["key"] != F.col("key")).cast("int").alias("other"), (-F.round(X.cosine(F.col("vector"), r["vector"]), 4)).alias("far"), r["key"].alias("group"),
+        )).alias("_met"),
+    )
+    best = F.array_min(F.filter("_met", lambda m: (m["other"] == 0) | (m["far"] <= -floor)))
+    return met.select("key", "category", best.alias("_b")).filter("_b IS NOT NULL").select("key", "category", F.col("_b.group").alias("group"), (F.col("_b.other") == 0).alias("by_name"))
+
+
+def market_snapshot(offers: DataFrame, services: DataFrame, growth: DataFrame, anchor: Column, top: int = 12, reps: int = 3, floor: float = 0.6, thin: int = 2) -> DataFrame:
+    """The market of a phrase: groups of its offers by name with what comparable services of the area cost.
+
+    ``offers`` are ``key, category, brand, entity, price, minutes``. The ``top`` largest names of the pool form groups, each with
+    a made-up subject (mode of brands, median minutes). Twins join them; an entity has one voice, its median price a minute in
+    whole units, and a group's percentiles are on the subject's minutes. Groups of under ``thin`` entities are left out. ``demand`` is the
+    median ``growth_pct`` (of ``growth``: ``entity, growth_pct``) of a group's entities; the greatest comes first.
+    """
+    pool = phrase_pool(offers, anchor)
+    groups = pool.groupBy("key").agg(
+        F.count("*").alias("n_pool"), F.count_if("anchor").alias("n_anchors"), F.mode("brand", True).alias("brand"), F.percentile("minutes", F.lit(0.5)).alias("minutes"),
+    ).orderBy(F.desc("n_pool"), "key").limit(top)
+    twins = twin_services(services, pool, groups, reps, floor)
+    voices = offers.join(twins, ["key", "category"]).groupBy("group", "entity").agg(
+        F.round(F.percentile(F.col("price") / F.col("minutes"), F.lit(0.5))).alias("unit"), F.count("*").alias("n"), F.count_if(~F.col("by_name")).alias("n_twins")
+    )
+    priced = voices.join(growth, "entity", "left").groupBy("group").agg(
+        F.percentile("unit", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"), F.count("*").alias("entities"), F.sum("n").alias("n"),
+        F.sum("n_twins").alias("n_twins"), F.round(F.median("growth_pct"), 2).alias("demand"),
+    ).filter(F.col("entities") >= thin)
+    cost = lambda i: F.round(F.col("p")[i] * F.col("minutes"), 2)
+    out = groups.join(priced, groups["key"] == priced["group"]).select(
+        "key", "brand", "minutes", "n_pool", "n_anchors", "n", "n_twins", "entities", X.sufficiency(F.col("entities")).alias("sufficiency"),
+        cost(0).alias("p25"), cost(1).alias("median"), cost(2).alias("p75"), "demand",
+    )
+    return out.orderBy(F.desc_nulls_last("demand"), F.desc("entities"), "key")

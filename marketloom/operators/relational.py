@@ -150,11 +150,11 @@ def centroids(df: DataFrame, key: str, weight: Column) -> DataFrame:
     return array.select(key, mean.alias("m")).select(key, F.transform("m", lambda x: x / X.norm(F.col("m"))).alias("centroid"))
 
 
-def nearest_centroid(vectors: DataFrame, centres: DataFrame, key: str) -> DataFrame:
-    """Each vector's most similar centre; ties by key. Centres are few, one row per cluster."""
+def nearest_centroid(vectors: DataFrame, centres: DataFrame, key: str, k: int = 1) -> DataFrame:
+    """Each vector's k most similar centres; ties by key. Centres are few, one row per cluster."""
     sim = F.round(X.cosine(F.col("vector"), F.col("centroid")), 4)
     pairs = vectors.join(F.broadcast(bounded(centres)).withColumnRenamed(key, "centre")).withColumn("similarity", sim)
-    return top_k(pairs, ["id"], [F.desc("similarity"), F.col("centre")], 1).select("id", "centre", "similarity")
+    return top_k(pairs, ["id"], [F.desc("similarity"), F.col("centre")], k).select("id", "centre", "similarity")
 
 
 def bounded(df: DataFrame, most: int = 100_000) -> DataFrame:

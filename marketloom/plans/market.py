@@ -11,11 +11,13 @@ from marketloom.operators import relational as R
 from marketloom.plans.joins import ENTITY, distance
 from marketloom.plans.offers import DEVIATION, ELIGIBLE, KEY, KEYS, OFFERS, eligible, with_deviation
 from marketloom.plans.rankings import RIVALS, rivals
-from marketloom.sources.tables import entities, events, offers, table
+from marketloom.sources.tables import entities, events, offers, table, vectors
 
 END = "2024-01-31 00:00:00"
 BUCKET = "CASE WHEN minutes IS NULL THEN 'unknown' WHEN minutes <= 30 THEN 'short' WHEN minutes <= 90 THEN 'medium' ELSE 'long' END"
 WORDS = ["page", "footer", "nav", "cookie"]
+#: Names that mean the same, with their common alias.
+SAME = {"hot gear": "warm gear", "red gear": "warm gear", "small ring": "little ring", "new ring": "little ring"}
 
 
 def bucketed(s, d):
@@ -170,20 +172,35 @@ def lookup(s, d):
     return o.groupBy("key").agg(F.max_by("category", F.struct("n", "category")).alias("category"), F.sum("n").alias("n"))
 
 
+PLACE = (52.1, 21.1, 9000.0)
+SINCE = "2001-10-01 00:00:00"
+FLOOR = 0.3  # the driver's vectors are random: few pairs are nearer
+
+
 def snapshot(s, d):
-    """Offers of one phrase grouped by name: price, entities and recent share, the twelve largest groups first."""
-    o = offers(s, d).filter(eligible(None) & F.lower("name").contains("widget"))
-    g = o.groupBy(X.lookup_key(F.col("name")).alias("key")).agg(
-        F.mode("brand", True).alias("brand"), F.percentile("price", F.lit(0.5)).alias("median"), F.count_distinct("entity").alias("entities"), F.count("*").alias("n"),
-        F.round(F.count_if(F.year("ts") >= 2000) / F.count("*"), 6).alias("recent"),
-    )
-    return g.filter("entities >= 2").orderBy(F.desc("n"), "key").limit(12)
+    """The market of "widget" within nine kilometres, of offers since October 2001. A service is a name in a category, with the
+    vector of its first part's number; demand is the growth of an entity's offers from 1999 to 2000."""
+    at = X.haversine_m(F.lit(PLACE[0]), F.lit(PLACE[1]), F.col("lat"), F.col("lng"))
+    area = entities(s, d).filter(at <= PLACE[2]).select(F.col("id").alias("entity"))
+    o = offers(s, d).filter(eligible(None)).join(area, "entity", "left_semi").withColumn("key", X.lookup_key(F.col("name")))
+    first = table(s, d, "part").groupBy(X.lookup_key(F.col("p_name")).alias("key"), F.col("p_type").alias("category")).agg((F.min("p_partkey") % 500).alias("id"))
+    services = first.join(vectors(s, d).select("id", "vector"), "id").drop("id")
+    years = o.groupBy("entity").agg(F.count_if(F.year("ts") == 1999).alias("a"), F.count_if(F.year("ts") == 2000).alias("b"))
+    growth = years.select("entity", F.try_divide(100.0 * (F.col("b") - F.col("a")), F.col("a")).alias("growth_pct"))
+    return M.market_snapshot(o.filter(F.col("ts") >= F.lit(SINCE).cast("timestamp")), services, growth, F.col("key").contains("widget"), floor=FLOOR)
 
 
 def components(s, d):
-    """Names of one brand within two edits of each other, and what they connect."""
+    """Names of one brand within two edits of each other, or with one alias, and what they connect.
+
+    Names of an alias meet its smallest id, so an alias of many names gives a star, not all pairs.
+    """
     names = table(s, d, "part").groupBy("p_brand", F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
-    return C.components(C.close_names(names, "p_brand", "id", F.col("name")))
+    alias = F.create_map(*[F.lit(x) for pair in SAME.items() for x in pair])[F.col("name")]
+    hits = names.select("p_brand", "id", alias.alias("alias")).filter("alias IS NOT NULL")
+    least = hits.groupBy("p_brand", "alias").agg(F.min("id").alias("a"))
+    stars = hits.join(least, ["p_brand", "alias"]).filter("id <> a").select("a", F.col("id").alias("b"))
+    return C.components(C.close_names(names, "p_brand", "id", F.col("name")).unionByName(stars))
 
 
 def repaired(s, d):
@@ -299,12 +316,24 @@ SELECT a_id, b_id, round(more, 2) AS more_hours FROM p WHERE m <= 8000 QUALIFY r
     "hidden_keyword": f"SELECT page_id, {_word.format(c='html')} AS word FROM pages WHERE {_word.format(c='url')} IS NULL AND {_word.format(c='html')} IS NOT NULL",
     "cluster_merge": f"WITH {OFFERS}, c AS (SELECT category, brand, count(*) AS n FROM offers GROUP BY ALL) SELECT category, arg_max(brand, (n, -length(brand), brand)) AS winner, string_agg(brand, ',' ORDER BY brand) AS aliases, CAST(sum(n) AS BIGINT) AS usage FROM c GROUP BY 1",
     "daily_cap": "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2",
-    "market_snapshot": f"""WITH {OFFERS}, w AS (SELECT {_key} AS key, * FROM offers WHERE {ELIGIBLE} AND contains(lower(name), 'widget')),
-b AS (SELECT key, brand FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, brand) = 1)
-SELECT key, any_value(b.brand) AS brand, quantile_cont(price, 0.5) AS median, count(DISTINCT entity) AS entities, count(*) AS n, round(count(*) FILTER (year(ts) >= 2000) / count(*), 6) AS recent
-FROM w JOIN b USING (key) GROUP BY 1 HAVING count(DISTINCT entity) >= 2 ORDER BY n DESC, key LIMIT 12""",
-    "name_components": """WITH RECURSIVE n AS (SELECT p_brand, lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY ALL), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b USING (p_brand)
-WHERE a.id <> b.id AND length(a.name) >= 8 AND length(b.name) >= 8 AND levenshtein(a.name, b.name) <= 2), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+    "market_snapshot": f"""WITH {OFFERS}, {ENTITY}, w AS (SELECT *, {_key} AS key FROM offers WHERE {ELIGIBLE} AND entity IN (SELECT id FROM entity WHERE {distance(str(PLACE[0]), str(PLACE[1]), 'lat', 'lng')} <= {PLACE[2]})), e AS (SELECT * FROM w WHERE ts >= TIMESTAMP '{SINCE}'),
+ch AS (SELECT category FROM e WHERE contains(key, 'widget') GROUP BY 1 ORDER BY count(*) DESC, category LIMIT 1), pool AS (SELECT * FROM e WHERE contains(key, 'widget') OR category = (SELECT category FROM ch)),
+g AS (SELECT key, count(*) AS n_pool, count(*) FILTER (contains(key, 'widget')) AS n_anchors, quantile_cont(minutes, 0.5) AS minutes FROM pool GROUP BY 1 ORDER BY 2 DESC, key LIMIT 12),
+br AS (SELECT key, brand FROM pool GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, brand) = 1),
+sv AS (SELECT f.*, embedding::DOUBLE[] AS v FROM (SELECT lower(trim(p_name)) AS key, p_type AS category, min(p_partkey) % 500 AS vid FROM part GROUP BY 1, 2) f JOIN embeddings ON vec_id = vid),
+r AS (SELECT * FROM (SELECT key, category, count(*) AS n FROM pool GROUP BY 1, 2) JOIN g USING (key) JOIN sv USING (key, category) QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, category) <= 3),
+m AS (SELECT sv.key, sv.category, r.key AS grp, sv.key = r.key AS by_name, round(list_cosine_similarity(sv.v, r.v), 4) AS sim FROM sv, r),
+a AS (SELECT * FROM m WHERE by_name OR sim >= {FLOOR} QUALIFY row_number() OVER (PARTITION BY key, category ORDER BY by_name DESC, sim DESC, grp) = 1),
+vo AS (SELECT grp, entity, round(quantile_cont(price / minutes, 0.5)) AS unit, count(*) AS n, count(*) FILTER (NOT by_name) AS t FROM e JOIN a USING (key, category) GROUP BY 1, 2),
+y AS (SELECT entity, count(*) FILTER (year(ts) = 1999) AS a, count(*) FILTER (year(ts) = 2000) AS b FROM w GROUP BY 1), gr AS (SELECT entity, 100.0 * (b - a) / nullif(a, 0) AS pct FROM y),
+pr AS (SELECT grp, quantile_cont(unit, 0.25) AS p1, quantile_cont(unit, 0.5) AS p2, quantile_cont(unit, 0.75) AS p3, count(*) AS entities, CAST(sum(n) AS BIGINT) AS n, CAST(sum(t) AS BIGINT) AS n_twins, round(median(pct::DOUBLE), 2) AS demand
+  FROM vo LEFT JOIN gr USING (entity) GROUP BY 1 HAVING count(*) >= 2)
+SELECT g.key, brand, minutes, n_pool, n_anchors, n, n_twins, entities, CASE WHEN entities >= 5 THEN 'full' WHEN entities >= 3 THEN 'thin' ELSE 'insufficient' END AS sufficiency,
+  round(p1 * minutes, 2) AS p25, round(p2 * minutes, 2) AS median, round(p3 * minutes, 2) AS p75, demand FROM g JOIN br USING (key) JOIN pr ON grp = g.key""",
+    "name_components": f"""WITH RECURSIVE n AS (SELECT p_brand, lower(p_name) AS name, min(p_partkey) AS id FROM part GROUP BY ALL),
+h AS (SELECT n.*, alias FROM n JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in SAME.items())}) x(name, alias) USING (name)), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b USING (p_brand)
+WHERE a.id <> b.id AND length(a.name) >= 8 AND length(b.name) >= 8 AND levenshtein(a.name, b.name) <= 2
+UNION SELECT a.id, b.id FROM h a JOIN h b USING (p_brand, alias) WHERE a.id <> b.id), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
 SELECT id, min(c) AS component FROM r GROUP BY 1""",
     "json_repair": "SELECT event_id, replace(props, ' ', '') AS props FROM events",
     "json_patch": "SELECT event_id, '{\"n\": ' || event_id || '}' AS props FROM events",

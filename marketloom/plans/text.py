@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
 from marketloom.functions.exprs import ACCENTS, PLAIN
+from marketloom.operators import decisions as D
 from marketloom.operators import relational as R
-from marketloom.sources.tables import events, table
+from marketloom.plans.vectors import CENTRES
+from marketloom.sources.tables import events, table, vectors
 
 #: A small lexicon of markers and aliases over the driver's part names.
 ALIASES = ["ring", "bolt", "widget", "gear", "gizmo", "small", "blue", "absent"]
@@ -22,15 +24,18 @@ def alias_match(s, d):
     return parts.join(aliases, "token").groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_set("method")), ",").alias("methods"))
 
 
+#: The driver's vectors are random, so its thresholds are below the operator's own.
+SURE, CANDIDATE = 0.3, 0.15
+
+
 def cascade(s, d):
-    """First answer of three classifiers: a cache by key, an alias, the size; with its name as provenance."""
-    p = table(s, d, "part")
-    cache = p.filter("p_partkey % 10 = 0").select("p_partkey", F.lit("cached").alias("by_cache"))
-    alias = alias_match(s, d).select("p_partkey", F.col("methods").alias("by_alias"))
-    j = p.select("p_partkey", "p_size").join(cache, "p_partkey", "left").join(alias, "p_partkey", "left")
-    by_size = F.when(F.col("p_size") >= 25, "large")
-    who = F.when(F.col("by_cache").isNotNull(), "cache").when(F.col("by_alias").isNotNull(), "alias").when(by_size.isNotNull(), "size").otherwise("none")
-    return j.select("p_partkey", F.coalesce("by_cache", "by_alias", by_size).alias("label"), who.alias("classifier"))
+    """Parts by a cache, an alias, or the nearest of the labels' mean vectors to the vector of the part's number."""
+    p = table(s, d, "part").select("p_partkey", (F.col("p_partkey") % 500).alias("vid"))
+    cache = p.filter("p_partkey % 10 = 0").select("p_partkey", F.lit("cached").alias("label"))
+    alias = alias_match(s, d).select("p_partkey", F.col("methods").alias("label"))
+    v = vectors(s, d)
+    near = R.nearest_centroid(v, R.centroids(v, "label", F.lit(1.0)), "label", 5).select(F.col("id").alias("vid"), F.col("centre").alias("label"), "similarity")
+    return D.cascade(p, cache, alias, near, "p_partkey", "vid", SURE, CANDIDATE)
 
 
 QUERIES = {
@@ -71,8 +76,11 @@ ORACLES = {
     "email_extract": "SELECT page_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), lambda x: lower(x)))), ',') AS emails FROM pages",
     "package_names": "SELECT doc_id, coalesce(regexp_matches(text, '\\b\\d+x\\b'), false) AS package FROM documents",
     "alias_match": f"WITH {_alias} SELECT * FROM m",
-    "classifier_cascade": f"""WITH {_alias} SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'cached' WHEN methods IS NOT NULL THEN methods WHEN p_size >= 25 THEN 'large' END AS label,
-      CASE WHEN p_partkey % 10 = 0 THEN 'cache' WHEN methods IS NOT NULL THEN 'alias' WHEN p_size >= 25 THEN 'size' ELSE 'none' END AS classifier FROM part LEFT JOIN m USING (p_partkey)""",
+    "classifier_cascade": f"""WITH {_alias}, {CENTRES}, k AS (SELECT * FROM q WHERE similarity >= {CANDIDATE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, centre) <= 5),
+      n AS (SELECT id, max(similarity) AS best, arg_min(CAST(centre AS VARCHAR), (-similarity, centre)) AS label, string_agg(CAST(centre AS VARCHAR), ',' ORDER BY similarity DESC, CAST(centre AS VARCHAR)) AS candidates FROM k GROUP BY 1)
+      SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'cached' WHEN methods IS NOT NULL THEN methods WHEN best >= {SURE} THEN label END AS label,
+      CASE WHEN p_partkey % 10 = 0 THEN 'cache' WHEN methods IS NOT NULL THEN 'alias' WHEN best >= {SURE} THEN 'vector' ELSE 'none' END AS classifier,
+      CASE WHEN p_partkey % 10 <> 0 AND methods IS NULL THEN candidates END AS candidates FROM part LEFT JOIN m USING (p_partkey) LEFT JOIN n ON n.id = p_partkey % 500""",
     "content_quality": "SELECT source, count(*) AS n, round(100.0 * count(*) FILTER (length(text) >= 300) / count(*), 2) AS long_pct, CAST(max(length(text)) AS INTEGER) AS longest FROM documents GROUP BY 1",
     "condensed_list": "SELECT p_brand, string_agg(p_name, '; ' ORDER BY p_partkey) AS names FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 5) GROUP BY 1",
 }
