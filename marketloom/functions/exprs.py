@@ -249,6 +249,17 @@ def composite_v2(tid: Column, profile: Column, variant: Column, embedding: Colum
     return 30 * tid + 25 * profile + 20 * variant + 20 * embedding + 10 * reviews - distance_penalty(km)
 
 
+#: Fixed values of the older rival bucket: reviews, score of a direct rival, score of a cluster, lead in review rank.
+BUCKET_V1 = {"few": 20, "direct": 70, "cluster": 40, "lead": 0.3}
+
+
+def bucket_v1(score: Column, reviews: Column, rank: Column, own_rank: Column) -> Column:
+    """Rivals with few reviews are new; then the score decides, then a lead in review rank; null for the rest."""
+    v = BUCKET_V1
+    by_score = F.when(score >= v["direct"], "direct").when(score >= v["cluster"], "cluster")
+    return F.when(reviews < v["few"], "new").otherwise(F.coalesce(by_score, F.when(rank >= own_rank + v["lead"], "aspirational")))
+
+
 def sufficiency(entities: Column) -> Column:
     return F.when(entities >= 5, "full").when(entities >= 3, "thin").otherwise("insufficient")
 
