@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from marketloom.llm.chat_format import op2_chat_format
 from marketloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from marketloom.llm.importance import OP11_SQL, op11_importance_resampling
 from marketloom.llm.license_scan import op10_license_scan
 from marketloom.llm.mixing import op9_mixing
 from marketloom.llm.near_dedup import op4_near_dedup
@@ -25,9 +26,10 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_importance_resampling": op11_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op11_importance_resampling": OP11_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
