@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from marketloom.llm.bpe_codec import op13_bpe_codec
 from marketloom.llm.chat_format import op2_chat_format
 from marketloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from marketloom.llm.importance import OP11_SQL, op11_importance_resampling
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_bpe_codec": op13_bpe_codec,
     "pipeline": corpus_pipeline.run,
 }
 
