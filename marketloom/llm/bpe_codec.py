@@ -223,7 +223,8 @@ class BacktrackingEncoder(PieceEncoder):
         super().__init__(path, max_pieces)
         if not self.cuts:
             raise ValueError(f"{path} is no byte-level vocabulary that splits texts by the known pattern")
-        self.rules = MergeRules(path)
+        self.tok = None  # only the table of pieces is used of the base class
+        self.rules = rules(path)
         self.pattern = regex.compile(PRE_TOKEN)
         by_length = sorted(self.rules.special, key=len, reverse=True)
         self.split_special = regex.compile("|".join(map(regex.escape, by_length))) if by_length else None
@@ -301,28 +302,36 @@ def decoded(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return held
 
 
-def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+def id_lists(rows: list[np.ndarray]) -> tuple[np.ndarray, pa.ListArray]:
+    ends = np.cumsum([0, *map(len, rows)])
+    flat = np.concatenate([np.zeros(0, np.uint32), *rows]).astype(np.int32)
+    return flat, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+def encode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", read_back: bool = False) -> DataFrame:
     """``doc_id, ids`` of every row's whole text, as the tokenizers library encodes it without special tokens around.
 
-    One pass in the tasks that read the texts, in batches of about 3 MB or one longer text; no shuffle. Null counts as empty,
-    with no ids. Special strings inside a text become their ids. Repeated rows each get their row; extra columns are not read.
+    With ``read_back`` also ``decoded``, the text that ``decode`` makes of the ids, from the same pass. One pass in the tasks that
+    read the texts, in batches of about 3 MB or one longer text; no shuffle. Null counts as empty, with no ids. Special strings
+    inside a text become their ids. Repeated rows each get their row; extra columns are not read.
     """
     path = vocabulary_path(vocabulary)
+    schema = "doc_id bigint, ids array<int>" + ", decoded string" * read_back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in arrow_blocks(batch, 1):
-                rows = encoder(path).encode(texts)
-                ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint32), *rows]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), ids], ["doc_id", "ids"])
+                flat, ids = id_lists(encoder(path).encode(texts))
+                columns = [batch.column(0).slice(start, len(texts)), ids]
+                if read_back:
+                    columns.append(decoded(*rules(path).decode_bytes(flat, ids.offsets.to_numpy())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """``rows`` (``doc_id, ids``) with ``text``: the ids' bytes as text, special tokens included.
+    """``rows`` (``doc_id, ids``) with ``decoded``: the ids' bytes as text, special tokens included.
 
     Null ids give an empty text, ids without a token nothing; bytes that are no UTF-8 become U+FFFD.
     """
@@ -336,16 +345,16 @@ def decode(rows: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
                 flat = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 offsets = np.append(0, np.cumsum(own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
                 texts = decoded(*rules(path).decode_bytes(flat, offsets))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), own, texts], ["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, 512), own, texts], ["doc_id", "ids", "decoded"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode(encode(table(spark, sf_dir, "documents")))
+    rows = encode(table(spark, sf_dir, "documents"), read_back=True)
     return rows.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
