@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from marketloom.llm.bpe_codec import op13_bpe_codec
 from marketloom.llm.chat_format import op2_chat_format
+from marketloom.llm.divergence import OP12_SQL, op12_divergence_audit
 from marketloom.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from marketloom.llm.importance import OP11_SQL, op11_importance_resampling
 from marketloom.llm.license_scan import op10_license_scan
@@ -28,10 +29,11 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_divergence_audit": op12_divergence_audit,
     "op13_bpe_codec": op13_bpe_codec,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op11_importance_resampling": OP11_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op11_importance_resampling": OP11_SQL, "op12_divergence_audit": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
