@@ -222,14 +222,19 @@ def extreme_flag(status: Column, deviation: Column, open_statuses: list[str]) ->
     return F.when(status.isin(open_statuses) & (F.abs(deviation) > 150), "extreme_outlier").otherwise(status)
 
 
+#: Shown statuses that an extreme deviation turns over.
+OPEN_STATUSES = ["verified", "method_targeted", "structured_direct"]
+
+
 def verify_status(package: Column, similarity: Column, duration_ratio: Column, deviation: Column) -> Column:
-    """The first gate that stops an offer, or ``verified``."""
+    """The first gate that stops an offer. Without any deviation it is verified unseen; one that passes all gates and still
+    deviates is flagged as an outlier. A gate whose input is unknown does not stop it."""
     return (
-        F.when(package, "package_mismatch")
-        .when(similarity < 0.80, "low_similarity")
+        F.when(deviation == 0, "verified")
+        .when(package, "package_mismatch")
+        .when(similarity < 0.80, "low_name_similarity")
         .when(duration_ratio > 2, "duration_mismatch")
-        .when(F.abs(deviation) > 150, "extreme_outlier")
-        .otherwise("verified")
+        .otherwise("extreme_outlier")
     )
 
 
@@ -260,6 +265,23 @@ def bucket_v1(score: Column, reviews: Column, rank: Column, own_rank: Column) ->
     return F.when(reviews < v["few"], "new").otherwise(F.coalesce(by_score, F.when(rank >= own_rank + v["lead"], "aspirational")))
 
 
+#: Fixed values of the rival bucket: few reviews; (focus or profile) and embedding of a direct rival; focus or profile of a
+#: cluster rival; lead in review rank and embedding of an aspirational one.
+BUCKET_V2 = {"few": 20, "direct": (0.25, 0.7, 0.85), "cluster": (0.12, 0.4), "aspirational": (0.3, 0.70)}
+
+
+def bucket_v2(reviews: Column, focus: Column, profile: Column, embedding: Column, rank: Column, own_rank: Column) -> Column:
+    """Rivals with few reviews are new; then likeness of focus or profile decides, then a lead in review rank; null for the rest."""
+    v = BUCKET_V2
+    near = lambda f, p: (focus >= f) | (profile >= p)
+    return (
+        F.when(reviews < v["few"], "new")
+        .when(near(*v["direct"][:2]) & (embedding >= v["direct"][2]), "direct")
+        .when(near(*v["cluster"]), "cluster")
+        .when((rank >= own_rank + v["aspirational"][0]) & (embedding >= v["aspirational"][1]), "aspirational")
+    )
+
+
 def sufficiency(entities: Column) -> Column:
     return F.when(entities >= 5, "full").when(entities >= 3, "thin").otherwise("insufficient")
 
@@ -268,12 +290,14 @@ def confidence(entities: Column) -> Column:
     return F.least(F.lit(1.0), entities / 5)
 
 
-def score_cap(score: Column, described: Column, priced: Column) -> Column:
-    """Caps by the share of described and of fixed-price offers."""
-    cap = (
-        F.when(described < 0.1, 60).when(described < 0.3, 75).when(priced < 0.5, 85).when(described < 0.6, 88).otherwise(95)
-    )
-    return F.least(score, cap)
+#: The cap of an audit score by its worst issues, and the ceiling of all.
+SCORE_CAPS = {"criticals": (3, 60), "critical": (1, 75), "major": (1, 85), "any": (1, 95), "ceiling": 88}
+
+
+def score_cap(score: Column, critical: Column, major: Column, issues: Column) -> Column:
+    """An audit score under the cap that its numbers of critical, major and all issues set, and under the ceiling."""
+    caps = [F.when(n >= SCORE_CAPS[k][0], SCORE_CAPS[k][1]) for k, n in (("criticals", critical), ("critical", critical), ("major", major), ("any", issues))]
+    return F.least(score, F.coalesce(*caps, F.lit(SCORE_CAPS["ceiling"])), F.lit(SCORE_CAPS["ceiling"]))
 
 
 def schedule_next(at: Column, tier: Column) -> Column:

@@ -107,16 +107,6 @@ def cached_or_computed(keys: DataFrame, cached: DataFrame, computed: DataFrame,
     return out.select(key, F.coalesce("_c", "_n").alias(value), origin.alias("origin"))
 
 
-def rerun_if_few(strict: DataFrame, wide: DataFrame, key: str, verified: Column, share: float = 0.2) -> DataFrame:
-    """Each key's rows of the strict run, or of the wide one where under ``share`` of the strict rows are verified and the wide
-    run verifies more. Both runs are reduced to two counts a key before they are compared."""
-    counts = lambda df, p: df.groupBy(key).agg(F.count_if(verified).alias(f"v_{p}"), F.count("*").alias(f"n_{p}"))
-    both = counts(wide, "w").join(counts(strict, "s"), key, "left").fillna(0, ["v_s", "n_s"])
-    again = F.coalesce(F.try_divide("v_s", "n_s"), F.lit(0.0)) < share
-    choice = both.select(key, (again & (F.col("v_w") > F.col("v_s"))).alias("widened"))
-    return strict.join(choice.filter("NOT widened"), key).unionByName(wide.join(choice.filter("widened"), key))
-
-
 def descendants(spark: SparkSession, edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
     """``id, root, depth`` of everything under the roots of a hierarchy (``parent, child``), each at its least depth.
 

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
+from marketloom.functions.params import params_agree
 
-#: Weights of the votes; the category weighs more where the subject's name is generic.
-WEIGHTS = {"params": 1.0, "package": 1.0, "area": 1.0, "duration": 1.5, "price": 0.5}
-CATEGORY_WEIGHT = {"generic": 2.0, "specific": 0.4}
+#: Weights of the votes. The category weighs more where the subject's name is generic, less where it is specific.
+WEIGHTS = {"params": 1.0, "package": 1.0, "area": 1.0, "duration": 0.5, "price": 1.5}
+CATEGORY_WEIGHT = {"generic": 2.0, "specific": 0.4, "unknown": 0.6}
 GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 REFERENCE_STRICTNESS = 0.6
 
@@ -22,29 +23,29 @@ REFERENCE_STRICTNESS = 0.6
 def votes(df: DataFrame) -> DataFrame:
     """Columns ``vote_*`` of -1, 0 or 1. An abstaining vote is 0, never null.
 
-    Expects ``s_*`` (subject) and ``o_*`` (offer) columns: params (number or null), package, area (sorted array), words
-    (of the category, none if it is neutral), minutes, price.
+    Expects ``s_*`` (subject) and ``o_*`` (offer) columns: params (typed, see ``functions.params``), package, area (sorted
+    array), words (of the category, none if it is neutral), minutes, price. Prices are compared per minute where both
+    have price and minutes, else as they are; a price or minutes of 0 are unknown.
     """
-    same = F.col("s_params") == F.col("o_params")
     a, b = F.col("s_words"), F.col("o_words")
-    ratio = F.greatest("s_minutes", "o_minutes") / F.least("s_minutes", "o_minutes")
-    per_minute = (F.col("s_minutes") > 0) & (F.col("o_minutes") > 0)
-    x = F.when(per_minute, F.col("s_price") / F.col("s_minutes")).otherwise(F.col("s_price"))
-    y = F.when(per_minute, F.col("o_price") / F.col("o_minutes")).otherwise(F.col("o_price"))
+    known = lambda c: F.coalesce(F.col(f"s_{c}") > 0, F.lit(False)) & F.coalesce(F.col(f"o_{c}") > 0, F.lit(False))
+    times = lambda x, y, n: F.greatest(x, y) >= n * F.least(x, y)
+    s_price, o_price = (F.when(known("minutes"), F.col(f"{p}_price") / F.col(f"{p}_minutes")).otherwise(F.col(f"{p}_price")) for p in "so")
     return df.withColumns(
         {
-            "vote_params": F.when(same, 1).when(~same, -1).otherwise(0),
+            "vote_params": params_agree(F.col("s_params"), F.col("o_params")),
             "vote_package": F.when(F.col("s_package") != F.col("o_package"), -1).otherwise(0),
             "vote_area": F.when((F.size("s_area") > 0) & (F.size("o_area") > 0) & (F.col("s_area") != F.col("o_area")), -1).otherwise(0),
             "vote_category": F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(X.overlap_min(a, b) >= 0.5, 1).otherwise(-1),
-            "vote_duration": F.when(F.coalesce(ratio >= 3, F.lit(False)), -1).otherwise(0),
-            "vote_price": F.when(F.coalesce(F.greatest(x, y) >= 4 * F.least(x, y), F.lit(False)), -1).otherwise(0),
+            "vote_duration": F.when(known("minutes") & times(F.col("s_minutes"), F.col("o_minutes"), 3), -1).otherwise(0),
+            "vote_price": F.when(known("price") & times(s_price, o_price, 4), -1).otherwise(0),
         }
     )
 
 
 def margin(generic: Column) -> Column:
-    category = F.when(generic, CATEGORY_WEIGHT["generic"]).otherwise(CATEGORY_WEIGHT["specific"])
+    """Votes by weight; ``generic`` may be null where the subject's name gives no answer."""
+    category = F.when(generic, CATEGORY_WEIGHT["generic"]).when(~generic, CATEGORY_WEIGHT["specific"]).otherwise(CATEGORY_WEIGHT["unknown"])
     return sum((F.col(f"vote_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0)) + F.col("vote_category") * category
 
 
@@ -102,26 +103,65 @@ def one_per_entity(df: DataFrame) -> DataFrame:
 
 
 def price(df: DataFrame) -> DataFrame:
-    """Price of each subject from its final offers: per minute where durations are known, packages left out."""
-    usable = df.filter(~F.col("o_package"))
-    per = F.when((F.col("o_minutes") > 0) & (F.col("s_minutes") > 0), F.col("o_price") / F.col("o_minutes") * F.col("s_minutes")).otherwise(
-        F.col("o_price").cast("double")
-    )
-    return (
-        usable.withColumn("_p", per)
-        .groupBy("subject")
-        .agg(
-            F.count("*").alias("n_offers"),
-            F.count_distinct("o_entity").alias("n_entities"),
-            X.pct_rounded(F.col("_p"), 0.25).alias("market_p25"),
-            X.pct_rounded(F.col("_p"), 0.5).alias("market_median"),
-            X.pct_rounded(F.col("_p"), 0.75).alias("market_p75"),
-            F.max("s_price").alias("subject_price"),
-        )
-        .withColumn("deviation_pct", F.round(100.0 * (F.col("subject_price") - F.col("market_median")) / F.col("market_median"), 2))
-        .withColumn("status", X.sufficiency(F.col("n_entities")))
-        .withColumn("action", F.when(F.col("status") == "insufficient", "hold").otherwise(X.action_c(F.col("deviation_pct"))))
-    )
+    """Price of each subject from its final offers, one an entity; packages count as entities but not in prices.
+
+    Where the subject's minutes are known, offers with minutes decide: the price is their median rate times the
+    subject's minutes, percentiles are those of their rounded prices for these minutes, and offers without minutes are left
+    out. Where none has minutes, or the subject's are unknown, raw prices decide. Too few entities give no price.
+    """
+    single = ~F.col("o_package")
+    timed = single & (F.col("o_minutes") > 0)
+    rate = F.when(timed, F.col("o_price") / F.col("o_minutes"))
+    raw = F.when(single, F.coalesce("o_price", F.lit(0)).cast("double"))
+    whole = lambda x: F.bround(F.round(x, 6)).cast("long")
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    found = df.groupBy("subject").agg(
+        F.count_if(single).alias("n_offers"), F.count("*").alias("n_entities"), F.max("s_price").alias("subject_price"), F.max("s_minutes").alias("subject_minutes"),
+        F.percentile(rate, F.lit(0.5)).alias("_rate"), F.percentile(F.when(F.col("s_minutes") > 0, whole(rate * F.col("s_minutes"))), quarters).alias("_timed"),
+        F.percentile(raw, quarters).alias("_raw"),
+    )
+    by_rate = F.col("_timed").isNotNull()
+    status = X.sufficiency(F.col("n_entities"))
+    enough = status != "insufficient"
+    rated = found.withColumn("_p", F.when(by_rate, F.col("_timed")).otherwise(F.col("_raw"))).withColumn("status", status)
+    market = F.when(by_rate, whole(F.col("_rate") * F.col("subject_minutes"))).otherwise(whole(F.col("_raw")[1]))
+    priced = rated.select(
+        "subject", "subject_price", "subject_minutes", "n_offers", "n_entities", "status", F.when(enough, market).alias("market_price"),
+        *[whole(F.col("_p")[k]).alias(f"market_p{q}") for k, q in enumerate((25, 50, 75))], F.when(by_rate, F.round("_rate", 4)).alias("rate_median"),
+    )
+    deviation = F.round(100.0 * (F.col("subject_price") - F.col("market_price")) / F.nullif("market_price", F.lit(0)), 2)
+    return priced.withColumn("deviation_pct", deviation).withColumn("action", X.action_c(F.col("deviation_pct")))
+
+
+def result_rows(priced: DataFrame) -> DataFrame:
+    """The report's row of each priced subject. Where entities are too few the subject stands alone: no market, no place in it."""
+    alone = F.col("status") == "insufficient"
+    only = lambda x: F.when(~alone, x)
+    place = X.rank_linear_map(F.col("subject_price"), F.col("market_p25"), F.col("market_p75"))
+    own_rate = F.when(F.col("subject_minutes") > 0, F.col("subject_price") / F.col("subject_minutes"))
+    return priced.select(
+        "subject",
+        F.when(alone, "subject_only").otherwise("verified").alias("verification"),
+        F.when(alone, "subject_only").otherwise(F.col("action")).alias("action"),
+        only(F.col("market_p25")).alias("market_low"), "market_price", only(F.col("market_p75")).alias("market_high"),
+        F.round(F.when((F.col("market_price") != 0) & (F.col("subject_price") != 0), place), 2).alias("percentile"),
+        "deviation_pct", F.bround(own_rate).cast("long").alias("own_rate"), F.bround("rate_median").cast("long").alias("market_rate"),
+        only(F.round(100.0 * (own_rate - F.col("rate_median")) / F.nullif("rate_median", F.lit(0.0)), 2)).alias("rate_deviation_pct"),
+        F.col("n_entities").alias("sample_size"),
+    )
+
+
+def rerun_if_few(strict: DataFrame, wide: DataFrame, services: DataFrame, share: float = 0.2) -> DataFrame:
+    """Result rows of each report from its strict run, or from the wide one where under ``share`` of its services are verified and
+    the wide run verifies more; ``widened`` tells which. ``services`` has all ``(report, subject)``, also those that no run priced,
+    which stand alone. The choice is made once a report, from two counts."""
+    check = lambda df, p: df.select("subject", (F.col("verification") == "verified").alias(p))
+    both = services.join(check(strict, "s"), "subject", "left").join(check(wide, "w"), "subject", "left")
+    counts = both.groupBy("report").agg(F.count("*").alias("n"), F.count_if("s").alias("n_s"), F.count_if("w").alias("n_w"))
+    choice = counts.select("report", ((F.col("n_s") / F.col("n") < share) & (F.col("n_w") > F.col("n_s"))).alias("widened"))
+    rows = services.join(choice, "report")
+    of = lambda df, wide: rows.filter(F.col("widened") == F.lit(wide)).join(df, "subject", "left")
+    return of(strict, False).unionByName(of(wide, True)).fillna("subject_only", ["verification", "action"])
 
 
 def market_price(samples: DataFrame, generic: Column) -> DataFrame:

@@ -46,7 +46,11 @@ def completeness(s, d):
 
 def capped(s, d):
     x = brand_stats(s, d)
-    return x.select("p_brand", X.score_cap(F.lit(90), F.col("described") / F.col("total"), F.col("fixed") / F.col("total")).alias("score"))
+    poor, loose, untimed = ((F.col("total") - F.col(c)) / F.col("total") for c in ("described", "fixed", "timed"))
+    critical = (loose > 0.72).cast("int") + (loose > 0.71).cast("int") + (untimed > 0.2).cast("int")
+    major = (loose > 0.7).cast("int") + (poor > 0.0).cast("int")
+    minor = (untimed > 0.1).cast("int")
+    return x.select("p_brand", X.score_cap(F.round(99 - 60 * untimed).cast("int"), critical, major, critical + major + minor).alias("score"))
 
 
 def seo(s, d):
@@ -265,23 +269,6 @@ def fixed_strictness(s, d):
     )
 
 
-def report(s, d):
-    """Samples from .82 up, or from .75 up where too few of a subject's are verified and the wider run verifies more."""
-    v = voted(s, d).withColumn("verified", P.matches(F.lit(0.75)))
-    out = D.rerun_if_few(v.filter("similarity >= 0.82"), v.filter("similarity >= 0.75"), "subject", F.col("verified"), 0.5)
-    return out.groupBy("subject", "widened").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified"))
-
-
-def result_rows(s, d):
-    """A row of each subject's result: verification by status, action, and its three selected samples."""
-    v = voted(s, d).filter(P.matches(F.lit(0.5)))
-    best = R.top_k(P.one_per_entity(v), ["subject"], [F.desc("similarity"), F.col("o_id")], 3)
-    rows = best.groupBy("subject").agg(F.array_join(F.array_sort(F.collect_list("o_id")), ",").alias("selected"), F.count("*").alias("n_selected"))
-    priced = P.price(P.one_per_entity(v))
-    check = F.when(F.col("status") == "full", "verified").when(F.col("status") == "thin", "unverified").otherwise("dropped")
-    return priced.join(rows, "subject").select("subject", check.alias("verification"), "action", "n_selected", "selected")
-
-
 def context(s, d):
     x = voted(s, d).select("subject", "o_id", "vote_category")
     weight = F.when(F.col("vote_category") == 1, 1.0).when(F.col("vote_category") == 0, 0.5).otherwise(0.0)
@@ -330,7 +317,7 @@ QUERIES = {
     "verified_unique": unique_vectors, "hybrid_match": hybrid, "subject_methods": methods, "entities_offering": offering, "method_prices": method_prices,
     "price_events_nearby": price_events, "entity_signals": signals, "canonical_documents": canonical, "reverse_patch": reverse, "promo_extraction": promos,
     "column_or_document": fallback, "json_totals": json_totals, "place_hierarchy": hierarchy, "package_labels": packages, "tagged_key_join": union_key, "bundle_or_computed": bundles,
-    "bundles_due": due_bundles, "fixed_strictness": fixed_strictness, "report_driver": report, "result_rows": result_rows, "category_context": context,
+    "bundles_due": due_bundles, "fixed_strictness": fixed_strictness, "category_context": context,
     "ended_backfill": ended, "report_refresh": refreshed, "verified_keys": verified_keys, "canonical_means": canonical_means, "mean_or_null": mean_or_null,
     "mention_count": lambda s, d: table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n")),
     "ready_for_clustering": lambda s, d: vectors(s, d).groupBy("label", (F.col("entity") % 5).alias("part")).agg(F.count("vector").alias("n")).filter("n >= 8"),
@@ -346,7 +333,9 @@ _hit = "(NOT veto AND margin >= -1.5 + 1.6 * {s})"
 ORACLES = {
     "fixed_price_text": f"SELECT p_partkey, {_fixed} AS fixed FROM part",
     "completeness_score": f"WITH {_stats} SELECT p_brand, {_complete} AS points FROM stats",
-    "score_capped": f"WITH {_stats} SELECT p_brand, least(90, CASE WHEN described / total < 0.1 THEN 60 WHEN described / total < 0.3 THEN 75 WHEN fixed / total < 0.5 THEN 85 WHEN described / total < 0.6 THEN 88 ELSE 95 END) AS score FROM stats",
+    "score_capped": f"""WITH {_stats}, r AS (SELECT p_brand, (total - described) / total AS poor, (total - fixed) / total AS loose, (total - timed) / total AS untimed FROM stats),
+      i AS (SELECT p_brand, CAST(round(99 - 60 * untimed) AS INTEGER) AS score, (loose > 0.72)::INT + (loose > 0.71)::INT + (untimed > 0.2)::INT AS c, (loose > 0.7)::INT + (poor > 0)::INT AS m, (untimed > 0.1)::INT AS other FROM r)
+      SELECT p_brand, least(score, 88, CASE WHEN c >= 3 THEN 60 WHEN c >= 1 THEN 75 WHEN m >= 1 THEN 85 WHEN c + m + other >= 1 THEN 95 ELSE 88 END) AS score FROM i""",
     "seo_score": """WITH k AS (SELECT c_nationkey, count(*) FILTER (c_mktsegment = 'BUILDING') AS h, count(*) FILTER (c_mktsegment = 'MACHINERY') AS m, count(*) FILTER (c_mktsegment = 'FURNITURE') AS l FROM customer WHERE c_acctbal < 0 GROUP BY 1),
       p AS (SELECT c_nationkey, 10 - 2 * h - m - 0.5 * l AS p, h + m + l AS n FROM k) SELECT c_nationkey, CAST(greatest(0, least(10, round_even(CASE WHEN n > 0 AND p > 9 THEN 9 ELSE p END, 0))) AS INTEGER) AS points FROM p""",
     "ux_score": """WITH t AS (SELECT p_brand, p_type, count(*) AS n, count(*) - count(DISTINCT p_name) AS r FROM part GROUP BY 1, 2)
@@ -400,13 +389,6 @@ ORACLES = {
     "bundles_due": "SELECT c_custkey, computed_at FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS computed_at FROM orders WHERE o_totalprice > 200000 GROUP BY 1) ON o_custkey = c_custkey ORDER BY computed_at NULLS FIRST, c_custkey LIMIT 500",
     "fixed_strictness": f"""WITH {SAMPLES} SELECT subject, count(*) AS n, count(*) FILTER {_hit.format(s=0.5)} AS n_kept, {', '.join(f'count(*) FILTER ({c} = -1) AS {c}_against' for c in VOTES)},
       round(count(*) FILTER ({_hit.format(s=0.5)} AND {_hit.format(s=0.6)}) / nullif(count(*) FILTER {_hit.format(s=0.5)}, 0), 4) AS purity_kept, round(count(*) FILTER {_hit.format(s=0.6)} / count(*), 4) AS purity_in FROM margins GROUP BY 1""",
-    "report_driver": f"""WITH {SAMPLES}, v AS (SELECT subject, count(*) FILTER (similarity >= 0.82) AS ns, count(*) FILTER (similarity >= 0.82 AND {_hit.format(s=0.75)}) AS vs, count(*) AS nw, count(*) FILTER {_hit.format(s=0.75)} AS vw FROM margins WHERE similarity >= 0.75 GROUP BY 1),
-      w AS (SELECT *, coalesce(vs / nullif(ns, 0), 0) < 0.5 AND vw > vs AS widened FROM v) SELECT subject, widened, CASE WHEN widened THEN nw ELSE ns END AS n, CASE WHEN widened THEN vw ELSE vs END AS verified FROM w WHERE widened OR ns > 0""",
-    "result_rows": f"""WITH {SAMPLES.rsplit('levels AS', 1)[0].rstrip().rstrip(',')}, k AS (SELECT *, row_number() OVER (PARTITION BY subject, o_entity ORDER BY similarity DESC, o_id) AS r FROM margins WHERE {_hit.format(s=0.5)}), single AS (SELECT * FROM k WHERE r = 1),
-      priced AS (SELECT subject, count(DISTINCT o_entity) AS n_entities, CAST(round_even(quantile_cont(o_price / o_minutes * s_minutes, 0.5), 0) AS BIGINT) AS m, max(s_price) AS p FROM single WHERE NOT o_package GROUP BY 1),
-      q AS (SELECT *, round(100.0 * (p - m) / m, 2) AS pct FROM priced), best AS (SELECT * FROM single QUALIFY row_number() OVER (PARTITION BY subject ORDER BY similarity DESC, o_id) <= 3),
-      sel AS (SELECT subject, string_agg(o_id, ',' ORDER BY o_id) AS selected, count(*) AS n_selected FROM best GROUP BY 1)
-      SELECT subject, CASE WHEN n_entities >= 5 THEN 'verified' WHEN n_entities >= 3 THEN 'unverified' ELSE 'dropped' END AS verification, CASE WHEN n_entities < 3 OR abs(pct) <= 8 THEN 'hold' WHEN pct < 0 THEN 'raise' ELSE 'lower' END AS action, n_selected, selected FROM q JOIN sel USING (subject)""",
     "category_context": f"WITH {SAMPLES} SELECT subject, CASE WHEN count(*) FILTER (vote_category >= 0) > 0 THEN count(*) FILTER (vote_category >= 0) ELSE count(*) END AS n FROM voted GROUP BY 1",
     "ended_backfill": f"""WITH {OFFERS} SELECT entity, brand, category, max(ts) AS ended_at FROM offers o WHERE year(ts) = 1995 AND length(brand) <> 8 AND NOT EXISTS (SELECT 1 FROM offers n WHERE year(n.ts) = 1996 AND n.entity = o.entity AND n.brand = o.brand AND n.category = o.category) GROUP BY 1, 2, 3""",
     "report_refresh": """WITH x AS (SELECT o_custkey, o_orderkey, o_totalprice AS p, lead(o_totalprice) OVER w AS b, row_number() OVER w AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)),

@@ -17,6 +17,8 @@ OFFERS = """offers AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
 KEYS = ", ".join(KEY)
+#: Statuses of the fixture's offers, by their minutes: three that are open to the flag, two that are not.
+FLAG_STATUSES = ["verified", "method_targeted", "structured_direct", "subject_only", "duration_mismatch"]
 
 
 def eligible(o):
@@ -96,8 +98,8 @@ QUERIES = {
     "action_c": classify("action", lambda: X.action_c(F.col("deviation"))),
     "severity": classify("severity", lambda: X.severity(F.col("deviation"))),
     "duration_bucket": lambda s, d: offers(s, d).groupBy(X.duration_bucket(F.nullif(F.col("minutes") * 3, F.lit(21))).alias("bucket")).agg(F.count("*").alias("n")),
-    "verify_status": classify("status", lambda: X.verify_status(F.col("package"), F.col("minutes") / 50, F.col("minutes") / 20, F.col("deviation"))),
-    "extreme_flag": classify("flag", lambda: X.extreme_flag(F.when(F.col("promo"), "verified").otherwise("unverified"), F.col("deviation"), ["verified"])),
+    "verify_status": classify("status", lambda: X.verify_status(F.col("package"), F.col("minutes") / 25, F.col("minutes") / 20, F.col("deviation"))),
+    "extreme_flag": classify("flag", lambda: X.extreme_flag(F.get(F.array(*map(F.lit, FLAG_STATUSES)), F.col("minutes") % len(FLAG_STATUSES)), F.col("deviation"), X.OPEN_STATUSES)),
     "package_verdict": classify("verdict", lambda: X.package_verdict(F.col("deviation"))),
     "pct_linear": agg(p25=lambda: X.pct_linear(F.col("price"), 0.25), p50=lambda: X.pct_linear(F.col("price"), 0.5), p75=lambda: X.pct_linear(F.col("price"), 0.75)),
     "pct_rounded": agg(p25=lambda: X.pct_rounded(F.col("price"), 0.25), p75=lambda: X.pct_rounded(F.col("price"), 0.75)),
@@ -117,8 +119,8 @@ QUERIES = {
 _case_a = "CASE WHEN deviation < -15 THEN 'raise' WHEN deviation > 20 THEN 'lower' ELSE 'hold' END"
 _case_b = "CASE WHEN abs(deviation) < 10 THEN 'hold' WHEN deviation < 0 THEN 'raise' ELSE 'lower' END"
 _case_c = "CASE WHEN deviation IS NULL OR abs(deviation) <= 8 THEN 'hold' WHEN deviation < 0 THEN 'raise' ELSE 'lower' END"
-_verify = """CASE WHEN package THEN 'package_mismatch' WHEN minutes / 50 < 0.80 THEN 'low_similarity' WHEN minutes / 20 > 2 THEN 'duration_mismatch'
- WHEN abs(deviation) > 150 THEN 'extreme_outlier' ELSE 'verified' END"""
+_verify = """CASE WHEN deviation = 0 THEN 'verified' WHEN package THEN 'package_mismatch' WHEN minutes / 25 < 0.80 THEN 'low_name_similarity' WHEN minutes / 20 > 2 THEN 'duration_mismatch'
+ ELSE 'extreme_outlier' END"""
 
 
 def _classified(case: str, name: str) -> str:
@@ -139,7 +141,7 @@ ORACLES = {
     "duration_bucket": f"""WITH {OFFERS}, x AS (SELECT nullif(minutes * 3, 21) AS m FROM offers)
       SELECT CASE WHEN m IS NULL THEN 'unknown' WHEN m <= 30 THEN 'short' WHEN m <= 90 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n FROM x GROUP BY 1""",
     "verify_status": _classified(_verify, "status"),
-    "extreme_flag": _classified("CASE WHEN promo AND abs(deviation) > 150 THEN 'extreme_outlier' WHEN promo THEN 'verified' ELSE 'unverified' END", "flag"),
+    "extreme_flag": _classified(f"CASE WHEN minutes % 5 < 3 AND abs(deviation) > 150 THEN 'extreme_outlier' ELSE {FLAG_STATUSES}[minutes % 5 + 1] END", "flag"),
     "package_verdict": _classified("CASE WHEN deviation >= 5 THEN 'fair' WHEN deviation <= -50 THEN 'no_match' WHEN deviation <= -5 THEN 'overpriced' ELSE 'fake' END", "verdict"),
     "pct_linear": f"WITH {OFFERS} SELECT category, quantile_cont(price, 0.25) AS p25, quantile_cont(price, 0.5) AS p50, quantile_cont(price, 0.75) AS p75 FROM offers GROUP BY 1",
     "pct_rounded": f"WITH {OFFERS} SELECT category, CAST(round_even(quantile_cont(price, 0.25), 0) AS BIGINT) AS p25, CAST(round_even(quantile_cont(price, 0.75), 0) AS BIGINT) AS p75 FROM offers GROUP BY 1",

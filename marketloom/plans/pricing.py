@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
+from marketloom.functions.params import typed_params
 from marketloom.operators import pricing as P
 from marketloom.operators import relational as R
 from marketloom.plans.offers import OFFERS
@@ -19,40 +20,53 @@ NEUTRAL = "gear"
 GENERIC = "^small "
 
 
+#: What the fixture's offers have behind their names, by part number: nothing, amounts, counts, ratios,
+#: dimensions, weeks, lengths, and two parameters at once.
+LABELS = [
+    "", "0,5 ml", "2 zabiegi", "1:1", "2D", "do 3 tyg", "długość 1-2", "1 ml 2:1",
+    "", "1 ml", "2 zabiegow", "2:1", "3D", "po 3 tygodniach", "długość 2", "1,0 ml 2D",
+    "", "1.0 ml", "2 paznokcie", "3:1", "3/4D", "4 tyg", "długość 3-4", "0,5 ml 3/4D",
+]
+
+
 def label(name, part):
-    """A name with a volume, as offers carry it; a quarter of them have none."""
-    return F.when(part % 4 == 0, name).otherwise(F.concat_ws(" ", name, (part % 3 * 5 + 5).cast("string"), F.lit("ml")))
+    return F.trim(F.concat_ws(" ", name, F.element_at(F.array(*map(F.lit, LABELS)), (part % len(LABELS) + 1).cast("int"))))
+
+
+def services_offered(s, d):
+    """Every distinct state of an offer with what votes read of it, and the newest single one of each entity's brand and category."""
+    o = offers(s, d).groupBy(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price").alias("oid"), "l_partkey", "entity", "price", "minutes", "name", "brand", "category", "package").agg(F.max("ts").alias("ts"))
+    return o, R.latest_per_key(o.filter("NOT package"), ["entity", "category", "brand"], [F.desc("ts"), F.col("oid")])
+
+
+SUBJECT = ["entity", "category", "brand"]
 
 
-def samples(s, d):
+def samples(s, d, floor=0.0):
     """Every entity's services (its newest single offer of each brand's category) with the offers of its eight nearest
-    rivals of the same brand and category, within six times the price either way.
+    rivals of the same brand and category, from a similarity of ``floor`` up.
 
     Each rival's offers meet the subject by an equi-join, so a pool is as large as eight entities' share of one brand's
     category. ``peer_max_sim`` is the best similarity to another offer of the pool: that to a neighbour by minutes.
     """
-    o = offers(s, d).groupBy(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price").alias("oid"), "l_partkey", "entity", "price", "minutes", "name", "brand", "category", "package").agg(F.max("ts").alias("ts"))
-    text = label(F.col("name"), F.col("l_partkey"))
+    o, newest = services_offered(s, d)
     words = X.word_set(F.col("name"))
     neutral = F.array().cast("array<string>")
     side = lambda p: [
         F.col("oid").alias(f"{p}id"), F.col("price").alias(f"{p}price"), F.col("minutes").alias(f"{p}minutes"), F.col("name").alias(f"{p}name"),
-        F.col("package").alias(f"{p}package"), X.parameter(text, "ml").alias(f"{p}params"),
+        F.col("package").alias(f"{p}package"), typed_params(label(F.col("name"), F.col("l_partkey"))).alias(f"{p}params"),
         F.array_intersect(words, F.array(*map(F.lit, AREAS))).alias(f"{p}area"),
         F.when(F.array_contains(words, NEUTRAL), neutral).otherwise(words).alias(f"{p}words"),
     ]
-    newest = R.latest_per_key(o.filter("NOT package"), ["entity", "category", "brand"], [F.desc("ts"), F.col("oid")])
-    subject = newest.select("category", "brand", F.col("entity").alias("s_entity"), F.concat_ws("|", "entity", "category", "brand").alias("subject"), *side("s_"))
+    subject = newest.select("category", "brand", F.col("entity").alias("s_entity"), F.concat_ws("|", *SUBJECT).alias("subject"), *side("s_"))
     offer = o.select("category", "brand", F.col("entity").alias("o_entity"), *side("o_"))
     near = rivals(s, d, 8).select(F.col("subject").alias("s_entity"), F.col("rival").alias("o_entity"))
     pairs = subject.join(near, "s_entity").join(offer, ["o_entity", "category", "brand"])
-    pairs = pairs.filter(F.greatest("s_price", "o_price") <= 6 * F.least("s_price", "o_price"))
+    pairs = pairs.withColumn("similarity", F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4)).filter(F.col("similarity") >= floor)
     order = Window.partitionBy("subject").orderBy("o_minutes", "o_id")
     beside = [f("o_minutes").over(order) for f in (F.lag, F.lead)]
     peer = F.greatest(*[F.when(x.isNotNull(), X.ratio_similarity(F.col("o_minutes"), x)) for x in beside])
-    return pairs.withColumns(
-        {"similarity": F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4), "peer_max_sim": F.round(peer, 4)}
-    )
+    return pairs.withColumn("peer_max_sim", F.round(peer, 4))
 
 
 def generic():
@@ -66,40 +80,61 @@ def voted(s, d):
 VOTES = ["vote_params", "vote_package", "vote_area", "vote_category", "vote_duration", "vote_price"]
 
 _ratio = "CASE WHEN least({a}, {b}) <= 0 THEN 0.0 ELSE least({a}, {b}) / greatest({a}, {b}) END"
-_label = "CASE WHEN l_partkey % 4 = 0 THEN name ELSE name || ' ' || CAST(l_partkey % 3 * 5 + 5 AS VARCHAR) || ' ml' END"
+_label = f"trim(name || ' ' || {LABELS}[l_partkey % {len(LABELS)} + 1])"
 _area = f"list_filter(string_split({{n}}, ' '), lambda w: list_contains({AREAS}, w))"
 _shared = "len(list_intersect(string_split(s_name, ' '), string_split(o_name, ' ')))"
 _fewest = "least(len(list_distinct(string_split(s_name, ' '))), len(list_distinct(string_split(o_name, ' '))))"
 _eight = RIVALS.replace("place <= 5", "place <= 8")
-SAMPLES = f"""{OFFERS}, {_eight}, o AS (SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber, price) AS oid, l_partkey, entity, price, minutes, name, brand, category, package, max(ts) AS ts,
-  TRY_CAST(replace(regexp_extract({_label}, '(\\d+(?:[.,]\\d+)?)\\s*ml\\b', 1), ',', '.') AS DOUBLE) AS params FROM offers GROUP BY ALL),
-f AS (SELECT * FROM o WHERE NOT package QUALIFY row_number() OVER (PARTITION BY entity, category, brand ORDER BY ts DESC, oid) = 1),
-pairs AS (SELECT concat_ws('|', s.entity, s.category, s.brand) AS subject, s.oid AS s_id, o.oid AS o_id, s.price AS s_price, o.price AS o_price, s.minutes AS s_minutes, o.minutes AS o_minutes,
-  s.name AS s_name, o.name AS o_name, s.package AS s_package, o.package AS o_package, s.params AS s_params, o.params AS o_params, {_area.format(n='s.name')} AS s_area, {_area.format(n='o.name')} AS o_area,
-  o.entity AS o_entity FROM f s JOIN rivals r ON r.subject = s.entity JOIN o ON o.entity = r.rival AND o.category = s.category AND o.brand = s.brand WHERE greatest(s.price, o.price) <= 6 * least(s.price, o.price)),
-beside AS (SELECT *, lag(o_minutes) OVER w AS before, lead(o_minutes) OVER w AS after FROM pairs WINDOW w AS (PARTITION BY subject ORDER BY o_minutes, o_id)),
-samples AS (SELECT *, round({_ratio.format(a='s_minutes', b='o_minutes')}, 4) AS similarity,
-  round(CASE WHEN before IS NULL AND after IS NULL THEN NULL ELSE greatest(CASE WHEN before IS NOT NULL THEN {_ratio.format(a='before', b='o_minutes')} END, CASE WHEN after IS NOT NULL THEN {_ratio.format(a='after', b='o_minutes')} END) END, 4) AS peer_max_sim FROM beside),
-voted AS (SELECT *, CASE WHEN s_params = o_params THEN 1 WHEN s_params <> o_params THEN -1 ELSE 0 END AS vote_params, CASE WHEN s_package <> o_package THEN -1 ELSE 0 END AS vote_package,
+_found = lambda pattern, group=1: f"nullif(regexp_extract(label, '{pattern}', {group}), '')"
+_kinds = f"""TRY_CAST(replace({_found('([0-9.,]+) ?ml')}, ',', '.') AS DOUBLE) AS ml, TRY_CAST({_found('([0-9]+) (zabieg|paznok)')} AS INT) AS cnt, {_found('[0-9]+ (zabieg|paznok)')} AS unit,
+  TRY_CAST(coalesce({_found('([0-9]+):[0-9]')}, {_found('([0-9]+)(/[0-9]+)?D')}) AS INT) AS vol_lo, TRY_CAST(coalesce({_found('([0-9]+):[0-9]')}, {_found('[0-9]+/([0-9]+)D')}, {_found('([0-9]+)D')}) AS INT) AS vol_hi,
+  TRY_CAST({_found('([0-9]+) tyg')} AS INT) AS weeks, TRY_CAST({_found('długość ([0-9]+)')} AS INT) AS len_lo, TRY_CAST(coalesce({_found('długość [0-9]+-([0-9]+)')}, {_found('długość ([0-9]+)')}) AS INT) AS len_hi"""
+_pairs = [("ml", "ml"), ("cnt", "cnt"), ("vol_lo", "vol_hi"), ("weeks", "weeks"), ("len_lo", "len_hi")]
+_both = " OR ".join(f"(s.{lo} IS NOT NULL AND o.{lo} IS NOT NULL)" for lo, _ in _pairs)
+_apart = " OR ".join(f"coalesce(s.{hi} < o.{lo} OR o.{hi} < s.{lo}, false)" for lo, hi in _pairs) + " OR coalesce(s.unit <> o.unit, false)"
+
+
+def chain_sql(tag="", floor=0.0):
+    """Samples from a similarity up and the whole chain on them, as CTEs whose names end in ``tag``."""
+    return f"""beside{tag} AS (SELECT *, lag(o_minutes) OVER w AS before, lead(o_minutes) OVER w AS after FROM pairs WHERE similarity >= {floor} WINDOW w AS (PARTITION BY subject ORDER BY o_minutes, o_id)),
+samples{tag} AS (SELECT *, round(CASE WHEN before IS NULL AND after IS NULL THEN NULL ELSE greatest(CASE WHEN before IS NOT NULL THEN {_ratio.format(a='before', b='o_minutes')} END, CASE WHEN after IS NOT NULL THEN {_ratio.format(a='after', b='o_minutes')} END) END, 4) AS peer_max_sim FROM beside{tag}),
+voted{tag} AS (SELECT *, CASE WHEN s_package <> o_package THEN -1 ELSE 0 END AS vote_package,
   CASE WHEN len(s_area) > 0 AND len(o_area) > 0 AND list_sort(s_area) <> list_sort(o_area) THEN -1 ELSE 0 END AS vote_area,
   CASE WHEN contains(s_name, '{NEUTRAL}') OR contains(o_name, '{NEUTRAL}') THEN 0 WHEN {_shared} / {_fewest} >= 0.5 THEN 1 ELSE -1 END AS vote_category,
   CASE WHEN greatest(s_minutes, o_minutes) >= 3 * least(s_minutes, o_minutes) THEN -1 ELSE 0 END AS vote_duration,
-  CASE WHEN greatest(s_price / s_minutes, o_price / o_minutes) >= 4 * least(s_price / s_minutes, o_price / o_minutes) THEN -1 ELSE 0 END AS vote_price FROM samples),
-margins AS (SELECT *, vote_params + vote_package + vote_area + 1.5 * vote_duration + 0.5 * vote_price + vote_category * CASE WHEN starts_with(s_name, 'small ') THEN 2.0 ELSE 0.4 END AS margin,
-  vote_params = -1 OR vote_package = -1 OR vote_area = -1 AS veto FROM voted),
-levels AS (SELECT subject, strictness, coalesce(avg(CAST(margin >= -1.5 + 1.6 * 0.6 AS INTEGER)) FILTER (hit), 1.0) AS purity, count(DISTINCT o_entity) FILTER (hit) AS entities FROM
-  (SELECT m.*, strictness, NOT veto AND margin >= -1.5 + 1.6 * strictness AS hit FROM margins m, (SELECT CAST(unnest([0, 0.25, 0.5, 0.75, 1]) AS DOUBLE) AS strictness)) GROUP BY 1, 2),
-picked AS (SELECT * FROM levels QUALIFY row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN purity >= 0.9 AND entities >= 3 THEN 0 ELSE 1 END,
+  CASE WHEN greatest(s_price / s_minutes, o_price / o_minutes) >= 4 * least(s_price / s_minutes, o_price / o_minutes) THEN -1 ELSE 0 END AS vote_price FROM samples{tag}),
+margins{tag} AS (SELECT *, vote_params + vote_package + vote_area + 0.5 * vote_duration + 1.5 * vote_price + vote_category * CASE WHEN starts_with(s_name, 'small ') THEN 2.0 ELSE 0.4 END AS margin,
+  vote_params = -1 OR vote_package = -1 OR vote_area = -1 AS veto FROM voted{tag}),
+levels{tag} AS (SELECT subject, strictness, coalesce(avg(CAST(margin >= -1.5 + 1.6 * 0.6 AS INTEGER)) FILTER (hit), 1.0) AS purity, count(DISTINCT o_entity) FILTER (hit) AS entities FROM
+  (SELECT m.*, strictness, NOT veto AND margin >= -1.5 + 1.6 * strictness AS hit FROM margins{tag} m, (SELECT CAST(unnest([0, 0.25, 0.5, 0.75, 1]) AS DOUBLE) AS strictness)) GROUP BY 1, 2),
+picked{tag} AS (SELECT * FROM levels{tag} QUALIFY row_number() OVER (PARTITION BY subject ORDER BY CASE WHEN purity >= 0.9 AND entities >= 3 THEN 0 ELSE 1 END,
   CASE WHEN purity >= 0.9 AND entities >= 3 THEN strictness END, entities DESC, purity DESC, strictness) = 1),
-kept AS (SELECT m.* FROM margins m JOIN picked p USING (subject) WHERE NOT veto AND margin >= -1.5 + 1.6 * strictness),
-marked AS (SELECT *, peer_max_sim - similarity > 0.08 AND similarity < 0.9 AS suspect FROM kept),
-coherent AS (SELECT * FROM marked QUALIFY NOT (suspect AND count(*) FILTER (suspect) OVER (PARTITION BY subject) >= 2 AND lower(trim(o_name)) <> lower(trim(s_name)))),
-single AS (SELECT * FROM coherent QUALIFY row_number() OVER (PARTITION BY subject, o_entity ORDER BY similarity DESC, o_id) = 1),
-priced AS (SELECT subject, count(*) AS n_offers, count(DISTINCT o_entity) AS n_entities, CAST(round_even(quantile_cont(o_price / o_minutes * s_minutes, 0.25), 0) AS BIGINT) AS market_p25,
-  CAST(round_even(quantile_cont(o_price / o_minutes * s_minutes, 0.5), 0) AS BIGINT) AS market_median, CAST(round_even(quantile_cont(o_price / o_minutes * s_minutes, 0.75), 0) AS BIGINT) AS market_p75,
-  max(s_price) AS subject_price FROM single WHERE NOT o_package GROUP BY 1),
-deviated AS (SELECT *, round(100.0 * (subject_price - market_median) / market_median, 2) AS deviation_pct,
-  CASE WHEN n_entities >= 5 THEN 'full' WHEN n_entities >= 3 THEN 'thin' ELSE 'insufficient' END AS status FROM priced)"""
+kept{tag} AS (SELECT m.* FROM margins{tag} m JOIN picked{tag} p USING (subject) WHERE NOT veto AND margin >= -1.5 + 1.6 * strictness),
+marked{tag} AS (SELECT *, peer_max_sim - similarity > 0.08 AND similarity < 0.9 AS suspect FROM kept{tag}),
+coherent{tag} AS (SELECT * FROM marked{tag} QUALIFY NOT (suspect AND count(*) FILTER (suspect) OVER (PARTITION BY subject) >= 2 AND lower(trim(o_name)) <> lower(trim(s_name)))),
+single{tag} AS (SELECT * FROM coherent{tag} QUALIFY row_number() OVER (PARTITION BY subject, o_entity ORDER BY similarity DESC, o_id) = 1),
+stats{tag} AS (SELECT subject, count(*) FILTER (NOT o_package) AS n_offers, count(*) AS n_entities, max(s_price) AS subject_price, max(s_minutes) AS subject_minutes,
+  quantile_cont(o_price / o_minutes, 0.5) FILTER (NOT o_package AND o_minutes > 0) AS rate,
+  {', '.join(f"CAST(round_even(round(quantile_cont(round_even(round(o_price / o_minutes * s_minutes, 6), 0), {q / 100}) FILTER (NOT o_package AND o_minutes > 0), 6), 0) AS BIGINT) AS market_p{q}" for q in (25, 50, 75))} FROM single{tag} GROUP BY 1),
+priced{tag} AS (SELECT *, CASE WHEN n_entities >= 5 THEN 'full' WHEN n_entities >= 3 THEN 'thin' ELSE 'insufficient' END AS status, round(rate, 4) AS rate_median,
+  CASE WHEN n_entities >= 3 THEN CAST(round_even(round(rate * subject_minutes, 6), 0) AS BIGINT) END AS market_price FROM stats{tag}),
+deviated{tag} AS (SELECT * EXCLUDE (rate), round(100.0 * (subject_price - market_price) / market_price, 2) AS deviation_pct FROM priced{tag}),
+rows{tag} AS (SELECT subject, status = 'insufficient' AS alone, CASE WHEN status = 'insufficient' THEN 'subject_only' ELSE 'verified' END AS verification,
+  CASE WHEN status = 'insufficient' THEN 'subject_only' WHEN abs(deviation_pct) <= 8 OR deviation_pct IS NULL THEN 'hold' WHEN deviation_pct < 0 THEN 'raise' ELSE 'lower' END AS action,
+  CASE WHEN NOT alone THEN market_p25 END AS market_low, market_price, CASE WHEN NOT alone THEN market_p75 END AS market_high,
+  CASE WHEN market_price IS NOT NULL AND market_p75 > market_p25 THEN round(greatest(0.0, least(100.0, 25 + 50 * (subject_price - market_p25) / (market_p75 - market_p25))), 2) END AS percentile,
+  deviation_pct, CAST(round_even(subject_price / subject_minutes, 0) AS BIGINT) AS own_rate, CAST(round_even(rate_median, 0) AS BIGINT) AS market_rate,
+  CASE WHEN NOT alone THEN round(100.0 * (subject_price / subject_minutes - rate_median) / rate_median, 2) END AS rate_deviation_pct, n_entities AS sample_size FROM deviated{tag})"""
+
+
+PAIRS = f"""{OFFERS}, {_eight}, o_ AS (SELECT concat_ws('/', l_orderkey, l_partkey, l_suppkey, l_linenumber, price) AS oid, entity, price, minutes, name, brand, category, package, max(ts) AS ts,
+  {_label} AS label FROM offers GROUP BY ALL), o AS (SELECT *, {_kinds} FROM o_),
+f AS (SELECT * FROM o WHERE NOT package QUALIFY row_number() OVER (PARTITION BY entity, category, brand ORDER BY ts DESC, oid) = 1),
+pairs AS (SELECT concat_ws('|', s.entity, s.category, s.brand) AS subject, s.oid AS s_id, o.oid AS o_id, s.price AS s_price, o.price AS o_price, s.minutes AS s_minutes, o.minutes AS o_minutes,
+  s.name AS s_name, o.name AS o_name, s.package AS s_package, o.package AS o_package, CASE WHEN {_apart} THEN -1 WHEN {_both} THEN 1 ELSE 0 END AS vote_params,
+  {_area.format(n='s.name')} AS s_area, {_area.format(n='o.name')} AS o_area, o.entity AS o_entity, round({_ratio.format(a='s.minutes', b='o.minutes')}, 4) AS similarity
+  FROM f s JOIN rivals r ON r.subject = s.entity JOIN o ON o.entity = r.rival AND o.category = s.category AND o.brand = s.brand)"""
+SAMPLES = f"{PAIRS}, {chain_sql()}"
 
 
 def staged(s, d, until):
@@ -109,6 +144,14 @@ def staged(s, d, until):
     return (P.one_per_entity(kept) if until == "single" else kept).select("subject", "o_id", "similarity")
 
 
+def report(s, d):
+    """Result rows of every entity's report: offers from a similarity of .82 up, or from .75 up for a report that verifies too few."""
+    _, newest = services_offered(s, d)
+    services = newest.select(F.col("entity").alias("report"), F.concat_ws("|", *SUBJECT).alias("subject"))
+    run = lambda floor: P.result_rows(P.market_price(samples(s, d, floor), generic()))
+    return P.rerun_if_few(run(0.82), run(0.75), services).select("report", "subject", "widened", "verification", "action", "market_price")
+
+
 QUERIES = {
     "identity_votes": lambda s, d: voted(s, d).groupBy(*VOTES).agg(F.count("*").alias("n")),
     "identity_margin": lambda s, d: voted(s, d).groupBy("subject").agg(F.sum(F.round(10 * F.col("margin")).cast("long")).alias("margin_tenths"), F.count_if(P.matches(F.lit(0.6))).alias("n_pure")),
@@ -116,6 +159,8 @@ QUERIES = {
     "coherence_guard": lambda s, d: staged(s, d, "coherent"),
     "dedup_closest": lambda s, d: staged(s, d, "single"),
     "market_price": lambda s, d: P.market_price(samples(s, d), generic()),
+    "result_rows": lambda s, d: P.result_rows(P.market_price(samples(s, d), generic())),
+    "report_driver": report,
 }
 
 ORACLES = {
@@ -124,5 +169,13 @@ ORACLES = {
     "adaptive_identity": f"WITH {SAMPLES} SELECT subject, strictness, round(purity, 4) AS purity, entities FROM picked",
     "coherence_guard": f"WITH {SAMPLES} SELECT subject, o_id, similarity FROM coherent",
     "dedup_closest": f"WITH {SAMPLES} SELECT subject, o_id, similarity FROM single",
-    "market_price": f"""WITH {SAMPLES} SELECT *, CASE WHEN status = 'insufficient' OR abs(deviation_pct) <= 8 THEN 'hold' WHEN deviation_pct < 0 THEN 'raise' ELSE 'lower' END AS action FROM deviated""",
+    "market_price": f"""WITH {SAMPLES} SELECT *, CASE WHEN deviation_pct IS NULL OR abs(deviation_pct) <= 8 THEN 'hold' WHEN deviation_pct < 0 THEN 'raise' ELSE 'lower' END AS action FROM deviated""",
+    "result_rows": f"WITH {SAMPLES} SELECT * EXCLUDE (alone) FROM rows",
+    "report_driver": f"""WITH {PAIRS}, {chain_sql('_s', 0.82)}, {chain_sql('_w', 0.75)}, services AS (SELECT entity AS report, concat_ws('|', entity, category, brand) AS subject FROM f),
+      c AS (SELECT report, count(*) FILTER (s.verification = 'verified') AS n_s, count(*) FILTER (w.verification = 'verified') AS n_w, count(*) AS n
+        FROM services LEFT JOIN rows_s s USING (subject) LEFT JOIN rows_w w USING (subject) GROUP BY 1),
+      chosen AS (SELECT report, n_s / n < 0.2 AND n_w > n_s AS widened FROM c)
+      SELECT report, subject, widened, coalesce(CASE WHEN widened THEN w.verification ELSE s.verification END, 'subject_only') AS verification,
+        coalesce(CASE WHEN widened THEN w.action ELSE s.action END, 'subject_only') AS action, CASE WHEN widened THEN w.market_price ELSE s.market_price END AS market_price
+      FROM services JOIN chosen USING (report) LEFT JOIN rows_s s USING (subject) LEFT JOIN rows_w w USING (subject)""",
 }

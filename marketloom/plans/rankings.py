@@ -89,11 +89,9 @@ def composite_v2(s, d):
 
 
 def bucket_v2(s, d):
-    """Direct, cluster, aspirational or new rivals, by profile and price similarity."""
-    b = (
-        F.when((F.col("size_sim") >= 0.70) & (F.col("price_sim") >= 0.85), "direct")
-        .when(F.col("cat_sim") >= 0.70, "cluster").when(F.col("price_sim") >= 0.40, "aspirational").otherwise("new")
-    )
+    """The bucket of each rival: unlikeness of size as focus, price as embedding; reviews, profile and review ranks by number."""
+    k, own = F.col("rival"), F.col("subject")
+    b = X.bucket_v2(k * 37 % 100, 1 - F.col("size_sim"), (k * 13 + own * 7) % 10 / 10, F.col("price_sim"), k % 10 / 10, own % 10 / 10)
     return scored(s, d).select("subject", "rival", b.alias("bucket"))
 
 
@@ -143,7 +141,9 @@ ORACLES = {
     "share_of_total": f"WITH {OFFERS}, g AS (SELECT entity, category, sum(price) AS p FROM offers GROUP BY 1, 2) SELECT entity, category, round(p / sum(p) OVER (PARTITION BY entity), 6) AS share FROM g",
     "composite_v1": f"WITH {SCORED} SELECT subject, rival, round(30 * same_region + 20 * size_sim + 25 * cat_sim + 10 * price_sim - 2 * greatest(0.0, rival % 12 - 5), 3) AS composite FROM scored",
     "composite_v2": f"WITH {SCORED} SELECT subject, rival, round(30 * same_region + 25 * size_sim + 20 * cat_sim + 20 * price_sim + 10 * 0.5 - 2 * greatest(0.0, rival % 12 - 5), 3) AS composite FROM scored",
-    "bucket_v2": f"WITH {SCORED} SELECT subject, rival, CASE WHEN size_sim >= 0.70 AND price_sim >= 0.85 THEN 'direct' WHEN cat_sim >= 0.70 THEN 'cluster' WHEN price_sim >= 0.40 THEN 'aspirational' ELSE 'new' END AS bucket FROM scored",
+    "bucket_v2": f"""WITH {SCORED}, x AS (SELECT *, 1 - size_sim AS focus, (rival * 13 + subject * 7) % 10 / 10 AS profile, rival * 37 % 100 AS reviews FROM scored)
+      SELECT subject, rival, CASE WHEN reviews < 20 THEN 'new' WHEN (focus >= 0.25 OR profile >= 0.7) AND price_sim >= 0.85 THEN 'direct' WHEN focus >= 0.12 OR profile >= 0.4 THEN 'cluster'
+        WHEN rival % 10 / 10 >= subject % 10 / 10 + 0.3 AND price_sim >= 0.70 THEN 'aspirational' END AS bucket FROM x""",
     "topn_union_picks": f"""WITH {METRICS}, p AS (SELECT unnest(range(1, 200, 37)) AS entity), m AS (SELECT entity, score, entity IN (SELECT entity FROM p) AS picked FROM metrics),
       best AS (SELECT * FROM m ORDER BY score DESC, entity LIMIT 10) SELECT * FROM best UNION ALL SELECT * FROM m WHERE picked AND entity NOT IN (SELECT entity FROM best)""",
     "union_first_wins": """WITH u AS (SELECT 0 AS f, o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 UNION ALL
