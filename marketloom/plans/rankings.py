@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
 from marketloom.operators import relational as R
+from marketloom.operators.places import nearest_places
 from marketloom.plans.joins import ENTITY, distance
 from marketloom.plans.offers import KEY, KEYS, OFFERS
 from marketloom.sources.tables import entities, offers, table
@@ -29,9 +30,8 @@ METRICS = f"""{OFFERS}, metrics AS (SELECT entity, count(*) AS n, count(DISTINCT
 
 def rivals(s, d, k=5):
     """``subject, rival``: each entity's k nearest others within five kilometres."""
-    e = entities(s, d)
-    pairs = R.geo_pairs(e, e, 5000.0).filter("a_id <> b_id").withColumn("m", F.round("distance_m", 3))
-    return R.top_k(pairs, ["a_id"], [F.col("m"), F.col("b_id")], k).select(F.col("a_id").alias("subject"), F.col("b_id").alias("rival"))
+    e = entities(s, d).select("id", "lat", "lng")
+    return nearest_places(e, e, k, 5000.0).select(F.col("a_id").alias("subject"), F.col("b_id").alias("rival"))
 
 
 RIVALS = f"""{ENTITY}, near AS (SELECT a.id AS subject, b.id AS rival, {distance('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS m FROM entity a JOIN entity b ON a.id <> b.id),
