@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from marketloom.functions import exprs as X
 from marketloom.functions import scores as S
 from marketloom.operators import relational as R
+from marketloom.operators.blocks import nearest_within
 
 
 def similar_enough(candidates: DataFrame, references: DataFrame, key: str, floor: float = 0.55) -> DataFrame:
@@ -28,10 +29,9 @@ def similar_enough(candidates: DataFrame, references: DataFrame, key: str, floor
 
 def verified_unique(own: DataFrame, rivals: DataFrame, key: list[str], below: float = 0.80) -> DataFrame:
     """Rows of ``own`` (``id, entity, vector``) that no other entity's row of their key comes close to; rows without a vector
-    count as unique."""
-    other = rivals.select(*key, F.col("entity").alias("_e"), F.col("vector").alias("_v"))
-    near = own.join(other, key).filter(F.col("entity") != F.col("_e"))
-    near = near.groupBy("id").agg(F.max(F.round(X.cosine(F.col("vector"), F.col("_v")), 4)).alias("closest"))
+    count as unique. Vectors of a key meet in blocks; one number a row comes back, not its pairs."""
+    keyed = lambda df: df.select("id", "entity", "vector", F.concat_ws("\x1f", *key).alias("_key"), *key).dropna(subset=["entity", *key])
+    near = nearest_within(keyed(own), keyed(rivals), "_key", 1, apart="entity").select(F.col("subject_id").alias("id"), F.col("similarity").alias("closest"))
     return own.join(near, "id", "left").filter(F.col("closest").isNull() | (F.col("closest") < below)).select("id", "entity", "closest")
 
 
