@@ -6,9 +6,9 @@ put aside before hashing, and an empty array of turns counts as having all paths
 fingerprints to declarative mappings, which say where turns are and where in a turn the role and the text. Records
 of unknown layouts are returned apart, not lost.
 
-The template marks turns with control strings. In texts and roles each control string gets an escape character
-inside and each escape character is doubled, so that no text can open or close a turn and parsing the output
-gives every text back unchanged.
+The template marks turns with control strings. In texts and roles every bracket and every escape character gets an
+escape character before it, so that no text or role can hold, begin or end a control string, and parsing the output
+gives every one back unchanged.
 """
 
 from __future__ import annotations
@@ -121,13 +121,17 @@ def by_fingerprint(registry: list[Mapping]) -> dict[str, Mapping]:
 def canonical(df: DataFrame, key: str = "conv_id", registry: list[Mapping] = REGISTRY) -> DataFrame:
     """``conv_id, turn, role, text`` of a table, whose columns besides ``key`` are its fields.
 
-    The schema's field paths, less those that no mapping names, are hashed, and the hash selects the mapping. An
-    unknown layout is an error that shows its paths. Null roles count as user, null texts as empty, and null arrays
-    have no turns; empty tables give no rows.
+    The schema's field paths, less those that no mapping names, are hashed, and the hash selects the mapping. Where they are
+    more than any mapping's, as a further column has the name of another layout's field, those of the largest mapping that is
+    all there are hashed, of equal ones the first declared. An unknown layout is an error that shows its paths. Null roles
+    count as user, null texts as empty, and null arrays have no turns; empty tables give no rows.
     """
     paths = field_paths(T.StructType([f for f in df.schema.fields if f.name != key]))
     paths = [p for p in paths if p in known_paths(registry)]
-    mapping = by_fingerprint(registry).get(fingerprint(paths))
+    known = by_fingerprint(registry)
+    mapping = known.get(fingerprint(paths))
+    for m in sorted(registry, key=lambda m: -len(m.paths)):
+        mapping = mapping or known.get(fingerprint([p for p in paths if p in m.paths]))
     if mapping is None:
         raise ValueError(f"no mapping for the fields {sorted(paths)} (fingerprint {fingerprint(paths)})")
     if mapping.rows:
@@ -182,11 +186,10 @@ def canonical_json(records: DataFrame, key: str = "conv_id", raw: str = "raw", r
 #: Control strings that open and close turns, by role; other roles are named in the mark.
 MARKS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
 OTHER = ("<<ROLE:", ">> ", " <</ROLE>>")
-CONTROL = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<<ROLE:", "<</ROLE>>", ">>")
 ESCAPE = "\\"
 
-_controls = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
-_escaped = re.compile(r"\\(\\?)")
+_special = re.compile(r"[<>\[\]\\]")
+_escaped = re.compile(r"\\(.)", re.DOTALL)
 _turn = re.compile(
     r"\[INST\] (?P<user>.*?) \[/INST\]|<s> (?P<assistant>.*?) </s>|<<SYS>> (?P<system>.*?) <</SYS>>"
     r"|<<ROLE:(?P<role>.*?)>> (?P<other>.*?) <</ROLE>>",
@@ -195,8 +198,7 @@ _turn = re.compile(
 
 
 def escape(text: str) -> str:
-    text = text.replace(ESCAPE, ESCAPE * 2)
-    return _controls.sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text)
+    return _special.sub(lambda m: ESCAPE + m[0], text)
 
 
 def unescape(text: str) -> str:

@@ -348,6 +348,18 @@ def test_chat(spark):
     assert one.turns_sha256 == hashlib.sha256(b"user\nhi\nassistant\nyo\n").hexdigest() and one.loss_chars == 2
 
 
+MARKUP = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<<ROLE:", "<</ROLE>>", ">>", "<", ">", "/", "[", "]", "\\", " ", "\n", "x", "s", "SYS"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(*[st.lists(st.sampled_from(MARKUP), max_size=7).map("".join)] * 2), max_size=4))
+def test_chat_round_trip_of_any_role_and_text(turns):
+    assert chat_format.parse("".join(chat_format.render(*t)[0] for t in turns)) == turns
+    for role, text in turns:
+        formatted, start, stop = chat_format.render(role, text)
+        assert chat_format.unescape(formatted[start:stop]) == text
+
+
 def test_chat_layouts(spark):
     """All layouts mixed, with extra fields, empty arrays, null texts and equal turns, against a plain reading."""
     import json
@@ -390,8 +402,12 @@ def test_chat_layouts(spark):
         assert r.n_turns == len(want[k]) and r.loss_chars == len(loss) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in want[k]).encode()).hexdigest()
         assert r.formatted_chars == sum(len(chat_format.render(*x)[0]) for x in want[k])
+    for name in ("prompt", "system", "input", "output", "answer", "messages", "lang"):
+        clash = rows.withColumn(name, rows.text)
+        assert sorted(map(str, chat_format.canonical(clash).collect())) == sorted(map(str, chat_format.canonical(rows).collect()))
+    assert chat_format.canonical(pairs.withColumn("prompt", pairs.question)).collect() == chat_format.canonical(pairs).collect()
     with pytest.raises(ValueError):
-        chat_format.canonical(pairs.withColumn("prompt", pairs.question))
+        chat_format.canonical(pairs.drop("answer"))
     assert chat_format.read_back(chat_format.format_turns(chat_format.canonical(rows.limit(0)))).count() == 0
 
 
@@ -406,7 +422,9 @@ def test_chat_query(spark):
     for k, own in want.items():
         assert got[k].n_turns == len(own)
         assert got[k].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in own).encode()).hexdigest()
-        assert got[k].loss_sha256 == hashlib.sha256("".join(b for a, b in own if a == "assistant").encode()).hexdigest()
+        loss = "".join(b for a, b in own if a == "assistant")
+        assert got[k].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and got[k].loss_chars == len(loss)
+        assert got[k].formatted_chars == sum(len(chat_format.render(*t)[0]) for t in own)
 
 
 def test_factorisation_machine(spark, docs):
