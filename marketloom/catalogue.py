@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["offers", "rankings", "joins", "vectors", "pricing", "profiles", "history", "text", "records", "events", "market", "decisions", "fields"]
+_MODULES = ["offers", "rankings", "joins", "vectors", "pricing", "profiles", "history", "text", "records", "events", "market", "decisions", "fields", "writes"]
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

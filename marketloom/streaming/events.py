@@ -6,6 +6,7 @@ batch forms in :mod:`marketloom.plans.events` give the same rows on the same inp
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,6 +63,53 @@ def attribute(clicks: DataFrame, changes: DataFrame, hours: int = 168, late: str
     return e.join(c, near).drop("c_user")
 
 
+def last_click(events: DataFrame, hours: int = 168, change: str = "purchase", late: str = "1 hour") -> DataFrame:
+    """Each change with the last click of its user in the hours before it: ``event_id, user_id, ts, click_ts`` (null: none).
+
+    A change waits in its user's state until the watermark has passed it, as a click may still come; then it is given out once, in
+    the batch that passes it or by a timer. Clicks stay for the hours that they may count for, so state is bounded by the
+    watermark, which follows clicks and changes alone. Rows behind the watermark are not read; the query's progress counts them as dropped. A click at the time of
+    a change counts.
+    """
+    out = "event_id long, user_id long, ts timestamp, click_ts timestamp"
+    span = hours * 3_600_000_000
+
+    def micros(ts: pd.Series) -> list[int]:
+        return ts.astype("datetime64[us]").astype("int64").tolist()
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        clicks, ids, times = map(list, state.get) if state.exists else ([], [], [])
+        if not state.hasTimedOut:
+            for batch in frames:
+                is_click = batch["event_type"] == "click"
+                clicks += micros(batch.loc[is_click, "ts"])
+                ids += batch.loc[~is_click, "event_id"].tolist()
+                times += micros(batch.loc[~is_click, "ts"])
+        clicks.sort()
+        mark = state.getCurrentWatermarkMs() * 1000
+        rows = []
+        for i, t in ((i, t) for i, t in zip(ids, times, strict=True) if t < mark):
+            k = bisect.bisect_right(clicks, t) - 1
+            near = clicks[k] if k >= 0 and clicks[k] >= t - span else None
+            rows.append((i, key[0], pd.Timestamp(t, unit="us"), None if near is None else pd.Timestamp(near, unit="us")))
+        waiting = [(i, t) for i, t in zip(ids, times, strict=True) if t >= mark]
+        clicks = [c for c in clicks if c >= mark - span]
+        if waiting or clicks:
+            state.update((clicks, [i for i, _ in waiting], [t for _, t in waiting]))
+            due = min(t for _, t in waiting) // 1000 + 1 if waiting else (clicks[-1] + span) // 1000 + 1
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        if rows:
+            frame = pd.DataFrame(rows, columns=["event_id", "user_id", "ts", "click_ts"])
+            yield frame.astype({"ts": "datetime64[us]", "click_ts": "datetime64[us]"})
+
+    kinds = events.withWatermark("ts", late).filter(F.col("event_type").isin("click", change)).select("event_id", "user_id", "ts", "event_type")
+    return kinds.groupBy("user_id").applyInPandasWithState(
+        step, out, "clicks array<long>, ids array<long>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def transitions(events: DataFrame, moves: dict[tuple[str, str], str], start: str, expire_days: int = 90) -> DataFrame:
     """Each user's state machine: ``user_id, ts, state_from, state_to``.
 
@@ -99,3 +147,10 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     """Work through what is there and stop; files are committed exactly once."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()
+
+
+def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Work through what is there and leave the whole result, also of what may still change; each batch replaces the last one's."""
+    replace = lambda df, _: df.write.mode("overwrite").parquet(path)
+    query = stream.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()

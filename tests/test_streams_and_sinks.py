@@ -2,11 +2,14 @@
 
 import collections
 import json
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import decisions as D
+from marketloom.operators import relational as R
 from marketloom.sources import tables as T
 from marketloom.streaming import events as S
 
@@ -50,6 +53,30 @@ def test_tumbling(spark, arrived, tmp_path):
     assert counted(got, "start", "event_type", "n") == counted(want, "start", "event_type", "n")
 
 
+def test_last_click_equals_the_batch_form(spark, arrived, tmp_path):
+    path, e = arrived
+    got = streamed(spark, path, lambda x: S.last_click(x.replace("end", "click", "event_type"), 24), tmp_path)  # the far event is to move the watermark
+    want = R.asof_last(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.filter("event_type = 'click'"), "user_id", 24)
+    assert counted(got, "event_id", "user_id", "ts", "click_ts") == counted(want, "event_id", "user_id", "ts", "click_ts")
+    assert got.filter("click_ts IS NOT NULL").count() > 0
+
+
+def test_last_click_waits_for_the_watermark_and_drops_late_rows(spark, tmp_path):
+    at = lambda hours: pd.Timestamp("2026-01-01") + pd.Timedelta(hours=hours)
+    files = [
+        [(1, at(0), 1, "click", 0.0), (2, at(10), 1, "purchase", 0.0), (3, at(10), 2, "purchase", 0.0)],
+        [(4, at(9.5), 1, "click", 0.0), (5, at(10.5), 1, "click", 0.0)],  # out of order, but within the hour
+        [(6, at(100), 3, "click", 0.0)],
+        [(7, at(9.9), 1, "click", 0.0), (8, at(20), 1, "purchase", 0.0)],  # late: the watermark is at 99 hours
+        [(9, at(300), 3, "purchase", 0.0), (10, at(400), 4, "click", 0.0)],
+    ]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        time.sleep(1.1)  # files are taken in the order of their times
+    got = streamed(spark, f"{tmp_path}/in/*", S.last_click, tmp_path)
+    assert {(r.event_id, r.click_ts) for r in got.collect()} == {(2, at(9.5)), (3, None), (9, None)}
+
+
 def test_sliding_and_sessions(spark, arrived, tmp_path):
     path, e = arrived
     got = streamed(spark, path, lambda x: S.sliding(x, "2 days", "1 day"), tmp_path / "a").filter("user_id <> 999")
