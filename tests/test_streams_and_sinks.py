@@ -1,10 +1,10 @@
 """Streaming operators against their batch forms, and sources and sinks on small folders."""
 
 import collections
+import datetime as dt
 import json
 import time
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,7 +62,7 @@ def test_last_click_equals_the_batch_form(spark, arrived, tmp_path):
 
 
 def test_last_click_waits_for_the_watermark_and_drops_late_rows(spark, tmp_path):
-    at = lambda hours: pd.Timestamp("2026-01-01") + pd.Timedelta(hours=hours)
+    at = lambda hours: dt.datetime(2026, 1, 1) + dt.timedelta(hours=hours)
     files = [
         [(1, at(0), 1, "click", 0.0), (2, at(10), 1, "purchase", 0.0), (3, at(10), 2, "purchase", 0.0)],
         [(4, at(9.5), 1, "click", 0.0), (5, at(10.5), 1, "click", 0.0)],  # out of order, but within the hour
