@@ -32,6 +32,8 @@ def places(points: DataFrame, k: int) -> DataFrame:
     return few.groupBy("lat", "lng").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
+#: Levels that are planned together before what is left is staged.
+STAGED = 3
 #: Levels below the cells of the size of the radius; a cell of the last is a leaf whatever it holds.
 DEEPEST = 14
 
@@ -80,7 +82,7 @@ def bounds(df: DataFrame, radius_m: float) -> DataFrame:
 def leaf_pairs(subjects: DataFrame, points: DataFrame, k: int, radius_m: float, high: float, wide: float) -> DataFrame:
     """``a_lat, a_lng, b_level, b_cy, b_cx``: the leaves that may hold one of the k nearest of each position of ``subjects``.
 
-    ``points`` is a tree. The work of a level is the pairs that are left; each is staged, so that plans stay short.
+    ``points`` is a tree. The work of a level is the pairs that are left; every few levels they are staged, so that plans stay short.
     """
     box = [f"{x}{i}" for x in ("lat", "lng", "cos") for i in (0, 1)]
     key = ["a_lat", "a_lng"]
@@ -104,7 +106,8 @@ def leaf_pairs(subjects: DataFrame, points: DataFrame, k: int, radius_m: float,
         if level < depth:
             kept = met.select(*key, *[F.col(f"b_{c}").alias(f"_{c[-1]}") for c in ("level", "cy", "cx")])
             met = kept.join(after, ["_l", "_y", "_x"]).drop("_l", "_y", "_x")
-            met = staged(met, "frontier")
+            if level % STAGED == STAGED - 1:
+                met = staged(met, "frontier")
     return met.select(*key, "b_level", "b_cy", "b_cx")
 
 
@@ -126,7 +129,7 @@ def nearest_places(subjects: DataFrame, points: DataFrame, k: int, radius_m: flo
     high = radius_m / 111_000.0
     wide = high / math.cos(math.radians(75))
     at = staged(places(points, k + 1), "places")
-    nodes = staged(tree(at, high, wide, leaf or max(4, k // 2)), "tree")
+    nodes = staged(tree(at, high, wide, leaf or 2 * k), "tree")
     own = at if subjects is points else places(subjects, 1)
     leaves = leaf_pairs(own, nodes, k, radius_m, high, wide)
     b = in_leaves(at, nodes, high, wide)

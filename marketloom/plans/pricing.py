@@ -11,7 +11,7 @@ from marketloom.operators import pricing as P
 from marketloom.operators import relational as R
 from marketloom.plans.offers import OFFERS
 from marketloom.plans.rankings import RIVALS, rivals
-from marketloom.sources.tables import offers
+from marketloom.sources.tables import offers, table
 
 
 #: Body areas and neutral words among the words of names, and how names of generic services begin.
@@ -36,6 +36,9 @@ def label(name, part):
 def services_offered(s, d):
     """Every distinct state of an offer with what votes read of it, and the newest single one of each entity's brand and category."""
     o = offers(s, d).groupBy(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price").alias("oid"), "l_partkey", "entity", "price", "minutes", "name", "brand", "category", "package").agg(F.max("ts").alias("ts"))
+    p = table(s, d, "part")
+    p = p.select(F.col("p_partkey").alias("l_partkey"), typed_params(label(F.col("p_name"), F.col("p_partkey"))).alias("params"))  # once a part, not once an offer
+    o = o.join(p, "l_partkey")
     return o, R.latest_per_key(o.filter("NOT package"), ["entity", "category", "brand"], [F.desc("ts"), F.col("oid")])
 
 
@@ -54,7 +57,7 @@ def samples(s, d, floor=0.0):
     neutral = F.array().cast("array<string>")
     side = lambda p: [
         F.col("oid").alias(f"{p}id"), F.col("price").alias(f"{p}price"), F.col("minutes").alias(f"{p}minutes"), F.col("name").alias(f"{p}name"),
-        F.col("package").alias(f"{p}package"), typed_params(label(F.col("name"), F.col("l_partkey"))).alias(f"{p}params"),
+        F.col("package").alias(f"{p}package"), F.col("params").alias(f"{p}params"),
         F.array_intersect(words, F.array(*map(F.lit, AREAS))).alias(f"{p}area"),
         F.when(F.array_contains(words, NEUTRAL), neutral).otherwise(words).alias(f"{p}words"),
     ]

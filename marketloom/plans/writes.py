@@ -74,7 +74,7 @@ def streamed_clicks(s, d):
     """The last click before each purchase that the watermark has passed: all but those of the last hour."""
     path = fresh(s, "clicks")
     S.run_once(S.last_click(stream(s, d)), path, fresh(s, "clicks-state"))
-    return s.read.parquet(path)
+    return s.read.parquet(path).filter("NOT late").drop("late")
 
 
 QUERIES = {

@@ -64,14 +64,14 @@ def attribute(clicks: DataFrame, changes: DataFrame, hours: int = 168, late: str
 
 
 def last_click(events: DataFrame, hours: int = 168, change: str = "purchase", late: str = "1 hour") -> DataFrame:
-    """Each change with the last click of its user in the hours before it: ``event_id, user_id, ts, click_ts`` (null: none).
+    """Each change with the last click of its user in the hours before it: ``event_id, user_id, ts, click_ts`` (null: none), ``late``.
 
     A change waits in its user's state until the watermark has passed it, as a click may still come; then it is given out once, in
     the batch that passes it or by a timer. Clicks stay for the hours that they may count for, so state is bounded by the
-    watermark, which follows clicks and changes alone. Rows behind the watermark are not read; the query's progress counts them as dropped. A click at the time of
-    a change counts.
+    watermark, which follows clicks and changes alone. Rows behind it come too late: they are given out apart, marked ``late`` and
+    without a click, and change nothing. A click at the time of a change counts.
     """
-    out = "event_id long, user_id long, ts timestamp, click_ts timestamp"
+    out = "event_id long, user_id long, ts timestamp, click_ts timestamp, late boolean"
     span = hours * 3_600_000_000
 
     def micros(ts: pd.Series) -> list[int]:
@@ -79,19 +79,22 @@ def last_click(events: DataFrame, hours: int = 168, change: str = "purchase", la
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         clicks, ids, times = map(list, state.get) if state.exists else ([], [], [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        rows = []
         if not state.hasTimedOut:
             for batch in frames:
+                behind = batch["ts"] < pd.Timestamp(mark, unit="us")
+                rows += [(i, key[0], t, None, True) for i, t in zip(batch.loc[behind, "event_id"], batch.loc[behind, "ts"], strict=True)]
+                batch = batch[~behind]
                 is_click = batch["event_type"] == "click"
                 clicks += micros(batch.loc[is_click, "ts"])
                 ids += batch.loc[~is_click, "event_id"].tolist()
                 times += micros(batch.loc[~is_click, "ts"])
         clicks.sort()
-        mark = state.getCurrentWatermarkMs() * 1000
-        rows = []
         for i, t in ((i, t) for i, t in zip(ids, times, strict=True) if t < mark):
             k = bisect.bisect_right(clicks, t) - 1
             near = clicks[k] if k >= 0 and clicks[k] >= t - span else None
-            rows.append((i, key[0], pd.Timestamp(t, unit="us"), None if near is None else pd.Timestamp(near, unit="us")))
+            rows.append((i, key[0], pd.Timestamp(t, unit="us"), None if near is None else pd.Timestamp(near, unit="us"), False))
         waiting = [(i, t) for i, t in zip(ids, times, strict=True) if t >= mark]
         clicks = [c for c in clicks if c >= mark - span]
         if waiting or clicks:
@@ -101,7 +104,7 @@ def last_click(events: DataFrame, hours: int = 168, change: str = "purchase", la
         elif state.exists:
             state.remove()
         if rows:
-            frame = pd.DataFrame(rows, columns=["event_id", "user_id", "ts", "click_ts"])
+            frame = pd.DataFrame(rows, columns=["event_id", "user_id", "ts", "click_ts", "late"])
             yield frame.astype({"ts": "datetime64[us]", "click_ts": "datetime64[us]"})
 
     kinds = events.withWatermark("ts", late).filter(F.col("event_type").isin("click", change)).select("event_id", "user_id", "ts", "event_type")

@@ -74,7 +74,7 @@ def test_last_click_waits_for_the_watermark_and_drops_late_rows(spark, tmp_path)
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
         time.sleep(1.1)  # files are taken in the order of their times
     got = streamed(spark, f"{tmp_path}/in/*", S.last_click, tmp_path)
-    assert {(r.event_id, r.click_ts) for r in got.collect()} == {(2, at(9.5)), (3, None), (9, None)}
+    assert {(r.event_id, r.click_ts, r.late) for r in got.collect()} == {(2, at(9.5), False), (3, None, False), (7, None, True), (8, None, True), (9, None, False)}
 
 
 def test_sliding_and_sessions(spark, arrived, tmp_path):
