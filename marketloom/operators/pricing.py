@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
 from marketloom.functions.params import params_agree
+from marketloom.operators.staging import staged
 
 #: Weights of the votes. The category weighs more where the subject's name is generic, less where it is specific.
 WEIGHTS = {"params": 1.0, "package": 1.0, "area": 1.0, "duration": 0.5, "price": 1.5}
@@ -164,10 +165,19 @@ def rerun_if_few(strict: DataFrame, wide: DataFrame, services: DataFrame, share:
     return of(strict, False).unionByName(of(wide, True)).fillna("subject_only", ["verification", "action"])
 
 
-def market_price(samples: DataFrame, generic: Column) -> DataFrame:
-    """The whole chain for every subject of ``samples``. The votes are recomputed by the second pass over the rows
-    rather than kept: they are a few comparisons, and the pass shares its exchange by subject."""
-    voted = votes(samples).withColumn("margin", margin(generic))
+#: What the votes read of a pair and nothing after them does.
+READ_BY_VOTES = [f"{p}_{c}" for p in "so" for c in ("params", "area", "words")]
+
+
+def voted(pairs: DataFrame, generic: Column) -> DataFrame:
+    """Pairs with votes and margin and without what only votes read, so that rows are narrow before they are dealt by subject."""
+    return votes(pairs).withColumn("margin", margin(generic)).drop(*READ_BY_VOTES)
+
+
+def market_price(voted: DataFrame) -> DataFrame:
+    """The whole chain for every subject of voted samples, which are staged once: the level of strictness takes one pass over
+    them and the offers that it keeps another."""
+    voted = staged(voted, "voted")
     level = adaptive_strictness(voted).select("subject", "strictness")
     kept = voted.join(level, "subject").filter(matches(F.col("strictness")))
     return price(one_per_entity(coherence(kept)))

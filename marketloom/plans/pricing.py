@@ -9,6 +9,7 @@ from marketloom.functions import exprs as X
 from marketloom.functions.params import typed_params
 from marketloom.operators import pricing as P
 from marketloom.operators import relational as R
+from marketloom.operators.staging import staged
 from marketloom.plans.offers import OFFERS
 from marketloom.plans.rankings import RIVALS, rivals
 from marketloom.sources.tables import offers, table
@@ -38,19 +39,19 @@ def services_offered(s, d):
     o = offers(s, d).groupBy(F.concat_ws("/", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "price").alias("oid"), "l_partkey", "entity", "price", "minutes", "name", "brand", "category", "package").agg(F.max("ts").alias("ts"))
     p = table(s, d, "part")
     p = p.select(F.col("p_partkey").alias("l_partkey"), typed_params(label(F.col("p_name"), F.col("p_partkey"))).alias("params"))  # once a part, not once an offer
-    o = o.join(p, "l_partkey")
+    o = staged(o.join(p, "l_partkey"), "offers")  # read as subjects and as offers
     return o, R.latest_per_key(o.filter("NOT package"), ["entity", "category", "brand"], [F.desc("ts"), F.col("oid")])
 
 
 SUBJECT = ["entity", "category", "brand"]
 
 
-def samples(s, d, floor=0.0):
+def pairs(s, d, floor=0.0):
     """Every entity's services (its newest single offer of each brand's category) with the offers of its eight nearest
     rivals of the same brand and category, from a similarity of ``floor`` up.
 
     Each rival's offers meet the subject by an equi-join, so a pool is as large as eight entities' share of one brand's
-    category. ``peer_max_sim`` is the best similarity to another offer of the pool: that to a neighbour by minutes.
+    category. The best similarity to another offer of a pool is that to a neighbour by minutes.
     """
     o, newest = services_offered(s, d)
     words = X.word_set(F.col("name"))
@@ -66,18 +67,27 @@ def samples(s, d, floor=0.0):
     near = rivals(s, d, 8).select(F.col("subject").alias("s_entity"), F.col("rival").alias("o_entity"))
     pairs = subject.join(near, "s_entity").join(offer, ["o_entity", "category", "brand"])
     pairs = pairs.withColumn("similarity", F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4)).filter(F.col("similarity") >= floor)
+    return pairs
+
+
+def with_peers(pairs):
     order = Window.partitionBy("subject").orderBy("o_minutes", "o_id")
     beside = [f("o_minutes").over(order) for f in (F.lag, F.lead)]
     peer = F.greatest(*[F.when(x.isNotNull(), X.ratio_similarity(F.col("o_minutes"), x)) for x in beside])
     return pairs.withColumn("peer_max_sim", F.round(peer, 4))
 
 
+def samples(s, d, floor=0.0):
+    """Pairs with the best similarity to another offer of their pool, as the price chain reads them."""
+    return with_peers(pairs(s, d, floor))
+
+
 def generic():
     return F.col("s_name").rlike(GENERIC)
 
 
-def voted(s, d):
-    return P.votes(samples(s, d)).withColumn("margin", P.margin(generic()))
+def voted(s, d, floor=0.0):
+    return with_peers(P.voted(pairs(s, d, floor), generic()))
 
 
 VOTES = ["vote_params", "vote_package", "vote_area", "vote_category", "vote_duration", "vote_price"]
@@ -140,7 +150,7 @@ pairs AS (SELECT concat_ws('|', s.entity, s.category, s.brand) AS subject, s.oid
 SAMPLES = f"{PAIRS}, {chain_sql()}"
 
 
-def staged(s, d, until):
+def chain_until(s, d, until):
     v = voted(s, d)
     kept = v.join(P.adaptive_strictness(v).select("subject", "strictness"), "subject").filter(P.matches(F.col("strictness")))
     kept = P.coherence(kept)
@@ -151,7 +161,7 @@ def report(s, d):
     """Result rows of every entity's report: offers from a similarity of .82 up, or from .75 up for a report that verifies too few."""
     _, newest = services_offered(s, d)
     services = newest.select(F.col("entity").alias("report"), F.concat_ws("|", *SUBJECT).alias("subject"))
-    run = lambda floor: P.result_rows(P.market_price(samples(s, d, floor), generic()))
+    run = lambda floor: P.result_rows(P.market_price(voted(s, d, floor)))
     return P.rerun_if_few(run(0.82), run(0.75), services).select("report", "subject", "widened", "verification", "action", "market_price")
 
 
@@ -159,10 +169,10 @@ QUERIES = {
     "identity_votes": lambda s, d: voted(s, d).groupBy(*VOTES).agg(F.count("*").alias("n")),
     "identity_margin": lambda s, d: voted(s, d).groupBy("subject").agg(F.sum(F.round(10 * F.col("margin")).cast("long")).alias("margin_tenths"), F.count_if(P.matches(F.lit(0.6))).alias("n_pure")),
     "adaptive_identity": lambda s, d: P.adaptive_strictness(voted(s, d)).select("subject", "strictness", F.round("purity", 4).alias("purity"), "entities"),
-    "coherence_guard": lambda s, d: staged(s, d, "coherent"),
-    "dedup_closest": lambda s, d: staged(s, d, "single"),
-    "market_price": lambda s, d: P.market_price(samples(s, d), generic()),
-    "result_rows": lambda s, d: P.result_rows(P.market_price(samples(s, d), generic())),
+    "coherence_guard": lambda s, d: chain_until(s, d, "coherent"),
+    "dedup_closest": lambda s, d: chain_until(s, d, "single"),
+    "market_price": lambda s, d: P.market_price(voted(s, d)),
+    "result_rows": lambda s, d: P.result_rows(P.market_price(voted(s, d))),
     "report_driver": report,
 }
 
