@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Python workers get Arrow batches of at most 8 MB from jobs that are run inside, however large a partition is."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 class Scratch:
     """Staged tables in the shared folder: they cut lineage and outlive lost executors.
 
@@ -54,15 +67,11 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, **options: object) -> DataFrame:
         """Write ``df`` once and return what was written. Python workers get small Arrow batches meanwhile."""
-        path, conf = self.path(name), self.spark.conf
-        before = conf.get(BATCH)
-        conf.set(BATCH, "8m")
-        try:
-            df.write.parquet(path)
-        finally:
-            conf.set(BATCH, before)
+        path = self.path(name)
+        with small_batches(self.spark):
+            df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,12 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.byte_words import LOWER, byte_class, crc_of, text_bytes, word_bounds
-from marketloom.llm.common import Scratch, table
+from marketloom.llm.common import Scratch, small_batches, table
 from marketloom.llm.tokens import arrow_blocks
 
 #: Letters, digits and all characters beyond ASCII make words; A-Z are read in lower case.
 WORD_BYTES = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
 #: A block of the matrix: row r holds indices[indptr[r] : indptr[r + 1]] with their counts.
+#: Texts of about so many bytes make a block. Readers decode a whole row group of a matrix at once, and writers close one after a
+#: hundred rows at the earliest, so both are small: what a task holds does not depend on the size of its split.
+BLOCK_BYTES = 256_000
+ROW_GROUP = {"parquet.block.size": 4 << 20}
 CSR = "doc_id array<bigint>, n_words array<bigint>, indptr array<int>, indices array<int>, counts array<int>"
 
 
@@ -54,13 +58,13 @@ def bucket_counts(texts: pa.Array, runs: int, buckets: int) -> tuple[np.ndarray,
 def count_matrix(docs: DataFrame, runs: int = 1, buckets: int = 10_000, key: str = "doc_id") -> DataFrame:
     """The document-by-bucket counts of ``docs`` as blocks of compressed sparse rows (``CSR``).
 
-    One pass in the tasks that read the texts. A block holds the texts of about 3 MB, or one longer text. Null and empty
+    One pass in the tasks that read the texts. A block holds the texts of about ``BLOCK_BYTES``, or one longer text. Null and empty
     texts are rows without cells; null and repeated keys are rows of their own. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in arrow_blocks(batch, 1):
+            for start, texts in arrow_blocks(batch, 1, BLOCK_BYTES):
                 n_words, indptr, indices, counts = bucket_counts(texts, runs, buckets)
                 columns = [batch.column(0).slice(start, len(texts)), n_words, indptr, indices, counts]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
@@ -94,7 +98,9 @@ def column_sums(matrix: DataFrame, buckets: int = 10_000) -> np.ndarray:
 
     sums = matrix.select("indices", "counts").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
-    for r in sums.collect():
+    with small_batches(matrix.sparkSession):
+        rows = sums.collect()
+    for r in rows:
         out[r.bucket] = r.n
     return out
 
@@ -182,8 +188,8 @@ def resample(
     tables give no rows; an empty target is a flat one. Extra columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "importance")
-    matrix = scratch.save(count_matrix(docs, runs, buckets), "matrix")
-    goal = scratch.save(count_matrix(target.withColumn("doc_id", F.lit(0)), runs, buckets), "target")
+    matrix = scratch.save(count_matrix(docs, runs, buckets), "matrix", **ROW_GROUP)
+    goal = scratch.save(count_matrix(target.withColumn("doc_id", F.lit(0)), runs, buckets), "target", **ROW_GROUP)
     gain = gains(column_sums(goal, buckets), column_sums(matrix, buckets))
     scored = weigh(matrix, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
     return ranked(scratch.save(scored, "scored"), scratch, percent, least_words)

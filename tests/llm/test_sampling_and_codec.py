@@ -13,8 +13,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marketloom.llm import bpe_codec, byte_words, divergence, importance
+from marketloom.llm.common import Scratch
 from marketloom.llm.tokens import load_tokenizer, vocabulary_path
 
 LONG = " ".join(f"Wort{i % 97}" for i in range(30_000))
@@ -191,3 +193,12 @@ def test_runs_do_not_cross_texts():
     assert n_words.tolist() == [2, 1, 0, 3] and np.diff(indptr).tolist() == [3, 1, 0, 5]
     rows = [set(indices[a:b].tolist()) for a, b in itertools.pairwise(indptr.tolist())]
     assert rows[0] == {zlib.crc32(x) % 10_000 for x in (b"a", b"b", b"a b")} and counts.sum() == 9
+
+
+def test_blocks_of_a_matrix_are_small(spark):
+    """A reader decodes many blocks at once, so none may hold the cells of megabytes of text."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(4000)), lambda x: F.concat(F.lit("w"), (x * 7919 + F.col("id") * 31).cast("string"))))
+    docs = spark.range(0, 900, 1, 1).select(F.col("id").alias("doc_id"), words.alias("text"))
+    scratch = Scratch(spark, "blocks")
+    matrix = scratch.save(importance.count_matrix(docs), "matrix", **importance.ROW_GROUP)
+    assert matrix.agg(F.sum(F.size("doc_id")), F.max(F.size("indices")) < 100_000).first() == (900, True)
