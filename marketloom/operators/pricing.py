@@ -1,18 +1,19 @@
 """Market price of a subject from its identity cluster, stage by stage.
 
-A sample row is a (subject, offer) pair with both sides' attributes. Stages, in this order: votes on identity,
-adaptive strictness, coherence, one offer per entity, sufficiency, price. All are joins-free expressions or one
-aggregation by subject, so subjects spread over the cluster.
+A subject is one row with its pool, an array of the offers that it is compared with, so pairs are never dealt out, sorted or
+written. Stages, in this order: votes on identity, adaptive strictness, coherence, one offer per entity, sufficiency, price. All are
+expressions on the pool until the few offers that are left are priced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
 from marketloom.functions.params import params_agree
-from marketloom.operators.staging import staged
 
 #: Weights of the votes. The category weighs more where the subject's name is generic, less where it is specific.
 WEIGHTS = {"params": 1.0, "package": 1.0, "area": 1.0, "duration": 0.5, "price": 1.5}
@@ -21,89 +22,130 @@ GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 REFERENCE_STRICTNESS = 0.6
 
 
-def votes(df: DataFrame) -> DataFrame:
-    """Columns ``vote_*`` of -1, 0 or 1. An abstaining vote is 0, never null.
+def vote_columns(get: Callable[[str], Column]) -> dict[str, Column]:
+    """Votes ``vote_*`` of -1, 0 or 1. An abstaining vote is 0, never null.
 
-    Expects ``s_*`` (subject) and ``o_*`` (offer) columns: params (typed, see ``functions.params``), package, area (sorted
+    ``get`` gives ``s_*`` (subject) and ``o_*`` (offer) values: params (typed, see ``functions.params``), package, area (sorted
     array), words (of the category, none if it is neutral), minutes, price. Prices are compared per minute where both
     have price and minutes, else as they are; a price or minutes of 0 are unknown.
     """
-    a, b = F.col("s_words"), F.col("o_words")
-    known = lambda c: F.coalesce(F.col(f"s_{c}") > 0, F.lit(False)) & F.coalesce(F.col(f"o_{c}") > 0, F.lit(False))
+    a, b = get("s_words"), get("o_words")
+    known = lambda c: F.coalesce(get(f"s_{c}") > 0, F.lit(False)) & F.coalesce(get(f"o_{c}") > 0, F.lit(False))
     times = lambda x, y, n: F.greatest(x, y) >= n * F.least(x, y)
-    s_price, o_price = (F.when(known("minutes"), F.col(f"{p}_price") / F.col(f"{p}_minutes")).otherwise(F.col(f"{p}_price")) for p in "so")
-    return df.withColumns(
-        {
-            "vote_params": params_agree(F.col("s_params"), F.col("o_params")),
-            "vote_package": F.when(F.col("s_package") != F.col("o_package"), -1).otherwise(0),
-            "vote_area": F.when((F.size("s_area") > 0) & (F.size("o_area") > 0) & (F.col("s_area") != F.col("o_area")), -1).otherwise(0),
-            "vote_category": F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(X.overlap_min(a, b) >= 0.5, 1).otherwise(-1),
-            "vote_duration": F.when(known("minutes") & times(F.col("s_minutes"), F.col("o_minutes"), 3), -1).otherwise(0),
-            "vote_price": F.when(known("price") & times(s_price, o_price, 4), -1).otherwise(0),
-        }
-    )
-
-
-def margin(generic: Column) -> Column:
+    s_price, o_price = (F.when(known("minutes"), get(f"{p}_price") / get(f"{p}_minutes")).otherwise(get(f"{p}_price")) for p in "so")
+    s_area, o_area = get("s_area"), get("o_area")
+    return {
+        "vote_params": params_agree(get("s_params"), get("o_params")),
+        "vote_package": F.when(get("s_package") != get("o_package"), -1).otherwise(0),
+        "vote_area": F.when((F.size(s_area) > 0) & (F.size(o_area) > 0) & (s_area != o_area), -1).otherwise(0),
+        "vote_category": F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(X.overlap_min(a, b) >= 0.5, 1).otherwise(-1),
+        "vote_duration": F.when(known("minutes") & times(get("s_minutes"), get("o_minutes"), 3), -1).otherwise(0),
+        "vote_price": F.when(known("price") & times(s_price, o_price, 4), -1).otherwise(0),
+    }
+
+
+def votes(df: DataFrame) -> DataFrame:
+    """Votes of rows that hold one pair each, see ``vote_columns``."""
+    return df.withColumns(vote_columns(F.col))
+
+
+def margin(generic: Column, get: Callable[[str], Column] = F.col) -> Column:
     """Votes by weight; ``generic`` may be null where the subject's name gives no answer."""
     category = F.when(generic, CATEGORY_WEIGHT["generic"]).when(~generic, CATEGORY_WEIGHT["specific"]).otherwise(CATEGORY_WEIGHT["unknown"])
-    return sum((F.col(f"vote_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0)) + F.col("vote_category") * category
+    return sum((get(f"vote_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0)) + get("vote_category") * category
 
 
-def matches(strictness: Column) -> Column:
+def matches(strictness: Column, get: Callable[[str], Column] = F.col) -> Column:
     """No veto, and a margin of at least ``-1.5 + 1.6 * strictness``."""
-    veto = (F.col("vote_params") == -1) | (F.col("vote_package") == -1) | (F.col("vote_area") == -1)
-    return ~veto & (F.col("margin") >= -1.5 + 1.6 * strictness)
+    veto = (get("vote_params") == -1) | (get("vote_package") == -1) | (get("vote_area") == -1)
+    return ~veto & (get("margin") >= -1.5 + 1.6 * strictness)
+
+
+VOTES = ["vote_params", "vote_package", "vote_area", "vote_category", "vote_duration", "vote_price"]
+#: A voted pair: minutes and id come first, as pools are sorted by them. What only votes read is gone.
+PAIR = ["o_minutes", "o_id", "o_entity", "o_price", "o_package", "o_name", "other", "similarity", *VOTES, "margin", "peer_max_sim"]
+
+
+def voted(df: DataFrame, generic: Column, floor: float = 0.0) -> DataFrame:
+    """Rows ``s_*, o_*`` of one pair each from a similarity of ``floor`` up, with votes and margin and without what only these read."""
+    near = df.withColumn("similarity", F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4)).filter(F.col("similarity") >= floor)
+    marked = votes(near).withColumn("margin", margin(generic)).withColumn("other", F.col("o_folded") != F.col("s_folded"))
+    return marked.drop(*[f"{p}_{c}" for p in "so" for c in ("params", "area", "words", "folded")])
+
+
+def pooled(voted_rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``pool`` of each key: its voted pairs by minutes and id, each with the best similarity to another one: to a neighbour by minutes."""
+
+    def beside(all_: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            peers = [X.ratio_similarity(x["o_minutes"], F.get(all_, at)["o_minutes"]) for at in (i - 1, i + 1)]
+            known = [F.when(F.get(all_, at).isNotNull(), p) for at, p in zip((i - 1, i + 1), peers, strict=True)]
+            return F.struct(*[x[f].alias(f) for f in PAIR[:-1]], F.round(F.greatest(*known), 4).alias("peer_max_sim"))
+
+        return F.transform(all_, one)
+
+    pools = voted_rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*PAIR[:-1]))).alias("pool"))
+    return pools.withColumn("pool", beside(F.col("pool")))
+
+
+def entity_of(x: Column) -> Column:
+    """What stands for an entity: an offer without one stands for itself."""
+    return F.coalesce(F.concat(F.lit("e"), x["o_entity"].cast("string")), F.concat(F.lit("o"), x["o_id"]))
 
 
 def adaptive_strictness(df: DataFrame, prefer: str = "sufficiency", min_entities: int = 3, min_purity: float = 0.9) -> DataFrame:
-    """``subject, strictness, purity, entities``: the smallest strictness of the grid whose matches are pure and many
+    """``strictness, purity, entities`` of each row's ``pool``: the smallest strictness of the grid whose matches are pure and many
     enough, else the best by the preference.
 
-    A row that matches at one strictness matches at all smaller ones, so the rows of a subject's entity are reduced
-    to the highest level that it reaches and two counts a level, before subjects meet; no copy of the rows is made.
+    A pair that matches at one strictness matches at all smaller ones, so each is reduced to the number of levels that it reaches.
     """
-    pure = matches(F.lit(REFERENCE_STRICTNESS))
-    hits = [matches(F.lit(s)) for s in GRID]
-    entity = F.coalesce(F.concat(F.lit("e"), F.col("o_entity").cast("string")), F.concat(F.lit("o"), F.col("o_id").cast("string")))
-    reached = sum((h.cast("int") for h in hits), F.lit(0))
-    by_entity = df.groupBy("subject", entity.alias("_entity")).agg(
-        F.max(reached).alias("_reached"),
-        *[F.count_if(h).alias(f"_h{k}") for k, h in enumerate(hits)], *[F.count_if(h & pure).alias(f"_q{k}") for k, h in enumerate(hits)],
-    )
-    aggs = []
-    for k in range(len(GRID)):
-        aggs += [F.coalesce(F.try_divide(F.sum(f"_q{k}"), F.sum(f"_h{k}")), F.lit(1.0)).alias(f"p{k}"), F.count_if(F.col("_reached") > k).alias(f"n{k}")]
-    levels = F.array(
-        *[F.struct(F.lit(s).alias("strictness"), F.col(f"p{k}").alias("purity"), F.col(f"n{k}").alias("entities"), F.lit(-k).alias("o")) for k, s in enumerate(GRID)]
-    )
-    first = F.try_element_at(F.filter("levels", lambda x: (x["purity"] >= min_purity) & (x["entities"] >= min_entities)), F.lit(1))
+    reached = lambda x: sum((matches(F.lit(s), lambda c: x[c]).cast("int") for s in GRID), F.lit(0))
+    pure = lambda x: matches(F.lit(REFERENCE_STRICTNESS), lambda c: x[c])
+    marks = F.transform("pool", lambda x: F.struct(reached(x).alias("n"), pure(x).alias("pure"), entity_of(x).alias("entity")))
+
+    def level(k: int, strictness: float) -> Column:
+        hits = F.filter("_marks", lambda x: x["n"] > k)
+        purity = F.coalesce(F.try_divide(F.size(F.filter(hits, lambda x: x["pure"])), F.size(hits)), F.lit(1.0))
+        entities = F.size(F.array_distinct(F.transform(hits, lambda x: x["entity"]))).cast("long")
+        return F.struct(F.lit(strictness).alias("strictness"), purity.alias("purity"), entities.alias("entities"), F.lit(-k).alias("o"))
+
+    levels = F.array(*[level(k, s) for k, s in enumerate(GRID)])
+    first = F.try_element_at(F.filter("_levels", lambda x: (x["purity"] >= min_purity) & (x["entities"] >= min_entities)), F.lit(1))
     by = ("entities", "purity") if prefer == "sufficiency" else ("purity", "entities")
-    best = F.array_max(F.transform("levels", lambda x: F.struct(x[by[0]].alias("a"), x[by[1]].alias("b"), x["o"].alias("o"), x.alias("x"))))["x"]
-    return (
-        by_entity.groupBy("subject").agg(*aggs).withColumn("levels", levels).withColumn("pick", F.coalesce(first, best))
-        .select("subject", "pick.strictness", "pick.purity", "pick.entities")
-    )
+    best = F.array_max(F.transform("_levels", lambda x: F.struct(x[by[0]].alias("a"), x[by[1]].alias("b"), x["o"].alias("o"), x.alias("x"))))["x"]
+    picked = df.withColumn("_marks", marks).withColumn("_levels", levels).withColumn("_pick", F.coalesce(first, best))
+    return picked.withColumns({c: F.col(f"_pick.{c}") for c in ("strictness", "purity", "entities")}).drop("_marks", "_levels", "_pick")
 
 
-def coherence(df: DataFrame, gap: float = 0.08, sure: float = 0.90, least: int = 2) -> DataFrame:
-    """Rows without foreign blocks: an offer that is closer to its peers than to the subject, and not sure itself,
+def coherent(pool: Column, gap: float = 0.08, sure: float = 0.90, least: int = 2) -> Column:
+    """The pool without foreign blocks: an offer that is closer to its peers than to the subject, and not sure itself,
     is suspect; of two or more suspects of a subject, those with another name than the subject's go."""
-    suspect = F.coalesce((F.col("peer_max_sim") - F.col("similarity") > gap) & (F.col("similarity") < sure), F.lit(False))
-    many = F.sum(F.col("_suspect").cast("int")).over(Window.partitionBy("subject")) >= least
-    other = X.fold_words(F.col("o_name")) != X.fold_words(F.col("s_name"))
-    marked = df.withColumn("_suspect", suspect).withColumn("_many", many)
-    return marked.filter(~(F.col("_many") & F.col("_suspect") & other)).drop("_suspect", "_many")
+    suspect = lambda x: F.coalesce((x["peer_max_sim"] - x["similarity"] > gap) & (x["similarity"] < sure), F.lit(False))
+    many = lambda all_: F.size(F.filter(all_, suspect)) >= least
+    return F.element_at(F.transform(F.array(pool), lambda all_: F.when(many(all_), F.filter(all_, lambda x: ~(suspect(x) & x["other"]))).otherwise(all_)), 1)
+
 
+def one_per_entity(pool: Column) -> Column:
+    """The most similar offer of each entity; ties by offer id."""
+    ordered = F.array_sort(F.transform(pool, lambda x: F.struct(entity_of(x).alias("e"), (-x["similarity"]).alias("far"), x["o_id"].alias("id"), x.alias("x"))))
+    first = lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["e"] != x["e"]))
+    return F.transform(F.element_at(F.transform(F.array(ordered), first), 1), lambda x: x["x"])
 
-def one_per_entity(df: DataFrame) -> DataFrame:
-    """The most similar offer of each entity; an offer without entity stands for itself; ties by offer id."""
-    key = F.coalesce(F.col("o_entity").cast("string"), F.concat(F.lit("o"), F.col("o_id").cast("string")))
-    w = Window.partitionBy("subject", "_e").orderBy(F.desc("similarity"), "o_id")
-    return df.withColumn("_e", key).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_e")
 
+def exploded(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """A row a pair of ``pool``, with ``columns``. The explosion is an outer one, as for an inner one the optimizer adds a filter on
+    the array's size below it, and with it the whole expression of the pool once more for each step that reads it."""
+    return df.select(*columns, F.inline_outer("pool")).filter("o_id IS NOT NULL")
 
-def price(df: DataFrame) -> DataFrame:
+
+def kept_pool(df: DataFrame, until: str = "single") -> DataFrame:
+    """Rows whose ``pool`` is what strictness and coherence keep, one offer an entity unless ``until`` is ``coherent``."""
+    level = adaptive_strictness(df).drop("purity", "entities")
+    kept = level.withColumn("pool", coherent(F.filter("pool", lambda x: matches(F.col("strictness"), lambda c: x[c])))).drop("strictness")
+    return kept.withColumn("pool", one_per_entity(F.col("pool"))) if until == "single" else kept
+
+
+def price(df: DataFrame, key: Sequence[str] = ("subject",)) -> DataFrame:
     """Price of each subject from its final offers, one an entity; packages count as entities but not in prices.
 
     Where the subject's minutes are known, offers with minutes decide: the price is their median rate times the
@@ -116,7 +158,7 @@ def price(df: DataFrame) -> DataFrame:
     raw = F.when(single, F.coalesce("o_price", F.lit(0)).cast("double"))
     whole = lambda x: F.bround(F.round(x, 6)).cast("long")
     quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    found = df.groupBy("subject").agg(
+    found = df.groupBy(*key).agg(
         F.count_if(single).alias("n_offers"), F.count("*").alias("n_entities"), F.max("s_price").alias("subject_price"), F.max("s_minutes").alias("subject_minutes"),
         F.percentile(rate, F.lit(0.5)).alias("_rate"), F.percentile(F.when(F.col("s_minutes") > 0, whole(rate * F.col("s_minutes"))), quarters).alias("_timed"),
         F.percentile(raw, quarters).alias("_raw"),
@@ -127,21 +169,21 @@ def price(df: DataFrame) -> DataFrame:
     rated = found.withColumn("_p", F.when(by_rate, F.col("_timed")).otherwise(F.col("_raw"))).withColumn("status", status)
     market = F.when(by_rate, whole(F.col("_rate") * F.col("subject_minutes"))).otherwise(whole(F.col("_raw")[1]))
     priced = rated.select(
-        "subject", "subject_price", "subject_minutes", "n_offers", "n_entities", "status", F.when(enough, market).alias("market_price"),
+        *key, "subject_price", "subject_minutes", "n_offers", "n_entities", "status", F.when(enough, market).alias("market_price"),
         *[whole(F.col("_p")[k]).alias(f"market_p{q}") for k, q in enumerate((25, 50, 75))], F.when(by_rate, F.round("_rate", 4)).alias("rate_median"),
     )
     deviation = F.round(100.0 * (F.col("subject_price") - F.col("market_price")) / F.nullif("market_price", F.lit(0)), 2)
     return priced.withColumn("deviation_pct", deviation).withColumn("action", X.action_c(F.col("deviation_pct")))
 
 
-def result_rows(priced: DataFrame) -> DataFrame:
+def result_rows(priced: DataFrame, key: Sequence[str] = ("subject",)) -> DataFrame:
     """The report's row of each priced subject. Where entities are too few the subject stands alone: no market, no place in it."""
     alone = F.col("status") == "insufficient"
     only = lambda x: F.when(~alone, x)
     place = X.rank_linear_map(F.col("subject_price"), F.col("market_p25"), F.col("market_p75"))
     own_rate = F.when(F.col("subject_minutes") > 0, F.col("subject_price") / F.col("subject_minutes"))
     return priced.select(
-        "subject",
+        *key,
         F.when(alone, "subject_only").otherwise("verified").alias("verification"),
         F.when(alone, "subject_only").otherwise(F.col("action")).alias("action"),
         only(F.col("market_p25")).alias("market_low"), "market_price", only(F.col("market_p75")).alias("market_high"),
@@ -165,19 +207,7 @@ def rerun_if_few(strict: DataFrame, wide: DataFrame, services: DataFrame, share:
     return of(strict, False).unionByName(of(wide, True)).fillna("subject_only", ["verification", "action"])
 
 
-#: What the votes read of a pair and nothing after them does.
-READ_BY_VOTES = [f"{p}_{c}" for p in "so" for c in ("params", "area", "words")]
-
-
-def voted(pairs: DataFrame, generic: Column) -> DataFrame:
-    """Pairs with votes and margin and without what only votes read, so that rows are narrow before they are dealt by subject."""
-    return votes(pairs).withColumn("margin", margin(generic)).drop(*READ_BY_VOTES)
-
-
-def market_price(voted: DataFrame) -> DataFrame:
-    """The whole chain for every subject of voted samples, which are staged once: the level of strictness takes one pass over
-    them and the offers that it keeps another."""
-    voted = staged(voted, "voted")
-    level = adaptive_strictness(voted).select("subject", "strictness")
-    kept = voted.join(level, "subject").filter(matches(F.col("strictness")))
-    return price(one_per_entity(coherence(kept)))
+def market_price(df: DataFrame, key: Sequence[str] = ("subject",)) -> DataFrame:
+    """The whole chain for every row's subject (``s_price, s_minutes, pool``): one pass, as only the offers that are kept become rows."""
+    kept = exploded(kept_pool(df), *key, "s_price", "s_minutes")
+    return price(kept, key)

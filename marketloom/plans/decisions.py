@@ -12,7 +12,7 @@ from marketloom.operators import pricing as P
 from marketloom.operators import relational as R
 from marketloom.plans.joins import distance
 from marketloom.plans.offers import OFFERS
-from marketloom.plans.pricing import SAMPLES, VOTES, samples, voted
+from marketloom.plans.pricing import DEALT, KEYS, SAMPLES, VOTES, area, voted
 from marketloom.plans.rankings import RIVALS, SCORED, rivals, scored
 from marketloom.sources.tables import entities, events, offers, table, vectors
 
@@ -100,7 +100,7 @@ def shown_first(s, d):
 
 
 def by_name(s, d):
-    x = D.assigned(samples(s, d), "subject", F.col("s_name") == F.col("o_name"), "similarity", "o_id")
+    x = D.assigned(voted(s, d), KEYS, F.col("s_name") == F.col("o_name"), "similarity", "o_id")
     return x.select("subject", "o_id", "by_name", "similarity")
 
 
@@ -117,8 +117,10 @@ _kind = """CASE WHEN p_size < 5 OR p_name = 'hot gear' THEN 'event' WHEN contain
 
 
 def areas(s, d):
-    x = samples(s, d)
-    return x.groupBy("s_name", "o_name").agg(F.count("*").alias("n"), F.every(S.areas_compatible(F.col("s_area"), F.col("o_area"))).alias("compatible"))
+    """Whether the areas of two names agree, with the number of pairs that have these names."""
+    x = voted(s, d).groupBy("s_name", "o_name").agg(F.count("*").alias("n"))
+    found = [area(X.word_set(F.col(c))) for c in ("s_name", "o_name")]
+    return x.withColumn("compatible", S.areas_compatible(*found))
 
 
 def similar_enough(s, d):
@@ -263,16 +265,16 @@ def due_bundles(s, d):
 
 def fixed_strictness(s, d):
     v = voted(s, d).withColumn("kept", P.matches(F.lit(0.5))).withColumn("pure", P.matches(F.lit(0.6)))
-    return v.groupBy("subject").agg(
+    return v.groupBy(*KEYS).agg(
         F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), *[F.count_if(F.col(c) == -1).alias(f"{c}_against") for c in VOTES],
         F.round(F.try_divide(F.count_if(F.col("kept") & F.col("pure")), F.count_if("kept")), 4).alias("purity_kept"), F.round(F.count_if("pure") / F.count("*"), 4).alias("purity_in"),
-    )
+    ).drop(*DEALT)
 
 
 def context(s, d):
-    x = voted(s, d).select("subject", "o_id", "vote_category")
+    x = voted(s, d).select(*KEYS, "o_id", "vote_category")
     weight = F.when(F.col("vote_category") == 1, 1.0).when(F.col("vote_category") == 0, 0.5).otherwise(0.0)
-    return D.layered(x, "subject", weight, 0.5).groupBy("subject").agg(F.count("*").alias("n"))
+    return D.layered(x, KEYS, weight, 0.5).groupBy(*KEYS).agg(F.count("*").alias("n")).drop(*DEALT)
 
 
 def ended(s, d):

@@ -117,3 +117,12 @@ def test_extreme_flag_turns_three_statuses(spark):
     rows = [("verified", 151.0), ("method_targeted", -151.0), ("structured_direct", 160.0), ("subject_only", 400.0), ("verified", 150.0), ("verified", None)]
     df = spark.createDataFrame(rows, "status string, d double").select(X.extreme_flag(F.col("status"), F.col("d"), X.OPEN_STATUSES).alias("f"))
     assert [r.f for r in df.collect()] == ["extreme_outlier"] * 3 + ["subject_only", "verified", "verified"]
+
+
+def test_pairs_of_the_chain_are_never_dealt_out(spark):
+    """Offers are dealt out before they are compared; nothing above the explosion into pairs is a shuffle."""
+    from marketloom.plans import pricing as plans
+
+    chain = plans.P.price(plans.P.exploded(plans.P.kept_pool(plans.voted_pools(plans.pools(spark, "/root/testdata/sf0.001"))), *plans.KEYS, "s_price", "s_minutes"), plans.KEYS)
+    above = chain._jdf.queryExecution().executedPlan().toString().rsplit("Generate inline", 1)[0]
+    assert above.count("Generate inline") >= 1 and "Exchange" not in above
