@@ -29,10 +29,15 @@ ELIGIBLE = "NOT package AND price > 0 AND minutes BETWEEN 5 AND 240"
 
 
 def with_deviation(spark, d):
-    """Eligible offers with their category's median price and their deviation from it, one shuffle by category."""
+    """Eligible offers with their category's median price and their deviation from it.
+
+    Categories are few and large: medians are taken from counts by price and meet offers by part, so no task reads a category's offers.
+    """
     o = offers(spark, d).filter(eligible(None))
-    med = o.groupBy("category").agg(F.percentile("price", F.lit(0.5)).alias("median"))
-    return o.join(med, "category").withColumn("deviation", F.round(100.0 * (F.col("price") - F.col("median")) / F.col("median"), 2))
+    counts = o.groupBy("category", "price").agg(F.count("*").alias("n"))
+    med = counts.groupBy("category").agg(F.percentile("price", F.lit(0.5), F.col("n")).alias("median"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category")).distinct().join(med, "category")
+    return o.join(parts, ["l_partkey", "category"]).withColumn("deviation", F.round(100.0 * (F.col("price") - F.col("median")) / F.col("median"), 2))
 
 
 DEVIATION = f"""{OFFERS}, med AS (SELECT category, quantile_cont(price, 0.5) AS median FROM offers WHERE {ELIGIBLE} GROUP BY 1),

@@ -84,11 +84,12 @@ def jaccard_pairs(s, d):
 
 
 def benchmarks(s, d):
-    """Median price for all, each region and each nation, where a scope has enough offers: one pass of grouping sets."""
+    """Median price for all, each region and each nation, where a scope has enough offers: grouping sets of counts by price."""
     o = offers(s, d).select("entity", "price").join(table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), "s_nationkey"), "entity")
     o = o.join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    o = o.groupBy("n_regionkey", "n_name", "price").agg(F.count("*").alias("c"))
     g = o.groupingSets([[], ["n_regionkey"], ["n_regionkey", "n_name"]], "n_regionkey", "n_name").agg(
-        F.percentile("price", F.lit(0.5)).alias("median"), F.count("*").alias("n"), F.grouping("n_regionkey").alias("ga"), F.grouping("n_name").alias("gb"))
+        F.percentile("price", F.lit(0.5), F.col("c")).alias("median"), F.sum("c").alias("n"), F.grouping("n_regionkey").alias("ga"), F.grouping("n_name").alias("gb"))
     scope = F.when(F.col("ga") == 1, "all").when(F.col("gb") == 1, "region").otherwise("nation")
     return g.filter("n >= 50").select(scope.alias("scope"), "n_regionkey", "n_name", "median", "n")
 

@@ -1,8 +1,11 @@
 """Rules of the price chain and of verdicts on cases worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom import catalogue
 from marketloom.functions import exprs as X
 from marketloom.functions.params import params_agree, typed_params
 from marketloom.operators import pricing as P
@@ -126,3 +129,9 @@ def test_pairs_of_the_chain_are_never_dealt_out(spark):
     chain = plans.P.price(plans.P.exploded(plans.P.kept_pool(plans.voted_pools(plans.pools(spark, "/root/testdata/sf0.001"))), *plans.KEYS, "s_price", "s_minutes"), plans.KEYS)
     above = chain._jdf.queryExecution().executedPlan().toString().rsplit("Generate inline", 1)[0]
     assert above.count("Generate inline") >= 1 and "Exchange" not in above
+
+
+@pytest.mark.parametrize("name", ["action_a", "verify_status", "benchmarks_rollup"])
+def test_medians_are_taken_from_counts(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(price" in plan and not re.search(r"percentile\(price#\d+L?, 0.5, 1,", plan)
