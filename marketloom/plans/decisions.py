@@ -13,7 +13,7 @@ from marketloom.operators import relational as R
 from marketloom.plans.joins import distance
 from marketloom.plans.offers import OFFERS
 from marketloom.plans.pricing import DEALT, KEYS, SAMPLES, VOTES, area, voted
-from marketloom.plans.rankings import RIVALS, SCORED, rivals, scored
+from marketloom.plans.rankings import RIVALS, SCORED, rivals, rivals_at, scored
 from marketloom.sources.tables import entities, events, offers, table, vectors
 
 #: Price texts of the fixture, by part number.
@@ -91,9 +91,7 @@ def named(s, d):
 
 def shown_first(s, d):
     """Rivals as they are shown: five near ones of the two close buckets, then the others by their score."""
-    e = entities(s, d)
-    m = R.geo_pairs(e, e, 5000.0).select(F.col("a_id").alias("subject"), F.col("b_id").alias("rival"), F.round("distance_m", 3).alias("m"))
-    x = scored(s, d).join(m, ["subject", "rival"])
+    x = scored(s, d, rivals_at(s, d))
     bucket = F.when(F.col("price_sim") >= 0.97, "direct").when(F.col("size_sim") >= 0.95, "cluster").otherwise("new")
     place = S.display_rank(bucket, F.col("m"), [F.desc("price_sim"), F.col("rival")], ["subject"], 2)
     return x.withColumn("bucket", bucket).select("subject", "rival", "bucket", place.alias("place"))

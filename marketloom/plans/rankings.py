@@ -28,10 +28,14 @@ METRICS = f"""{OFFERS}, metrics AS (SELECT entity, count(*) AS n, count(DISTINCT
   any_value(s_nationkey) AS region, any_value(s_acctbal) AS score FROM offers JOIN supplier ON entity = s_suppkey GROUP BY 1)"""
 
 
-def rivals(s, d, k=5):
-    """``subject, rival``: each entity's k nearest others within five kilometres."""
+def rivals_at(s, d, k=5):
+    """``subject, rival, m``: each entity's k nearest others within five kilometres, with their distance."""
     e = entities(s, d).select("id", "lat", "lng")
-    return nearest_places(e, e, k, 5000.0).select(F.col("a_id").alias("subject"), F.col("b_id").alias("rival"))
+    return nearest_places(e, e, k, 5000.0).select(F.col("a_id").alias("subject"), F.col("b_id").alias("rival"), F.col("distance_m").alias("m"))
+
+
+def rivals(s, d, k=5):
+    return rivals_at(s, d, k).drop("m")
 
 
 RIVALS = f"""{ENTITY}, near AS (SELECT a.id AS subject, b.id AS rival, {distance('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS m FROM entity a JOIN entity b ON a.id <> b.id),
@@ -59,12 +63,13 @@ OF_PAIR = """both_sides AS (SELECT coalesce(a.subject, b.subject) AS subject, co
   FROM (SELECT subject, rival, service, n FROM {pairs} JOIN services ON entity = subject) a FULL JOIN (SELECT subject, rival, service, n FROM {pairs} JOIN services ON entity = rival) b USING (subject, rival, service))"""
 
 
-def scored(s, d):
-    """Each entity compared with its rivals, by size, categories, mean price and region."""
+def scored(s, d, pairs=None):
+    """Each entity compared with its rivals, by size, categories, mean price and region; columns of ``pairs`` are kept."""
+    pairs = rivals(s, d) if pairs is None else pairs
     m = entity_metrics(s, d)
     side = lambda p: m.select(F.col("entity").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "cats", "mean_price", "region")])
-    return rivals(s, d).join(side("subject"), "subject").join(side("rival"), "rival").select(
-        "subject", "rival",
+    return pairs.join(side("subject"), "subject").join(side("rival"), "rival").select(
+        *pairs.columns,
         X.ratio_similarity(F.col("rival_n"), F.col("subject_n")).alias("size_sim"),
         X.ratio_similarity(F.col("rival_cats"), F.col("subject_cats")).alias("cat_sim"),
         X.ratio_similarity(F.col("rival_mean_price"), F.col("subject_mean_price")).alias("price_sim"),
