@@ -63,8 +63,7 @@ def cross_due(s, d):
 
 
 def geo_radius(s, d):
-    e = entities(s, d)
-    return R.geo_pairs(e, e, 5000.0).filter("a_id < b_id").select("a_id", "b_id", F.round("distance_m", 3).alias("distance_m"))
+    return R.geo_pairs(entities(s, d), 5000.0)
 
 
 def geo_nearest_k(s, d):
