@@ -5,11 +5,15 @@ All are joins on keys, grouped aggregates and windows within a key; ties end wit
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
-from marketloom.operators.relational import latest_per_key, top_k
+from marketloom.operators.relational import latest_per_key, position_pairs, top_k
+from marketloom.operators.staging import staged
 
 DAY = 24 * 60
 
@@ -181,10 +185,52 @@ def next_step(at: Column, passed: list[Column]) -> Column:
     return F.coalesce(*[F.when((F.lit(k) > at) & test, k) for k, test in enumerate(passed, 1)])
 
 
-def nearest_or_best(pairs: DataFrame, key: str, near: Column, score: str, other: str, distance: str) -> DataFrame:
-    """For each key the nearest rival that ``near`` accepts, else the one with the best score."""
-    order = [F.desc(near), F.when(near, F.col(distance)), F.desc(score), F.col(other)]
-    return top_k(pairs, [key], order, 1)
+def last_near(own: Column, width: float) -> Column:
+    """The greatest number whose difference from ``own`` is still ``width`` as doubles subtract: all numbers up to it, and no other, pass."""
+    t = own + width
+    step = F.abs(t) * (1.25 * 2.0**-53)
+    tried = F.array(t - step, t, t + step, t + math.ulp(width) / 2)
+    return F.array_max(F.filter(tried, lambda x: own - x >= -width))
+
+
+def nearest_or_best(points: DataFrame, radius_m: float, width: float) -> DataFrame:
+    """``a_id, b_id`` of rows ``(id, lat, lng, score)``: for each the nearest other within a radius whose score differs by at most ``width``, the
+    best of these at equal distance, else the best score within the radius; ties by id.
+
+    No row meets all rows of its radius: rings are tried from narrow to wide until one has an answer, and of a position's rows, sorted
+    by score, only the best one that is not too high is looked at, in one window for each two positions. What no
+    ring answers meets the two best rows of each position. The few rows without an answer of a dense place are far apart in
+    score.
+    """
+    here, there = ["a_lat", "a_lng"], ["b_lat", "b_lng"]
+    known = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"), F.col("score").cast("double").alias("score"))
+    known = known.filter("id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL")
+    ranked = Window.partitionBy(*there).orderBy(F.col("score").asc_nulls_first(), F.desc("id"))
+    me = F.struct("score", "id")
+    rows = known.withColumnsRenamed({"lat": "b_lat", "lng": "b_lng"}).withColumns({"me": me, "before": F.lag(me).over(ranked)})
+    rows = staged(rows, "ranked")
+    scored = rows.filter("score IS NOT NULL AND NOT isnan(score)")
+    open_ = rows.withColumnsRenamed({"b_lat": "a_lat", "b_lng": "a_lng"}).select("id", *here, "score")
+    place = lambda df, cols: df.select(F.col(cols[0]).alias("lat"), F.col(cols[1]).alias("lng"))
+    found = []
+    for ring in (radius_m / 256, radius_m / 64, radius_m / 16, radius_m / 4, radius_m):
+        asked = open_.filter("score IS NOT NULL AND NOT isnan(score)")
+        met = position_pairs(place(asked, here), place(scored, there), ring)
+        asks = met.join(asked.withColumn("key", last_near(F.col("score"), width)), here).withColumn("kind", F.lit(1))
+        has = met.join(scored, there).select(*met.columns, F.col("score").alias("key"), "id", "me", "before", F.lit(0).alias("kind"))
+        run = Window.partitionBy(*here, *there).orderBy("key", "kind", F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+        last = F.last(F.when(F.col("kind") == 0, F.struct("me", "before")), ignorenulls=True).over(run)
+        one = asks.unionByName(has, allowMissingColumns=True).withColumn("last", last).filter("kind = 1")
+        best = F.when(F.col("last.me.id") == F.col("id"), F.col("last.before")).otherwise(F.col("last.me"))
+        fits = one.withColumn("best", best).filter(F.abs(F.col("score") - F.col("best.score")) <= width)
+        first = F.min(F.struct("distance_m", (-F.col("best.score")).alias("low"), F.col("best.id").alias("b_id")))
+        found.append(staged(fits.groupBy(F.col("id").alias("a_id")).agg(first.alias("x")).select("a_id", "x.b_id"), "near"))
+        open_ = staged(open_.join(found[-1].select(F.col("a_id").alias("id")), "id", "left_anti"), "open")
+    top = top_k(rows, there, [F.desc("score"), F.col("id")], 2).select(*there, "me")
+    met = position_pairs(place(open_, here), place(rows, there), radius_m).drop("distance_m")
+    others = open_.select(F.col("id").alias("a_id"), *here).join(met, here).join(top, there).filter("a_id <> me.id")
+    best = top_k(others.select("a_id", "me.*"), ["a_id"], [F.desc("score"), F.col("id")], 1).select("a_id", F.col("id").alias("b_id"))
+    return reduce(DataFrame.unionByName, found, best)
 
 
 def period_change(df: DataFrame, key: list[str], at: str, end: Column, days: int) -> DataFrame:
