@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import cleanup as C
 from marketloom.functions import exprs as X
-from marketloom.operators.relational import bounded
+from marketloom.operators.relational import bounded, each_with_each, id_blocks
 
 
 def last_writes(changes: DataFrame, order: Column) -> DataFrame:
@@ -103,9 +103,10 @@ def enrol(contacts: DataFrame, enrolled: DataFrame, key: str, state: Column, ord
     return contacts.filter(state).join(enrolled.select(key), key, "left_anti").orderBy(*order).limit(limit)
 
 
-def fan_out(items: DataFrame, watchers: DataFrame, entity: str) -> DataFrame:
-    """A row for each item and watcher of its entity, by an equi-join on the entity."""
-    return items.join(watchers, entity)
+def fan_out(items: DataFrame, watchers: DataFrame, entity: str, item: str, watcher: str) -> DataFrame:
+    """``item, watcher``: a row for each item and watcher of its entity, by an equi-join of blocks of ids on the entity."""
+    blocks = id_blocks(items, [entity], item, "a").join(id_blocks(watchers, [entity], watcher, "b"), entity)
+    return each_with_each(blocks, [entity]).toDF(item, watcher)
 
 
 def keyword_coverage(keywords: DataFrame, texts: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ QUERIES = {
     "verified_pairs": verified,
     "failed_run_retries": retried,
     "enrol_due": lambda s, d: R.enrol(table(s, d, "customer"), table(s, d, "orders").filter("o_totalprice > 350000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", F.col("c_mktsegment") == "BUILDING", ["c_custkey"]).select("c_custkey", "c_name"),
-    "alert_fan_out": lambda s, d: R.fan_out(table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n")), table(s, d, "customer").filter("c_acctbal > 9000").select("c_custkey", F.col("c_nationkey").alias("n")), "n").select("s_suppkey", "c_custkey"),
+    "alert_fan_out": lambda s, d: R.fan_out(table(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n")), table(s, d, "customer").filter("c_acctbal > 9000").select("c_custkey", F.col("c_nationkey").alias("n")), "n", "s_suppkey", "c_custkey"),
     "box_quarters": quarters,
     "recent_event_summary": hourly,
     "nested_read_model": nested,
