@@ -71,9 +71,9 @@ def json_repair(text: pd.Series) -> pd.Series:
     return text.map(repaired)
 
 
-def patched(doc: object, ops: list[dict]) -> object:
-    """A document after add, replace and remove operations on JSON pointers."""
-    doc = json.loads(json.dumps(doc))
+def patched(doc: object, ops: list[dict], copy: bool = True) -> object:
+    """A document after add, replace and remove operations on JSON pointers; ``doc`` itself is only changed without ``copy``."""
+    doc = json.loads(json.dumps(doc)) if copy else doc
     for op in ops:
         path = [p.replace("~1", "/").replace("~0", "~") for p in op["path"].split("/")[1:]]
         if not path:

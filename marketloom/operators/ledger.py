@@ -9,8 +9,12 @@ batches, so a killed and repeated batch gives the same ledger.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,7 +132,8 @@ def commit(docs: DataFrame, path: str, batch: int, volatile: list[str], every: i
     rows = docs.filter("ready") if "ready" in docs.columns else docs
     rows = rows.select("key", "ts", canonical_json(volatile)(F.col("document")).alias("document")).filter("key IS NOT NULL AND ts IS NOT NULL AND document IS NOT NULL")
     seen = rows.withColumn("content_hash", F.sha2("document", 256))
-    head = heads(read(spark, path, batch).join(rows.select("key").distinct(), "key", "left_semi"))
+    # By the keys of all rows, as documents are costly to read; keys that prove to have none drop out below.
+    head = heads(read(spark, path, batch).join(docs.select("key").distinct(), "key", "left_semi"))
     known = head.select("key", F.col("last_seen").alias("head_seen"), F.col("content_hash").alias("head_hash"))
     seen = seen.join(known, "key", "left").withColumn("late", F.coalesce(F.col("ts") < F.col("head_seen"), F.lit(False)))
     # A late row counts as one more sight of the head.
@@ -137,6 +142,7 @@ def commit(docs: DataFrame, path: str, batch: int, volatile: list[str], every: i
     fresh = seen.select("key", "content_hash", F.when(~F.col("late"), F.col("document")).alias("document"), F.lit(1).alias("now"), "ts")
     order = Window.partitionBy("key").orderBy("now", "ts", "content_hash")
     both = before.unionByName(fresh, allowMissingColumns=True)
+    both = both.withColumn("_any", F.max("now").over(Window.partitionBy("key"))).filter("_any = 1").drop("_any")
     new = both.withColumn("_new", (~F.col("content_hash").eqNullSafe(F.lag("content_hash").over(order))).cast("int"))
     new = new.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = new.groupBy("key", "run", "content_hash").agg(
@@ -153,25 +159,40 @@ def commit(docs: DataFrame, path: str, batch: int, volatile: list[str], every: i
     out.select(*columns).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def folded(chain: list[tuple[str | None, str | None]]) -> list[str | None]:
+    """Documents of a chain of ``(document, ops)``, from its whole document back."""
+    now, out = None, []
+    for document, ops in chain:
+        try:
+            now = json.loads(document) if document is not None else None if now is None else patched(now, json.loads(ops), copy=False)
+        except (LookupError, TypeError, ValueError):
+            now = None
+        out.append(None if now is None else compact(now))
+    return out
+
+
 def versions(ledger: DataFrame) -> DataFrame:
     """``key, version, content_hash, document`` of all versions: each chain is folded from its whole document back.
 
-    A chain ends at the next whole document, so at most as many rows as lie between two checkpoints meet in one group. A chain
-    whose patches do not lead anywhere, or that has no whole document, gives null documents from there on.
+    A chain ends at the next whole document, so at most as many rows as lie between two checkpoints meet in one array. Python gets
+    batches of many chains. A chain whose patches do not lead anywhere, or that has no whole document, gives null documents from
+    there on.
     """
     whole = F.when(F.col("document").isNotNull(), F.col("version"))
     ahead = Window.partitionBy("key").orderBy("version").rowsBetween(0, Window.unboundedFollowing)
     chained = ledger.select("key", "version", "content_hash", "document", "ops").withColumn("base", F.min(whole).over(ahead))
-
-    def fold(chain: pd.DataFrame) -> pd.DataFrame:
-        chain = chain.sort_values("version", ascending=False)
-        now, out = None, []
-        for document, ops in zip(chain["document"], chain["ops"], strict=True):
-            try:
-                now = json.loads(document) if isinstance(document, str) else None if now is None else patched(now, json.loads(ops))
-            except (LookupError, TypeError, ValueError):
-                now = None
-            out.append(None if now is None else compact(now))
-        return chain.assign(document=out)[["key", "version", "content_hash", "document"]]
-
-    return chained.groupBy("key", "base").applyInPandas(fold, "key string, version bigint, content_hash string, document string")
+    row = F.struct((-F.col("version")).alias("back"), "content_hash", "document", "ops")
+    chains = chained.groupBy("key", "base").agg(F.array_sort(F.collect_list(row)).alias("chain"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(1)
+            sizes, flat = pc.list_value_length(rows).to_numpy(), rows.flatten()
+            texts = list(zip(flat.field("document").to_pylist(), flat.field("ops").to_pylist(), strict=True))
+            ends = np.cumsum(sizes)
+            documents = [x for start, end in zip(ends - sizes, ends, strict=True) for x in folded(texts[start:end])]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            columns = [keys, pc.negate(flat.field("back")), flat.field("content_hash"), pa.array(documents, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "version", "content_hash", "document"])
+
+    return chains.select("key", "chain").mapInArrow(fold, "key string, version bigint, content_hash string, document string")

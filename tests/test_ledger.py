@@ -113,3 +113,14 @@ def test_ledger_of_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert query.exception() is None
     assert held(spark, path) == runs(rows)
+
+
+def test_chains_share_batches(spark):
+    """Many short chains are folded together: a group of its own for each costs a call into Python."""
+    docs = [("a", 1, "h1", None, '[{"op": "add", "path": "/x/0", "value": 1}]'), ("a", 2, "h2", '{"x": [2]}', None), ("a", 3, "h3", None, "[]"), ("b", 1, "h4", None, '[{"op": "remove", "path": "/no"}]'),
+            ("b", 2, "h5", '{"y": null}', None), ("c", 1, "h6", None, "no json"), ("c", 2, "h7", '"t"', None), (None, 1, "h8", "7", None)]
+    rows = spark.createDataFrame(docs, "key string, version long, content_hash string, document string, ops string").repartition(3)
+    got = {(r.key, r.version): (r.content_hash, r.document) for r in L.versions(rows).collect()}
+    assert got == {("a", 1): ("h1", '{"x":[1,2]}'), ("a", 2): ("h2", '{"x":[2]}'), ("a", 3): ("h3", None), ("b", 1): ("h4", None), ("b", 2): ("h5", '{"y":null}'),
+                   ("c", 1): ("h6", None), ("c", 2): ("h7", '"t"'), (None, 1): ("h8", "7")}
+    assert "FlatMapGroupsInPandas" not in L.versions(rows)._jdf.queryExecution().toString()
