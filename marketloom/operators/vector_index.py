@@ -34,9 +34,29 @@ def matrix(column: pa.Array) -> np.ndarray:
     return unit(column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1))
 
 
-def train(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
-    """Centroids of at most ``sample`` vectors, those of the smallest hashed ids, by spherical k-means on the driver."""
-    few = vectors.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+def sampled(vectors: DataFrame, n: int, sample: int) -> list:
+    """The ``sample`` rows ``(id, vector)`` of the smallest hashed ids, of about ``n``.
+
+    A limit alone would have each task send so many rows to the driver. Hashes are spread evenly, so a bound on them leaves a few
+    more than are asked for in all; it grows until it leaves enough. Where ids repeat so often that it leaves many, the limit decides.
+    """
+    hashed = vectors.select("id", "vector", F.xxhash64("id").alias("_hash"))
+    share = 1.1 * sample / max(n, 1)
+    while share < 1:
+        few = hashed.filter(F.col("_hash") < int(2**64 * share) - 2**63)
+        left = few.count()
+        if left > 3 * sample:
+            break
+        if left >= sample:
+            return sorted(few.collect(), key=lambda r: (r["_hash"], r.id))[:sample]
+        share *= 2
+    return hashed.orderBy("_hash", "id").limit(sample).collect()
+
+
+def train(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8, n: int = 0) -> np.ndarray:
+    """Centroids of at most ``sample`` vectors, those of the smallest hashed ids, by spherical k-means on the driver; ``n`` is the number
+    of vectors where it is known."""
+    few = sampled(vectors, n, sample)
     if not few:
         return np.zeros((0, 0))
     rows = unit(np.array([r.vector for r in few], float))
@@ -59,7 +79,8 @@ def build(vectors: DataFrame, path: str, size: int = 512, most: int = 2048, samp
     """
     known = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     known = known.filter(F.exists("vector", lambda x: x != 0))
-    centres = train(known, min(MOST_LISTS, max(1, -(-known.count() // size))), sample)
+    n = known.count()
+    centres = train(known, min(MOST_LISTS, max(1, -(-n // size))), sample, n=n)
     held = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

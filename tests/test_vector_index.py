@@ -61,3 +61,18 @@ def test_nulls_zeros_and_empty(spark, tmp_path):
     assert got == {(0, 3, 1.0), (3, 0, 1.0), (4, 0, 0.0)}
     VI.build(table(spark, rows).limit(0), path)
     assert VI.search(spark, table(spark, rows), path, 1).count() == 0
+
+
+def test_sample_sends_few_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector")).repartition(20)
+    want = [r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(500).collect()]
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "limit", None)  # a limit has each of the tasks send 500 rows
+        assert [r.id for r in VI.sampled(rows, 40_000, 500)] == want
+    # Too small a bound grows; where all are asked for, or ids repeat, the same rows come.
+    assert [r.id for r in VI.sampled(rows, 4_000_000, 500)] == want
+    assert len(VI.sampled(rows, 400, 500)) == 500
+    assert len(VI.sampled(rows.withColumn("id", F.col("id") % 3), 40_000, 500)) == 500
+    assert VI.sampled(rows.limit(0), 0, 500) == []
