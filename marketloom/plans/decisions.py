@@ -10,11 +10,12 @@ from marketloom.functions import scores as S
 from marketloom.operators import decisions as D
 from marketloom.operators import pricing as P
 from marketloom.operators import relational as R
+from marketloom.operators.staging import staged
 from marketloom.plans.joins import distance
 from marketloom.plans.offers import OFFERS
 from marketloom.plans.pricing import DEALT, KEYS, SAMPLES, VOTES, area, voted
 from marketloom.plans.rankings import RIVALS, SCORED, rivals, rivals_at, scored
-from marketloom.sources.tables import entities, events, offers, table, vectors
+from marketloom.sources.tables import entities, events, lines, offers, table, vectors
 
 #: Price texts of the fixture, by part number.
 PRICES = ["50 zł", "od 50 zł", "od50", "50 - 80 zł", "from 50", "50–80 zł", "50,00 zł+"]
@@ -163,10 +164,11 @@ def offering(s, d):
 
 def method_prices(s, d):
     """Prices of a method among the rivals: three samples of two entities at least."""
-    per = offers(s, d).filter("NOT package").withColumn("method", F.substring_index("name", " ", -1)).groupBy("entity", "method", "price").agg(F.count("*").alias("n"))
-    x = rivals(s, d).join(per, F.col("rival") == F.col("entity"))
-    g = x.groupBy("subject", "method").agg(F.sum("n").alias("n"), F.count_distinct("rival").alias("rivals"), F.min("price").alias("low"), F.max("price").alias("high"), F.percentile("price", F.lit(0.5), F.col("n")).alias("median"))
-    return g.filter("n >= 3 AND rivals >= 2")
+    near = staged(rivals(s, d), "rivals")
+    o = lines(s, d).filter("l_linenumber <> 7").select("l_partkey", "entity", "price")
+    p = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring_index("p_name", " ", -1).alias("method"))
+    o = o.join(near.select(F.col("rival").alias("entity")).distinct(), "entity", "left_semi")
+    return D.prices_among(o.join(p, "l_partkey"), near).filter("n >= 3 AND rivals >= 2")
 
 
 def price_events(s, d):

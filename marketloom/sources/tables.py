@@ -40,6 +40,14 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``offers`` has of line items alone, for queries that deal these out before they meet their parts."""
+    return table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("entity"),
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.col("l_quantity").cast("int").alias("minutes"), F.col("l_shipdate").alias("ts"),
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label", (F.col("vec_id") % 50).alias("entity")
