@@ -6,6 +6,9 @@ interval of one point, so equality is a case of intersection.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +38,14 @@ def plain_name(name: Column) -> Column:
 def typed_params(name: Column) -> Column:
     """All parameters of a name: ``ml``, ``count`` (with its unit), ``volume`` (``2:1`` and ``2D`` are [2, 2], ``3/4D`` is
     [3, 4]; a ratio comes before a dimension), ``weeks`` and ``length``. Null and plain names give an empty map."""
-    words, marks = plain_name(F.coalesce(name, F.lit(""))), fold(F.coalesce(name, F.lit("")))
+    texts = F.struct(plain_name(F.coalesce(name, F.lit(""))).alias("words"), fold(F.coalesce(name, F.lit(""))).alias("marks"))
+    # A lambda's argument is evaluated once, where each form would fold the name again.
+    entries = F.get(F.transform(F.array(texts), lambda t: _entries(t["words"], t["marks"])), 0)
+    return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
+
+
+def _entries(words: Column, marks: Column) -> Column:
+    """An array with an entry a kind, null where neither text has it."""
     part = lambda text, kind, group: F.nullif(F.regexp_extract(text, FORMS[kind], group), F.lit(""))
     number = lambda text, kind, group=1: F.replace(part(text, kind, group), F.lit(","), F.lit(".")).cast("double")
 
@@ -47,14 +57,29 @@ def typed_params(name: Column) -> Column:
     ml, count, ratio, dim, weeks, length = (
         number(text, kind) for text, kind in ((words, "ml"), (words, "count"), (marks, "ratio"), (marks, "dim"), (marks, "weeks"), (marks, "length"))
     )
-    entries = F.array(
+    return F.array(
         entry("ml", ml, ml),
         entry("count", count, count, F.substring(part(words, "count", 2), 1, 6)),
         entry("volume", F.coalesce(ratio, dim), F.coalesce(ratio, number(marks, "dim", 2), dim)),
         entry("weeks", weeks, weeks),
         entry("length", length, F.coalesce(number(marks, "length", 2), length)),
     )
-    return F.map_from_entries(F.filter(entries, lambda e: e.isNotNull()))
+
+
+KINDS = ("ml", "count", "volume", "weeks", "length")
+
+
+def by_kind(params: Column) -> Column:
+    """The map of parameters as a struct with a field a kind, null where the name lacks it: what pairs compare without lambdas."""
+    return F.struct(*[F.try_element_at(params, F.lit(k)).alias(k) for k in KINDS])
+
+
+def kinds_agree(a: Column, b: Column) -> Column:
+    """``params_agree`` of two structs of ``by_kind``."""
+    both = [(a[k], b[k]) for k in KINDS]
+    shared = reduce(or_, [x.isNotNull() & y.isNotNull() for x, y in both])
+    apart = reduce(or_, [F.coalesce((x["high"] < y["low"]) | (y["high"] < x["low"]) | (x["unit"] != y["unit"]), F.lit(False)) for x, y in both])
+    return F.when(~shared, 0).when(apart, -1).otherwise(1)
 
 
 def params_agree(a: Column, b: Column) -> Column:

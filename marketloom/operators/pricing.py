@@ -22,31 +22,39 @@ GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 REFERENCE_STRICTNESS = 0.6
 
 
-def vote_columns(get: Callable[[str], Column]) -> dict[str, Column]:
+def category_vote(a: Column, b: Column) -> Column:
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(X.overlap_min(a, b) >= 0.5, 1).otherwise(-1)
+
+
+def vote_columns(get: Callable[[str], Column], agree: Callable[[Column, Column], Column] = params_agree) -> dict[str, Column]:
     """Votes ``vote_*`` of -1, 0 or 1. An abstaining vote is 0, never null.
 
-    ``get`` gives ``s_*`` (subject) and ``o_*`` (offer) values: params (typed, see ``functions.params``), package, area (sorted
+    ``get`` gives ``s_*`` (subject) and ``o_*`` (offer) values: params (typed, see ``functions.params``, and compared by ``agree``), package, area (sorted
     array), words (of the category, none if it is neutral), minutes, price. Prices are compared per minute where both
     have price and minutes, else as they are; a price or minutes of 0 are unknown.
     """
-    a, b = get("s_words"), get("o_words")
     known = lambda c: F.coalesce(get(f"s_{c}") > 0, F.lit(False)) & F.coalesce(get(f"o_{c}") > 0, F.lit(False))
     times = lambda x, y, n: F.greatest(x, y) >= n * F.least(x, y)
     s_price, o_price = (F.when(known("minutes"), get(f"{p}_price") / get(f"{p}_minutes")).otherwise(get(f"{p}_price")) for p in "so")
     s_area, o_area = get("s_area"), get("o_area")
     return {
-        "vote_params": params_agree(get("s_params"), get("o_params")),
+        "vote_params": agree(get("s_params"), get("o_params")),
         "vote_package": F.when(get("s_package") != get("o_package"), -1).otherwise(0),
         "vote_area": F.when((F.size(s_area) > 0) & (F.size(o_area) > 0) & (s_area != o_area), -1).otherwise(0),
-        "vote_category": F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(X.overlap_min(a, b) >= 0.5, 1).otherwise(-1),
+        "vote_category": category_vote(get("s_words"), get("o_words")),
         "vote_duration": F.when(known("minutes") & times(get("s_minutes"), get("o_minutes"), 3), -1).otherwise(0),
         "vote_price": F.when(known("price") & times(s_price, o_price, 4), -1).otherwise(0),
     }
 
 
-def votes(df: DataFrame) -> DataFrame:
+def votes(df: DataFrame, agree: Callable[[Column, Column], Column] = params_agree) -> DataFrame:
     """Votes of rows that hold one pair each, see ``vote_columns``."""
-    return df.withColumns(vote_columns(F.col))
+    return df.withColumns(vote_columns(F.col, agree))
+
+
+def near(df: DataFrame, floor: float = 0.0) -> DataFrame:
+    """Rows ``s_minutes, o_minutes`` of one pair each from a ``similarity`` of ``floor`` up."""
+    return df.withColumn("similarity", F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4)).filter(F.col("similarity") >= floor)
 
 
 def margin(generic: Column, get: Callable[[str], Column] = F.col) -> Column:
@@ -68,8 +76,7 @@ PAIR = ["o_minutes", "o_id", "o_entity", "o_price", "o_package", "o_name", "othe
 
 def voted(df: DataFrame, generic: Column, floor: float = 0.0) -> DataFrame:
     """Rows ``s_*, o_*`` of one pair each from a similarity of ``floor`` up, with votes and margin and without what only these read."""
-    near = df.withColumn("similarity", F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4)).filter(F.col("similarity") >= floor)
-    marked = votes(near).withColumn("margin", margin(generic)).withColumn("other", F.col("o_folded") != F.col("s_folded"))
+    marked = votes(near(df, floor)).withColumn("margin", margin(generic)).withColumn("other", F.col("o_folded") != F.col("s_folded"))
     return marked.drop(*[f"{p}_{c}" for p in "so" for c in ("params", "area", "words", "folded")])
 
 

@@ -13,7 +13,8 @@ from marketloom.operators import relational as R
 from marketloom.operators.staging import staged
 from marketloom.plans.joins import distance
 from marketloom.plans.offers import OFFERS
-from marketloom.plans.pricing import DEALT, KEYS, SAMPLES, VOTES, area, voted
+from marketloom.plans.pricing import DEALT, KEYS, OFFER, SAMPLES, SERVICE, VOTES, area, paired, sides, voted
+from marketloom.plans.pricing import named as named_rows
 from marketloom.plans.rankings import RIVALS, SCORED, rivals, rivals_at, scored
 from marketloom.sources.tables import entities, events, lines, offers, table, vectors
 
@@ -99,8 +100,14 @@ def shown_first(s, d):
 
 
 def by_name(s, d):
-    x = D.assigned(voted(s, d), KEYS, F.col("s_name") == F.col("o_name"), "similarity", "o_id")
-    return x.select("subject", "o_id", "by_name", "similarity")
+    """One match of each service. Offers are ranked by id within what is compared, so that the rank decides ties and leads back to the id."""
+    a, b = sides(s, d, ["minutes", "name", *OFFER])
+    b = b.repartition(*DEALT).withColumn("o_id", F.concat_ws("/", "o_l_orderkey", "o_l_partkey", "o_entity", "o_l_linenumber", "o_price"))
+    b = b.withColumn("o_rank", F.row_number().over(Window.partitionBy(*DEALT).orderBy("o_id")))
+    best = D.best_ranked(P.near(paired(a, b)), SERVICE, F.col("s_name") == F.col("o_name"), F.col("similarity"), F.col("o_rank"))
+    # Bounds instead of an equality: both sides are dealt out by the other columns already and stay where they are.
+    x = best.join(b.select(*DEALT, "o_id", "o_rank"), DEALT).filter((F.col("o_rank") >= F.col("rank")) & (F.col("o_rank") <= F.col("rank")))
+    return named_rows(x.select(*SERVICE, "o_id", "by_name", "similarity"))
 
 
 NEUTRAL = {"strong": r"promo", "weak": ["hot gear"], "roots": ["small", "red"], "domain": r"\bbolt|\bgear", "filler": r"\b(ring|widget)\b"}

@@ -3,9 +3,17 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+
+from marketloom.functions.params import by_kind, kinds_agree, typed_params
 from marketloom.operators import decisions as D
 from marketloom.plans import decisions as plans
+from marketloom.plans import pricing
 from tests.oracle import differences
+from tests.test_rules import AGREE
+
+SMALL = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def crowd(spark, tmp_path_factory):
@@ -23,11 +31,44 @@ def crowd(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["method_prices"])
+@pytest.mark.parametrize("name", ["name_assignment", "method_prices"])
 def test_crowd_equals_sql(spark, crowd, name):
     assert differences(spark, plans.QUERIES[name], plans.ORACLES[name], crowd) == ""
 
 
+def test_only_offers_of_rivals_are_dealt_to_blocks(spark, crowd):
+    a, b = pricing.sides(spark, crowd, ["minutes"])
+    assert a.count() == 200
+    # Nine of 200 entities are rivals of others: their offers go to the seven blocks, no one else's do.
+    assert b.select("o_entity").distinct().count() == 9
+    assert b.count() <= 9 * 6 * a.select("block").distinct().count()
+
+
+def above_join(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan[: plan.index("Join Inner")], plan
+
+
+def test_matches_are_not_sorted(spark):
+    _, plan = above_join(plans.by_name(spark, SMALL))
+    best = plan.index("Aggregate")
+    assert "Window" not in plan[:best] and "Window" not in plan[best : plan.index("Join Inner", best)]
+
+
+def test_kinds_agree_as_maps_do(spark):
+    df = spark.createDataFrame(AGREE, "a string, b string, want int").withColumns({c: by_kind(typed_params(F.col(c))) for c in "ab"})
+    assert [r.got == r.want for r in df.select("want", kinds_agree(F.col("a"), F.col("b")).alias("got")).collect()] == [True] * len(AGREE)
+
+
+def test_best_ranked_is_assigned(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), None if n == 2 else bool(n), float(s) / 32, int(i)) for i, (k, n, s) in enumerate(zip(rng.integers(0, 60, 400), rng.integers(0, 3, 400), rng.integers(0, 33, 400), strict=True))]
+    df = spark.createDataFrame(rows, "k int, same boolean, s double, rank long").withColumn("s", F.round("s", 4))
+    want = D.assigned(df, ["k"], F.col("same"), "s", "rank").select("k", "by_name", "s", "rank").collect()
+    got = D.best_ranked(df, ["k"], F.col("same"), F.col("s"), F.col("rank")).select("k", "by_name", "similarity", "rank").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_prices_among_rivals(spark):
     rng = np.random.default_rng(8)
     rows = [(int(e), "ab"[int(m)], None if p < 3 else int(p)) for e, m, p in zip(rng.integers(0, 12, 150), rng.integers(0, 2, 150), rng.integers(0, 40, 150), strict=True)] + [(1, "c", None)]
