@@ -13,7 +13,7 @@ from marketloom.operators import relational as R
 from marketloom.operators.staging import staged
 from marketloom.plans.joins import distance
 from marketloom.plans.offers import OFFERS
-from marketloom.plans.pricing import DEALT, KEYS, OFFER, SAMPLES, SERVICE, VOTES, area, paired, sides, voted
+from marketloom.plans.pricing import DEALT, OFFER, KEYS, SAMPLES, SERVICE, VOTES, area, paired, pairs, sides, voted
 from marketloom.plans.pricing import named as named_rows
 from marketloom.plans.rankings import RIVALS, SCORED, rivals, rivals_at, scored
 from marketloom.sources.tables import entities, events, lines, offers, table, vectors
@@ -279,9 +279,9 @@ def fixed_strictness(s, d):
 
 
 def context(s, d):
-    x = voted(s, d).select(*KEYS, "o_id", "vote_category")
+    x = P.near(pairs(s, d, ["minutes", "words"])).withColumn("vote_category", P.category_vote(F.col("s_words"), F.col("o_words")))
     weight = F.when(F.col("vote_category") == 1, 1.0).when(F.col("vote_category") == 0, 0.5).otherwise(0.0)
-    return D.layered(x, KEYS, weight, 0.5).groupBy(*KEYS).agg(F.count("*").alias("n")).drop(*DEALT)
+    return named_rows(D.layered_count(x, SERVICE, weight, 0.5))
 
 
 def ended(s, d):

@@ -31,7 +31,7 @@ def crowd(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["name_assignment", "method_prices"])
+@pytest.mark.parametrize("name", ["name_assignment", "category_context", "method_prices"])
 def test_crowd_equals_sql(spark, crowd, name):
     assert differences(spark, plans.QUERIES[name], plans.ORACLES[name], crowd) == ""
 
@@ -49,6 +49,12 @@ def above_join(df):
     return plan[: plan.index("Join Inner")], plan
 
 
+@pytest.mark.parametrize("query", [plans.context])
+def test_pairs_are_reduced_as_they_come(spark, query):
+    top, plan = above_join(query(spark, SMALL))
+    assert "Aggregate" in top and "Window" not in top and "lambda" not in plan and "Generate inline" not in plan
+
+
 def test_matches_are_not_sorted(spark):
     _, plan = above_join(plans.by_name(spark, SMALL))
     best = plan.index("Aggregate")
@@ -69,6 +75,12 @@ def test_best_ranked_is_assigned(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
 
 
+def test_layered_count(spark):
+    df = spark.createDataFrame([(1, 0.0), (1, 0.5), (1, 1.0), (2, 0.0), (2, 0.4), (3, 0.5), (4, None)], "k int, w double")
+    got = D.layered_count(df, ["k"], F.col("w"), 0.5).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, 2), (3, 1), (4, 1)]
+
+
 def test_prices_among_rivals(spark):
     rng = np.random.default_rng(8)
     rows = [(int(e), "ab"[int(m)], None if p < 3 else int(p)) for e, m, p in zip(rng.integers(0, 12, 150), rng.integers(0, 2, 150), rng.integers(0, 40, 150), strict=True)] + [(1, "c", None)]
