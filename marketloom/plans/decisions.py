@@ -13,7 +13,7 @@ from marketloom.operators import relational as R
 from marketloom.operators.staging import staged
 from marketloom.plans.joins import distance
 from marketloom.plans.offers import OFFERS
-from marketloom.plans.pricing import DEALT, OFFER, KEYS, SAMPLES, SERVICE, VOTES, area, paired, pairs, sides, voted
+from marketloom.plans.pricing import DEALT, OFFER, SAMPLES, SERVICE, VOTES, area, paired, pairs, sides, voted
 from marketloom.plans.pricing import named as named_rows
 from marketloom.plans.rankings import RIVALS, SCORED, rivals, rivals_at, scored
 from marketloom.sources.tables import entities, events, lines, offers, table, vectors
@@ -124,7 +124,7 @@ _kind = """CASE WHEN p_size < 5 OR p_name = 'hot gear' THEN 'event' WHEN contain
 
 def areas(s, d):
     """Whether the areas of two names agree, with the number of pairs that have these names."""
-    x = voted(s, d).groupBy("s_name", "o_name").agg(F.count("*").alias("n"))
+    x = P.near(pairs(s, d, ["minutes", "name"])).groupBy("s_name", "o_name").agg(F.count("*").alias("n"))
     found = [area(X.word_set(F.col(c))) for c in ("s_name", "o_name")]
     return x.withColumn("compatible", S.areas_compatible(*found))
 
@@ -272,10 +272,10 @@ def due_bundles(s, d):
 
 def fixed_strictness(s, d):
     v = voted(s, d).withColumn("kept", P.matches(F.lit(0.5))).withColumn("pure", P.matches(F.lit(0.6)))
-    return v.groupBy(*KEYS).agg(
+    return named_rows(v.groupBy(*SERVICE).agg(
         F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), *[F.count_if(F.col(c) == -1).alias(f"{c}_against") for c in VOTES],
         F.round(F.try_divide(F.count_if(F.col("kept") & F.col("pure")), F.count_if("kept")), 4).alias("purity_kept"), F.round(F.count_if("pure") / F.count("*"), 4).alias("purity_in"),
-    ).drop(*DEALT)
+    ))
 
 
 def context(s, d):

@@ -31,7 +31,7 @@ def crowd(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["name_assignment", "category_context", "method_prices"])
+@pytest.mark.parametrize("name", ["fixed_strictness", "name_assignment", "category_context", "method_prices"])
 def test_crowd_equals_sql(spark, crowd, name):
     assert differences(spark, plans.QUERIES[name], plans.ORACLES[name], crowd) == ""
 
@@ -49,7 +49,7 @@ def above_join(df):
     return plan[: plan.index("Join Inner")], plan
 
 
-@pytest.mark.parametrize("query", [plans.context])
+@pytest.mark.parametrize("query", [plans.fixed_strictness, plans.context])
 def test_pairs_are_reduced_as_they_come(spark, query):
     top, plan = above_join(query(spark, SMALL))
     assert "Aggregate" in top and "Window" not in top and "lambda" not in plan and "Generate inline" not in plan
