@@ -54,7 +54,9 @@ def votes(df: DataFrame, agree: Callable[[Column, Column], Column] = params_agre
 
 def near(df: DataFrame, floor: float = 0.0) -> DataFrame:
     """Rows ``s_minutes, o_minutes`` of one pair each from a ``similarity`` of ``floor`` up."""
-    return df.withColumn("similarity", F.round(X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes")), 4)).filter(F.col("similarity") >= floor)
+    ratio = X.ratio_similarity(F.col("s_minutes"), F.col("o_minutes"))
+    rows = df.withColumn("similarity", F.round(ratio, 4))
+    return rows.filter(F.col("similarity") >= floor) if floor > 0 else rows.filter(ratio.isNotNull())  # none is below 0
 
 
 def margin(generic: Column, get: Callable[[str], Column] = F.col) -> Column:
