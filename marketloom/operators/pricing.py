@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import exprs as X
@@ -65,10 +65,15 @@ def margin(generic: Column, get: Callable[[str], Column] = F.col) -> Column:
     return sum((get(f"vote_{k}") * w for k, w in WEIGHTS.items()), F.lit(0.0)) + get("vote_category") * category
 
 
+def level_margin(strictness: float | Column) -> float | Column:
+    """The least margin of a match."""
+    return -1.5 + 1.6 * strictness
+
+
 def matches(strictness: Column, get: Callable[[str], Column] = F.col) -> Column:
     """No veto, and a margin of at least ``-1.5 + 1.6 * strictness``."""
     veto = (get("vote_params") == -1) | (get("vote_package") == -1) | (get("vote_area") == -1)
-    return ~veto & (get("margin") >= -1.5 + 1.6 * strictness)
+    return ~veto & (get("margin") >= level_margin(strictness))
 
 
 VOTES = ["vote_params", "vote_package", "vote_area", "vote_category", "vote_duration", "vote_price"]
@@ -126,6 +131,85 @@ def adaptive_strictness(df: DataFrame, prefer: str = "sufficiency", min_entities
     return picked.withColumns({c: F.col(f"_pick.{c}") for c in ("strictness", "purity", "entities")}).drop("_marks", "_levels", "_pick")
 
 
+def reached(get: Callable[[str], Column] = F.col) -> Column:
+    """How many levels of the grid a pair matches at: one that matches at a strictness matches at all smaller ones."""
+    return sum((matches(F.lit(s), get).cast("int") for s in GRID), F.lit(0))
+
+
+def _hits() -> dict[str, Column]:
+    """Of each level: pairs that match at it, and how many of these are pure."""
+    hit = lambda k: F.col("reached") > k
+    return {f"_n{k}": hit(k) for k in range(len(GRID))} | {f"_pure{k}": hit(k) & F.col("pure") for k in range(len(GRID))}
+
+
+def _picked(prefer: str = "sufficiency", min_entities: int = 3, min_purity: float = 0.9) -> Column:
+    """``purity, entities, strictness, level`` that ``adaptive_strictness`` picks, from counts ``_n, _pure, _entities`` of each level."""
+
+    def level(k: int) -> Column:
+        purity, entities = F.coalesce(F.try_divide(F.col(f"_pure{k}"), F.col(f"_n{k}")), F.lit(1.0)), F.col(f"_entities{k}")
+        by = (entities, purity) if prefer == "sufficiency" else (purity, entities)
+        return F.struct(by[0].alias("a"), by[1].alias("b"), F.lit(-k).alias("o"), purity.alias("purity"), entities.alias("entities"), F.lit(GRID[k]).alias("strictness"), F.lit(k).alias("level"))
+
+    levels = [level(k) for k in range(len(GRID))]
+    good = [F.when((x["purity"] >= min_purity) & (x["entities"] >= min_entities), x) for x in levels]
+    return F.coalesce(*good, F.greatest(*levels))
+
+
+def strictness_of(voted_rows: DataFrame, key: Sequence[str], **how) -> DataFrame:
+    """``strictness, purity, entities`` of each key as ``adaptive_strictness`` picks them, from voted pairs that are counted as they come
+    by entity and then by key. All pairs have an ``o_entity``."""
+    marks = voted_rows.withColumns({"reached": reached(), "pure": matches(F.lit(REFERENCE_STRICTNESS))})
+    by_entity = marks.groupBy(*key, "o_entity").agg(F.max("reached").alias("_best"), *[F.count_if(v).alias(k) for k, v in _hits().items()])
+    counts = by_entity.groupBy(*key).agg(*[F.sum(k).alias(k) for k in _hits()], *[F.count_if(F.col("_best") > k).alias(f"_entities{k}") for k in range(len(GRID))])
+    return counts.withColumn("_pick", _picked(**how)).select(*key, *[F.col(f"_pick.{c}").alias(c) for c in ("strictness", "purity", "entities")])
+
+
+def minutes_from(minutes: Column, own: Column, floor: float = 0.0) -> Column:
+    """Minutes, an array, from a similarity of ``floor`` to the subject's up, sorted."""
+    return F.array_sort(F.filter(minutes, lambda m: F.round(X.ratio_similarity(own, m), 4) >= floor) if floor > 0 else minutes)
+
+
+def with_peer(pairs: DataFrame) -> DataFrame:
+    """``peer_max_sim`` instead of ``pool``, the sorted minutes of all offers of the key: the best similarity of an offer to another one is that
+    to a neighbour by minutes, and 1 where two have the same. Offers without minutes have no neighbours and are nobody's.
+
+    It comes before the votes: its lambdas keep these out of the join's generated method, which would have over 8000 bytes, and Java
+    never compiles such a one (eight times slower).
+    """
+    at = F.array(F.array_position("pool", F.col("o_minutes")).cast("int"))
+    beside = F.array_compact(F.flatten(F.transform(at, lambda i: F.array(F.get("pool", i - 2), F.get("pool", i)))))
+    peer = F.round(F.array_max(F.transform(beside, lambda m: X.ratio_similarity(F.col("o_minutes"), m))), 4)
+    return pairs.withColumn("peer_max_sim", peer).drop("pool")
+
+
+def candidates(pairs: DataFrame, key: Sequence[str], gap: float = 0.08, sure: float = 0.90) -> DataFrame:
+    """Voted pairs that match at the lowest level of the grid, with ``other`` (another name), ``suspect`` and without what votes read.
+    The number of a row keeps the filter above the votes; in the join's condition they would be worked out once more."""
+    hits = pairs.withColumn("_row", F.monotonically_increasing_id()).filter((F.col("_row") >= 0) & matches(F.lit(GRID[0])))
+    suspect = F.coalesce((F.col("peer_max_sim") - F.col("similarity") > gap) & (F.col("similarity") < sure), F.lit(False))
+    return hits.select(
+        *key, "o_entity", "similarity", "o_id", "o_price", "o_minutes", "o_package", "s_price", "s_minutes", "margin",
+        (F.col("o_folded") != F.col("s_folded")).alias("other"), suspect.alias("suspect"),
+    )
+
+
+def kept(hits: DataFrame, key: Sequence[str], until: str = "single", least: int = 2) -> DataFrame:
+    """Rows of ``candidates`` that strictness and coherence keep (see ``adaptive_strictness`` and ``coherent``), one an entity unless
+    ``until`` is ``coherent``. All windows share one sort by key, entity, similarity and id."""
+    of_key, of_entity = Window.partitionBy(*key), Window.partitionBy(*key, "o_entity")
+    order = of_entity.orderBy(F.desc("similarity"), "o_id")
+    over = lambda s: F.col("margin") >= level_margin(s)  # noqa: E731  # vetoes are gone
+    marked = hits.withColumn("_first", F.row_number().over(order) == 1).withColumns({"reached": sum((over(s).cast("int") for s in GRID), F.lit(0)), "pure": over(REFERENCE_STRICTNESS)})
+    marked = marked.withColumn("_best", F.max("reached").over(of_entity))
+    seen = {f"_entities{k}": F.col("_first") & (F.col("_best") > k) for k in range(len(GRID))}
+    counts = {c: F.count_if(v).over(of_key) for c, v in (_hits() | seen).items()}
+    rows = marked.withColumns(counts).withColumn("_level", _picked()["level"]).filter("reached > _level").select(*hits.columns)
+    rows = rows.withColumn("_suspects", F.count_if("suspect").over(of_key)).filter(~((F.col("_suspects") >= least) & F.col("suspect") & F.col("other")))
+    if until == "single":
+        rows = rows.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return rows.select(*hits.columns)
+
+
 def coherent(pool: Column, gap: float = 0.08, sure: float = 0.90, least: int = 2) -> Column:
     """The pool without foreign blocks: an offer that is closer to its peers than to the subject, and not sure itself,
     is suspect; of two or more suspects of a subject, those with another name than the subject's go."""

@@ -102,7 +102,7 @@ def shown_first(s, d):
 def by_name(s, d):
     """One match of each service. Offers are ranked by id within what is compared, so that the rank decides ties and leads back to the id."""
     a, b = sides(s, d, ["minutes", "name", *OFFER])
-    b = b.repartition(*DEALT).withColumn("o_id", F.concat_ws("/", "o_l_orderkey", "o_l_partkey", "o_entity", "o_l_linenumber", "o_price"))
+    b = b.withColumn("o_id", F.concat_ws("/", "o_l_orderkey", "o_l_partkey", "o_entity", "o_l_linenumber", "o_price"))
     b = b.withColumn("o_rank", F.row_number().over(Window.partitionBy(*DEALT).orderBy("o_id")))
     best = D.best_ranked(P.near(paired(a, b)), SERVICE, F.col("s_name") == F.col("o_name"), F.col("similarity"), F.col("o_rank"))
     # Bounds instead of an equality: both sides are dealt out by the other columns already and stay where they are.

@@ -95,3 +95,20 @@ def test_prices_among_rivals(spark):
     got = D.prices_among(offers, rivals)
     assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
     pd.testing.assert_frame_equal(got.toPandas().sort_values(["subject", "method"]).reset_index(drop=True), g, check_dtype=False)
+
+
+@pytest.mark.parametrize("name", ["adaptive_identity", "coherence_guard", "dedup_closest", "market_price", "result_rows", "report_driver"])
+def test_chain_of_a_crowd(spark, crowd, name):
+    assert differences(spark, pricing.QUERIES[name], pricing.ORACLES[name], crowd) == ""
+
+
+@pytest.mark.parametrize("name", ["adaptive_identity"])
+def test_pairs_of_the_chain_are_no_arrays(spark, name):
+    """Pairs of a service were one array, for which all of them were sorted on disk."""
+    assert "collect_list(struct(o_minutes" not in pricing.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_grow_with_the_rows(spark, crowd, monkeypatch):
+    monkeypatch.setattr(pricing, "MET", 20)
+    a, b = pricing.sides(spark, crowd, ["minutes"])
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() > 8
